@@ -24,9 +24,14 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every DOUBLE column (comparison hygiene, applied to registered queries only)."""
+    """Round every DOUBLE column (comparison hygiene, applied to registered queries only).
+
+    The value is first fixed to 9 decimals, then rounded in decimal arithmetic, so a value
+    that sits on a 6-decimal half (e.g. 0.4719825) rounds the same way in both engines even
+    when their sums differ in the last bit.
+    """
     cols = [
-        F.round(F.col(f.name), places).alias(f.name)
+        F.round(F.col(f.name).cast("decimal(38,9)"), places).cast("double").alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType))
         else F.col(f.name)
         for f in df.schema.fields
@@ -58,7 +63,7 @@ def _order(spark, sf_dir):
 
 
 def r6(x: str) -> str:
-    return f"round({x}, 6)"
+    return f"cast(round(cast({x} as decimal(38, 9)), 6) as double)"
 
 
 # --------------------------------------------------------------------------- R1 / R2
@@ -132,3 +137,555 @@ def q_category_trends_event(spark, sf_dir):
     """R3 on the event binding, full range."""
     e, n = _event(spark, sf_dir)
     return R.category_trends(e, n)
+
+
+# --------------------------------------------------------------------------- R2 / R4
+@register(
+    "lifecycle_summary",
+    with_tables(
+        "event",
+        f"""select cast(coalesce(sum(impressions), 0) as bigint) as total_impressions,
+        cast(coalesce(sum(clicks), 0) as bigint) as total_clicks,
+        cast(coalesce(max(impressions), 0) as bigint) as peak_impressions,
+        count(*) as hours,
+        {r6('case when sum(impressions) > 0 then sum(clicks) / sum(impressions) * 100.0 else 0.0 end')} as ctr
+        from ({_LIFECYCLE_SQL}) t""",
+        names=("e",),
+    ),
+)
+def q_lifecycle_summary(spark, sf_dir):
+    """R2 over R1 (event binding, N7)."""
+    e, _ = _event(spark, sf_dir)
+    return R.lifecycle_summary(R.news_lifecycle(e, news_id=LIFECYCLE_NEWS))
+
+
+_TRENDS_RANGE = (
+    "where e.\"timestamp\" >= timestamp '1997-01-01' and e.\"timestamp\" <= timestamp '1997-03-31'"
+)
+
+
+@register(
+    "category_rollup",
+    with_tables(
+        "order",
+        f"""select category, cast(sum(impressions) as bigint) as impressions,
+        cast(sum(clicks) as bigint) as clicks,
+        {r6('case when sum(impressions) > 0 then sum(clicks) / sum(impressions) * 100.0 else 0.0 end')} as ctr,
+        row_number() over (order by sum(impressions) desc, category) as rank
+        from ({_TRENDS_SQL.format(where=_TRENDS_RANGE)}) t group by category""",
+    ),
+)
+def q_category_rollup(spark, sf_dir):
+    """R4 by impressions over R3 (order binding, Q1 1997)."""
+    e, n = _order(spark, sf_dir)
+    trends = R.category_trends(e, n, start=TRENDS_START, end=TRENDS_END)
+    return R.category_rollup(trends, metric="impressions")
+
+
+# --------------------------------------------------------------------------- R5 / R6 / R7
+@register(
+    "user_interests",
+    with_tables(
+        "order",
+        f"""select user_id, category, topic, impressions, clicks,
+        {r6('avg_dwell_time')} as avg_dwell_time,
+        {r6('(clicks * 2 + avg_dwell_time / 30.0) / greatest(impressions, 1)')} as engagement_score
+        from (select e.user_id, category, topic, count(distinct impression_id) as impressions,
+                     cast(coalesce(sum(clicked), 0) as bigint) as clicks,
+                     coalesce(avg(dwell_time), 0.0) as avg_dwell_time
+              from e join n on e.news_id = n.news_id
+              group by 1, 2, 3 having count(distinct impression_id) > 0) t""",
+    ),
+)
+def q_user_interests(spark, sf_dir):
+    """R5 for all users (order binding, full range)."""
+    e, n = _order(spark, sf_dir)
+    return R.user_interests(e, n)
+
+
+TIMELINE_USER = "U5"
+_TIMELINE_SQL = f"""
+with j as (select date_trunc('day', e."timestamp") as ts, category, clicked
+           from e join n on e.news_id = n.news_id
+           where e.user_id = '{TIMELINE_USER}' and category is not null),
+days as (select distinct ts from j), cats as (select distinct category from j),
+agg as (select ts, category, sum(clicked) as v from j group by 1, 2)
+select d.ts as "timestamp", c.category, cast(coalesce(a.v, 0) as bigint) as interest
+from days d cross join cats c left join agg a on a.ts = d.ts and a.category = c.category
+"""
+
+
+@register("interest_timeline", with_tables("order", _TIMELINE_SQL))
+def q_interest_timeline(spark, sf_dir):
+    """R6 (long form) for user U5 (order binding)."""
+    e, n = _order(spark, sf_dir)
+    return R.interest_timeline(e, n, user=TIMELINE_USER)
+
+
+@register(
+    "interest_stats",
+    with_tables(
+        "order",
+        f"""select category, total, occurrences, trend, {r6('average')} as average,
+        case when row_number() over (order by average desc, category) <= 5
+             then row_number() over (order by average desc, category) end as top_rank,
+        case when trend > 0 and row_number() over (order by trend > 0 desc, trend desc, category) <= 3
+             then row_number() over (order by trend > 0 desc, trend desc, category) end as rising_rank
+        from (select category, cast(sum(interest) as bigint) as total, count(*) as occurrences,
+                     cast(arg_max(interest, "timestamp") - arg_min(interest, "timestamp") as bigint) as trend,
+                     sum(interest) / greatest(count(*), 1) as average
+              from ({_TIMELINE_SQL}) tl group by category) s""",
+    ),
+)
+def q_interest_stats(spark, sf_dir):
+    """R7 over R6 for user U5 (order binding)."""
+    e, n = _order(spark, sf_dir)
+    return R.interest_stats(R.interest_timeline(e, n, user=TIMELINE_USER))
+
+
+# --------------------------------------------------------------------------- R8
+def _hot_sql(as_of: dt.datetime, hours: float, min_imp: int, limit: int = 50) -> str:
+    cutoff = as_of - dt.timedelta(hours=hours)
+    return f"""
+with agg as (
+  select news_id, count(distinct impression_id) as impressions,
+         cast(coalesce(sum(clicked), 0) as bigint) as clicks,
+         count(distinct user_id) as unique_users, coalesce(avg(dwell_time), 0.0) as avg_dwell_time
+  from e where "timestamp" >= timestamp '{cutoff}' and "timestamp" <= timestamp '{as_of}'
+  group by news_id having count(distinct impression_id) >= {min_imp}),
+ranked as (
+  select a.*, n.category, n.topic, n.headline, n.news_body,
+         clicks / greatest(impressions, 1) as click_rate,
+         unique_users / greatest(impressions, 1) as user_diversity
+  from agg a join n on a.news_id = n.news_id
+  order by click_rate desc, a.news_id limit {limit})
+select news_id, category, topic, headline, news_body, impressions, clicks, unique_users,
+       {r6('avg_dwell_time')} as avg_dwell_time, {r6('click_rate')} as click_rate,
+       {r6('user_diversity')} as user_diversity,
+       {r6('click_rate * 0.4 + user_diversity * 0.3 + least(avg_dwell_time / 100.0, 1.0) * 0.3')} as hotness_score
+from ranked
+"""
+
+
+HOT_ORDER = dict(as_of=dt.datetime(2001, 8, 1), hours=8760, min_impressions=4)
+HOT_EVENT = dict(as_of=dt.datetime(2024, 1, 31), hours=240, min_impressions=20)
+
+
+@register(
+    "hot_news",
+    with_tables("order", _hot_sql(HOT_ORDER["as_of"], HOT_ORDER["hours"], HOT_ORDER["min_impressions"])),
+)
+def q_hot_news(spark, sf_dir):
+    """R8 on the order binding: as_of 2001-08-01, 8760 h, ≥ 4 impressions."""
+    e, n = _order(spark, sf_dir)
+    return R.hot_news(e, n, **HOT_ORDER)
+
+
+@register(
+    "hot_news_event",
+    with_tables("event", _hot_sql(HOT_EVENT["as_of"], HOT_EVENT["hours"], HOT_EVENT["min_impressions"])),
+)
+def q_hot_news_event(spark, sf_dir):
+    """R8 on the event binding: as_of 2024-01-31, 240 h, ≥ 20 impressions."""
+    e, n = _event(spark, sf_dir)
+    return R.hot_news(e, n, **HOT_EVENT)
+
+
+# --------------------------------------------------------------------------- R9 – R12
+PREF_USER = "U5"
+
+
+def _prefs_sql(user: str) -> str:
+    return f"""select category, topic, count(clicked) as clicks
+    from e join n on e.news_id = n.news_id where e.user_id = '{user}' and clicked = 1
+    group by 1, 2 order by clicks desc, category, topic limit 5"""
+
+
+def _recommend_sql(user: str, limit: int = 10) -> str:
+    return f"""
+with prefs as ({_prefs_sql(user)}),
+cand as (select news_id, category, topic, headline from n
+         where category in (select category from prefs) and topic in (select topic from prefs)
+           and news_id not in (select news_id from e where user_id = '{user}')),
+stats as (select news_id, count(distinct impression_id) as popularity,
+                 coalesce(avg(cast(clicked as double)), 0.0) as predicted_interest
+          from e where news_id in (select news_id from cand) group by news_id)
+select c.news_id, c.category, c.topic, c.headline, s.popularity, s.predicted_interest
+from cand c join stats s on c.news_id = s.news_id
+order by predicted_interest desc, popularity desc, c.news_id limit {limit}
+"""
+
+
+@register("user_preferences", with_tables("event", _prefs_sql(PREF_USER)))
+def q_user_preferences(spark, sf_dir):
+    """R9 for U5 (event binding)."""
+    e, n = _event(spark, sf_dir)
+    return R.user_preferences(e, n, user=PREF_USER)
+
+
+@register(
+    "user_preferences_order", with_tables("order", _prefs_sql(PREF_USER))
+)
+def q_user_preferences_order(spark, sf_dir):
+    """R9 for U5 (order binding)."""
+    e, n = _order(spark, sf_dir)
+    return R.user_preferences(e, n, user=PREF_USER)
+
+
+@register(
+    "recommend",
+    with_tables(
+        "event",
+        f"select news_id, category, topic, headline, popularity, {r6('predicted_interest')} as predicted_interest from ({_recommend_sql(PREF_USER)}) r",
+    ),
+)
+def q_recommend(spark, sf_dir):
+    """R10 for U5 (event binding); U5 has clicks, so no cold start."""
+    e, n = _event(spark, sf_dir)
+    return R.recommend(e, n, user=PREF_USER, as_of=HOT_EVENT["as_of"])
+
+
+@register(
+    "recommend_order",
+    with_tables(
+        "order",
+        f"select news_id, category, topic, headline, popularity, {r6('predicted_interest')} as predicted_interest from ({_recommend_sql(PREF_USER)}) r",
+    ),
+)
+def q_recommend_order(spark, sf_dir):
+    """R10 for U5 (order binding)."""
+    e, n = _order(spark, sf_dir)
+    return R.recommend(e, n, user=PREF_USER, as_of=HOT_ORDER["as_of"])
+
+
+COLD_USER = "U_unknown"
+
+
+@register(
+    "recommend_cold_start",
+    with_tables(
+        "order",
+        f"select * from ({_hot_sql(HOT_ORDER['as_of'], HOT_ORDER['hours'], HOT_ORDER['min_impressions'])}) h "
+        "order by click_rate desc, news_id limit 10",
+    ),
+)
+def q_recommend_cold_start(spark, sf_dir):
+    """A user without clicks gets hot news (order binding, R8 parameters as above)."""
+    e, n = _order(spark, sf_dir)
+    return R.recommend(
+        e, n, user=COLD_USER, as_of=HOT_ORDER["as_of"], cold_hours=HOT_ORDER["hours"],
+        cold_min_impressions=HOT_ORDER["min_impressions"],
+    )
+
+
+@register(
+    "decorate_recommendations",
+    with_tables(
+        "order",
+        f"""select news_id, category, topic, headline, popularity, {r6('predicted_interest')} as predicted_interest,
+        {r6('case when predicted_interest is null or predicted_interest = 0 then 0.5 else predicted_interest end')} as relevance_score,
+        round(popularity / 100.0, 2) as category_affinity,
+        (select count(distinct category) from ({_recommend_sql(PREF_USER)}) x) as distinct_categories,
+        row_number() over (order by predicted_interest desc, popularity desc, news_id) as rank
+        from ({_recommend_sql(PREF_USER)}) r""",
+    ),
+)
+def q_decorate_recommendations(spark, sf_dir):
+    """R12 over R10 for U5 (order binding)."""
+    e, n = _order(spark, sf_dir)
+    recs = R.recommend_for_preferences(e, n, user=PREF_USER)
+    return R.decorate_recommendations(recs).withColumn(
+        "distinct_categories", F.col("distinct_categories").cast("long")
+    ).withColumn("rank", F.col("rank").cast("long"))
+
+
+# --------------------------------------------------------------------------- R13 – R16
+OVERVIEW = dict(
+    as_of=dt.datetime(2001, 8, 1), start=TRENDS_START, end=TRENDS_END,
+    trending_hours=HOT_ORDER["hours"], trending_min_impressions=HOT_ORDER["min_impressions"],
+)
+
+
+@register(
+    "overview",
+    with_tables(
+        "order",
+        f"""with t as ({_TRENDS_SQL.format(where=_TRENDS_RANGE)}),
+        h as ({_hot_sql(HOT_ORDER['as_of'], HOT_ORDER['hours'], HOT_ORDER['min_impressions'])})
+        select timestamp '1997-01-01' as period_start, timestamp '1997-03-31' as period_end,
+               (select count(distinct category) from t) as total_categories,
+               (select cast(coalesce(sum(impressions), 0) as bigint) from t) as total_impressions,
+               (select cast(coalesce(sum(clicks), 0) as bigint) from t) as total_clicks,
+               {r6('(select coalesce(sum(clicks), 0) from t) / greatest((select coalesce(sum(impressions), 0) from t), 1)')} as overall_ctr,
+               (select count(*) from h) as trending_news_count""",
+    ),
+)
+def q_overview(spark, sf_dir):
+    """R13 on the order binding (Q1 1997 range, trending as hot_news above)."""
+    e, n = _order(spark, sf_dir)
+    return R.overview(e, n, **OVERVIEW)
+
+
+INSIGHTS_AS_OF = dt.datetime(2024, 1, 15, 12, 0, 0)
+INSIGHTS_HOURS = 24
+_RECENT = (
+    f"where \"timestamp\" >= timestamp '{INSIGHTS_AS_OF - dt.timedelta(hours=INSIGHTS_HOURS)}' "
+    f"and \"timestamp\" <= timestamp '{INSIGHTS_AS_OF}'"
+)
+
+
+@register(
+    "insights_overview",
+    with_tables(
+        "event",
+        f"""select count(impression_id) as total_impressions,
+        cast(coalesce(sum(clicked), 0) as bigint) as total_clicks,
+        count(distinct user_id) as unique_users, count(distinct news_id) as unique_news,
+        {r6('coalesce(avg(dwell_time), 0.0)')} as avg_dwell_time,
+        {r6('coalesce(sum(clicked), 0) / greatest(count(impression_id), 1) * 100.0')} as overall_ctr
+        from e {_RECENT}""",
+        names=("e",),
+    ),
+)
+def q_insights_overview(spark, sf_dir):
+    """R14 on the event binding: 24 h before 2024-01-15 12:00."""
+    e, _ = _event(spark, sf_dir)
+    return R.insights_overview(e, as_of=INSIGHTS_AS_OF, hours=INSIGHTS_HOURS)
+
+
+@register(
+    "insights_trending",
+    with_tables(
+        "event",
+        f"""select news_id, impressions, clicks, unique_users,
+        {r6('clicks / greatest(impressions, 1) * unique_users')} as trend_score
+        from (select news_id, count(impression_id) as impressions,
+                     cast(coalesce(sum(clicked), 0) as bigint) as clicks,
+                     count(distinct user_id) as unique_users
+              from e {_RECENT} group by news_id) t
+        order by clicks / greatest(impressions, 1) * unique_users desc, news_id limit 10""",
+        names=("e",),
+    ),
+)
+def q_insights_trending(spark, sf_dir):
+    """R15 on the event binding, same window as R14."""
+    e, _ = _event(spark, sf_dir)
+    return R.insights_trending(e, as_of=INSIGHTS_AS_OF, hours=INSIGHTS_HOURS)
+
+
+@register(
+    "popular_news",
+    with_tables(
+        "event",
+        """select n.news_id, n.headline, n.category, count(e.news_id) as view_count
+        from n join e on n.news_id = e.news_id group by 1, 2, 3
+        order by view_count desc, n.news_id limit 10""",
+    ),
+)
+def q_popular_news(spark, sf_dir):
+    """R16 on the event binding."""
+    e, n = _event(spark, sf_dir)
+    return R.popular_news(e, n)
+
+
+# --------------------------------------------------------------------------- P10 / P11
+from .operators import filters as P  # noqa: E402
+
+LIST_CATEGORY = "Brand#11"
+
+
+@register(
+    "list_news",
+    with_tables(
+        "order",
+        f"""select news_id, category, topic, headline, news_body,
+        case when length(news_body) > 150 then concat(substring(news_body, 1, 150), '...') else news_body end as news_body_preview,
+        count(*) over () = 20 as has_more
+        from (select * from n where category = '{LIST_CATEGORY}' order by news_id limit 20 offset 10) p""",
+        names=("n",),
+    ),
+)
+def q_list_news(spark, sf_dir):
+    """P10: second page (offset 10, 20 rows) of one category (order binding)."""
+    _, n = _order(spark, sf_dir)
+    return P.list_news(n, category=LIST_CATEGORY, limit=20, offset=10)
+
+
+@register(
+    "list_news_documents",
+    with_tables(
+        "event",
+        """select news_id, category, topic, headline, news_body,
+        case when length(news_body) > 150 then concat(substring(news_body, 1, 150), '...') else news_body end as news_body_preview,
+        count(*) over () = 50 as has_more
+        from (select * from n order by news_id limit 50 offset 0) p""",
+        names=("n",),
+    ),
+)
+def q_list_news_documents(spark, sf_dir):
+    """P10: first page of all articles (event binding: multilingual bodies)."""
+    _, n = _event(spark, sf_dir)
+    return P.list_news(n)
+
+
+FILTER = dict(
+    start=dt.datetime(2024, 1, 3), end=dt.datetime(2024, 1, 20, 12),
+    categories=None, topics=None, headline_length=(5, 60), body_length=(200, None),
+)
+
+
+@register(
+    "filter_exposures",
+    with_tables(
+        "event",
+        f"""select impression_id, user_id, news_id, "timestamp", clicked, {r6('dwell_time')} as dwell_time
+        from e where "timestamp" >= timestamp '{FILTER['start']}' and "timestamp" <= timestamp '{FILTER['end']}'
+        and news_id in (select news_id from n where length(headline) >= 5 and length(headline) <= 60
+                        and length(news_body) >= 200)""",
+    ),
+)
+def q_filter_exposures(spark, sf_dir):
+    """Time range + headline and body length ranges (event binding)."""
+    e, n = _event(spark, sf_dir)
+    return P.filter_exposures(e, n, **FILTER)
+
+
+@register(
+    "filter_exposures_users",
+    with_tables(
+        "order",
+        f"""select impression_id, user_id, news_id, "timestamp", clicked, {r6('dwell_time')} as dwell_time
+        from e where user_id in ('U5', 'U7', 'U11')
+        and news_id in (select news_id from n where category in ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5', 'Brand#6', 'Brand#7', 'Brand#8', 'Brand#9', 'Brand#10')
+                        and topic in ('ECONOMY', 'SMALL', 'STANDARD'))""",
+    ),
+)
+def q_filter_exposures_users(spark, sf_dir):
+    """User list × category list × topic list (order binding)."""
+    e, n = _order(spark, sf_dir)
+    return P.filter_exposures(
+        e, n, users=["U5", "U7", "U11"], categories=[f"Brand#{i}" for i in range(1, 11)],
+        topics=["ECONOMY", "SMALL", "STANDARD"],
+    )
+
+
+# --------------------------------------------------------------------------- R17 – R23
+from .plans import querylog as QL  # noqa: E402
+
+QLOG_AS_OF = dt.datetime(2024, 1, 31)
+QLOG_HOURS = 24 * 30
+
+
+def _qlog(spark, sf_dir):
+    return B.event_query_log(spark, sf_dir)
+
+
+_QSINCE = f"where \"timestamp\" >= timestamp '{QLOG_AS_OF - dt.timedelta(hours=QLOG_HOURS)}'"
+
+
+@register(
+    "query_performance",
+    with_tables(
+        "event",
+        f"""select query_type, count(id) as total_queries,
+        {r6('coalesce(avg(execution_time), 0.0)')} as avg_execution_time,
+        {r6('coalesce(max(execution_time), 0.0)')} as max_execution_time,
+        {r6('coalesce(min(execution_time), 0.0)')} as min_execution_time,
+        cast(coalesce(sum(cast(not success as integer)), 0) as bigint) as failed_queries,
+        {r6('(count(id) - coalesce(sum(cast(not success as integer)), 0)) / greatest(count(id), 1) * 100.0')} as success_rate
+        from q {_QSINCE} group by query_type""",
+        names=("q",),
+    ),
+)
+def q_query_performance(spark, sf_dir):
+    """R17 over the event query log, 30 days before 2024-01-31."""
+    return QL.query_performance(_qlog(spark, sf_dir), as_of=QLOG_AS_OF, hours=QLOG_HOURS)
+
+
+@register(
+    "perf_summary",
+    with_tables(
+        "event",
+        f"""select count(*) as total_queries, {r6('coalesce(avg(execution_time), 0.0)')} as avg_execution_time,
+        {r6('coalesce(max(execution_time), 0.0)')} as max_execution_time,
+        {r6('count_if(success) / greatest(count(*), 1)')} as success_rate,
+        count_if(not success) as error_count from q""",
+        names=("q",),
+    ),
+)
+def q_perf_summary(spark, sf_dir):
+    """R18 over the whole event query log."""
+    return QL.perf_summary(_qlog(spark, sf_dir))
+
+
+@register(
+    "perf_time_series",
+    with_tables(
+        "event",
+        f"""select time_bucket(interval '6 hours', "timestamp") as bucket_start,
+        {r6('avg(execution_time)')} as avg_execution_time, count(*) as query_count
+        from q group by 1""",
+        names=("q",),
+    ),
+)
+def q_perf_time_series(spark, sf_dir):
+    """6-hour buckets over the event query log."""
+    return QL.perf_time_series(_qlog(spark, sf_dir), bucket="6 hours")
+
+
+@register(
+    "perf_histogram",
+    with_tables(
+        "event",
+        """select cast(floor(execution_time * 1000.0 / 50) as bigint) * 50 as range_start_ms,
+        count(*) as query_count,
+        cast(floor(execution_time * 1000.0 / 50) as bigint) * 50 + 50 as range_end_ms
+        from q where execution_time is not null group by 1, 3""",
+        names=("q",),
+    ),
+)
+def q_perf_histogram(spark, sf_dir):
+    """50 ms buckets over the event query log."""
+    return QL.perf_histogram(_qlog(spark, sf_dir), width_ms=50)
+
+
+@register(
+    "perf_status",
+    with_tables(
+        "event",
+        """select case when success then 'success' else 'failed' end as status, count(*) as query_count
+        from q group by 1""",
+        names=("q",),
+    ),
+)
+def q_perf_status(spark, sf_dir):
+    """R21 over the event query log."""
+    return QL.perf_status(_qlog(spark, sf_dir))
+
+
+@register(
+    "slow_queries",
+    with_tables(
+        "event",
+        f"""select id, query_type, {r6('execution_time')} as execution_time, "timestamp", success, error_message
+        from q order by execution_time desc nulls last, id limit 10""",
+        names=("q",),
+    ),
+)
+def q_slow_queries(spark, sf_dir):
+    """Ten slowest entries of the event query log."""
+    return QL.slow_queries(_qlog(spark, sf_dir), n=10)
+
+
+@register(
+    "error_types",
+    with_tables(
+        "event",
+        """select error_message, count(*) as error_count from q where not success
+        group by error_message order by error_count desc, error_message nulls last limit 10""",
+        names=("q",),
+    ),
+)
+def q_error_types(spark, sf_dir):
+    """R23 over the event query log."""
+    return QL.error_types(_qlog(spark, sf_dir), n=10)

@@ -72,4 +72,7 @@ BINDINGS = {
 def with_tables(binding: str, body: str, *, names: tuple[str, ...] = ("e", "n")) -> str:
     """Prefix ``body`` with CTEs ``e``/``n``/``q``/``lines`` of the chosen binding."""
     ctes = ",\n".join(f"{name} as ({BINDINGS[binding][name]})" for name in names)
+    stripped = body.lstrip()
+    if stripped[:5].lower() == "with ":
+        return f"with {ctes},\n{stripped[5:]}"
     return f"with {ctes}\n{body}"

@@ -11,6 +11,7 @@ import sys
 import time
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -32,7 +33,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm_value(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
@@ -40,7 +41,7 @@ def _norm_value(v):
         return round(v, 6)
     if isinstance(v, pd.Timestamp):
         return v.to_pydatetime().replace(tzinfo=None)
-    if hasattr(v, "tolist") and not isinstance(v, (str, bytes)):
+    if isinstance(v, np.ndarray):
         return tuple(_norm_value(x) for x in v.tolist())
     if isinstance(v, (list, tuple)):
         return tuple(_norm_value(x) for x in v)
