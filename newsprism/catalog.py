@@ -689,3 +689,174 @@ def q_slow_queries(spark, sf_dir):
 def q_error_types(spark, sf_dir):
     """R23 over the event query log."""
     return QL.error_types(_qlog(spark, sf_dir), n=10)
+
+
+# --------------------------------------------------------------------------- ingest T1 – T7
+from .functions.metrics import ts_literal  # noqa: E402
+from .operators import ingest as I  # noqa: E402
+from .schemas import NEWS_TSV_COLUMNS  # noqa: E402
+from .plans.oracle import ORDER_EXPOSURES, ORDER_LINES  # noqa: E402
+from .session import fresh_dir  # noqa: E402
+from .sinks import keyed as K  # noqa: E402
+from .sources import files as S  # noqa: E402
+
+_EXPOSURE_COLS = ("impression_id", "user_id", "news_id", "timestamp", "clicked", "dwell_time")
+_EXPOSURE_SQL = f"""select impression_id, user_id, news_id, "timestamp", clicked, {r6('dwell_time')} as dwell_time"""
+
+
+def _ntz(df: DataFrame, *cols: str) -> DataFrame:
+    """TIMESTAMP columns back to the naive (NTZ) type of the driver tables."""
+    for c in cols:
+        df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    return df
+
+
+@register("explode_impressions", with_tables("order", f"{_EXPOSURE_SQL} from e", names=("e",)))
+def q_explode_impressions(spark, sf_dir):
+    """T4: raw impressions derived from the order binding, exploded back into exposures."""
+    raw = B.order_raw_impressions(spark, sf_dir)
+    return _ntz(I.explode_impressions(raw), "timestamp")
+
+
+@register(
+    "read_impressions_tsv",
+    with_tables(
+        "order",
+        """select user_id as "UserID",
+        coalesce(string_agg(case when clicked = 1 then news_id end, ' ' order by cast(substr(news_id, 2) as bigint)), '') as pos,
+        coalesce(string_agg(case when clicked = 0 then news_id end, ' ' order by cast(substr(news_id, 2) as bigint)), '') as neg,
+        coalesce(string_agg(case when clicked = 1 then cast(cast(dwell_time as integer) as varchar) end, ' ' order by cast(substr(news_id, 2) as bigint)), '') as dwelltime_pos,
+        strftime("timestamp", '%Y-%m-%d %H:%M:%S') as start, strftime("timestamp", '%Y-%m-%d %H:%M:%S') as "end"
+        from e group by impression_id, user_id, "timestamp" """,
+        names=("e",),
+    ),
+)
+def q_read_impressions_tsv(spark, sf_dir):
+    """Raw impressions written as TSV by Spark and read back by header name."""
+    raw = B.order_raw_impressions(spark, sf_dir).drop("impression_id")
+    path = fresh_dir(spark, "impressions-tsv")
+    S.write_tsv(raw, path)
+    back = S.read_impressions_tsv(spark, path)
+    return back.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in back.columns])
+
+
+_RAW_SEQ_SQL = """
+select printf('imp_%07d', row_number() over (order by l_orderkey)) as impression_id,
+       l_orderkey as seq
+from (select distinct l_orderkey from lineitem join orders on l_orderkey = o_orderkey) o
+"""
+
+
+def _raw_with_ids(spark, sf_dir):
+    raw = B.order_raw_impressions(spark, sf_dir)
+    raw = raw.withColumn("seq", F.substring("impression_id", 5, 1 << 20).cast("long")).drop(
+        "impression_id"
+    )
+    return I.assign_impression_ids(raw, order_by=["seq"])
+
+
+@register("assign_impression_ids", _RAW_SEQ_SQL)
+def q_assign_impression_ids(spark, sf_dir):
+    """T5: sequence ids imp_0000001… over the raw impressions in order-key order."""
+    return _raw_with_ids(spark, sf_dir).select("impression_id", "seq")
+
+
+FIRST_N = 500
+
+
+@register(
+    "first_n_impressions",
+    f"""with ids as ({_RAW_SEQ_SQL}), e as ({ORDER_EXPOSURES.replace("concat('imp_', cast(l_orderkey as varchar)) as impression_id", "l_orderkey as seq")})
+    select ids.impression_id, user_id, news_id, "timestamp", clicked, {r6('dwell_time')} as dwell_time
+    from e join ids on e.seq = ids.seq where ids.seq in (select seq from ids order by seq limit {FIRST_N})""",
+)
+def q_first_n_impressions(spark, sf_dir):
+    """The first 500 impressions (by sequence id) exploded into exposures."""
+    return _ntz(I.first_n_impressions(_raw_with_ids(spark, sf_dir), FIRST_N), "timestamp")
+
+
+_LAST_WINS_SQL = f"""
+select impression_id, user_id, news_id, "timestamp", clicked, {r6('dwell_time')} as dwell_time from (
+  select *, row_number() over (partition by impression_id, user_id, news_id
+     order by l_shipdate desc, l_linenumber desc, l_quantity desc, l_extendedprice desc,
+              "timestamp" desc, clicked desc, dwell_time desc) as rn
+  from ({ORDER_LINES}) l) t where rn = 1
+"""
+_ARRIVAL = ["l_shipdate", "l_linenumber", "l_quantity", "l_extendedprice"]
+
+
+@register("latest_by_key", _LAST_WINS_SQL)
+def q_latest_by_key(spark, sf_dir):
+    """Last write wins over the uncollapsed order lines, arrival = ship date, line, …"""
+    lines = B.order_lines(spark, sf_dir)
+    return I.latest_by_key(lines, ["impression_id", "user_id", "news_id"], _ARRIVAL).select(
+        *_EXPOSURE_COLS
+    )
+
+
+@register(
+    "parse_json_records",
+    f"""with ev as (select * from events where event_type <> 'error')
+    select concat('e', cast(event_id as varchar)) as impression_id, concat('U', cast(user_id as varchar)) as user_id,
+           concat('N', cast(cast(json_extract_string(props, '$.k') as integer) as varchar)) as news_id,
+           ts as "timestamp", case when event_type = 'click' then 1 else 0 end as clicked,
+           {r6("case when event_type = 'click' then value else 0.0 end")} as dwell_time
+    from ev""",
+)
+def q_parse_json_records(spark, sf_dir):
+    """T1 + T2: exposures serialised to JSON (error events truncated, i.e. malformed), parsed
+    back by the fixed schema; malformed payloads are dropped."""
+    ev = B.table(spark, sf_dir, "events")
+    rows = B.event_exposures_of(ev).withColumn(
+        "timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    )
+    payload = F.to_json(F.struct(*rows.columns))
+    err = ev.select((F.col("event_type") == "error").alias("_err"), "event_id")
+    keyed = rows.withColumn("event_id", F.substring("impression_id", 2, 1 << 20).cast("long"))
+    msgs = keyed.join(err, "event_id").select(
+        F.when(F.col("_err"), F.substring(payload, 1, 25)).otherwise(payload).alias("value")
+    )
+    parsed = I.cast_event_times(I.parse_json_records(msgs))
+    return _ntz(parsed.select(*_EXPOSURE_COLS), "timestamp")
+
+
+# --------------------------------------------------------------------------- sinks K1 / K2
+SHIP_CUTOFF = dt.datetime(1998, 5, 24)
+
+
+@register("upsert_exposures", _LAST_WINS_SQL)
+def q_upsert_exposures(spark, sf_dir):
+    """K2: order lines arrive in two batches (shipped before / after 1998-05-24) and are
+    upserted into a date-partitioned exposure table; the table ends as last-write-wins."""
+    lines = B.order_lines(spark, sf_dir)
+    path = fresh_dir(spark, "exposure_logs")
+    cut = F.col("l_shipdate") <= ts_literal(lines, "l_shipdate", SHIP_CUTOFF)
+    # seven years of day-grained orders: a month partition grain keeps files large
+    kw = dict(order=_ARRIVAL, drop=_ARRIVAL, grain="month")
+    K.upsert_exposures(spark, lines.where(cut), path, **kw)
+    out = K.upsert_exposures(spark, lines.where(~cut), path, **kw)
+    return out.select(*_EXPOSURE_COLS)
+
+
+@register(
+    "upsert_news",
+    f"""with docs as ({with_tables('event', 'select * from n', names=('n',))}),
+    parts as ({with_tables('order', 'select * from n', names=('n',))})
+    select * from docs union all
+    select * from parts where news_id not in (select news_id from docs)""",
+)
+def q_upsert_news(spark, sf_dir):
+    """K1: the part catalogue is loaded, then the document catalogue is upserted over it."""
+    path = fresh_dir(spark, "news")
+    K.upsert_news(spark, B.order_news(spark, sf_dir), path)
+    return K.upsert_news(spark, B.event_news(spark, sf_dir), path)
+
+
+@register("read_news_tsv", with_tables("event", "select * from n", names=("n",)))
+def q_read_news_tsv(spark, sf_dir):
+    """The document catalogue written as TSV (quoted, multi-line bodies) and read back."""
+    news = B.event_news(spark, sf_dir)
+    headers = {v: k for k, v in NEWS_TSV_COLUMNS.items()}
+    path = fresh_dir(spark, "news-tsv")
+    S.write_tsv(news.select(*[F.col(c).alias(headers[c]) for c in news.columns]), path)
+    return S.read_news_tsv(spark, path)

@@ -32,8 +32,23 @@ def _props_k() -> Column:
 
 # --------------------------------------------------------------------------- event binding
 def event_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_exposures_of(table(spark, sf_dir, "events"))
+
+
+def event_exposure_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event binding as a file stream over ``events.parquet`` (TIMESTAMP event time)."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir.rstrip("/"))
+    )
+    return event_exposures_of(stream).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+
+
+def event_exposures_of(events: DataFrame) -> DataFrame:
     is_click = F.col("event_type") == "click"
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         _prefixed("e", "event_id").alias("impression_id"),
         _prefixed("U", "user_id").alias("user_id"),
         _prefixed("N", _props_k()).alias("news_id"),
