@@ -860,3 +860,172 @@ def q_read_news_tsv(spark, sf_dir):
     path = fresh_dir(spark, "news-tsv")
     S.write_tsv(news.select(*[F.col(c).alias(headers[c]) for c in news.columns]), path)
     return S.read_news_tsv(spark, path)
+
+
+# --------------------------------------------------------------------------- streams W1 – W4, W8
+from .functions.text import headline_sentiment  # noqa: E402
+from .streaming import runner as SR  # noqa: E402
+from .streaming import windows as W  # noqa: E402
+
+
+def _run_monitor(spark, sf_dir, name, *, news=None):
+    """Run monitor ``name`` as a real stream (file source, availableNow) into its keyed table."""
+    stream = B.event_exposure_stream(spark, sf_dir)
+    q, table = SR.start_monitor(
+        spark, stream, name, news=news, available_now=True,
+        table_path=fresh_dir(spark, f"{name}-table"), checkpoint=fresh_dir(spark, f"{name}-ckpt"),
+        query_name=f"{name}_{fresh_dir(spark, 'q').rsplit('-', 1)[-1]}",
+    )
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    return table.read()
+
+
+def _windows_sql(size: int, slide: int | None) -> str:
+    """Exposures replicated into each (sliding) window they fall in, DuckDB side."""
+    if slide is None:
+        return f"""select time_bucket(interval '{size} minutes', "timestamp") as window_start, * from e"""
+    return f"""select time_bucket(interval '{slide} minutes', "timestamp") - i * interval '{slide} minutes' as window_start, *
+               from e, range(0, {size // slide}) t(i)"""
+
+
+def _stream_sql(size, slide, key, distinct, names, select, where=""):
+    imp, clk, dst = names
+    dcol = f", count(distinct {distinct}) as {dst}" if distinct else ""
+    return with_tables(
+        "event",
+        f"""select * from (select window_start, window_start + interval '{size} minutes' as window_end, {key},
+               count(impression_id) as {imp}, cast(coalesce(sum(clicked), 0) as bigint) as {clk},
+               sum(dwell_time) / count(dwell_time) as avg_dwell_time {dcol}
+        from ({_windows_sql(size, slide)}) w group by window_start, {key}) a {where}""".replace("select * from", f"select {select} from", 1),
+        names=("e",),
+    )
+
+
+@register(
+    "trend_stream",
+    _stream_sql(
+        5, 1, "news_id", "user_id", ("impression_count", "click_count", "unique_users"),
+        f"""window_start, window_end, news_id, impression_count, click_count, unique_users,
+        {r6('avg_dwell_time')} as avg_dwell_time,
+        {r6('click_count / greatest(impression_count, 1)')} as click_rate,
+        {r6('click_count / greatest(impression_count, 1) * 0.4 + unique_users / greatest(impression_count, 1) * 0.3 + (avg_dwell_time / 100.0) * 0.3')} as trend_score""",
+    ),
+)
+def q_trend_stream(spark, sf_dir):
+    """W1 as a stream over events.parquet (availableNow), report over the stage-1 table."""
+    return _ntz(W.trend_report(_run_monitor(spark, sf_dir, "trend")), "window_start", "window_end")
+
+
+@register(
+    "user_behavior_stream",
+    _stream_sql(
+        10, 2, "user_id", "news_id", ("total_impressions", "total_clicks", "unique_news_count"),
+        f"""window_start, window_end, user_id, total_impressions, total_clicks, unique_news_count,
+        {r6('avg_dwell_time')} as avg_dwell_time,
+        {r6('case when total_impressions > 0 then (total_clicks * 2.0 + avg_dwell_time / 30.0) / total_impressions else 0.0 end')} as engagement_score,
+        {r6('unique_news_count / greatest(total_impressions, 1)')} as diversity_score""",
+    ),
+)
+def q_user_behavior_stream(spark, sf_dir):
+    """W2 as a stream over events.parquet (availableNow)."""
+    return _ntz(
+        W.user_behavior_report(_run_monitor(spark, sf_dir, "user_behavior")), "window_start", "window_end"
+    )
+
+
+@register(
+    "user_viewed_news",
+    with_tables(
+        "event",
+        f"""select window_start, window_start + interval '10 minutes' as window_end, user_id, news_id,
+        count(impression_id) as views from ({_windows_sql(10, 2)}) w group by window_start, user_id, news_id""",
+        names=("e",),
+    ),
+)
+def q_user_viewed_news(spark, sf_dir):
+    """W2 companion: articles viewed per user and window (the reference's list, as rows)."""
+    return _ntz(W.viewed_news(_run_monitor(spark, sf_dir, "user_behavior")), "window_start", "window_end")
+
+
+ANOMALY_THRESHOLD = 0.001
+
+
+@register(
+    "anomaly_stream",
+    _stream_sql(
+        15, 5, "news_id", "user_id", ("impressions", "clicks", "unique_users"),
+        f"""window_start, window_end, news_id, impressions, clicks, unique_users,
+        {r6('avg_dwell_time')} as avg_dwell_time,
+        {r6('clicks / greatest(impressions, 1)')} as click_rate,
+        {r6('impressions * (clicks / greatest(impressions, 1)) * unique_users / 900.0')} as virality_score""",
+        where=f"where impressions * (clicks / greatest(impressions, 1)) * unique_users / 900.0 > {ANOMALY_THRESHOLD}",
+    ),
+)
+def q_anomaly_stream(spark, sf_dir):
+    """W3 as a stream (threshold 0.001: on this data score = clicks × users / 900)."""
+    partials = _run_monitor(spark, sf_dir, "anomaly")
+    return _ntz(W.anomaly_report(partials, threshold=ANOMALY_THRESHOLD), "window_start", "window_end")
+
+
+_SENTIMENT_SQL = """case when {h} is null or {h} = '' then 0.0 else
+  cast((contains(lower({h}), 'good')::int + contains(lower({h}), 'great')::int + contains(lower({h}), 'amazing')::int
+   + contains(lower({h}), 'excellent')::int + contains(lower({h}), 'success')::int + contains(lower({h}), 'win')::int
+   + contains(lower({h}), 'best')::int)
+  - (contains(lower({h}), 'bad')::int + contains(lower({h}), 'terrible')::int + contains(lower({h}), 'worst')::int
+   + contains(lower({h}), 'fail')::int + contains(lower({h}), 'crisis')::int + contains(lower({h}), 'disaster')::int
+   + contains(lower({h}), 'problem')::int) as double)
+  / greatest(len(list_filter(string_split_regex(lower({h}), '\\s+'), lambda x: x <> '')), 1) end"""
+
+
+@register(
+    "content_stream",
+    with_tables(
+        "event",
+        f"""select window_start, window_start + interval '5 minutes' as window_end, w.news_id, n.headline,
+        count(impression_id) as impressions, cast(coalesce(sum(clicked), 0) as bigint) as clicks,
+        {r6('sum(dwell_time) / count(dwell_time)')} as avg_dwell_time,
+        {r6('coalesce(sum(clicked), 0) / greatest(count(impression_id), 1)')} as engagement_rate,
+        {r6(_SENTIMENT_SQL.format(h='n.headline'))} as headline_sentiment
+        from ({_windows_sql(5, None)}) w left join n on w.news_id = n.news_id
+        group by window_start, w.news_id, n.headline""",
+    ),
+)
+def q_content_stream(spark, sf_dir):
+    """W4 as a stream, enriched by a stream-static join with the articles (J4) + U1."""
+    news = B.event_news(spark, sf_dir)
+    partials = _run_monitor(spark, sf_dir, "content", news=news)
+    return _ntz(W.content_report(partials), "window_start", "window_end")
+
+
+@register(
+    "headline_sentiment",
+    with_tables(
+        "event",
+        f"select news_id, headline, {r6(_SENTIMENT_SQL.format(h='headline'))} as sentiment from n",
+        names=("n",),
+    ),
+)
+def q_headline_sentiment(spark, sf_dir):
+    """U1 over every document headline."""
+    n = B.event_news(spark, sf_dir)
+    return n.select("news_id", "headline", headline_sentiment(F.col("headline")).alias("sentiment"))
+
+
+@register("ingest_stream", with_tables("event", f"{_EXPOSURE_SQL} from e", names=("e",)))
+def q_ingest_stream(spark, sf_dir):
+    """Exposures written as JSON-lines files (K4), ingested by the spool-folder stream
+    into the keyed exposure table."""
+    spool = fresh_dir(spark, "spool")
+    S.write_jsonl(B.event_exposures(spark, sf_dir).repartition(4), spool)
+    q, table = SR.ingest_stream(
+        spark, spool, fresh_dir(spark, "exposure_logs"), checkpoint=fresh_dir(spark, "ingest-ckpt"),
+        name=f"ingest_{fresh_dir(spark, 'q').rsplit('-', 1)[-1]}", available_now=True,
+    )
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    return _ntz(table.read().select(*_EXPOSURE_COLS), "timestamp")

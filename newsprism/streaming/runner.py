@@ -160,19 +160,16 @@ def ingest_stream(
         F.col("impression_id").isNotNull() & F.col("user_id").isNotNull() & F.col("news_id").isNotNull()
     )
     rows = stamp_processed(cast_event_times(rows.drop("processed_timestamp")))
-    rows = rows.withColumn(
-        "_arrival",
-        F.struct(
-            F.col("_metadata.file_modification_time").alias("t"),
-            F.col("_metadata.file_path").alias("f"),
-            F.monotonically_increasing_id().alias("i"),
-        ),
+    rows = rows.withColumn("_file_t", F.col("_metadata.file_modification_time")).withColumn(
+        "_file_p", F.col("_metadata.file_path")
     )
     table = exposure_table(spark, table_path)
+    arrival = ["_file_t", "_file_p", "_line"]
 
-    writer = (
-        rows.writeStream.foreachBatch(upsert_batch_fn(table, order=["_arrival"], drop=["_arrival"]))
-        .option("checkpointLocation", checkpoint)
-        .queryName(name)
-    )
+    def upsert(batch: DataFrame, batch_id: int) -> None:  # noqa: ARG001 - replay-safe by key
+        # inside foreachBatch the micro-batch is a plain DataFrame: number its rows in read order
+        numbered = batch.withColumn("_line", F.monotonically_increasing_id())
+        table.upsert(numbered, order=arrival, drop=arrival)
+
+    writer = rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).queryName(name)
     return _trigger(writer, trigger, available_now).start(), table
