@@ -1029,3 +1029,148 @@ def q_ingest_stream(spark, sf_dir):
     finally:
         q.stop()
     return _ntz(table.read().select(*_EXPOSURE_COLS), "timestamp")
+
+
+# --------------------------------------------------------------------------- U2 / R24 / U3
+from .plans import bi as BI  # noqa: E402
+
+POPULAR_SQL = """
+SELECT n.headline, n.category, COUNT(e.news_id) AS view_count
+FROM news n JOIN exposure_logs e ON n.news_id = e.news_id
+GROUP BY n.news_id, n.headline, n.category
+ORDER BY view_count DESC, n.news_id LIMIT 10
+"""
+
+
+@register(
+    "run_sql",
+    with_tables(
+        "event",
+        POPULAR_SQL.replace("FROM news n JOIN exposure_logs e", "FROM n JOIN e"),
+    ),
+)
+def q_run_sql(spark, sf_dir):
+    """The canned 'most popular news' SQL run over the event tables as views."""
+    e, n = _event(spark, sf_dir)
+    return BI.run_sql(spark, POPULAR_SQL, {"news": n, "exposure_logs": e})
+
+
+BI_AS_OF = dt.datetime(2024, 1, 31)
+BI_CATEGORY = "src3"
+
+
+@register(
+    "bi_popular_last_week",
+    with_tables(
+        "event",
+        f"""select e.news_id, n.headline, n.category, count(*) as view_count from e join n on e.news_id = n.news_id
+        where "timestamp" >= timestamp '{BI_AS_OF - dt.timedelta(days=7)}' and "timestamp" <= timestamp '{BI_AS_OF}'
+        group by 1, 2, 3 order by view_count desc, e.news_id limit 10""",
+    ),
+)
+def q_bi_popular_last_week(spark, sf_dir):
+    """R24 (1): most popular articles of the last week."""
+    e, n = _event(spark, sf_dir)
+    return BI.popular_last_week(e, n, as_of=BI_AS_OF)
+
+
+@register(
+    "bi_category_ctr_top",
+    with_tables(
+        "event",
+        f"""select category, count(*) as exposures, cast(coalesce(sum(clicked), 0) as bigint) as clicks,
+        {r6('coalesce(sum(clicked), 0) / greatest(count(*), 1)')} as ctr
+        from e join n on e.news_id = n.news_id group by category
+        order by coalesce(sum(clicked), 0) / greatest(count(*), 1) desc, category limit 3""",
+    ),
+)
+def q_bi_category_ctr_top(spark, sf_dir):
+    """R24 (2): the three categories with the highest click-through rate."""
+    e, n = _event(spark, sf_dir)
+    return BI.category_ctr_top(e, n)
+
+
+@register(
+    "bi_trending_in_category",
+    with_tables(
+        "event",
+        f"""select e.news_id, cast(coalesce(sum(clicked), 0) as bigint) as clicks, count(*) as exposures, n.headline
+        from e join n on e.news_id = n.news_id
+        where n.category = '{BI_CATEGORY}' and "timestamp" >= timestamp '{BI_AS_OF - dt.timedelta(days=7)}'
+          and "timestamp" <= timestamp '{BI_AS_OF}'
+        group by e.news_id, n.headline order by clicks desc, exposures desc, e.news_id limit 10""",
+    ),
+)
+def q_bi_trending_in_category(spark, sf_dir):
+    """R24 (3): trending headlines of one category (last week, by clicks)."""
+    e, n = _event(spark, sf_dir)
+    return BI.trending_in_category(e, n, category=BI_CATEGORY, as_of=BI_AS_OF)
+
+
+@register(
+    "bi_engagement_by_category",
+    with_tables(
+        "event",
+        f"""select category, count(*) as exposures, cast(coalesce(sum(clicked), 0) as bigint) as clicks,
+        count(distinct user_id) as unique_users, {r6('coalesce(avg(dwell_time), 0.0)')} as avg_dwell_time,
+        {r6('coalesce(sum(clicked), 0) / greatest(count(*), 1)')} as ctr
+        from e join n on e.news_id = n.news_id group by category""",
+    ),
+)
+def q_bi_engagement_by_category(spark, sf_dir):
+    """R24 (4): engagement statistics per category."""
+    e, n = _event(spark, sf_dir)
+    return BI.engagement_by_category(e, n)
+
+
+@register(
+    "bi_longest_dwell",
+    with_tables(
+        "event",
+        f"""select e.news_id, {r6('avg(dwell_time)')} as avg_dwell_time, count(*) as clicks, n.headline
+        from e join n on e.news_id = n.news_id where clicked = 1
+        group by e.news_id, n.headline order by avg(dwell_time) desc, e.news_id limit 5""",
+    ),
+)
+def q_bi_longest_dwell(spark, sf_dir):
+    """R24 (5): the five articles with the longest mean dwell of their clicks."""
+    e, n = _event(spark, sf_dir)
+    return BI.longest_dwell(e, n)
+
+
+_QLOG_TRENDS_COUNT = f"(select count(*) from ({_TRENDS_SQL.format(where=_TRENDS_RANGE)}) t)"
+_QLOG_HOT_COUNT = (
+    f"(select count(*) from ({_hot_sql(HOT_ORDER['as_of'], HOT_ORDER['hours'], HOT_ORDER['min_impressions'])}) h)"
+)
+
+
+@register(
+    "query_log_roundtrip",
+    with_tables(
+        "order",
+        f"""select 'category_trends' as query_type,
+               '{{"end": "1997-03-31T00:00:00", "start": "1997-01-01T00:00:00"}}' as query_params,
+               cast({_QLOG_TRENDS_COUNT} as integer) as result_count, true as success, false as failed_with_message
+        union all
+        select 'hot_news', '{{"as_of": "2001-08-01T00:00:00", "hours": 8760, "min_impressions": 4}}',
+               cast({_QLOG_HOT_COUNT} as integer), true, false
+        union all
+        select 'missing_table', '{{}}', 0, false, true""",
+    ),
+)
+def q_query_log_roundtrip(spark, sf_dir):
+    """U3 + K3: three timed runs (two reports and one failing statement) logged to a query-log
+    table, read back without the timing columns."""
+    e, n = _order(spark, sf_dir)
+    log = QL.QueryLogger(spark, fresh_dir(spark, "query_logs"))
+    log.timed("category_trends", lambda start, end: R.category_trends(e, n, start=start, end=end),
+              start=TRENDS_START, end=TRENDS_END).unpersist()
+    log.timed("hot_news", lambda **kw: R.hot_news(e, n, **kw), **HOT_ORDER).unpersist()
+    try:
+        log.timed("missing_table", lambda: spark.sql("select * from no_such_table_here"))
+    except Exception:  # noqa: BLE001 - the failure is what gets logged
+        pass
+    return log.table().select(
+        "query_type", "query_params", "result_count", "success",
+        (F.col("error_message").isNotNull()).alias("failed_with_message"),
+    )
