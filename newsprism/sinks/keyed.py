@@ -76,26 +76,37 @@ class KeyedTable:
         stored = [c for c in incoming.columns if c not in set(drop)]
         rows = rows.select(*stored).withColumn(PART, self.partition)
         if not self.exists():
-            self._write(rows, mode="overwrite")
+            self._write(self._clustered(rows), mode="overwrite")
             return
         current = spark.read.parquet(self.path)
         touched = rows.select(PART)
         if self.movable:
             keys = rows.select(*self.key)
-            touched = touched.unionByName(current.select(*self.key, PART).join(keys, self.key, "left_semi").select(PART))
+            touched = touched.unionByName(
+                current.select(*self.key, PART).join(keys, self.key, "left_semi").select(PART)
+            )
         touched = touched.distinct()
         kept = current.join(touched, PART, "left_semi").join(rows.select(*self.key), self.key, "left_anti")
         merged = kept.unionByName(rows.select(*current.columns))
         staging = fresh_dir(spark, "staging")
-        merged.write.mode("overwrite").parquet(staging)
+        self._clustered(merged).write.mode("overwrite").parquet(staging)
+        # staging files are already clustered by (partition, key): written as they are read
         self._write(spark.read.parquet(staging), mode="overwrite", dynamic=True)
 
+    def _clustered(self, df: DataFrame) -> DataFrame:
+        """Range-partition by (partition, key): a large partition value is split over several
+        tasks by the sampled key ranges (no single task holds a whole day or a hot bucket),
+        and keys are sorted within files, so parquet min/max statistics prune key lookups."""
+        return df.repartitionByRange(F.col(PART), *[F.col(k) for k in self.key]).sortWithinPartitions(
+            PART, *self.key
+        )
+
     def _write(self, df: DataFrame, *, mode: str, dynamic: bool = False) -> None:
         conf = self.spark.conf
         old = conf.get("spark.sql.sources.partitionOverwriteMode")
         conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic" if dynamic else "static")
         try:
-            df.repartition(PART).write.mode(mode).partitionBy(PART).parquet(self.path)
+            df.write.mode(mode).partitionBy(PART).parquet(self.path)
         finally:
             conf.set("spark.sql.sources.partitionOverwriteMode", old)
 
