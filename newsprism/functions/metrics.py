@@ -8,9 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def impressions() -> Column:
+# Relative standard deviation of the HyperLogLog++ sketch used when exact=False.
+APPROX_RSD = 0.01
+
+
+def distinct_count(col: str, exact: bool = True) -> Column:
+    """Exact ``count(distinct col)``, or with ``exact=False`` a HyperLogLog++ estimate.
+
+    Exact distinct counts make Catalyst expand every row once per distinct column and shuffle
+    on (group, value); the sketch keeps one fixed-size buffer per group and is fully
+    map-side combinable, the cheaper choice for dashboards over very large ranges.
+    """
+    return F.count_distinct(col) if exact else F.approx_count_distinct(col, APPROX_RSD)
+
+
+def impressions(exact: bool = True) -> Column:
     """``imp``: number of distinct impressions."""
-    return F.count_distinct("impression_id")
+    return distinct_count("impression_id", exact)
 
 
 def clicks() -> Column:
@@ -18,12 +32,12 @@ def clicks() -> Column:
     return F.coalesce(F.sum("clicked"), F.lit(0)).cast("long")
 
 
-def unique_users() -> Column:
-    return F.count_distinct("user_id")
+def unique_users(exact: bool = True) -> Column:
+    return distinct_count("user_id", exact)
 
 
-def unique_news() -> Column:
-    return F.count_distinct("news_id")
+def unique_news(exact: bool = True) -> Column:
+    return distinct_count("news_id", exact)
 
 
 def avg_dwell() -> Column:

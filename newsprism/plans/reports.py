@@ -27,6 +27,7 @@ def news_lifecycle(
     news_id: str,
     start: dt.datetime | str | None = None,
     end: dt.datetime | str | None = None,
+    exact: bool = True,
 ) -> DataFrame:
     """Hourly time series of one article (hours without exposures are absent)."""
     e = exposures.where((F.col("news_id") == news_id) & F.col("timestamp").isNotNull())
@@ -34,10 +35,10 @@ def news_lifecycle(
     return (
         e.groupBy(m.trunc_like("hour", "timestamp", e).alias("timestamp"))
         .agg(
-            m.impressions().alias("impressions"),
+            m.impressions(exact).alias("impressions"),
             m.clicks().alias("clicks"),
             m.avg_dwell().alias("avg_dwell_time"),
-            m.unique_users().alias("unique_users"),
+            m.unique_users(exact).alias("unique_users"),
         )
         .withColumn("click_rate", m.ratio("clicks", "impressions"))
         .orderBy("timestamp")
@@ -66,6 +67,7 @@ def category_trends(
     *,
     start: dt.datetime | str | None = None,
     end: dt.datetime | str | None = None,
+    exact: bool = True,
 ) -> DataFrame:
     """Per category and day: impressions, clicks, users, articles, click rate.
 
@@ -79,10 +81,10 @@ def category_trends(
     return (
         j.groupBy("category", m.trunc_like("day", "timestamp", j).alias("date"))
         .agg(
-            m.impressions().alias("impressions"),
+            m.impressions(exact).alias("impressions"),
             m.clicks().alias("clicks"),
-            m.unique_users().alias("unique_users"),
-            m.unique_news().alias("unique_news"),
+            m.unique_users(exact).alias("unique_users"),
+            m.unique_news(exact).alias("unique_news"),
         )
         .withColumn("click_rate", m.ratio("clicks", "impressions"))
         .orderBy(F.col("click_rate").desc(), "category", "date")
@@ -122,6 +124,7 @@ def user_interests(
     user: str | None = None,
     start: dt.datetime | str | None = None,
     end: dt.datetime | str | None = None,
+    exact: bool = True,
 ) -> DataFrame:
     """Per user, category and topic: impressions, clicks, mean dwell, engagement score."""
     e = exposures if user is None else exposures.where(F.col("user_id") == user)
@@ -130,7 +133,7 @@ def user_interests(
     return (
         j.groupBy("user_id", "category", "topic")
         .agg(
-            m.impressions().alias("impressions"),
+            m.impressions(exact).alias("impressions"),
             m.clicks().alias("clicks"),
             m.avg_dwell().alias("avg_dwell_time"),
         )
@@ -212,6 +215,7 @@ def hot_news(
     min_impressions: int = 50,
     limit: int = 50,
     bounded: bool = True,
+    exact: bool = True,
 ) -> DataFrame:
     """Articles with at least ``min_impressions`` in the last ``hours`` before ``as_of``.
 
@@ -228,9 +232,9 @@ def hot_news(
     per_news = (
         e.groupBy("news_id")
         .agg(
-            m.impressions().alias("impressions"),
+            m.impressions(exact).alias("impressions"),
             m.clicks().alias("clicks"),
-            m.unique_users().alias("unique_users"),
+            m.unique_users(exact).alias("unique_users"),
             m.avg_dwell().alias("avg_dwell_time"),
         )
         .where(F.col("impressions") >= min_impressions)
@@ -405,6 +409,7 @@ def overview(
     data_end: dt.datetime = DATASET_END,
     trending_hours: float = 24,
     trending_min_impressions: int = 50,
+    exact: bool = True,
 ) -> DataFrame:
     """One summary row of the dashboard.
 
@@ -413,7 +418,7 @@ def overview(
     row count of R8. The two single-row aggregates are combined by a union + aggregate.
     """
     s, e = dashboard_range(as_of, start, end, data_start=data_start, data_end=data_end)
-    trends = category_trends(exposures, news, start=s, end=e)
+    trends = category_trends(exposures, news, start=s, end=e, exact=exact)
     totals = trends.agg(
         F.count_distinct("category").alias("total_categories"),
         F.coalesce(F.sum("impressions"), F.lit(0)).cast("long").alias("total_impressions"),
@@ -421,7 +426,7 @@ def overview(
     )
     trending = hot_news(
         exposures, news, as_of=as_of, hours=trending_hours,
-        min_impressions=trending_min_impressions,
+        min_impressions=trending_min_impressions, exact=exact,
     ).agg(F.count(F.lit(1)).alias("trending_news_count"))
     both = totals.unionByName(trending, allowMissingColumns=True).agg(
         F.max("total_categories").alias("total_categories"),
@@ -430,8 +435,8 @@ def overview(
         F.max("trending_news_count").alias("trending_news_count"),
     )
     return both.withColumn("overall_ctr", m.ratio("total_clicks", "total_impressions")).select(
-        F.lit(s).cast("timestamp").alias("period_start"),
-        F.lit(e).cast("timestamp").alias("period_end"),
+        F.lit(s.isoformat(sep=" ")).cast("timestamp_ntz").alias("period_start"),
+        F.lit(e.isoformat(sep=" ")).cast("timestamp_ntz").alias("period_end"),
         "total_categories", "total_impressions", "total_clicks", "overall_ctr",
         "trending_news_count",
     )
@@ -447,15 +452,15 @@ def recent(
 
 
 def insights_overview(
-    exposures: DataFrame, *, as_of: dt.datetime | str, hours: float = 1
+    exposures: DataFrame, *, as_of: dt.datetime | str, hours: float = 1, exact: bool = True
 ) -> DataFrame:
     """One row: exposures (not distinct), clicks, users, articles, dwell, CTR percent."""
     r = recent(exposures, as_of=as_of, hours=hours)
     agg = r.agg(
         F.count("impression_id").alias("total_impressions"),
         m.clicks().alias("total_clicks"),
-        m.unique_users().alias("unique_users"),
-        m.unique_news().alias("unique_news"),
+        m.unique_users(exact).alias("unique_users"),
+        m.unique_news(exact).alias("unique_news"),
         m.avg_dwell().alias("avg_dwell_time"),
     )
     return agg.withColumn(
@@ -464,7 +469,12 @@ def insights_overview(
 
 
 def insights_trending(
-    exposures: DataFrame, *, as_of: dt.datetime | str, hours: float = 1, limit: int = 10
+    exposures: DataFrame,
+    *,
+    as_of: dt.datetime | str,
+    hours: float = 1,
+    limit: int = 10,
+    exact: bool = True,
 ) -> DataFrame:
     """Top articles of the recent window by ``click rate × distinct users``."""
     r = recent(exposures, as_of=as_of, hours=hours)
@@ -473,7 +483,7 @@ def insights_trending(
         .agg(
             F.count("impression_id").alias("impressions"),
             m.clicks().alias("clicks"),
-            m.unique_users().alias("unique_users"),
+            m.unique_users(exact).alias("unique_users"),
         )
         .withColumn("trend_score", m.ratio("clicks", "impressions") * F.col("unique_users"))
         .orderBy(F.col("trend_score").desc(), "news_id")

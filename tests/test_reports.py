@@ -189,3 +189,15 @@ def test_popular_news(tables):
     e, n = tables
     got = rows(R.popular_news(e, n, limit=2), "news_id", "view_count")
     assert got == [("n1", 4), ("n2", 1)]
+
+
+def test_approximate_distinct_mode_is_close(spark):
+    from newsprism.sources import bindings as B
+
+    e, n = B.event_exposures(spark, "/root/testdata/sf0.01"), B.event_news(spark, "/root/testdata/sf0.01")
+    exact = {(r.category, r.date): r for r in R.category_trends(e, n).collect()}
+    approx = {(r.category, r.date): r for r in R.category_trends(e, n, exact=False).collect()}
+    assert exact.keys() == approx.keys()
+    for k, r in exact.items():
+        assert abs(approx[k].unique_users - r.unique_users) <= max(2, 0.05 * r.unique_users)
+        assert approx[k].clicks == r.clicks
