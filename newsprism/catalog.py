@@ -1174,3 +1174,25 @@ def q_query_log_roundtrip(spark, sf_dir):
         "query_type", "query_params", "result_count", "success",
         (F.col("error_message").isNotNull()).alias("failed_with_message"),
     )
+
+
+# --------------------------------------------------------------------------- stored layout
+def stored_order_tables(spark, sf_dir):
+    """ETL the order binding into the keyed layout (K1 / K2 first load) and open it."""
+    e_path, n_path = fresh_dir(spark, "exposure_logs"), fresh_dir(spark, "news")
+    K.exposure_table(spark, e_path, grain="month").upsert(B.order_exposures(spark, sf_dir))
+    K.news_table(spark, n_path).upsert(B.order_news(spark, sf_dir))
+    return K.exposure_log(spark, e_path), K.news_table(spark, n_path).read()
+
+
+@register(
+    "category_trends_stored",
+    _trends_sql(
+        "order",
+        "where e.\"timestamp\" >= timestamp '1997-01-01' and e.\"timestamp\" <= timestamp '1997-03-31'",
+    ),
+)
+def q_category_trends_stored(spark, sf_dir):
+    """R3 over the stored, month-partitioned exposure table (partition pruning on the range)."""
+    e, n = stored_order_tables(spark, sf_dir)
+    return R.category_trends(e, n, start=TRENDS_START, end=TRENDS_END)

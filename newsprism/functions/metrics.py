@@ -73,17 +73,37 @@ def ts_literal(df: DataFrame, column: str, value: dt.datetime | dt.date | str) -
     return F.lit(value).cast(df.schema[column].dataType)
 
 
+PARTITION_COLUMN = "_part"
+
+
+def _partition_bound(value: dt.datetime | dt.date | str) -> Column:
+    """The bound as a time-partition value: ``yyyy-MM-dd`` cut to the partition's own length,
+    so it works for day, month or year partitions (``yyyy-MM-dd`` / ``yyyy-MM`` / ``yyyy``)."""
+    day = F.lit(as_datetime(value).strftime("%Y-%m-%d"))
+    return day.substr(F.lit(1), F.length(F.col(PARTITION_COLUMN)))
+
+
 def between_inclusive(
     df: DataFrame,
     column: str,
     start: dt.datetime | str | None = None,
     end: dt.datetime | str | None = None,
 ) -> DataFrame:
-    """Optional closed range ``start <= column <= end``; either bound may be omitted."""
+    """Optional closed range ``start <= column <= end``; either bound may be omitted.
+
+    On a stored exposure table (time-partitioned, partition column ``_part``) the same range
+    is also stated on the partition column, which Spark evaluates against the partition
+    values at planning time: folders outside the range are never listed or read.
+    """
+    pruned = column == "timestamp" and PARTITION_COLUMN in df.columns
     if start is not None:
         df = df.where(F.col(column) >= ts_literal(df, column, start))
+        if pruned:
+            df = df.where(F.col(PARTITION_COLUMN) >= _partition_bound(start))
     if end is not None:
         df = df.where(F.col(column) <= ts_literal(df, column, end))
+        if pruned:
+            df = df.where(F.col(PARTITION_COLUMN) <= _partition_bound(end))
     return df
 
 

@@ -94,4 +94,4 @@ def filter_exposures(
         for c in article_conds[1:]:
             cond = cond & c
         e = e.join(news.where(cond).select("news_id"), "news_id", "left_semi")
-    return e
+    return e.drop(m.PARTITION_COLUMN)

@@ -63,8 +63,10 @@ class KeyedTable:
     def exists(self) -> bool:
         return _exists(self.spark, self.path)
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).drop(PART)
+    def read(self, *, keep_partition: bool = False) -> DataFrame:
+        """The table; ``keep_partition`` keeps ``_part`` so time filters can prune folders."""
+        df = self.spark.read.parquet(self.path)
+        return df if keep_partition else df.drop(PART)
 
     def upsert(
         self, incoming: DataFrame, *, order: Sequence[str] = (), drop: Sequence[str] = ()
@@ -152,6 +154,12 @@ def upsert_exposures(
     return t.read()
 
 
+def exposure_log(spark: SparkSession, path: str) -> DataFrame:
+    """The stored exposure table for reports: keeps the time-partition column, so the range
+    filters of the reports prune partitions (see ``metrics.between_inclusive``)."""
+    return spark.read.parquet(path)
+
+
 def upsert_batch_fn(table: KeyedTable, *, order: Sequence[str] = (), drop: Sequence[str] = ()):
     """A ``foreachBatch`` function that upserts every micro-batch into ``table``."""
 
