@@ -297,7 +297,8 @@ def recommend_for_preferences(
     if until is not None:
         e = e.where(F.col("timestamp") <= m.ts_literal(e, "timestamp", until))
     prefs = user_preferences(e, news, user=user)
-    seen = e.where(F.col("user_id") == user).select("news_id")
+    # distinct first: a very active user's rows collapse map-side to one per article
+    seen = e.where(F.col("user_id") == user).select("news_id").distinct()
     candidates = (
         news.select("news_id", "category", "topic", "headline")
         .join(prefs.select("category"), "category", "left_semi")
@@ -442,6 +443,36 @@ def overview(
     )
 
 
+def overview_sections(
+    exposures: DataFrame,
+    news: DataFrame,
+    query_log: DataFrame | None = None,
+    *,
+    as_of: dt.datetime | str,
+    start: dt.datetime | str | None = None,
+    end: dt.datetime | str | None = None,
+    trends_rows: int = 50,
+    hot_rows: int = 5,
+    **kwargs,
+) -> dict[str, DataFrame]:
+    """The whole dashboard payload of R13: summary row, first ``trends_rows`` category-days
+    (R3 order), first ``hot_rows`` hot articles (R8) and, given a query log, R17 of the last day."""
+    s, e = dashboard_range(as_of, start, end, **{k: kwargs[k] for k in ("data_start", "data_end") if k in kwargs})
+    out = {
+        "summary": overview(exposures, news, as_of=as_of, start=start, end=end, **kwargs),
+        "category_trends": category_trends(exposures, news, start=s, end=e).limit(trends_rows),
+        "hot_news": hot_news(
+            exposures, news, as_of=as_of, hours=kwargs.get("trending_hours", 24),
+            min_impressions=kwargs.get("trending_min_impressions", 50),
+        ).limit(hot_rows),
+    }
+    if query_log is not None:
+        from .querylog import query_performance
+
+        out["performance"] = query_performance(query_log, as_of=as_of, hours=24)
+    return out
+
+
 # --------------------------------------------------------------------------- R14 / R15
 def recent(
     exposures: DataFrame, *, as_of: dt.datetime | str, hours: float = 1

@@ -201,3 +201,18 @@ def test_approximate_distinct_mode_is_close(spark):
     for k, r in exact.items():
         assert abs(approx[k].unique_users - r.unique_users) <= max(2, 0.05 * r.unique_users)
         assert approx[k].clicks == r.clicks
+
+
+def test_overview_sections(spark):
+    from newsprism.sources import bindings as B
+
+    sf = "/root/testdata/sf0.001"
+    e, n, q = B.order_exposures(spark, sf), B.order_news(spark, sf), B.event_query_log(spark, sf)
+    parts = R.overview_sections(
+        e, n, q, as_of=dt.datetime(2001, 8, 1), start=dt.datetime(1997, 1, 1), end=dt.datetime(1997, 3, 31),
+        trending_hours=8760, trending_min_impressions=4,
+    )
+    summary = parts["summary"].first()
+    assert summary.trending_news_count == parts["hot_news"].count() + 45  # 50 hot, 5 shown
+    assert parts["category_trends"].count() == 50
+    assert set(parts) == {"summary", "category_trends", "hot_news", "performance"}

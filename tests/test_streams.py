@@ -117,3 +117,25 @@ def test_kafka_value_roundtrip(spark):
     e = spark.createDataFrame([("i", "u", "n", dt.datetime(2019, 1, 1, 1, 2, 3), 1, 2.5)], DDL)
     back = cast_event_times(parse_json_records(KF.kafka_value(e))).first()
     assert (back.impression_id, back.timestamp, back.dwell_time) == ("i", dt.datetime(2019, 1, 1, 1, 2, 3), 2.5)
+
+
+def test_sources_and_console_sink(spark):
+    from newsprism.sources import files as S
+
+    root = fresh_dir(spark, "tables")
+    e = B.event_exposures(spark, SF)
+    e.write.parquet(os.path.join(root, "exposure_logs"))
+    B.event_news(spark, SF).write.parquet(os.path.join(root, "news"))
+    got = S.load_tables(spark, root)
+    assert set(got) == {"exposure_logs", "news"}
+    assert spark.sql("select count(*) c from exposure_logs").first().c == 1000
+
+    spool = fresh_dir(spark, "spool")
+    S.write_jsonl(e.limit(30), spool)
+    with open(os.path.join(spool, "bad.json"), "w") as fh:
+        fh.write("{not json\n")
+    stream = S.stream_exposures_dir(spark, spool)
+    q = SR.start_console(stream.groupBy("clicked").count(), name="console_test", available_now=True,
+                         checkpoint=fresh_dir(spark, "console-ckpt"))
+    q.awaitTermination()
+    assert sum(p["numInputRows"] for p in q.recentProgress) == 31  # 30 records + 1 malformed line
