@@ -15,9 +15,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.metrics import ts_literal
+from .functions.text import headline_sentiment
+from .operators import filters as P
+from .operators import ingest as I
+from .plans import bi as BI
+from .plans import querylog as QL
 from .plans import reports as R
-from .plans.oracle import with_tables
+from .plans.oracle import ORDER_EXPOSURES, ORDER_LINES, with_tables
+from .schemas import NEWS_TSV_COLUMNS
+from .session import fresh_dir
+from .sinks import keyed as K
 from .sources import bindings as B
+from .sources import files as S
+from .streaming import runner as SR
+from .streaming import windows as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -489,7 +501,6 @@ def q_popular_news(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- P10 / P11
-from .operators import filters as P  # noqa: E402
 
 LIST_CATEGORY = "Brand#11"
 
@@ -570,7 +581,6 @@ def q_filter_exposures_users(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- R17 – R23
-from .plans import querylog as QL  # noqa: E402
 
 QLOG_AS_OF = dt.datetime(2024, 1, 31)
 QLOG_HOURS = 24 * 30
@@ -692,13 +702,6 @@ def q_error_types(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- ingest T1 – T7
-from .functions.metrics import ts_literal  # noqa: E402
-from .operators import ingest as I  # noqa: E402
-from .schemas import NEWS_TSV_COLUMNS  # noqa: E402
-from .plans.oracle import ORDER_EXPOSURES, ORDER_LINES  # noqa: E402
-from .session import fresh_dir  # noqa: E402
-from .sinks import keyed as K  # noqa: E402
-from .sources import files as S  # noqa: E402
 
 _EXPOSURE_COLS = ("impression_id", "user_id", "news_id", "timestamp", "clicked", "dwell_time")
 _EXPOSURE_SQL = f"""select impression_id, user_id, news_id, "timestamp", clicked, {r6('dwell_time')} as dwell_time"""
@@ -863,9 +866,6 @@ def q_read_news_tsv(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- streams W1 – W4, W8
-from .functions.text import headline_sentiment  # noqa: E402
-from .streaming import runner as SR  # noqa: E402
-from .streaming import windows as W  # noqa: E402
 
 
 def _run_monitor(spark, sf_dir, name, *, news=None):
@@ -1032,7 +1032,6 @@ def q_ingest_stream(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- U2 / R24 / U3
-from .plans import bi as BI  # noqa: E402
 
 POPULAR_SQL = """
 SELECT n.headline, n.category, COUNT(e.news_id) AS view_count
