@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 # Relative standard deviation of the HyperLogLog++ sketch used when exact=False.
-APPROX_RSD = 0.01
+APPROX_RSD = 0.05
 
 
 def distinct_count(col: str, exact: bool = True) -> Column:
@@ -112,6 +112,17 @@ def trunc_like(unit: str, column: str, df: DataFrame) -> Column:
     return F.date_trunc(unit, F.col(column)).cast(df.schema[column].dataType)
 
 
+# Accepted text formats of event times besides ISO-8601 (tried in this order; fixed values).
+TIME_FORMATS = ("M/d/yyyy h:mm:ss a", "M/d/yyyy H:mm:ss", "M/d/yyyy")
+
+
+def parse_time(c: Column | str) -> Column:
+    """Text → TIMESTAMP: ISO-8601 first, then the US-style formats above; NULL when none fits
+    (never fails the job, unlike an ANSI cast)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.try_to_timestamp(c), *[F.try_to_timestamp(c, F.lit(f)) for f in TIME_FORMATS])
+
+
 def as_datetime(value: dt.datetime | dt.date | str) -> dt.datetime:
     if isinstance(value, dt.datetime):
         return value

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..functions.metrics import parse_time
 
 CORRUPT = "_corrupt_record"
 
@@ -47,10 +48,11 @@ def parse_json_records(
 def cast_event_times(
     df: DataFrame, columns: Sequence[str] = ("timestamp", "processed_timestamp")
 ) -> DataFrame:
-    """ISO strings → TIMESTAMP; unparsable values become NULL instead of failing the job."""
+    """Time strings (ISO-8601 or ``M/d/yyyy h:mm:ss AM``) → TIMESTAMP; unparsable values
+    become NULL instead of failing the job."""
     for c in columns:
         if c in df.columns:
-            df = df.withColumn(c, F.try_to_timestamp(F.col(c)))
+            df = df.withColumn(c, parse_time(c))
     return df
 
 
@@ -75,7 +77,7 @@ def explode_impressions(raw: DataFrame, *, id_col: str = "impression_id") -> Dat
     r = raw.select(
         F.col(id_col).alias("impression_id"),
         F.col("UserID").alias("user_id"),
-        F.try_to_timestamp(F.col("start")).alias("timestamp"),
+        parse_time("start").alias("timestamp"),
         _tokens("pos").alias("pos"),
         _tokens("dwelltime_pos").alias("dw"),
         _tokens("neg").alias("neg"),

@@ -15,6 +15,7 @@ def test_explode_uneven_lists_and_blanks(spark):
             ("imp_1", "U1", " N1  N2 N3 ", "30 40", "N4  N5", "2019-06-20 10:00:00"),
             ("imp_2", "U2", "N6", "12 99", "", "2019-06-20T11:00:00"),
             ("imp_3", "U3", "", "", None, "not a time"),
+            ("imp_4", "U4", "N7", "8", None, "6/19/2019 5:10:01 PM"),
         ],
         "impression_id string, UserID string, pos string, dwelltime_pos string, neg string, start string",
     )
@@ -29,6 +30,7 @@ def test_explode_uneven_lists_and_blanks(spark):
         ("imp_1", "N4", 0, 0.0, t1),
         ("imp_1", "N5", 0, 0.0, t1),
         ("imp_2", "N6", 1, 12.0, t2),  # extra dwell value ignored
+        ("imp_4", "N7", 1, 8.0, dt.datetime(2019, 6, 19, 17, 10, 1)),
     ]
 
 
