@@ -19,15 +19,24 @@ PREVIEW_CHARS = 150
 
 
 def list_news(
-    news: DataFrame, *, category: str | None = None, limit: int = 50, offset: int = 0
+    news: DataFrame,
+    *,
+    category: str | None = None,
+    limit: int = 50,
+    offset: int = 0,
+    after: str | None = None,
 ) -> DataFrame:
     """P10: one page of articles in ``news_id`` order, with a 150-character body preview.
 
     ``news_body_preview`` is the body cut to 150 characters plus ``...`` only when longer.
     ``has_more`` is true when the page is full (the reference's rule). The page is a top-k
-    with offset (``TakeOrderedAndProject``): each task keeps ``offset + limit`` rows.
+    with offset (``TakeOrderedAndProject``): each task keeps ``offset + limit`` rows, fine for
+    the first pages; for deep paging pass the last ``news_id`` seen as ``after`` (keyset
+    paging: a pushed-down ``news_id > after`` filter, then a top-``limit``).
     """
     n = news if category is None else news.where(F.col("category") == category)
+    if after is not None:
+        n = n.where(F.col("news_id") > after)
     body = F.col("news_body")
     preview = F.when(
         F.length(body) > PREVIEW_CHARS, F.concat(F.substring(body, 1, PREVIEW_CHARS), F.lit("..."))

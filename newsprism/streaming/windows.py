@@ -86,6 +86,17 @@ def partial_key(spec: WindowSpec) -> list[str]:
     return ["window_start", "window_end", *spec.group_columns]
 
 
+def windows_between(
+    partials: DataFrame,
+    since: dt.datetime | str | None = None,
+    until: dt.datetime | str | None = None,
+) -> DataFrame:
+    """Stage-1 rows of the windows starting in ``[since, until]``; on a monitor table read with
+    its partition column the bound prunes window-day folders, so a long-running monitor's
+    report reads only the recent days."""
+    return m.between_inclusive(partials, "window_start", since, until).drop(m.PARTITION_COLUMN)
+
+
 def _totals(partials: DataFrame, spec: WindowSpec, imp: str, clk: str) -> DataFrame:
     aggs: list[Column] = [
         F.sum("n").cast("long").alias(imp),

@@ -216,3 +216,11 @@ def test_overview_sections(spark):
     assert summary.trending_news_count == parts["hot_news"].count() + 45  # 50 hot, 5 shown
     assert parts["category_trends"].count() == 50
     assert set(parts) == {"summary", "category_trends", "hot_news", "performance"}
+
+
+def test_list_news_keyset_paging(tables):
+    _, n = tables
+    first = P.list_news(n, limit=2).collect()
+    second = P.list_news(n, limit=2, after=first[-1].news_id).collect()
+    assert [r.news_id for r in second] == ["n3", "n4"]
+    assert [r.news_id for r in P.list_news(n, limit=2, offset=2).collect()] == ["n3", "n4"]

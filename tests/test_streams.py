@@ -139,3 +139,19 @@ def test_sources_and_console_sink(spark):
                          checkpoint=fresh_dir(spark, "console-ckpt"))
     q.awaitTermination()
     assert sum(p["numInputRows"] for p in q.recentProgress) == 31  # 30 records + 1 malformed line
+
+
+def test_monitor_report_window_bound_prunes(spark, capsys):
+    q, table = SR.start_monitor(
+        spark, B.event_exposure_stream(spark, SF), "trend", available_now=True,
+        table_path=fresh_dir(spark, "t"), checkpoint=fresh_dir(spark, "c"), query_name="bound_trend",
+    )
+    q.awaitTermination()
+    since = dt.datetime(2024, 1, 20)
+    recent = W.windows_between(table.read(keep_partition=True), since=since)
+    recent.explain("formatted")
+    assert "PartitionFilters: [isnotnull(_part" in capsys.readouterr().out
+    rep = W.trend_report(recent)
+    full = W.trend_report(table.read()).where(F.col("window_start") >= since)
+    cols = sorted(rep.columns)
+    assert _sorted(rep.select(cols), cols) == _sorted(full.select(cols), cols)
