@@ -406,9 +406,7 @@ def q_decorate_recommendations(spark, sf_dir):
     """R12 over R10 for U5 (order binding)."""
     e, n = _order(spark, sf_dir)
     recs = R.recommend_for_preferences(e, n, user=PREF_USER)
-    return R.decorate_recommendations(recs).withColumn(
-        "distinct_categories", F.col("distinct_categories").cast("long")
-    ).withColumn("rank", F.col("rank").cast("long"))
+    return R.decorate_recommendations(recs)
 
 
 # --------------------------------------------------------------------------- R13 – R16
@@ -619,7 +617,7 @@ def q_query_performance(spark, sf_dir):
         f"""select count(*) as total_queries, {r6('coalesce(avg(execution_time), 0.0)')} as avg_execution_time,
         {r6('coalesce(max(execution_time), 0.0)')} as max_execution_time,
         {r6('count_if(success) / greatest(count(*), 1)')} as success_rate,
-        count_if(not success) as error_count from q""",
+        cast(count_if(not success) as bigint) as error_count from q""",
         names=("q",),
     ),
 )

@@ -72,7 +72,9 @@ def explode_impressions(raw: DataFrame, *, id_col: str = "impression_id") -> Dat
 
     Clicked articles (``pos``) pair with ``dwelltime_pos`` position by position; the pairing
     stops at the shorter list. Unclicked articles (``neg``) get dwell 0. Every row takes the
-    impression's ``start`` time.
+    impression's ``start`` time. Both lists become one array of structs and one ``explode``,
+    so each raw row is read and parsed once (a union of two explodes would evaluate the input
+    twice).
     """
     r = raw.select(
         F.col(id_col).alias("impression_id"),
@@ -84,23 +86,23 @@ def explode_impressions(raw: DataFrame, *, id_col: str = "impression_id") -> Dat
     )
     n = F.least(F.size("pos"), F.size("dw"))
     pairs = F.arrays_zip(F.slice("pos", 1, n).alias("news_id"), F.slice("dw", 1, n).alias("dwell"))
-    clicked = r.select(
-        "impression_id", "user_id", "timestamp", F.explode(pairs).alias("p")
-    ).select(
-        "impression_id",
-        "user_id",
-        F.col("p.news_id").alias("news_id"),
-        "timestamp",
-        F.lit(1).alias("clicked"),
-        F.col("p.dwell").try_cast("int").cast("double").alias("dwell_time"),
+    clicked = F.transform(
+        pairs,
+        lambda p: F.struct(
+            p["news_id"].alias("news_id"),
+            F.lit(1).alias("clicked"),
+            p["dwell"].try_cast("int").cast("double").alias("dwell_time"),
+        ),
     )
-    unclicked = r.select(
-        "impression_id", "user_id", F.explode("neg").alias("news_id"), "timestamp"
-    ).select(
-        "impression_id", "user_id", "news_id", "timestamp",
-        F.lit(0).alias("clicked"), F.lit(0.0).alias("dwell_time"),
+    unclicked = F.transform(
+        "neg",
+        lambda x: F.struct(
+            x.alias("news_id"), F.lit(0).alias("clicked"), F.lit(0.0).alias("dwell_time")
+        ),
     )
-    return clicked.unionByName(unclicked)
+    return r.select(
+        "impression_id", "user_id", "timestamp", F.explode(F.concat(clicked, unclicked)).alias("x")
+    ).select("impression_id", "user_id", "x.news_id", "timestamp", "x.clicked", "x.dwell_time")
 
 
 # --------------------------------------------------------------------------- T5 / T7

@@ -113,7 +113,7 @@ def category_rollup(trends: DataFrame, *, metric: str = "impressions") -> DataFr
         ),
     )
     w = Window.orderBy(F.col(metric).desc(), F.col("category"))
-    return agg.withColumn("rank", F.row_number().over(w))
+    return agg.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
 # --------------------------------------------------------------------------- R5 / R6 / R7
@@ -196,9 +196,9 @@ def interest_stats(timeline: DataFrame, *, top_n: int = 5, rising_n: int = 3) ->
         .alias("trend"),
     )
     stats = stats.withColumn("average", m.ratio("total", "occurrences"))
-    top = F.row_number().over(Window.orderBy(F.col("average").desc(), "category"))
+    top = F.row_number().over(Window.orderBy(F.col("average").desc(), "category")).cast("long")
     rising_order = Window.orderBy((F.col("trend") > 0).desc(), F.col("trend").desc(), "category")
-    rising = F.row_number().over(rising_order)
+    rising = F.row_number().over(rising_order).cast("long")
     return (
         stats.withColumn("top_rank", F.when(top <= top_n, top))
         .withColumn("rising_rank", F.when((F.col("trend") > 0) & (rising <= rising_n), rising))
@@ -379,8 +379,8 @@ def decorate_recommendations(recs: DataFrame) -> DataFrame:
     return (
         recs.withColumn("relevance_score", F.when(p.isNull() | (p == 0), F.lit(0.5)).otherwise(p))
         .withColumn("category_affinity", F.round(F.col("popularity") / 100.0, 2))
-        .withColumn("distinct_categories", F.size(F.collect_set("category").over(everything)))
-        .withColumn("rank", F.row_number().over(order))
+        .withColumn("distinct_categories", F.size(F.collect_set("category").over(everything)).cast("long"))
+        .withColumn("rank", F.row_number().over(order).cast("long"))
     )
 
 

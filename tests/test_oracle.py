@@ -32,7 +32,9 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_matches_oracle(spark, con, name):
-    got = queries()[name](spark, SF).toPandas()
-    want = con.execute(SQL[name]).df()
-    ok, msg = compare(got, want)
+    table = queries()[name](spark, SF).toArrow()
+    want = con.execute(SQL[name]).to_arrow_table()
+    types = {f.name: str(f.type) for f in table.schema}
+    assert types == {f.name: str(f.type) for f in want.schema}
+    ok, msg = compare(table.to_pandas(), want.to_pandas())
     assert ok, msg
