@@ -33,7 +33,7 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_matches_oracle(spark, con, name):
     table = queries()[name](spark, SF).toArrow()
-    want = con.execute(SQL[name]).to_arrow_table()
+    want = con.sql(SQL[name]).to_arrow_table()
     types = {f.name: str(f.type) for f in table.schema}
     assert types == {f.name: str(f.type) for f in want.schema}
     ok, msg = compare(table.to_pandas(), want.to_pandas())
