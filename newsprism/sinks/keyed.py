@@ -69,12 +69,24 @@ class KeyedTable:
         return df if keep_partition else df.drop(PART)
 
     def upsert(
-        self, incoming: DataFrame, *, order: Sequence[str] = (), drop: Sequence[str] = ()
+        self,
+        incoming: DataFrame,
+        *,
+        order: Sequence[str] = (),
+        drop: Sequence[str] = (),
+        unique: bool = False,
     ) -> None:
         """Insert-or-replace ``incoming`` rows by key; within the batch the last by ``order``
-        wins (all columns break ties). Columns in ``drop`` (arrival helpers) are not stored."""
+        wins (all columns break ties). Columns in ``drop`` (arrival helpers) are not stored.
+        ``unique=True`` declares the batch keys already unique (e.g. an aggregation's output)
+        and skips the collapse and its shuffle."""
         spark = self.spark
-        rows = latest_by_key(incoming, self.key, order) if order else incoming.dropDuplicates(self.key)
+        if unique:
+            rows = incoming
+        elif order:
+            rows = latest_by_key(incoming, self.key, order)
+        else:
+            rows = incoming.dropDuplicates(self.key)
         stored = [c for c in incoming.columns if c not in set(drop)]
         rows = rows.select(*stored).withColumn(PART, self.partition)
         if not self.exists():
@@ -160,11 +172,13 @@ def exposure_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def upsert_batch_fn(table: KeyedTable, *, order: Sequence[str] = (), drop: Sequence[str] = ()):
+def upsert_batch_fn(
+    table: KeyedTable, *, order: Sequence[str] = (), drop: Sequence[str] = (), unique: bool = False
+):
     """A ``foreachBatch`` function that upserts every micro-batch into ``table``."""
 
     def run(batch: DataFrame, batch_id: int) -> None:  # noqa: ARG001 - replay-safe by key
-        table.upsert(batch, order=order, drop=drop)
+        table.upsert(batch, order=order, drop=drop, unique=unique)
 
     return run
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,7 @@ def start_keyed_table(
     trigger: str | None = None,
     available_now: bool = False,
     order: Sequence[str] = (),
+    unique: bool = False,
 ) -> StreamingQuery:
     """K7: every micro-batch of an update-mode stream is upserted into a keyed parquet table.
 
@@ -54,7 +56,7 @@ def start_keyed_table(
     """
     writer = (
         df.writeStream.outputMode("update")
-        .foreachBatch(upsert_batch_fn(table, order=order))
+        .foreachBatch(upsert_batch_fn(table, order=order, unique=unique))
         .option("checkpointLocation", checkpoint)
         .queryName(name)
     )
@@ -90,9 +92,10 @@ def start_monitor(
     checkpoint = checkpoint or shared_dir(spark, "monitors", qname, "checkpoint")
     table = monitor_table(spark, spec, table_path)
     partials = W.window_partials(exposures, spec, news=news)
+    # an aggregation's update output holds each (window, key, value) once per micro-batch
     q = start_keyed_table(
         partials, table, name=qname, checkpoint=checkpoint, trigger=spec.trigger,
-        available_now=available_now,
+        available_now=available_now, unique=True,
     )
     return q, table
 
@@ -110,6 +113,10 @@ class StreamRegistry:
             self._queries[name] = query
         return name
 
+    def get(self, name: str) -> StreamingQuery | None:
+        with self._lock:
+            return self._queries.get(name)
+
     def list(self) -> list[dict]:
         with self._lock:
             items = list(self._queries.items())
@@ -135,6 +142,55 @@ class StreamRegistry:
         return len(items)
 
 
+class Monitors:
+    """The start / list / stop surface of the monitoring service on one exposure stream.
+
+    ``start(kind)`` starts a monitor and returns its id (``<kind>_<epoch seconds>``); the
+    report of a running monitor is ``report(id)``. Ids are tracked in a :class:`StreamRegistry`.
+    """
+
+    def __init__(self, spark: SparkSession, exposures: DataFrame, *, news: DataFrame | None = None):
+        self.spark = spark
+        self.exposures = exposures
+        self.news = news
+        self.registry = StreamRegistry(spark)
+        self._tables: dict[str, tuple[str, KeyedTable]] = {}
+
+    def start(self, kind: str, **kwargs) -> str:
+        qid = f"{kind}_{int(time.time())}"
+        while qid in self._tables:
+            qid += "_"
+        news = self.news if kind == "content" else None
+        q, table = start_monitor(self.spark, self.exposures, kind, news=news, query_name=qid, **kwargs)
+        self._tables[qid] = (kind, table)
+        return self.registry.add(qid, q)
+
+    def start_trend_analysis(self, **kw) -> str:
+        return self.start("trend", **kw)
+
+    def start_user_behavior_analysis(self, **kw) -> str:
+        return self.start("user_behavior", **kw)
+
+    def start_anomaly_detection(self, **kw) -> str:
+        return self.start("anomaly", **kw)
+
+    def start_content_analysis(self, **kw) -> str:
+        return self.start("content", **kw)
+
+    def report(self, qid: str, **kwargs) -> DataFrame:
+        kind, table = self._tables[qid]
+        return W.REPORTS[kind](table.read(), **kwargs)
+
+    def list(self) -> list[dict]:
+        return self.registry.list()
+
+    def stop(self, qid: str) -> bool:
+        return self.registry.stop(qid)
+
+    def stop_all(self) -> int:
+        return self.registry.stop_all()
+
+
 # --------------------------------------------------------------------------- W8
 def ingest_stream(
     spark: SparkSession,

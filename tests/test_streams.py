@@ -155,3 +155,15 @@ def test_monitor_report_window_bound_prunes(spark, capsys):
     full = W.trend_report(table.read()).where(F.col("window_start") >= since)
     cols = sorted(rep.columns)
     assert _sorted(rep.select(cols), cols) == _sorted(full.select(cols), cols)
+
+
+def test_monitor_facade(spark):
+    m = SR.Monitors(spark, B.event_exposure_stream(spark, SF), news=B.event_news(spark, SF))
+    qid = m.start_anomaly_detection(available_now=True)
+    assert qid.startswith("anomaly_")
+    m.registry.get(qid).awaitTermination()
+    assert m.report(qid, threshold=0.001).count() > 0
+    cid = m.start_content_analysis(available_now=True)
+    assert {x["name"] for x in m.list()} == {qid, cid}
+    assert m.stop(cid) is True and m.stop(cid) is False
+    assert m.stop_all() == 1
