@@ -22,22 +22,46 @@ DEFAULT_CONF = {
 }
 
 
+# Sizing for a large cluster (hundreds of TB of exposures). Shuffles start wide and AQE
+# coalesces them to ~256 MB partitions, so neither a month-long scan nor a one-day report
+# gets a wrong partition count; input splits are 256 MB; a side up to 64 MB may be
+# broadcast (AQE checks the measured size); skewed join partitions above 1 GB are split;
+# streaming aggregation state lives in RocksDB (spills to local disk, checkpointed to the
+# shared checkpoint dir) instead of the JVM heap.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+}
+
+
 def get_session(
     app_name: str = "newsprism",
     *,
     master: str | None = None,
     shuffle_partitions: int | None = None,
+    profile: str = "local",
     extra_conf: dict[str, str] | None = None,
 ) -> SparkSession:
     """Build (or reuse) a session with the library defaults.
 
-    ``master`` and ``shuffle_partitions`` are only meant for local runs and tests; on a
-    cluster leave them to the deployment (``spark-submit`` settings win).
+    ``master`` and ``shuffle_partitions`` are only meant for local runs and tests;
+    ``profile="cluster"`` adds :data:`CLUSTER_CONF`. Settings given to ``spark-submit`` win.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if profile == "cluster":
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
