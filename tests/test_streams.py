@@ -167,3 +167,21 @@ def test_monitor_facade(spark):
     assert {x["name"] for x in m.list()} == {qid, cid}
     assert m.stop(cid) is True and m.stop(cid) is False
     assert m.stop_all() == 1
+
+
+def test_monitor_on_rocksdb_state_store(spark):
+    from newsprism.session import CLUSTER_CONF
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    spark.conf.set(key, CLUSTER_CONF[key])
+    try:
+        q, table = SR.start_monitor(
+            spark, B.event_exposure_stream(spark, SF), "trend", available_now=True,
+            table_path=fresh_dir(spark, "t"), checkpoint=fresh_dir(spark, "c"), query_name="rocks_trend",
+        )
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, old)
+    batch_in = B.event_exposures(spark, SF).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    assert W.trend_report(table.read()).count() == W.batch_report(batch_in, "trend").count()
