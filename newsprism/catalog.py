@@ -808,14 +808,12 @@ def q_parse_json_records(spark, sf_dir):
     """T1 + T2: exposures serialised to JSON (error events truncated, i.e. malformed), parsed
     back by the fixed schema; malformed payloads are dropped."""
     ev = B.table(spark, sf_dir, "events")
-    rows = B.event_exposures_of(ev).withColumn(
+    rows = B.event_exposures_of(ev, keep=("event_type",)).withColumn(
         "timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     )
-    payload = F.to_json(F.struct(*rows.columns))
-    err = ev.select((F.col("event_type") == "error").alias("_err"), "event_id")
-    keyed = rows.withColumn("event_id", F.substring("impression_id", 2, 1 << 20).cast("long"))
-    msgs = keyed.join(err, "event_id").select(
-        F.when(F.col("_err"), F.substring(payload, 1, 25)).otherwise(payload).alias("value")
+    payload = F.to_json(F.struct(*_EXPOSURE_COLS))
+    msgs = rows.select(
+        F.when(F.col("event_type") == "error", F.substring(payload, 1, 25)).otherwise(payload).alias("value")
     )
     parsed = I.cast_event_times(I.parse_json_records(msgs))
     return _ntz(parsed.select(*_EXPOSURE_COLS), "timestamp")

@@ -46,9 +46,12 @@ def event_exposure_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_exposures_of(stream).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
 
 
-def event_exposures_of(events: DataFrame) -> DataFrame:
+def event_exposures_of(events: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The event binding over any events DataFrame (batch or stream); ``keep`` passes
+    source columns through unchanged."""
     is_click = F.col("event_type") == "click"
     return events.select(
+        *keep,
         _prefixed("e", "event_id").alias("impression_id"),
         _prefixed("U", "user_id").alias("user_id"),
         _prefixed("N", _props_k()).alias("news_id"),
