@@ -80,7 +80,12 @@ def _partition_bound(value: dt.datetime | dt.date | str) -> Column:
     """The bound as a time-partition value: ``yyyy-MM-dd`` cut to the partition's own length,
     so it works for day, month or year partitions (``yyyy-MM-dd`` / ``yyyy-MM`` / ``yyyy``)."""
     day = F.lit(as_datetime(value).strftime("%Y-%m-%d"))
-    return day.substr(F.lit(1), F.length(F.col(PARTITION_COLUMN)))
+    return day.substr(F.lit(1), F.length(_partition_text()))
+
+
+def _partition_text() -> Column:
+    """The partition value as text (Spark may have inferred a DATE type for day folders)."""
+    return F.col(PARTITION_COLUMN).cast("string")
 
 
 def between_inclusive(
@@ -99,11 +104,11 @@ def between_inclusive(
     if start is not None:
         df = df.where(F.col(column) >= ts_literal(df, column, start))
         if pruned:
-            df = df.where(F.col(PARTITION_COLUMN) >= _partition_bound(start))
+            df = df.where(_partition_text() >= _partition_bound(start))
     if end is not None:
         df = df.where(F.col(column) <= ts_literal(df, column, end))
         if pruned:
-            df = df.where(F.col(PARTITION_COLUMN) <= _partition_bound(end))
+            df = df.where(_partition_text() <= _partition_bound(end))
     return df
 
 

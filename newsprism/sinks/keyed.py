@@ -36,6 +36,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def live_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows of a keyed table without the NULL-key markers of emptied partitions."""
+    return df.where(F.col(key[0]).isNotNull())
+
+
 class KeyedTable:
     """A parquet table at ``path`` with primary key ``key``, partitioned by ``partition``.
 
@@ -65,7 +70,7 @@ class KeyedTable:
 
     def read(self, *, keep_partition: bool = False) -> DataFrame:
         """The table; ``keep_partition`` keeps ``_part`` so time filters can prune folders."""
-        df = self.spark.read.parquet(self.path)
+        df = live_rows(self.spark.read.parquet(self.path), self.key)
         return df if keep_partition else df.drop(PART)
 
     def upsert(
@@ -100,8 +105,21 @@ class KeyedTable:
                 current.select(*self.key, PART).join(keys, self.key, "left_semi").select(PART)
             )
         touched = touched.distinct()
-        kept = current.join(touched, PART, "left_semi").join(rows.select(*self.key), self.key, "left_anti")
+        kept = (
+            live_rows(current, self.key)
+            .join(touched, PART, "left_semi")
+            .join(rows.select(*self.key), self.key, "left_anti")
+        )
         merged = kept.unionByName(rows.select(*current.columns))
+        if self.movable:
+            # a partition whose last row moved away must still be rewritten: give it one
+            # marker row with NULL key columns (readers skip such rows)
+            emptied = touched.join(merged.select(PART).distinct(), PART, "left_anti")
+            markers = emptied.select(
+                *[F.lit(None).cast(f.dataType).alias(f.name) for f in current.schema if f.name != PART],
+                PART,
+            )
+            merged = merged.unionByName(markers.select(*current.columns))
         staging = fresh_dir(spark, "staging")
         self._clustered(merged).write.mode("overwrite").parquet(staging)
         # staging files are already clustered by (partition, key): written as they are read
@@ -169,7 +187,7 @@ def upsert_exposures(
 def exposure_log(spark: SparkSession, path: str) -> DataFrame:
     """The stored exposure table for reports: keeps the time-partition column, so the range
     filters of the reports prune partitions (see ``metrics.between_inclusive``)."""
-    return spark.read.parquet(path)
+    return live_rows(spark.read.parquet(path), ("impression_id",))
 
 
 def upsert_batch_fn(

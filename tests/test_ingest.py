@@ -108,3 +108,15 @@ def test_upsert_news(spark):
     K.upsert_news(spark, spark.createDataFrame([("n1", "a", "old"), ("n2", "b", "keep")], ddl), path)
     out = K.upsert_news(spark, spark.createDataFrame([("n1", "a", "new"), ("n3", "c", "add")], ddl), path)
     assert sorted((r.news_id, r.headline) for r in out.collect()) == [("n1", "new"), ("n2", "keep"), ("n3", "add")]
+
+
+def test_upsert_moving_the_last_row_out_of_a_partition(spark):
+    path = fresh_dir(spark, "test-move")
+    d1, d2 = dt.datetime(2019, 6, 20, 10), dt.datetime(2019, 6, 22, 9)
+    K.upsert_exposures(spark, _exposures(spark, [("i9", "u", "n1", d1, 0, 0.0, 1)]), path, order=["seq"], drop=["seq"])
+    out = K.upsert_exposures(spark, _exposures(spark, [("i9", "u", "n1", d2, 1, 3.0, 2)]), path, order=["seq"], drop=["seq"])
+    assert [(r.impression_id, r.timestamp) for r in out.collect()] == [("i9", d2)]
+    assert K.exposure_log(spark, path).count() == 1
+    # the emptied day can be filled again later
+    out = K.upsert_exposures(spark, _exposures(spark, [("i8", "u", "n1", d1, 0, 0.0, 1)]), path, order=["seq"], drop=["seq"])
+    assert sorted(r.impression_id for r in out.collect()) == ["i8", "i9"]
