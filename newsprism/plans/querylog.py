@@ -71,16 +71,40 @@ def perf_time_series(
     )
 
 
-def perf_histogram(q: DataFrame, *, width_ms: int = 50, as_of=None, hours=None) -> DataFrame:
-    """Number of queries per execution-time range ``[range_start_ms, range_end_ms)``."""
-    b = F.floor(F.col("execution_time") * 1000.0 / width_ms).cast("long")
+def perf_histogram(
+    q: DataFrame,
+    *,
+    width_ms: int = 50,
+    edges: list[float] | None = None,
+    as_of=None,
+    hours=None,
+) -> DataFrame:
+    """Number of queries per execution-time range ``[range_start_ms, range_end_ms)``.
+
+    Equal ``width_ms`` buckets by default; with ``edges`` (ascending, in ms) the ranges are
+    ``[e0, e1), [e1, e2), …, [e_last, ∞)`` (``range_end_ms`` NULL for the last one) and times
+    below ``e0`` fall in ``(-∞, e0)`` (``range_start_ms`` NULL).
+    """
+    ms = F.col("execution_time") * 1000.0
+    base = _since(q, as_of, hours).where(F.col("execution_time").isNotNull())
+    if edges is None:
+        b = F.floor(ms / width_ms).cast("long")
+        return (
+            base.groupBy((b * width_ms).alias("range_start_ms"))
+            .agg(F.count(F.lit(1)).alias("query_count"))
+            .withColumn("range_end_ms", F.col("range_start_ms") + width_ms)
+            .orderBy("range_start_ms")
+        )
+    bounds = sorted(float(e) for e in edges)
+    start = F.lit(None).cast("double")
+    end = F.lit(bounds[0]) if bounds else F.lit(None).cast("double")
+    for lo, hi in zip(bounds, bounds[1:] + [None]):
+        start = F.when(ms >= lo, F.lit(lo)).otherwise(start)
+        end = F.when(ms >= lo, F.lit(hi).cast("double")).otherwise(end)
     return (
-        _since(q, as_of, hours)
-        .where(F.col("execution_time").isNotNull())
-        .groupBy((b * width_ms).alias("range_start_ms"))
+        base.groupBy(start.alias("range_start_ms"), end.alias("range_end_ms"))
         .agg(F.count(F.lit(1)).alias("query_count"))
-        .withColumn("range_end_ms", F.col("range_start_ms") + width_ms)
-        .orderBy("range_start_ms")
+        .orderBy(F.col("range_start_ms").asc_nulls_first())
     )
 
 

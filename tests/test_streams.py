@@ -185,3 +185,14 @@ def test_monitor_on_rocksdb_state_store(spark):
         spark.conf.set(key, old)
     batch_in = B.event_exposures(spark, SF).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     assert W.trend_report(table.read()).count() == W.batch_report(batch_in, "trend").count()
+
+
+def test_perf_histogram_edges(spark):
+    q = spark.createDataFrame(
+        [(i, "t", t, True) for i, t in enumerate([0.001, 0.004, 0.012, 0.2, 0.9])],
+        "id long, query_type string, execution_time double, success boolean",
+    )
+    got = [(r.range_start_ms, r.range_end_ms, r.query_count) for r in QL.perf_histogram(q, edges=[2, 10, 100]).collect()]
+    assert got == [(None, 2.0, 1), (2.0, 10.0, 1), (10.0, 100.0, 1), (100.0, None, 2)]
+    fixed = [(r.range_start_ms, r.query_count) for r in QL.perf_histogram(q, width_ms=100).collect()]
+    assert fixed == [(0, 3), (200, 1), (900, 1)]
