@@ -199,7 +199,8 @@ def test_approximate_distinct_mode_is_close(spark):
     approx = {(r.category, r.date): r for r in R.category_trends(e, n, exact=False).collect()}
     assert exact.keys() == approx.keys()
     for k, r in exact.items():
-        assert abs(approx[k].unique_users - r.unique_users) <= max(2, 0.05 * r.unique_users)
+        # 3 standard errors of a sketch with 5% relative standard deviation
+        assert abs(approx[k].unique_users - r.unique_users) <= max(3, 0.15 * r.unique_users)
         assert approx[k].clicks == r.clicks
 
 
