@@ -193,10 +193,20 @@ def exposure_log(spark: SparkSession, path: str) -> DataFrame:
 def upsert_batch_fn(
     table: KeyedTable, *, order: Sequence[str] = (), drop: Sequence[str] = (), unique: bool = False
 ):
-    """A ``foreachBatch`` function that upserts every micro-batch into ``table``."""
+    """A ``foreachBatch`` function that upserts every micro-batch into ``table``.
+
+    The upsert runs several jobs over the micro-batch; the batch is persisted for their
+    duration so the source read and the stateful aggregation run once per micro-batch, and
+    an empty batch (a no-data batch that only advances the watermark) returns at once.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:  # noqa: ARG001 - replay-safe by key
-        table.upsert(batch, order=order, drop=drop, unique=unique)
+        batch = batch.persist()
+        try:
+            if not batch.isEmpty():
+                table.upsert(batch, order=order, drop=drop, unique=unique)
+        finally:
+            batch.unpersist()
 
     return run
 

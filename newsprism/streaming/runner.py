@@ -224,10 +224,11 @@ def ingest_stream(
     table = exposure_table(spark, table_path, movable=False)
     arrival = ["_file_t", "_file_p", "_line"]
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:  # noqa: ARG001 - replay-safe by key
+    upsert_numbered = upsert_batch_fn(table, order=arrival, drop=arrival)
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
         # inside foreachBatch the micro-batch is a plain DataFrame: number its rows in read order
-        numbered = batch.withColumn("_line", F.monotonically_increasing_id())
-        table.upsert(numbered, order=arrival, drop=arrival)
+        upsert_numbered(batch.withColumn("_line", F.monotonically_increasing_id()), batch_id)
 
     writer = rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).queryName(name)
     return _trigger(writer, trigger, available_now).start(), table
