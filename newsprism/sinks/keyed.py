@@ -2,13 +2,15 @@
 
 Parquet has no MERGE, so an upsert rewrites only the partitions it touches:
 
-1. collapse the incoming rows to one per key (last write wins, T6);
+1. collapse the incoming rows to one per key (last write wins, T6) and stage them once
+   (a written folder under the shared checkpoint dir), since several branches read them;
 2. find the touched partitions: those of the incoming rows and, if rows may move between
    partitions, those where the incoming keys live today (a key-only, column-pruned scan);
 3. ``existing ⟕̸ incoming`` (anti join on the key) ∪ incoming, for the touched partitions
-   only, is written to a staging folder under the shared checkpoint dir (this cuts the
-   lineage, so the table is never read and overwritten by the same job);
-4. the staged partitions replace the table's partitions (dynamic partition overwrite).
+   only, is written to a second staging folder (this cuts the lineage, so the table is never
+   read and overwritten by the same job);
+4. the staged rows, range-clustered by (partition, key), replace the table's touched
+   partitions (dynamic partition overwrite).
 
 Every step is a plain Spark job; a replay of the same batch gives the same table (idempotent),
 which is what makes micro-batch retries after an executor loss safe.
@@ -95,8 +97,10 @@ class KeyedTable:
         stored = [c for c in incoming.columns if c not in set(drop)]
         rows = rows.select(*stored).withColumn(PART, self.partition)
         if not self.exists():
-            self._write(self._clustered(rows), mode="overwrite")
+            self._write(self._clustered(self._stage(rows)), mode="overwrite")
             return
+        # the collapsed batch feeds several branches of the merge below: compute it once
+        rows = self._stage(rows)
         current = spark.read.parquet(self.path)
         touched = rows.select(PART)
         if self.movable:
@@ -120,10 +124,16 @@ class KeyedTable:
                 PART,
             )
             merged = merged.unionByName(markers.select(*current.columns))
-        staging = fresh_dir(spark, "staging")
-        self._clustered(merged).write.mode("overwrite").parquet(staging)
-        # staging files are already clustered by (partition, key): written as they are read
-        self._write(spark.read.parquet(staging), mode="overwrite", dynamic=True)
+        self._write(self._clustered(self._stage(merged)), mode="overwrite", dynamic=True)
+
+    def _stage(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` once to a fresh staging folder under the shared checkpoint dir and read
+        it back: the lineage is cut (the table is never read and overwritten by one job), and
+        the clustering below samples and shuffles the staged files instead of re-running the
+        upstream plan."""
+        staging = fresh_dir(self.spark, "staging")
+        df.write.mode("overwrite").parquet(staging)
+        return self.spark.read.parquet(staging)
 
     def _clustered(self, df: DataFrame) -> DataFrame:
         """Range-partition by (partition, key): a large partition value is split over several
