@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.metrics import parse_time
+from ..session import shared_dir
 
 CORRUPT = "_corrupt_record"
 
@@ -124,6 +125,7 @@ def assign_impression_ids(
     stable; then a table of row counts per partition (one row per partition) gives each
     partition its starting offset, and every row adds its position inside the partition.
     """
+    shared_dir(raw.sparkSession)  # make sure the session has a (shared) checkpoint dir
     df = raw.orderBy(*order_by) if order_by else raw
     df = df.checkpoint(eager=True)
     df = df.withColumn("_pid", F.spark_partition_id()).withColumn(

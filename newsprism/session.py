@@ -39,7 +39,6 @@ CLUSTER_CONF = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 

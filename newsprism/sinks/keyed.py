@@ -144,13 +144,13 @@ class KeyedTable:
         )
 
     def _write(self, df: DataFrame, *, mode: str, dynamic: bool = False) -> None:
-        conf = self.spark.conf
-        old = conf.get("spark.sql.sources.partitionOverwriteMode")
-        conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic" if dynamic else "static")
-        try:
-            df.write.mode(mode).partitionBy(PART).parquet(self.path)
-        finally:
-            conf.set("spark.sql.sources.partitionOverwriteMode", old)
+        # per-write option, not a session setting: concurrent upserts do not interfere
+        (
+            df.write.mode(mode)
+            .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
+            .partitionBy(PART)
+            .parquet(self.path)
+        )
 
 
 GRAIN_FORMATS = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
