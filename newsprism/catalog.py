@@ -22,7 +22,7 @@ from .operators import ingest as I
 from .plans import bi as BI
 from .plans import querylog as QL
 from .plans import reports as R
-from .plans.oracle import ORDER_EXPOSURES, ORDER_LINES, with_tables
+from .plans.oracle import ORDER_EXPOSURES, ORDER_LINES, ORDER_NEWS, with_tables
 from .schemas import NEWS_TSV_COLUMNS
 from .session import fresh_dir
 from .sinks import keyed as K
@@ -1191,3 +1191,17 @@ def q_category_trends_stored(spark, sf_dir):
     """R3 over the stored, month-partitioned exposure table (partition pruning on the range)."""
     e, n = stored_order_tables(spark, sf_dir)
     return R.category_trends(e, n, start=TRENDS_START, end=TRENDS_END)
+
+
+@register(
+    "interest_timeline_wide",
+    f"""select ts as "timestamp", cast(coalesce(columns(* exclude (ts)), 0) as bigint) from (
+      pivot (select date_trunc('day', e."timestamp") as ts, category, clicked
+             from ({ORDER_EXPOSURES}) e join ({ORDER_NEWS}) n on e.news_id = n.news_id
+             where e.user_id = '{TIMELINE_USER}' and category is not null)
+      on category using sum(clicked) group by ts) p""",
+)
+def q_interest_timeline_wide(spark, sf_dir):
+    """R6 as the dashboard map: one row per day, one zero-filled column per category (pivot)."""
+    e, n = _order(spark, sf_dir)
+    return R.interest_timeline(e, n, user=TIMELINE_USER, wide=True)
