@@ -17,8 +17,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# The driver tables are immutable inputs, so each is resolved (file listing, parquet footer)
+# once per session and the relation is shared by every query that binds it, the way a catalog
+# table is. Only the plan is shared: every action still scans the files.
+_RESOLVED: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    hit = _RESOLVED.get((id(spark), path))
+    if hit is not None and hit[0] is spark and spark.sparkContext._jsc is not None:
+        return hit[1]
+    df = spark.read.parquet(path)
+    _RESOLVED[(id(spark), path)] = (spark, df)
+    return df
 
 
 def _prefixed(prefix: str, c: Column | str) -> Column:
