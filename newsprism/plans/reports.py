@@ -284,27 +284,36 @@ def recommend_for_preferences(
     user: str,
     limit: int = 10,
     until: dt.datetime | str | None = None,
+    preferences: list[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Unseen articles in the user's preferred categories and topics, by click rate.
 
     Category and topic filters are applied independently (any preferred category combined
-    with any preferred topic), as semi joins against the ≤ 5 preference rows; articles the
-    user was ever shown are removed with an anti join (never SQL ``NOT IN``). Exposures are
-    reduced to the candidate articles by a semi join before the per-article aggregation.
-    ``until`` optionally ignores exposures after that time (off by default).
+    with any preferred topic). ``preferences`` are the user's R9 rows as (category, topic)
+    pairs when the caller already has them (``recommend`` does): they become two IN-lists of
+    at most 5 literals each, which reach the article scan as pushed filters. Without them the
+    R9 plan is joined in (semi joins against its ≤ 5 rows). Articles the user was ever shown
+    are removed with an anti join (never SQL ``NOT IN``). Exposures are reduced to the
+    candidate articles by a semi join before the per-article aggregation. ``until``
+    optionally ignores exposures after that time (off by default).
     """
     e = exposures
     if until is not None:
         e = e.where(F.col("timestamp") <= m.ts_literal(e, "timestamp", until))
-    prefs = user_preferences(e, news, user=user)
+    articles = news.select("news_id", "category", "topic", "headline")
+    if preferences is None:
+        prefs = user_preferences(e, news, user=user)
+        preferred = articles.join(prefs.select("category"), "category", "left_semi").join(
+            prefs.select("topic"), "topic", "left_semi"
+        )
+    else:
+        # NULL never equals anything, as in the semi joins: leave it out of the lists
+        categories = sorted({c for c, _ in preferences if c is not None})
+        topics = sorted({t for _, t in preferences if t is not None})
+        preferred = articles.where(F.col("category").isin(categories) & F.col("topic").isin(topics))
     # distinct first: a very active user's rows collapse map-side to one per article
     seen = e.where(F.col("user_id") == user).select("news_id").distinct()
-    candidates = (
-        news.select("news_id", "category", "topic", "headline")
-        .join(prefs.select("category"), "category", "left_semi")
-        .join(prefs.select("topic"), "topic", "left_semi")
-        .join(seen, "news_id", "left_anti")
-    )
+    candidates = preferred.join(seen, "news_id", "left_anti")
     stats = (
         e.join(candidates.select("news_id"), "news_id", "left_semi")
         .groupBy("news_id")
@@ -323,10 +332,14 @@ def recommend_for_preferences(
     )
 
 
-def has_click_history(exposures: DataFrame, *, user: str) -> bool:
-    """Whether the user clicked anything (one tiny ``take(1)`` job)."""
-    probe = exposures.where((F.col("user_id") == user) & (F.col("clicked") == 1))
-    return len(probe.select("news_id").take(1)) > 0
+def preference_pairs(
+    exposures: DataFrame, news: DataFrame, *, user: str, until: dt.datetime | str | None = None
+) -> list[tuple[str, str]]:
+    """The user's R9 (category, topic) pairs on the driver: one job, at most 5 rows."""
+    e = exposures
+    if until is not None:
+        e = e.where(F.col("timestamp") <= m.ts_literal(e, "timestamp", until))
+    return [(r["category"], r["topic"]) for r in user_preferences(e, news, user=user).collect()]
 
 
 def recommend(
@@ -340,12 +353,18 @@ def recommend(
     cold_hours: float = 6,
     cold_min_impressions: int = 50,
 ) -> DataFrame:
-    """R10 with the R11 cold start: a user without clicks gets the current hot news.
+    """R10 with the R11 cold start: a user without preferences (no clicked article) gets the
+    current hot news.
 
-    The cold-start branch returns R8's columns (as the reference does), cut to ``limit``.
+    The user's top-5 preferences are fetched first (a bounded job); when there are none the
+    cold-start branch returns R8's columns (as the reference does), cut to ``limit``;
+    otherwise they are handed to R10 as literals, so the user's clicks are not scanned twice.
     """
-    if has_click_history(exposures, user=user):
-        return recommend_for_preferences(exposures, news, user=user, limit=limit, until=until)
+    prefs = preference_pairs(exposures, news, user=user, until=until)
+    if prefs:
+        return recommend_for_preferences(
+            exposures, news, user=user, limit=limit, until=until, preferences=prefs
+        )
     return recommend_cold_start(
         exposures, news, as_of=as_of, limit=limit, hours=cold_hours,
         min_impressions=cold_min_impressions,
