@@ -132,6 +132,22 @@ def test_preferences_and_recommendations(spark, tables):
     assert [r.news_id for r in cold.collect()] == ["n2", "n1"]
 
 
+def test_recommend_cold_start_when_clicks_have_no_article(spark, tables):
+    """Preferences come from clicked articles found in the catalogue: a user whose only click
+    is on a missing article has none and gets the hot news, like a user without clicks."""
+    e, n = tables
+    e9 = e.unionByName(spark.createDataFrame([("i8", "u9", "n9", h(1), 1, 3.0)], EXPOSURE_DDL))
+    assert R.preference_pairs(e9, n, user="u9") == []
+    cold = R.recommend(e9, n, user="u9", as_of=h(2), cold_hours=3, cold_min_impressions=1, limit=2)
+    assert [r.news_id for r in cold.collect()] == ["n2", "n1"]
+    # with preferences given as literals the plan matches the joined-in R9 plan
+    prefs = R.preference_pairs(e, n, user="u1")
+    assert prefs == [("sports", "soccer"), ("sports", "tennis")]
+    literal = R.recommend_for_preferences(e, n, user="u1", preferences=prefs)
+    planned = R.recommend_for_preferences(e, n, user="u1")
+    assert rows(literal, "news_id", "popularity") == rows(planned, "news_id", "popularity")
+
+
 def test_decorate_recommendations(spark):
     recs = spark.createDataFrame(
         [("a", "c1", 0.0, 123), ("b", "c2", 0.25, 50), ("c", "c1", None, 7)],
