@@ -30,12 +30,13 @@ from ..session import fresh_dir
 PART = "_part"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _open(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parquet table at ``path``, or None when nothing was written there yet (resolving it
+    lists the folders once; the caller reuses the relation instead of listing again)."""
     try:
-        spark.read.parquet(path).schema  # noqa: B018 - resolves the file listing only
-        return True
+        return spark.read.parquet(path)
     except AnalysisException:
-        return False
+        return None
 
 
 def live_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -68,7 +69,7 @@ class KeyedTable:
         self.movable = movable
 
     def exists(self) -> bool:
-        return _exists(self.spark, self.path)
+        return _open(self.spark, self.path) is not None
 
     def read(self, *, keep_partition: bool = False) -> DataFrame:
         """The table; ``keep_partition`` keeps ``_part`` so time filters can prune folders."""
@@ -96,12 +97,12 @@ class KeyedTable:
             rows = incoming.dropDuplicates(self.key)
         stored = [c for c in incoming.columns if c not in set(drop)]
         rows = rows.select(*stored).withColumn(PART, self.partition)
-        if not self.exists():
+        current = _open(spark, self.path)
+        if current is None:
             self._write(self._clustered(self._stage(rows)), mode="overwrite")
             return
         # the collapsed batch feeds several branches of the merge below: compute it once
         rows = self._stage(rows)
-        current = spark.read.parquet(self.path)
         touched = rows.select(PART)
         if self.movable:
             keys = rows.select(*self.key)
