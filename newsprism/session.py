@@ -41,6 +41,13 @@ CLUSTER_CONF = {
     ),
 }
 
+# A stateful streaming query keeps the shuffle partition count it first started with (it is
+# stored in the checkpoint), AQE does not coalesce its shuffles, and every partition is a state
+# store that each micro-batch visits. The monitors therefore start with their own count, sized
+# for their state, instead of the batch setting above (20000 tiny tasks every trigger).
+STATE_PARTITIONS_KEY = "spark.newsprism.streaming.statePartitions"
+CLUSTER_CONF[STATE_PARTITIONS_KEY] = "2000"
+
 
 def get_session(
     app_name: str = "newsprism",

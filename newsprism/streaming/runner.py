@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import cast_event_times, stamp_processed
-from ..session import shared_dir
+from ..session import STATE_PARTITIONS_KEY, shared_dir
 from ..sinks.keyed import KeyedTable, exposure_table, upsert_batch_fn
 from ..sources.files import stream_exposures_dir
 from . import windows as W
@@ -25,6 +25,29 @@ def _trigger(writer, trigger: str | None, available_now: bool):
     return writer
 
 
+_START_LOCK = threading.Lock()
+
+
+def _start_stateful(writer, spark: SparkSession, state_partitions: int | None) -> StreamingQuery:
+    """Start a stateful query with ``state_partitions`` shuffle (= state store) partitions.
+
+    The query runs on a copy of the session's settings taken at ``start()``, and a restarted
+    query takes the count from its checkpoint, so the session setting is changed only around
+    ``start()`` (under a lock) and put back at once. Without a count (argument or
+    ``spark.newsprism.streaming.statePartitions``) the session's own setting is used.
+    """
+    n = state_partitions or spark.conf.get(STATE_PARTITIONS_KEY, None)
+    if not n:
+        return writer.start()
+    with _START_LOCK:
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        try:
+            return writer.start()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def start_console(
     df: DataFrame, *, name: str, trigger: str | None = None, checkpoint: str | None = None,
     available_now: bool = False,
@@ -47,12 +70,14 @@ def start_keyed_table(
     available_now: bool = False,
     order: Sequence[str] = (),
     unique: bool = False,
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
     """K7: every micro-batch of an update-mode stream is upserted into a keyed parquet table.
 
     The checkpoint (offsets + aggregation state) and the table both live on shared storage;
     a restarted query replays the last uncommitted batch, and the keyed upsert makes that
-    replay harmless.
+    replay harmless. ``state_partitions`` sizes the aggregation state (see
+    :func:`_start_stateful`).
     """
     writer = (
         df.writeStream.outputMode("update")
@@ -60,7 +85,7 @@ def start_keyed_table(
         .option("checkpointLocation", checkpoint)
         .queryName(name)
     )
-    return _trigger(writer, trigger, available_now).start()
+    return _start_stateful(_trigger(writer, trigger, available_now), df.sparkSession, state_partitions)
 
 
 def monitor_table(spark: SparkSession, spec: W.WindowSpec, path: str) -> KeyedTable:
@@ -80,6 +105,7 @@ def start_monitor(
     news: DataFrame | None = None,
     available_now: bool = False,
     query_name: str | None = None,
+    state_partitions: int | None = None,
 ) -> tuple[StreamingQuery, KeyedTable]:
     """Start monitor ``name`` (trend / user_behavior / anomaly / content) on an exposure stream.
 
@@ -95,7 +121,7 @@ def start_monitor(
     # an aggregation's update output holds each (window, key, value) once per micro-batch
     q = start_keyed_table(
         partials, table, name=qname, checkpoint=checkpoint, trigger=spec.trigger,
-        available_now=available_now, unique=True,
+        available_now=available_now, unique=True, state_partitions=state_partitions,
     )
     return q, table
 

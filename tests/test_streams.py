@@ -39,6 +39,30 @@ def test_stream_equals_batch(spark, name):
     assert _sorted(streamed.select(cols), cols) == _sorted(batch.select(cols), cols)
 
 
+def test_monitor_state_partitions(spark):
+    """A monitor starts with its own state partition count: the checkpoint records it, the
+    session keeps its own setting, and the result still equals the batch report."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    ckpt = fresh_dir(spark, "sp-ckpt")
+    q, table = SR.start_monitor(
+        spark, B.event_exposure_stream(spark, SF), "trend", available_now=True,
+        table_path=fresh_dir(spark, "sp-table"), checkpoint=ckpt, query_name="state_parts",
+        state_partitions=3,
+    )
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    q.awaitTermination()
+    offsets = os.path.join(ckpt, "offsets", "0")
+    with open(offsets) as fh:
+        assert '"spark.sql.shuffle.partitions":"3"' in fh.read()
+    stores = [d for d in os.listdir(os.path.join(ckpt, "state", "0")) if d.isdigit()]
+    assert sorted(stores) == ["0", "1", "2"]
+    batch_in = B.event_exposures(spark, SF).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    batch = W.batch_report(batch_in, "trend")
+    cols = sorted(batch.columns)
+    streamed = W.trend_report(table.read())
+    assert _sorted(streamed.select(cols), cols) == _sorted(batch.select(cols), cols)
+
+
 def test_late_rows_are_dropped_and_restart_is_idempotent(spark):
     src = fresh_dir(spark, "late-src")
     t = dt.datetime(2024, 1, 1, 10, 0)
