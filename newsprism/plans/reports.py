@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m
+from ..session import fresh_dir
 
 # Data-set bounds used by the dashboard range defaults (fixed values of the reference
 # data set; callers pass their own for other data).
@@ -439,15 +440,24 @@ def overview(
     """
     s, e = dashboard_range(as_of, start, end, data_start=data_start, data_end=data_end)
     trends = category_trends(exposures, news, start=s, end=e, exact=exact)
+    hot = hot_news(
+        exposures, news, as_of=as_of, hours=trending_hours,
+        min_impressions=trending_min_impressions, exact=exact,
+    )
+    return overview_of(trends, hot, period=(s, e))
+
+
+def overview_of(
+    trends: DataFrame, hot: DataFrame, *, period: tuple[dt.datetime, dt.datetime]
+) -> DataFrame:
+    """The R13 summary row from an R3 result over ``period`` and an R8 result."""
+    s, e = period
     totals = trends.agg(
         F.count_distinct("category").alias("total_categories"),
         F.coalesce(F.sum("impressions"), F.lit(0)).cast("long").alias("total_impressions"),
         F.coalesce(F.sum("clicks"), F.lit(0)).cast("long").alias("total_clicks"),
     )
-    trending = hot_news(
-        exposures, news, as_of=as_of, hours=trending_hours,
-        min_impressions=trending_min_impressions, exact=exact,
-    ).agg(F.count(F.lit(1)).alias("trending_news_count"))
+    trending = hot.agg(F.count(F.lit(1)).alias("trending_news_count"))
     both = totals.unionByName(trending, allowMissingColumns=True).agg(
         F.max("total_categories").alias("total_categories"),
         F.max("total_impressions").alias("total_impressions"),
@@ -472,18 +482,35 @@ def overview_sections(
     end: dt.datetime | str | None = None,
     trends_rows: int = 50,
     hot_rows: int = 5,
-    **kwargs,
+    data_start: dt.datetime = DATASET_START,
+    data_end: dt.datetime = DATASET_END,
+    trending_hours: float = 24,
+    trending_min_impressions: int = 50,
+    exact: bool = True,
 ) -> dict[str, DataFrame]:
     """The whole dashboard payload of R13: summary row, first ``trends_rows`` category-days
-    (R3 order), first ``hot_rows`` hot articles (R8) and, given a query log, R17 of the last day."""
-    s, e = dashboard_range(as_of, start, end, **{k: kwargs[k] for k in ("data_start", "data_end") if k in kwargs})
+    (R3 order), first ``hot_rows`` hot articles (R8) and, given a query log, R17 of the last day.
+
+    R3 and R8 run once for the page: both results are bounded (one row per category and day of
+    the range; at most 50 articles), so they are written to a fresh folder under the shared
+    checkpoint dir and the summary row and both sections read them from there, instead of each
+    section scanning the exposures again.
+    """
+    s, e = dashboard_range(as_of, start, end, data_start=data_start, data_end=data_end)
+    trends = _written(category_trends(exposures, news, start=s, end=e, exact=exact), "dashboard-trends")
+    hot = _written(
+        hot_news(
+            exposures, news, as_of=as_of, hours=trending_hours,
+            min_impressions=trending_min_impressions, exact=exact,
+        ),
+        "dashboard-hot",
+    )
     out = {
-        "summary": overview(exposures, news, as_of=as_of, start=start, end=end, **kwargs),
-        "category_trends": category_trends(exposures, news, start=s, end=e).limit(trends_rows),
-        "hot_news": hot_news(
-            exposures, news, as_of=as_of, hours=kwargs.get("trending_hours", 24),
-            min_impressions=kwargs.get("trending_min_impressions", 50),
-        ).limit(hot_rows),
+        "summary": overview_of(trends, hot, period=(s, e)),
+        "category_trends": trends.orderBy(
+            F.col("click_rate").desc(), "category", "date"
+        ).limit(trends_rows),
+        "hot_news": hot.orderBy(F.col("click_rate").desc(), "news_id").limit(hot_rows),
     }
     if query_log is not None:
         from .querylog import query_performance
@@ -492,6 +519,13 @@ def overview_sections(
     return out
 
 
+def _written(df: DataFrame, prefix: str) -> DataFrame:
+    """``df`` written once to a fresh folder under the shared checkpoint dir, read back."""
+    path = fresh_dir(df.sparkSession, prefix)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 # --------------------------------------------------------------------------- R14 / R15
 def recent(
     exposures: DataFrame, *, as_of: dt.datetime | str, hours: float = 1
