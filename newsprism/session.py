@@ -39,6 +39,8 @@ CLUSTER_CONF = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
+    # checkpoint() files (T5 copies its input once) are removed when the data goes out of scope
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 # A stateful streaming query keeps the shuffle partition count it first started with (it is

@@ -39,6 +39,13 @@ def _open(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def _remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete one of our own staging folders through Hadoop's FileSystem API (any storage)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def live_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of a keyed table without the NULL-key markers of emptied partitions."""
     return df.where(F.col(key[0]).isNotNull())
@@ -97,12 +104,23 @@ class KeyedTable:
             rows = incoming.dropDuplicates(self.key)
         stored = [c for c in incoming.columns if c not in set(drop)]
         rows = rows.select(*stored).withColumn(PART, self.partition)
+        staged: list[str] = []
+        try:
+            self._merge(rows, staged)
+        finally:
+            # the staging folders are only read by this upsert's jobs: once the table write has
+            # committed (or failed) nothing refers to them, so they do not pile up on storage
+            for path in staged:
+                _remove_dir(spark, path)
+
+    def _merge(self, rows: DataFrame, staged: list[str]) -> None:
+        spark = self.spark
         current = _open(spark, self.path)
         if current is None:
-            self._write(self._clustered(self._stage(rows)), mode="overwrite")
+            self._write(self._clustered(self._stage(rows, staged)), mode="overwrite")
             return
         # the collapsed batch feeds several branches of the merge below: compute it once
-        rows = self._stage(rows)
+        rows = self._stage(rows, staged)
         touched = rows.select(PART)
         if self.movable:
             keys = rows.select(*self.key)
@@ -125,14 +143,15 @@ class KeyedTable:
                 PART,
             )
             merged = merged.unionByName(markers.select(*current.columns))
-        self._write(self._clustered(self._stage(merged)), mode="overwrite", dynamic=True)
+        self._write(self._clustered(self._stage(merged, staged)), mode="overwrite", dynamic=True)
 
-    def _stage(self, df: DataFrame) -> DataFrame:
+    def _stage(self, df: DataFrame, staged: list[str]) -> DataFrame:
         """Write ``df`` once to a fresh staging folder under the shared checkpoint dir and read
         it back: the lineage is cut (the table is never read and overwritten by one job), and
         the clustering below samples and shuffles the staged files instead of re-running the
-        upstream plan."""
+        upstream plan. The folder is recorded in ``staged`` for removal after the upsert."""
         staging = fresh_dir(self.spark, "staging")
+        staged.append(staging)
         df.write.mode("overwrite").parquet(staging)
         return self.spark.read.parquet(staging)
 

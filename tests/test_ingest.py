@@ -120,3 +120,21 @@ def test_upsert_moving_the_last_row_out_of_a_partition(spark):
     # the emptied day can be filled again later
     out = K.upsert_exposures(spark, _exposures(spark, [("i8", "u", "n1", d1, 0, 0.0, 1)]), path, order=["seq"], drop=["seq"])
     assert sorted(r.impression_id for r in out.collect()) == ["i8", "i9"]
+
+
+def test_upsert_leaves_no_staging_folders(spark):
+    """An upsert's staging folders are removed once the table write is done."""
+    import os
+
+    from newsprism.session import shared_dir
+
+    def staging():
+        return {d for d in os.listdir(shared_dir(spark)) if d.startswith("staging-")}
+
+    before = staging()
+    ddl = "news_id string, category string, topic string, headline string, news_body string"
+    path = fresh_dir(spark, "news-staging")
+    K.upsert_news(spark, spark.createDataFrame([("n1", "a", "t", "h", "b")], ddl), path)
+    out = K.upsert_news(spark, spark.createDataFrame([("n1", "c", "t", "h2", "b2"), ("n2", "a", "t", "h", "b")], ddl), path)
+    assert sorted((r.news_id, r.category) for r in out.collect()) == [("n1", "c"), ("n2", "a")]
+    assert staging() == before
