@@ -121,23 +121,34 @@ class KeyedTable:
             return
         # the collapsed batch feeds several branches of the merge below: compute it once
         rows = self._stage(rows, staged)
-        touched = rows.select(PART)
+        # partition values as text: Spark may have inferred a DATE or INT type for the folders
+        part = F.col(PART).cast("string")
+        touched = rows.select(part.alias(PART))
         if self.movable:
             keys = rows.select(*self.key)
             touched = touched.unionByName(
-                current.select(*self.key, PART).join(keys, self.key, "left_semi").select(PART)
+                current.select(*self.key, PART).join(keys, self.key, "left_semi").select(part.alias(PART))
             )
-        touched = touched.distinct()
+        # one value per touched partition (bounded by the partition domain, not by the data);
+        # as literals they prune the scan of the table to those folders when it is planned
+        found = [r[0] for r in touched.distinct().collect()]
+        values = sorted(v for v in found if v is not None)
+        in_touched = part.isin(values)
+        if None in found:  # rows without a partition value live in the NULL partition
+            in_touched = in_touched | part.isNull()
         kept = (
             live_rows(current, self.key)
-            .join(touched, PART, "left_semi")
+            .where(in_touched)
+            .withColumn(PART, part)
             .join(rows.select(*self.key), self.key, "left_anti")
         )
-        merged = kept.unionByName(rows.select(*current.columns))
+        merged = kept.unionByName(rows.select(*current.columns).withColumn(PART, part))
         if self.movable:
             # a partition whose last row moved away must still be rewritten: give it one
             # marker row with NULL key columns (readers skip such rows)
-            emptied = touched.join(merged.select(PART).distinct(), PART, "left_anti")
+            emptied = spark.createDataFrame([(v,) for v in values], f"{PART} string").join(
+                merged.select(PART).distinct(), PART, "left_anti"
+            )
             markers = emptied.select(
                 *[F.lit(None).cast(f.dataType).alias(f.name) for f in current.schema if f.name != PART],
                 PART,

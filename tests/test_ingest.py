@@ -138,3 +138,14 @@ def test_upsert_leaves_no_staging_folders(spark):
     out = K.upsert_news(spark, spark.createDataFrame([("n1", "c", "t", "h2", "b2"), ("n2", "a", "t", "h", "b")], ddl), path)
     assert sorted((r.news_id, r.category) for r in out.collect()) == [("n1", "c"), ("n2", "a")]
     assert staging() == before
+
+
+def test_upsert_keeps_rows_without_a_time(spark):
+    """Rows with a NULL timestamp live in the NULL partition; a later upsert into that partition
+    keeps the rows already there."""
+    path = fresh_dir(spark, "test-null-part")
+    d1 = dt.datetime(2019, 6, 20, 10)
+    K.upsert_exposures(spark, _exposures(spark, [("i1", "u", "n1", None, 0, 0.0, 1), ("i2", "u", "n1", d1, 1, 2.0, 1)]), path, order=["seq"], drop=["seq"])
+    out = K.upsert_exposures(spark, _exposures(spark, [("i3", "u", "n1", None, 1, 4.0, 1)]), path, order=["seq"], drop=["seq"])
+    got = sorted((r.impression_id, r.timestamp, r.clicked) for r in out.collect())
+    assert got == [("i1", None, 0), ("i2", d1, 1), ("i3", None, 1)]
