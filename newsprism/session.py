@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -84,20 +84,26 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder on the shared storage named by ``spark.checkpoint.dir``.
 
     Lineage cuts, streaming checkpoints and keyed result tables all live below it, so they
-    survive the loss of any executor. Only when the setting is absent (local tests) do we pick
-    a fresh scratch folder and register it as the session's checkpoint dir.
+    survive the loss of any executor. The URI is kept as it is, scheme included. Without the
+    setting, a session whose master is local (tests) gets a fresh scratch folder as its
+    checkpoint dir; on a cluster that would be a different folder on every machine, so there
+    the missing setting is an error.
     """
     base = spark.sparkContext.getCheckpointDir()
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(
+                "spark.checkpoint.dir is not set: a cluster needs a folder that the driver and all "
+                "executors share"
+            )
         base = tempfile.mkdtemp(prefix="newsprism-ckpt-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir() or base
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-    base = base.removeprefix("file:")
-    return os.path.join(base, *parts) if parts else base
+    return "/".join([base.rstrip("/"), *parts])
 
 
 def fresh_dir(spark: SparkSession, prefix: str) -> str:

@@ -8,6 +8,7 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from newsprism import catalog
 from tests.compare import compare, duck
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -26,11 +27,12 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_sql():
-    missing = sorted(set(queries()) - set(SQL))
+    missing = sorted(set(catalog.QUERIES) - set(SQL))
     assert missing == []
+    assert set(catalog.QUERIES) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_oracle(spark, con, name):
     table = queries()[name](spark, SF).toArrow()
     want = con.sql(SQL[name]).to_arrow_table()
