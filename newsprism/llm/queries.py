@@ -6,6 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 
+# Vocabulary files of the installed public tokenizers (parameters, never copied here).
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
+WORD_TOKENIZER = "word_bpe_49k.json"
+
+
+def vocabulary_file(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wordpiece import count_tokens
+
+    return count_tokens(read_table(spark, sf_dir, "documents"), vocabulary_file(BYTE_RANKS))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    docs = read_table(spark, sf_dir, "documents")
+    return pack(spark, docs, tokenizer=vocabulary_file(WORD_TOKENIZER))
+
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_components
@@ -14,6 +37,8 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_token_counts": op5_token_counts,
+    "op6_packing": op6_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}
