@@ -102,15 +102,23 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
-    """(text, y) of the rows a model may learn from: labelled, and not held out.
-
-    Rows with a null id, a null label or null text are left out. Repeated label rows of one
-    document count once per distinct label.
+def labelled_sample(
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str, rows: int
+) -> DataFrame:
+    """(h, text, y) of at most ``rows`` labelled, not held-out documents of each class.
+
+    The sample is the rows with the smallest hash ``h`` of doc_id, so it is the same whatever the
+    partitioning; its ids are broadcast (``2 * rows`` at most), so no text is shuffled. Rows with
+    a null id, a label other than 0 and 1, or null text are left out.
     """
     y = (
-        labels.select("doc_id", F.col(target).cast("int").alias("y"))
-        .where(F.col("y").isin(0, 1) & ~held_out())
-        .distinct()
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y"))
+        .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+        .groupBy("doc_id")
+        .agg(F.min("y").alias("y"))
+        .withColumn("h", F.xxhash64("doc_id"))
     )
-    return docs.select("doc_id", "text").where("text is not null").join(y, "doc_id")
+    ids = y.where("y = 0").orderBy("h").limit(rows).unionByName(y.where("y = 1").orderBy("h").limit(rows))
+    ids = stored(spark, ids, "sample")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    return text.join(F.broadcast(ids), "doc_id").select("h", "text", "y")

@@ -17,6 +17,20 @@ def vocabulary_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return score_quality(spark, docs, labels)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return score_toxicity(spark, docs, labels)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wordpiece import count_tokens
 
@@ -37,6 +51,8 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
+    "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,

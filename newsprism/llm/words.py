@@ -45,9 +45,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 CHUNK = (2 << 20) + 1
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, document) of each word; words never cross documents."""
-    word = ~_SPACE[data]
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document) of each word; words never cross documents.
+
+    ``gap`` says which byte values separate words.
+    """
+    if not len(data):
+        return (np.zeros(0, np.int64),) * 3
+    word = ~gap[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets[:-1]] = True
     first = first[:-1]
