@@ -6,7 +6,8 @@ weighted by a chain over at most ``CHAIN`` tokens, trained by gradient ascent on
 labelled tokens (forward-backward over many chains at once, one array step a position).
 
 Token labels come from the document labels: in a toxic sample document a token is toxic when its
-hash or the hash of its first bytes occurs in significantly more toxic than other sample documents.
+hash or the hash of its first bytes is significantly more frequent in toxic than in other sample
+documents, counting each pair of neighbours once (so that copies of a document do not add up).
 Forward-backward marginals give every token's probability; a logistic curve over a document's
 largest marginal and its expected number of toxic tokens gives the score, and tokens with a
 marginal of one half or more give the offending character offsets.
@@ -56,7 +57,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
         cols.append(near)
     salted = [mix(c + np.uint64(k + 1)) >> np.uint64(64 - BITS) for k, c in enumerate(cols)]
     f = np.stack(salted, 1).astype(np.uint32) if len(h) else np.zeros((0, len(cols)), np.uint32)
-    return start, end, doc, f, cols[: 1 + len(STEMS)]
+    return start, end, doc, f, cols
 
 
 def chains(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,23 +111,27 @@ def marginals(e: np.ndarray, chain: np.ndarray, at: np.ndarray, trans: np.ndarra
     return (p[at, chain], count) if pairs else p[at, chain]
 
 
-def token_labels(cols: list[np.ndarray], doc: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether each token of the sample is toxic, from the labels ``y`` of the documents."""
-    n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
-    share = n1 / (n1 + n0)
-    out = np.zeros(len(doc), bool)
+def token_labels(cols: list[np.ndarray], near: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Whether each token of the sample is toxic. ``near``: hash of its neighbours; ``toxic``:
+    whether its document is labelled so."""
+    out = np.zeros(len(toxic), bool)
     for h in cols:
         value, at = np.unique(h, return_inverse=True)
-        seen = np.unique(at.astype(np.int64) * len(y) + doc)
-        word, of = seen // len(y), seen % len(y)
-        c1 = np.bincount(word, weights=y[of] == 1, minlength=len(value))
-        c = np.bincount(word, minlength=len(value)).astype(float)
-        c0 = c - c1
+        order = np.lexsort((near, at, toxic))
+        new = np.ones(len(order), bool)
+        new[1:] = (
+            (at[order][1:] != at[order][:-1]) | (near[order][1:] != near[order][:-1])
+            | (toxic[order][1:] != toxic[order][:-1])
+        )
+        once = order[new]
+        c1 = np.bincount(at[once], weights=toxic[once], minlength=len(value))
+        c0 = np.bincount(at[once], weights=~toxic[once], minlength=len(value))
+        c, share = c1 + c0, c1.sum() / max(1.0, c1.sum() + c0.sum())
         gain = c1 * np.log(np.maximum(c1, 1e-9) / (c * share)) + c0 * np.log(
             np.maximum(c0, 1e-9) / (c * (1 - share)))
-        marks = (gain >= EVIDENCE) & (c1 / n1 >= 20 * (c0 + 0.1) / n0)
+        marks = (gain >= EVIDENCE) & (c1 * max(1.0, c0.sum()) >= 20 * (c0 + 0.1) * max(1.0, c1.sum()))
         out |= marks[at]
-    return out & (y[doc] == 1)
+    return out & toxic
 
 
 def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> dict:
@@ -137,7 +142,8 @@ def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> dict:
         flat["curve"][2] = 30.0 if len(y) and y[0] == 1 else -30.0
         return flat
     _, _, doc, f, cols = tokens(data, offsets)
-    label = token_labels(cols, doc, y).astype(float)
+    near = mix(cols[-2] + np.uint64(3) * cols[-1])
+    label = token_labels(cols[: 1 + len(STEMS)], near, y[doc] == 1).astype(float)
     chain, at = chains(doc)
     of = doc[np.flatnonzero(at == 0)]  # document of each chain
     has = np.bincount(chain, weights=label) > 0
