@@ -50,11 +50,18 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_pii": op8_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
