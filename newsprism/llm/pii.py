@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, text_bytes, text_chunks
-from .words import range_hashes, word_spans
+from .words import NOT_ALNUM, range_hashes, word_spans
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -80,8 +80,6 @@ _BARE_AT = re.compile(rf"(?i)[ ]{{1,3}}(?:{_AT}|@)[ ]{{1,3}}")
 _BARE_DOT = re.compile(rf"(?i)[ ]{{1,3}}{_DOT}[ ]{{1,3}}")
 _BRACKET = re.compile(r"[\[({<]")
 
-_GAP = np.ones(256, bool)
-_GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def _hashes(names) -> np.ndarray:
@@ -219,7 +217,7 @@ def may_hide(texts: pa.Array) -> np.ndarray:
     """For each text which transducers could change it: 1 for digit names in a row, 2 for a dot
     name (supersets; the exact patterns decide)."""
     data, offsets = text_bytes(texts)
-    start, end, doc = word_spans(data, offsets, _GAP)
+    start, end, doc = word_spans(data, offsets, NOT_ALNUM)
     out = np.zeros(len(offsets) - 1, np.int64)
     if not len(start):
         return out

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, labelled_sample, map_batches, text_bytes, text_chunks
-from .words import mix, range_hashes, word_spans
+from .words import NOT_ALNUM, mix, range_hashes, word_spans
 
 BITS = 18
 CHAIN = 64
@@ -39,13 +39,11 @@ CHAINS = 6000  # training chains with a toxic token at most; and twice as many w
 STEMS = (4, 5, 6)
 EVIDENCE = 12.0  # log likelihood ratio from which a feature marks toxic tokens
 
-_GAP = np.ones(256, bool)
-_GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray):
     """(start, end, document, features) of each token; features has a column for each kind."""
-    start, end, doc = word_spans(data, offsets, _GAP)
+    start, end, doc = word_spans(data, offsets, NOT_ALNUM)
     h = range_hashes(data, start, end)
     cols = [h] + [range_hashes(data, start, np.minimum(end, start + k)) for k in STEMS]
     for k, step in ((4, 1), (5, -1)):  # the tokens before and after, within the document

@@ -74,11 +74,18 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((acc[end] - acc[start]) * q[start])
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+# For operators that look at letters only: tokens are runs of letters, digits and non-ASCII bytes.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def words(
+    data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word in order, word offsets by document)."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    start, end, doc = word_spans(data, offsets)
+    start, end, doc = word_spans(data, offsets, gap)
     return range_hashes(data, start, end), np.searchsorted(doc, np.arange(len(offsets)))
 
 
