@@ -63,6 +63,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(spark, docs, benchmark)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_join import near_duplicates
+
+    return near_duplicates(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_toxicity": op4_toxicity,
@@ -71,5 +77,6 @@ QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
