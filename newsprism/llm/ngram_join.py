@@ -16,10 +16,11 @@ Plan:
    straight to the documents, so no token's entries gather in one task.
 3. documents whose shared tokens reach t of their set remain (an ordinary document has few);
    the prefixes of these meet by token.
-4. links: first every document is compared with one pivot per prefix token, in rounds, and links
-   merge into components; then all pairs that share a prefix token and are not yet in one
-   component are compared. Every pair that the filters admit is compared unless its ends are
-   already connected, so components are exact and dense groups cost one comparison a member.
+4. links: in rounds, every document is compared with a few pivots of some of its prefix tokens,
+   and links merge into components; then all pairs that share a prefix token, at a place that
+   leaves room for enough common tokens, and are not yet in one component are compared. Every pair
+   that the filters admit is compared unless its ends are already connected, so components are
+   exact and dense groups cost a few comparisons a member.
 
 Results for odd rows: null, empty and word-less texts have the empty set and link with nothing;
 a null doc_id links with nothing and has a null component; repeated rows give repeated result
@@ -45,6 +46,7 @@ PART_TOKENS = 1_000_000  # tokens of one token partition
 PART_DOCS = 5_000  # documents of one document partition
 HOT_SHARE = 1_000  # a token in more than 1/HOT_SHARE of all documents is hot
 PIVOT_ROUNDS = 2
+PIVOTS = 8  # documents of a token's list that the others are compared with in a round
 
 DOC_ROWS = "doc_id long, n_shingles long, d1 long, d2 long, token long, held long"
 PACKED = "kind int, part int, docs binary, sizes binary, runs binary, lo binary, mid binary, df binary"
@@ -286,7 +288,13 @@ def shared_tokens(
 
 def jaccard_links(spark: SparkSession, s: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect exactly the documents connected by pairs of similarity >= num/den."""
-    post = s.select("id", "n", F.explode(F.slice("toks", F.lit(1), F.col("q"))).alias("t"))
+    post = s.select(
+        "id", "n", "q", (F.col("n") - F.size("toks")).alias("alone"),
+        F.posexplode(F.slice("toks", F.lit(1), F.col("q"))).alias("k", "t"),
+    ).select(
+        "id", "n", "t", (F.col("alone") + F.col("k")).alias("pos"),
+        ((F.col("k") < 2) | (F.col("q") - F.col("k") <= 2)).alias("few"),
+    )
 
     def verified(pairs: DataFrame) -> DataFrame:
         cols = ("n", "toks", "pre2")
@@ -299,6 +307,11 @@ def jaccard_links(spark: SparkSession, s: DataFrame, num: int, den: int) -> Data
         ).select("a", "b")
 
     sized = den * F.least("n", "m") >= num * F.greatest("n", "m")
+    # the first common token of a similar pair leaves room for enough common tokens after it
+    placed = sized & (
+        (den + num) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("mpos"))
+        >= num * (F.col("n") + F.col("m"))
+    )
     pair = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
     links = spark.createDataFrame([], "a long, b long")
     comp = None
@@ -306,24 +319,26 @@ def jaccard_links(spark: SparkSession, s: DataFrame, num: int, den: int) -> Data
         at = post.withColumn("c", F.col("id"))
         if comp is not None:
             at = post.join(comp, post.id == comp.node, "left").select(
-                "id", "n", "t", F.coalesce("component_id", "id").alias("c"))
-        at = stored(spark, at, "postings")
-        groups = at.groupBy("t").agg(
-            F.min("c").alias("lo"), F.max("c").alias("hi"),
-            F.min(F.struct(F.xxhash64("c", F.lit(r)), F.col("id").alias("other"),
-                           F.col("n").alias("m"), F.col("c").alias("oc"))).alias("p"),
-        ).where("lo <> hi")
-        groups = stored(spark, groups.select("t", "p.other", "p.m", "p.oc"), "pivots")
-        if groups.isEmpty():
-            break
+                *post.columns, F.coalesce("component_id", "id").alias("c"))
         if r < PIVOT_ROUNDS:
-            pairs = at.join(groups, "t").where(F.col("c") != F.col("oc")).where(sized)
+            at = stored(spark, at.where("few").drop("pos", "few"), "postings")
+            slot = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(PIVOTS)).alias("slot")
+            pivots = at.groupBy("t", slot).agg(F.min(F.struct(
+                F.xxhash64("id", F.lit(r)), F.col("id").alias("other"), F.col("n").alias("m"),
+                F.col("c").alias("oc"))).alias("p"))
+            pivots = stored(spark, pivots.select("t", "p.other", "p.m", "p.oc"), "pivots")
+            pairs = at.join(pivots, "t").where(F.col("c") != F.col("oc")).where(sized)
         else:
-            open_ = stored(spark, at.join(groups.select("t"), "t", "left_semi"), "open")
-            other = open_.select("t", F.col("id").alias("other"), F.col("n").alias("m"), F.col("c").alias("oc"))
-            pairs = open_.join(other, "t").where("c < oc").where(sized)
-        found = stored(spark, verified(pairs.select(*pair).distinct()), "links")
-        links = links.unionByName(found)
+            at = stored(spark, at.drop("few"), "postings")
+            split = at.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+            left = stored(spark, at.join(stored(spark, split.select("t"), "tokens"), "t", "left_semi"), "open")
+            other = left.select("t", F.col("id").alias("other"), F.col("n").alias("m"),
+                                F.col("pos").alias("mpos"), F.col("c").alias("oc"))
+            pairs = left.join(other, "t").where("c < oc").where(placed)
+        pairs = stored(spark, pairs.select(*pair).distinct(), "pairs")
+        if pairs.isEmpty():
+            continue
+        links = links.unionByName(stored(spark, verified(pairs), "links"))
         if r < PIVOT_ROUNDS:
             comp = stored(spark, components(spark, links), "components")
     return links
