@@ -25,7 +25,9 @@ from .common import map_batches, stored, text_chunks
 CAPACITY = 2048
 END_ID = 1
 GROUP_PIECES = 4096
-CACHE_WORDS = 1 << 19  # distinct words remembered by a worker
+TOGETHER = 64  # words encoded as one text
+CACHE_WORDS = 1 << 20  # distinct words remembered by a worker
+MARKS = ".,;:!?%&$#*|)]}\"-"
 CACHE_LENGTH = 64  # longer words are encoded each time
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -40,32 +42,71 @@ _encoders: dict[str, tuple] = {}
 class Encoder:
     """Token ids of whole texts (little-endian uint32), word by word.
 
-    Only for tokenizers that drop white space before cutting words (as the registered one does):
-    then no token reaches across a space, tab or line break, and equal words have equal ids.
+    Only for tokenizers that drop white space, and that cut letters and digits from marks before
+    merging (as the registered one does): then no token reaches across a space, tab or line break,
+    or from a letter to the marks behind it, case of ASCII letters does not matter, and the ids
+    of a text are those of its words and their trailing marks, each encoded once and remembered.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {"": b""}
+
+    def _learn(self, words: list[str]) -> None:
+        split = []
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if len(stem) == len(w) or not stem or not stem[-1].isalnum():
+                stem = w
+            marks = w[len(stem) :]
+            if stem.isascii() and stem.isalnum():
+                stem = stem.lower()
+            split.append((stem, marks))
+        stems = self.stems
+        new = [s for s in dict.fromkeys(x for pair in split for x in pair) if s not in stems]
+        # words of letters are encoded many at a time: each gives one id that ends a word
+        letters = [s for s in new if s.isalpha()]
+        groups = [letters[lo : lo + TOGETHER] for lo in range(0, len(letters), TOGETHER)]
+        for group, e in zip(groups, self._encoded([" ".join(g) for g in groups])):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group):  # else a word is not one run of letters to the tokenizer
+                raw, at = ids.tobytes(), 0
+                for s, end in zip(group, (4 * ends).tolist()):
+                    stems[s] = raw[at:end]
+                    at = end
+        new = [s for s in new if s not in stems]
+        for s, e in zip(new, self._encoded(new)):
+            stems[s] = np.array(e.ids, "<u4").tobytes()
+        for w, (stem, marks) in zip(words, split):
+            self.known[w] = stems[stem] + stems[marks]
+
+    def _encoded(self, texts: list[str]):
+        for lo in range(0, len(texts), 1024):
+            yield from self.tokenizer.encode_batch_fast(texts[lo : lo + 1024], add_special_tokens=False)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [
             (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts
         ]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
+        for kept in (self.known, self.stems):
+            if len(kept) > CACHE_WORDS:
+                kept.clear()
+                kept[""] = b""
         known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        new = [w for w in set().union(*split) if w not in known]
+        self._learn(new)
         out = [b"".join([known[w] for w in ws]) for ws in split]
         for w in new:
             if len(w) > CACHE_LENGTH:
                 del known[w]
+                self.stems.pop(w, None)
         return out
 
 
