@@ -17,6 +17,12 @@ def vocabulary_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extraction import main_text
+
+    return main_text(spark, read_table(spark, sf_dir, "pages"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score_quality
 
@@ -70,6 +76,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
