@@ -184,6 +184,60 @@ def _doc_part(doc: np.ndarray, parts: int) -> np.ndarray:
     return (mix(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
+def token_part(t: np.ndarray, parts: int) -> np.ndarray:
+    return (((t >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64)
+
+
+def token_name(t: np.ndarray, part) -> np.ndarray:
+    """What is left of a token once it is packed: its low bits and its partition."""
+    return (t & _LOW48) | ((np.asarray(part).astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(48))
+
+
+def shared_only(key, table: pa.Table, doc_parts: int) -> pa.Table:
+    """Of a token partition's entries those of tokens in two or more documents, dealt to document
+    partitions, with the document frequency; entries that are on their way there pass through."""
+    if key[0].as_py() == 1:
+        return table
+    doc, size, _ = _unpack(table)
+    token = _joined(table, "lo", np.uint32).astype(np.uint64)
+    token |= _joined(table, "mid", np.uint16).astype(np.uint64) << np.uint64(32)
+    order = np.lexsort((doc, token))
+    doc, size, token = doc[order], size[order], token[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
+    doc, size, token = doc[new], size[new], token[new]
+    _, group, df = np.unique(token, return_inverse=True, return_counts=True)
+    df = df[group]
+    keep = df > 1
+    if not keep.any():
+        return table.slice(0, 0)
+    token, doc, size, df = token_name(token[keep], key[1].as_py()), doc[keep], size[keep], df[keep]
+    order = np.argsort(doc, kind="stable")
+    doc = doc[order]
+    return pa.Table.from_batches(
+        [_pack(1, _doc_part(doc, doc_parts), doc, size[order], token[order], df[order])])
+
+
+def hot_tokens(spark: SparkSession, held: DataFrame, count: int):
+    """Broadcast (tokens, frequencies) of the tokens in more than 1/HOT_SHARE of the documents; at
+    most HOT_SHARE times the mean set size of them exist."""
+    hot = (
+        held.groupBy("token").agg(F.sum("held").alias("df"))
+        .where(F.col("df") > max(64, count // HOT_SHARE))
+    ).toPandas()
+    token = hot["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return spark.sparkContext.broadcast((token[order], hot["df"].to_numpy(np.int64)[order]))
+
+
+def is_in(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each of ``x`` is in the sorted values, its place there)."""
+    if not len(sorted_values):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
+    return sorted_values[at] == x, at
+
+
 def shared_tokens(
     spark: SparkSession, docs: DataFrame, sets: DataFrame, n: int, num: int, den: int
 ) -> DataFrame:
@@ -197,20 +251,7 @@ def shared_tokens(
         return spark.createDataFrame([], "id long, n long, toks array<long>, q int, pre2 array<long>")
     parts = max(16, -(-total // PART_TOKENS))
     doc_parts = max(16, -(-count // PART_DOCS))
-    # at most HOT_SHARE x (mean set size) tokens can be held by over 1/HOT_SHARE of the documents
-    hot = (
-        sets.where("token is not null").groupBy("token").agg(F.sum("held").alias("df"))
-        .where(F.col("df") > max(64, count // HOT_SHARE))
-    ).toPandas().sort_values("token")
-    hot_token = hot["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hot_token)
-    hot_all = spark.sparkContext.broadcast((hot_token[order], hot["df"].to_numpy(np.int64)[order]))
-
-    def token_part(t: np.ndarray) -> np.ndarray:
-        return (((t >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64)
-
-    def name(t: np.ndarray, part) -> np.ndarray:  # what is left of a token once it is packed
-        return (t & _LOW48) | ((np.asarray(part).astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(48))
+    hot_all = hot_tokens(spark, sets.where("token is not null"), count)
 
     def send(batches):
         hot_t, hot_df = hot_all.value
@@ -223,40 +264,17 @@ def shared_tokens(
             if not len(sent):
                 continue
             doc, size = own[rows][place], np.diff(at)[rows][place]
-            part = token_part(sent)
-            where = np.searchsorted(hot_t, sent)
-            is_hot = np.zeros(len(sent), bool)
-            if len(hot_t):
-                where = np.minimum(where, len(hot_t) - 1)
-                is_hot = hot_t[where] == sent
+            part = token_part(sent, parts)
+            is_hot, where = is_in(hot_t, sent)
             if is_hot.any():
                 yield _pack(1, _doc_part(doc[is_hot], doc_parts), doc[is_hot], size[is_hot],
-                            name(sent[is_hot], part[is_hot]), hot_df[where[is_hot]])
+                            token_name(sent[is_hot], part[is_hot]), hot_df[where[is_hot]])
             cold = ~is_hot
             if cold.any():
                 yield _pack(0, part[cold], doc[cold], size[cold], sent[cold], None)
 
     def counted(key, table):
-        if key[0].as_py() == 1:
-            return table
-        doc, size, _ = _unpack(table)
-        token = _joined(table, "lo", np.uint32).astype(np.uint64)
-        token |= _joined(table, "mid", np.uint16).astype(np.uint64) << np.uint64(32)
-        order = np.lexsort((doc, token))
-        doc, size, token = doc[order], size[order], token[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
-        doc, size, token = doc[new], size[new], token[new]
-        _, group, df = np.unique(token, return_inverse=True, return_counts=True)
-        df = df[group]
-        keep = df > 1
-        if not keep.any():
-            return table.slice(0, 0)
-        token, doc, size, df = name(token[keep], key[1].as_py()), doc[keep], size[keep], df[keep]
-        order = np.argsort(doc, kind="stable")
-        doc = doc[order]
-        return pa.Table.from_batches(
-            [_pack(1, _doc_part(doc, doc_parts), doc, size[order], token[order], df[order])])
+        return shared_only(key, table, doc_parts)
 
     def collected(key, table):
         doc, size, _ = _unpack(table)
