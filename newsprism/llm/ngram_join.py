@@ -382,3 +382,19 @@ def jaccard_components(
         "class_id", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")))
     out = member.join(comp, member.class_id == comp.node, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id"), "class_id")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, *, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: the one with the smallest
+    doc_id, and one row of those that share it. Rows with a null doc_id all stay."""
+    groups = jaccard_components(spark, docs, n=n, num=num, den=den)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = stored(spark, gone, "gone")
+    kept = docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
+    repeated = stored(
+        spark, groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+        .select(F.col("doc_id").alias("repeated_id")), "repeated")
+    if repeated.isEmpty():
+        return kept
+    several = kept.join(repeated, kept.doc_id == repeated.repeated_id, "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, kept.doc_id == repeated.repeated_id, "left_anti").unionByName(several)

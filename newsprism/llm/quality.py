@@ -163,3 +163,23 @@ def score_quality(
         "doc_id", held_out().alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_accepted(
+    spark: SparkSession, docs: DataFrame, source: DataFrame, labels: DataFrame, *,
+    target: str = "quality", sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5,
+) -> DataFrame:
+    """``docs`` without the rows scored below ``threshold`` by a model fitted on ``source`` and
+    ``labels``; rows are judged where they are read, all columns are kept."""
+    model = spark.sparkContext.broadcast(train(spark, source, labels, target, sample_rows))
+
+    def run(batches):
+        m = model.value
+        for batch in batches:
+            for lo, hi in text_chunks(batch):
+                part = batch.slice(lo, hi - lo)
+                value = np.array([margin(m, f) for f in features(*text_bytes(part.column("text")))])
+                p = 1 / (1 + np.exp(-np.clip(m["slope"] * value + m["shift"], -30, 30)))
+                yield part.filter(pa.array(p >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
