@@ -2,8 +2,8 @@
 
 Documents are sets of word shingles. Two sets with Jaccard similarity >= t share, under any global
 order of the tokens, at least one token among the first ``n - ceil(t n) + 1`` of each. Candidates
-must pass that filter under two orders (rarest first by exact document frequency; and by
-frequency class, then a random permutation) before their sets are compared.
+must pass that filter under two orders (rarest first by exact document frequency; and a random
+permutation, tokens of one document alone first) before their sets are compared.
 
 Plan:
 
@@ -16,11 +16,11 @@ Plan:
    straight to the documents, so no token's entries gather in one task.
 3. documents whose shared tokens reach t of their set remain (an ordinary document has few);
    the prefixes of these meet by token.
-4. links: in rounds, every document is compared with a few pivots of some of its prefix tokens,
-   and links merge into components; then all pairs that share a prefix token, at a place that
-   leaves room for enough common tokens, and are not yet in one component are compared. Every pair
-   that the filters admit is compared unless its ends are already connected, so components are
-   exact and dense groups cost a few comparisons a member.
+4. links: every document is first compared with a few pivots of some of its prefix tokens, and
+   links merge into components; then components that share a prefix token meet. The documents of
+   a component meet those of its smaller partners in tasks of bounded size, which put out one link
+   for each two components and nothing for a pair. Every pair that the filters admit is compared
+   unless its ends are already connected, so components are exact.
 
 Results for odd rows: null, empty and word-less texts have the empty set and link with nothing;
 a null doc_id links with nothing and has a null component; repeated rows give repeated result
@@ -45,8 +45,8 @@ BLOCK_BYTES = 8 << 20  # text of one packed block
 PART_TOKENS = 1_000_000  # tokens of one token partition
 PART_DOCS = 5_000  # documents of one document partition
 HOT_SHARE = 1_000  # a token in more than 1/HOT_SHARE of all documents is hot
-PIVOT_ROUNDS = 2
-PIVOTS = 8  # documents of a token's list that the others are compared with in a round
+PIVOTS = 2  # documents of a token's list that the others are compared with first
+COMPARE_DOCS = 2_000  # documents of one side in a comparing task
 
 DOC_ROWS = "doc_id long, n_shingles long, d1 long, d2 long, token long, held long"
 PACKED = "kind int, part int, docs binary, sizes binary, runs binary, lo binary, mid binary, df binary"
@@ -241,14 +241,14 @@ def is_in(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndar
 def shared_tokens(
     spark: SparkSession, docs: DataFrame, sets: DataFrame, n: int, num: int, den: int
 ) -> DataFrame:
-    """(id, n, toks, q, pre2) of documents whose shared tokens reach num/den of their set.
+    """(id, n, toks, q) of documents whose shared tokens reach num/den of their set.
 
-    toks: tokens in two or more documents, rarest first; q: how many of them are in the prefix;
-    pre2: the prefix under the second order.
+    toks: tokens in two or more documents, rarest first; q: how many of them are in the prefix
+    (tokens of one document alone come before them in either order).
     """
     total, count = sets.agg(F.sum("n_shingles"), F.count("n_shingles")).first()
     if not total:
-        return spark.createDataFrame([], "id long, n long, toks array<long>, q int, pre2 array<long>")
+        return spark.createDataFrame([], "id long, n long, toks array<long>, q int")
     parts = max(16, -(-total // PART_TOKENS))
     doc_parts = max(16, -(-count // PART_DOCS))
     hot_all = hot_tokens(spark, sets.where("token is not null"), count)
@@ -283,9 +283,7 @@ def shared_tokens(
         doc, size, token, df = doc[order], size[order], token[order], df[order]
         ids, first, count = np.unique(doc, return_index=True, return_counts=True)
         need = -(-size[first].astype(np.int64) * num // den)
-        out = {c: [] for c in ("id", "n", "toks", "q", "pre2")}
-        level = np.log2(df).astype(np.int64)
-        second = mix(token)
+        out = {c: [] for c in ("id", "n", "toks", "q")}
         for k in np.flatnonzero(count >= need).tolist():
             a = slice(first[k], first[k] + count[k])
             q = int(count[k] - need[k] + 1)
@@ -293,73 +291,127 @@ def shared_tokens(
             out["n"].append(int(size[first[k]]))
             out["toks"].append(token[a].view(np.int64))
             out["q"].append(q)
-            out["pre2"].append(token[a][np.lexsort((second[a], level[a]))[:q]].view(np.int64))
         schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("toks", pa.list_(pa.int64())),
-                            ("q", pa.int32()), ("pre2", pa.list_(pa.int64()))])
+                            ("q", pa.int32())])
         return pa.table([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, PACKED)
     answers = packed.groupBy("kind", "part").applyInArrow(counted, PACKED)
     return answers.groupBy("part").applyInArrow(
-        collected, "id long, n long, toks array<long>, q int, pre2 array<long>")
+        collected, "id long, n long, toks array<long>, q int")
 
 
-def jaccard_links(spark: SparkSession, s: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect exactly the documents connected by pairs of similarity >= num/den."""
-    post = s.select(
-        "id", "n", "q", (F.col("n") - F.size("toks")).alias("alone"),
-        F.posexplode(F.slice("toks", F.lit(1), F.col("q"))).alias("k", "t"),
-    ).select(
-        "id", "n", "t", (F.col("alone") + F.col("k")).alias("pos"),
-        ((F.col("k") < 2) | (F.col("q") - F.col("k") <= 2)).alias("few"),
-    )
+class _Set:
+    """A document in a comparing task; the sets are made when first needed."""
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        cols = ("n", "toks", "pre2")
-        left = s.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols])
-        right = s.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in cols])
-        both = pairs.join(left, "a").join(right, "b")
-        common = F.size(F.array_intersect("toks_a", "toks_b"))
-        return both.where(F.arrays_overlap("pre2_a", "pre2_b")).where(
-            den * common >= num * (F.col("n_a") + F.col("n_b") - common)
-        ).select("a", "b")
-
-    sized = den * F.least("n", "m") >= num * F.greatest("n", "m")
-    # the first common token of a similar pair leaves room for enough common tokens after it
-    placed = sized & (
-        (den + num) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("mpos"))
-        >= num * (F.col("n") + F.col("m"))
-    )
-    pair = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
-    links = spark.createDataFrame([], "a long, b long")
-    comp = None
-    for r in range(PIVOT_ROUNDS + 1):
-        at = post.withColumn("c", F.col("id"))
-        if comp is not None:
-            at = post.join(comp, post.id == comp.node, "left").select(
-                *post.columns, F.coalesce("component_id", "id").alias("c"))
-        if r < PIVOT_ROUNDS:
-            at = stored(spark, at.where("few").drop("pos", "few"), "postings")
-            slot = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(PIVOTS)).alias("slot")
-            pivots = at.groupBy("t", slot).agg(F.min(F.struct(
-                F.xxhash64("id", F.lit(r)), F.col("id").alias("other"), F.col("n").alias("m"),
-                F.col("c").alias("oc"))).alias("p"))
-            pivots = stored(spark, pivots.select("t", "p.other", "p.m", "p.oc"), "pivots")
-            pairs = at.join(pivots, "t").where(F.col("c") != F.col("oc")).where(sized)
+    def __init__(self, doc: int, comp: int, n: int, q: int, toks: np.ndarray):
+        self.id, self.comp, self.n, self.q, self.toks = doc, comp, n, q, toks
+
+    def __getattr__(self, name: str):
+        if name == "first":
+            value = set(self.toks[: self.q].tolist())
+        elif name == "second":  # the first tokens under the other order, a random permutation
+            order = np.argsort(mix(self.toks.view(np.uint64)), kind="stable")
+            value = set(self.toks[order[: self.q]].tolist())
+        elif name == "all":
+            value = set(self.toks.tolist())
         else:
-            at = stored(spark, at.drop("few"), "postings")
-            split = at.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-            left = stored(spark, at.join(stored(spark, split.select("t"), "tokens"), "t", "left_semi"), "open")
-            other = left.select("t", F.col("id").alias("other"), F.col("n").alias("m"),
-                                F.col("pos").alias("mpos"), F.col("c").alias("oc"))
-            pairs = left.join(other, "t").where("c < oc").where(placed)
-        pairs = stored(spark, pairs.select(*pair).distinct(), "pairs")
-        if pairs.isEmpty():
-            continue
-        links = links.unionByName(stored(spark, verified(pairs), "links"))
-        if r < PIVOT_ROUNDS:
-            comp = stored(spark, components(spark, links), "components")
-    return links
+            raise AttributeError(name)
+        setattr(self, name, value)
+        return value
+
+
+def similar(x: _Set, y: _Set, num: int, den: int) -> bool:
+    """Length filter, both prefix filters, then the sets themselves."""
+    if den * min(x.n, y.n) < num * max(x.n, y.n) or x.first.isdisjoint(y.first) or x.second.isdisjoint(y.second):
+        return False
+    common = len(x.all & y.all)
+    return den * common >= num * (x.n + y.n - common)
+
+
+def compared(spark: SparkSession, s: DataFrame, sides: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between the two sides of every key of ``sides(key, side, id, c)``: each document of
+    side 0 meets each of side 1, unless they are, or have just become, of one component; one link
+    for each two components. Sides of more than COMPARE_DOCS documents are cut into parts that
+    meet pairwise, so a task holds two parts at most; nothing is put out for a pair but its link."""
+    sides = stored(spark, sides, "sides")
+    size = sides.groupBy("key").agg(
+        F.sum((F.col("side") == 0).cast("int")).alias("a"), F.sum("side").alias("b"))
+    large = stored(spark, size.where(f"a > {COMPARE_DOCS} or b > {COMPARE_DOCS}").select(
+        "key", F.ceil(F.col("a") / COMPARE_DOCS).cast("int").alias("na"),
+        F.ceil(F.col("b") / COMPARE_DOCS).cast("int").alias("nb")), "large")
+    rows = sides.join(large, "key", "left")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rows = rows.withColumn("at", F.when(F.col("na").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
+        .when(F.col("side") == 0, F.transform(every("nb"), lambda j: F.struct(own("na").alias("i"), j.alias("j"))))
+        .otherwise(F.transform(every("na"), lambda i: F.struct(i.alias("i"), own("nb").alias("j")))))
+    rows = rows.select("key", F.explode("at").alias("at"), "side", "id", "c").select("key", "at.i", "at.j", "side", "id", "c")
+    buckets = max(1, -(-sides.count() // COMPARE_DOCS))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets))).join(s, "id")
+
+    def check(key, table):
+        names = ("key", "i", "j", "side", "id", "c", "n", "q")
+        key, i, j, side, doc, comp, n, q = (table.column(c).to_numpy() for c in names)
+        toks = table.column("toks").combine_chunks()
+        edge, flat = np.asarray(toks.offsets), toks.values.to_numpy()
+        order = np.lexsort((doc, side, j, i, key))
+        cut = np.flatnonzero(np.any([np.diff(x[order]) != 0 for x in (key, i, j)], axis=0)) + 1
+        a, b = [], []
+        for group in np.split(order, cut):
+            sets = [_Set(int(doc[k]), int(comp[k]), int(n[k]), int(q[k]), flat[edge[k] : edge[k + 1]]) for k in group.tolist()]
+            left = [x for x, k in zip(sets, group) if side[k] == 0]
+            right = [x for x, k in zip(sets, group) if side[k] == 1]
+            linked: set[tuple[int, int]] = set()
+            for x in left:
+                for y in right:
+                    if x.comp != y.comp and (x.comp, y.comp) not in linked and similar(x, y, num, den):
+                        linked.add((x.comp, y.comp))
+                        a.append(x.id)
+                        b.append(y.id)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return stored(spark, rows.groupBy("bucket").applyInArrow(check, "a long, b long"), "links")
+
+
+def jaccard_links(spark: SparkSession, s: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect exactly the documents connected by pairs of similarity >= num/den."""
+    post = stored(spark, s.select(
+        "id", "n", "q", F.posexplode(F.slice("toks", F.lit(1), F.col("q"))).alias("k", "t"),
+    ).select("id", "n", "t", ((F.col("k") < 8) | (F.col("q") - F.col("k") <= 2)).alias("few")), "postings")
+    # every document against a few pivots of some of its tokens
+    few = post.where("few")
+    slot = F.pmod(F.xxhash64("id", F.lit(0)), F.lit(PIVOTS)).alias("slot")
+    pivots = few.groupBy("t", slot).agg(
+        F.min(F.struct(F.xxhash64("id", F.lit(1)), F.col("id").alias("key"), F.col("n").alias("m"))).alias("p"))
+    pivots = stored(spark, pivots.select("t", "p.key", "p.m"), "pivots")
+    pairs = few.join(pivots, "t").where(
+        (F.col("id") != F.col("key")) & (den * F.least("n", "m") >= num * F.greatest("n", "m"))
+    ).select("key", "id").distinct()
+    pairs = stored(spark, pairs, "pairs")
+    one = pairs.select("key", F.lit(1).alias("side"), "id", F.col("id").alias("c"))
+    zero = pairs.select("key").distinct().select("key", F.lit(0).alias("side"), F.col("key").alias("id"), F.col("key").alias("c"))
+    links = compared(spark, s, one.unionByName(zero), num, den)
+    comp = stored(spark, components(spark, links), "components")
+    # then all components that share a prefix token: a large one meets its smaller partners
+    named = stored(spark, post.select("id", "t").join(comp, post.id == comp.node, "left").select(
+        "id", "t", F.coalesce("component_id", "id").alias("c")), "named")
+    held = named.select("t", "c").distinct()
+    split = stored(spark, held.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t"), "split")
+    held = stored(spark, held.join(split, "t", "left_semi"), "held")
+    met = held.join(held.withColumnRenamed("c", "d"), "t").where("c < d").select("c", "d").distinct()
+    member = stored(spark, named.select("id", "c").distinct(), "members")
+    sizes = stored(spark, member.groupBy("c").count(), "sizes")
+    met = met.join(sizes.select("c", F.col("count").alias("nc")), "c").join(
+        sizes.select(F.col("c").alias("d"), F.col("count").alias("nd")), "d")
+    big = F.col("nc") >= F.col("nd")
+    met = stored(spark, met.select(
+        F.when(big, F.col("c")).otherwise(F.col("d")).alias("key"),
+        F.when(big, F.col("d")).otherwise(F.col("c")).alias("small")), "met")
+    keys = stored(spark, met.select("key").distinct(), "keys")
+    zero = keys.join(member, keys.key == member.c).select("key", F.lit(0).alias("side"), "id", "c")
+    one = met.join(member, met.small == member.c).select("key", F.lit(1).alias("side"), "id", "c")
+    return links.unionByName(compared(spark, s, one.unionByName(zero), num, den))
 
 
 def jaccard_components(
