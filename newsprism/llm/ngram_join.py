@@ -431,7 +431,8 @@ def jaccard_components(
     comp = components(spark, jaccard_links(spark, s, num, den))
     comp = stored(spark, comp, "components")
     member = rows.join(classes, ["d1", "d2"], "left").withColumn(
-        "class_id", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")))
+        "class_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(),
+                           F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")))
     out = member.join(comp, member.class_id == comp.node, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id"), "class_id")
 
