@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from ..session import fresh_dir
 
 # Text handled at once inside a task, in bytes. Batches are cut to about this size, so the
-# working arrays of a task stay near 100 MB whatever the lengths of the documents; a single
-# longer document is handled alone.
-CHUNK_BYTES = 2 << 20
+# working arrays of a task stay at some tens of MB (and in the cache) whatever the lengths of the
+# documents; a single longer document is handled alone.
+CHUNK_BYTES = 1 << 19
 
 _made: list[tuple[SparkSession, str]] = []
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes, text_chunks
+from .common import CHUNK_BYTES, stored, text_bytes, text_chunks
 from .ngram_join import (
     HOT_SHARE, PACKED, PART_DOCS, PART_TOKENS, _doc_part, _joined, _pack, _unpack,
     hot_tokens, is_in, shared_only, token_name, token_part,
@@ -44,7 +44,8 @@ from .words import mix, powers
 
 LENGTH = 50
 KEY = 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+SORT_BYTES = 1 << 14  # fragments sorted in one suffix array, at least
 FRAGMENT_BYTES = 1 << 20  # fragment bytes of one partition, about
 
 _EXACT = np.random.default_rng(30).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -94,13 +95,27 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     return low[start], np.searchsorted(offsets, start, "right") - 1, start, end
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], column: str = "text"):
-    """Lists of (slice of a batch, its bytes and offsets) of about BLOCK_BYTES."""
+def _blocks(batches: Iterator[pa.RecordBatch]):
+    """Lists of (slice of a batch, its bytes and offsets) of about BLOCK_BYTES; the text is in
+    column ``text`` or, compressed, in ``z`` with its length in ``size``."""
     out, size = [], 0
     for batch in batches:
-        for lo, hi in text_chunks(batch, column):
+        packed = "z" in batch.schema.names
+        if packed:
+            sizes = batch.column("size").to_numpy()
+            cut = np.searchsorted(np.cumsum(sizes), np.arange(1, sizes.sum() // CHUNK_BYTES + 2) * CHUNK_BYTES, "right")
+            edges = np.unique(np.concatenate([[0], cut, [len(sizes)]])).tolist()
+            ranges = list(zip(edges[:-1], edges[1:]))
+        else:
+            ranges = text_chunks(batch)
+        for lo, hi in ranges:
             part = batch.slice(lo, hi - lo)
-            data, offsets = text_bytes(part.column(column))
+            if packed:
+                raw = b"".join(_unpacked(z, n) for z, n in zip(part.column("z").to_pylist(), sizes[lo:hi].tolist()))
+                data = np.frombuffer(raw, np.uint8)
+                offsets = np.concatenate([[0], np.cumsum(sizes[lo:hi])]).astype(np.int64)
+            else:
+                data, offsets = text_bytes(part.column("text"))
             out.append((part, data, offsets))
             size += len(data)
             if size >= BLOCK_BYTES:
@@ -218,7 +233,7 @@ def _send_intervals(doc: np.ndarray, start: np.ndarray, end: np.ndarray, doc_par
 
 def fragments(texts: DataFrame, length: int, parts: int, frag_parts: int, doc_parts: int, hot_all) -> DataFrame:
     """Distinct fragments with shared keys by key partition (kind 0), and intervals that a smaller
-    document of the same block removes at once (kind 1). ``texts``: doc_id, text, anchors."""
+    document of the same block removes at once (kind 1). ``texts``: doc_id, size, z, anchors."""
 
     def run(batches):
         hot, _ = hot_all.value
@@ -291,39 +306,30 @@ def fragments(texts: DataFrame, length: int, parts: int, frag_parts: int, doc_pa
 
 def smallest_documents(texts: list[bytes], least: list[int], length: int) -> list[np.ndarray]:
     """For every string of ``length`` bytes of every fragment the smallest document that holds it,
-    by the suffix array of all fragments together."""
-    symbols, frag_at = [], []
-    for t in texts:
-        frag_at.append(len(symbols))
-        symbols += [b + 2 for b in t]
-        symbols.append(1)  # ends a fragment
-    symbols.append(0)
-    joined = b"\0".join(texts)
-    out = [np.full(len(t) - length + 1, d, np.int64) for t, d in zip(texts, least)]
-    of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
-    before, group, low = None, [], 0
-
-    def close():
-        if len(group) > 1:
-            for f, x in group:
-                out[f][x] = low
-
-    for i in suffix_array(symbols):
-        if i >= len(of):
-            continue
-        f = int(of[i])
-        x = i - frag_at[f]
-        if x > len(texts[f]) - length:
-            continue
-        string = joined[i : i + length]
-        if string == before:
-            group.append((f, x))
-            low = min(low, least[f])
-        else:
-            close()
-            before, group, low = string, [(f, x)], least[f]
-    close()
-    return out
+    by the suffix array of all fragments together (strings of different keys differ, so the
+    fragments of several keys may be sorted at once)."""
+    sizes = np.array([len(t) + 1 for t in texts])
+    joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+    symbols = joined.astype(np.int64) + 2
+    symbols[np.cumsum(sizes) - 1] = 1  # ends a fragment
+    order = np.array(suffix_array([*symbols.tolist(), 0]))
+    # the suffixes that start a string of their fragment, in order
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    of = np.repeat(np.arange(len(texts)), sizes)
+    room = (starts + sizes - 1)[of] - np.arange(len(of))
+    order = order[order < len(of)]
+    order = order[room[order] >= length]
+    strings = np.lib.stride_tricks.sliding_window_view(joined, length)
+    same = np.zeros(len(order), bool)
+    for lo in range(1, len(order), 4096):
+        at = slice(lo, lo + 4096)
+        same[at] = (strings[order[at]] == strings[order[lo - 1 : lo - 1 + len(order[at])]]).all(1)
+    group = np.cumsum(~same) - 1
+    low = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(low, group, np.array(least, np.int64)[of[order]])
+    found = np.empty(len(of), np.int64)
+    found[order] = low[group]
+    return [found[a : a + n - length] for a, n in zip(starts.tolist(), sizes.tolist())]
 
 
 def compared(key, table: pa.Table, length: int, doc_parts: int) -> pa.Table:
@@ -355,10 +361,15 @@ def compared(key, table: pa.Table, length: int, doc_parts: int) -> pa.Table:
     alone = np.zeros(len(texts), bool)
     alone[[fs[0] for fs in by_key.values() if len(fs) == 1]] = True
     strings: dict[int, np.ndarray] = {}
-    for fs in by_key.values():
-        if len(fs) > 1:
-            found = smallest_documents([texts[f] for f in fs], [int(least[f]) for f in fs], length)
-            strings.update(zip(fs, found))
+    together: list[int] = []
+    total, keys = 0, [fs for fs in by_key.values() if len(fs) > 1]
+    for n, fs in enumerate(keys, 1):
+        together += fs
+        total += sum(len(texts[f]) for f in fs)
+        if total >= SORT_BYTES or n == len(keys):
+            found = smallest_documents([texts[f] for f in together], [int(least[f]) for f in together], length)
+            strings.update(zip(together, found))
+            together, total = [], 0
     whole = doc > least[frag]  # a smaller document holds the very same fragment
     out_doc, out_start, out_end = [doc[whole]], [start[whole]], [(start + size[frag])[whole]]
     rest = np.flatnonzero(~whole & ~alone[frag])
@@ -435,18 +446,8 @@ def removed_spans(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH)
     # a fragment has about 70 bytes for each 8 bytes of its key's name
     frag_parts = max(16, -(-shared * 9 // FRAGMENT_BYTES))
 
-    def open_(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                b = batch.slice(lo, 512)
-                text = [_unpacked(z, n) for z, n in zip(b.column("z").to_pylist(), b.column("size").to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(text, pa.binary()).cast(pa.string()), b.column("anchors")],
-                    names=["doc_id", "text", "anchors"])
-
     texts = _packed_text(docs).join(anchors, "doc_id")
-    packed = fragments(texts.mapInArrow(open_, "doc_id long, text string, anchors binary"),
-                       length, parts, frag_parts, doc_parts, hot)
+    packed = fragments(texts, length, parts, frag_parts, doc_parts, hot)
     cuts = packed.groupBy("kind", "part").applyInArrow(
         lambda key, table: compared(key, table, length, doc_parts), FRAGMENTS)
     cuts = stored(spark, cuts.groupBy("part").applyInArrow(

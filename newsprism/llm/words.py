@@ -42,7 +42,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0], _pow[1]
 
 
-CHUNK = (2 << 20) + 1
+CHUNK = (1 << 20) + 1
 
 
 def word_spans(
