@@ -234,6 +234,9 @@ def q_interest_timeline(spark, sf_dir):
     return R.interest_timeline(e, n, user=TIMELINE_USER)
 
 
+STATS_USER = "U7"  # has rising categories
+
+
 @register(
     "interest_stats",
     with_tables(
@@ -241,18 +244,18 @@ def q_interest_timeline(spark, sf_dir):
         f"""select category, total, occurrences, trend, {r6('average')} as average,
         case when row_number() over (order by average desc, category) <= 5
              then row_number() over (order by average desc, category) end as top_rank,
-        case when trend > 0 and row_number() over (order by trend > 0 desc, trend desc, category) <= 3
-             then row_number() over (order by trend > 0 desc, trend desc, category) end as rising_rank
+        case when trend > 0 and row_number() over (order by trend > 0 desc, trend desc, average desc, category) <= 3
+             then row_number() over (order by trend > 0 desc, trend desc, average desc, category) end as rising_rank
         from (select category, cast(sum(interest) as bigint) as total, count(*) as occurrences,
                      cast(arg_max(interest, "timestamp") - arg_min(interest, "timestamp") as bigint) as trend,
                      sum(interest) / greatest(count(*), 1) as average
-              from ({_TIMELINE_SQL}) tl group by category) s""",
+              from ({_TIMELINE_SQL.replace(TIMELINE_USER, STATS_USER)}) tl group by category) s""",
     ),
 )
 def q_interest_stats(spark, sf_dir):
-    """R7 over R6 for user U5 (order binding)."""
+    """R7 over R6 for a user with rising categories (order binding)."""
     e, n = _order(spark, sf_dir)
-    return R.interest_stats(R.interest_timeline(e, n, user=TIMELINE_USER))
+    return R.interest_stats(R.interest_timeline(e, n, user=STATS_USER))
 
 
 # --------------------------------------------------------------------------- R8
@@ -377,8 +380,10 @@ COLD_USER = "U_unknown"
     "recommend_cold_start",
     with_tables(
         "order",
-        f"select * from ({_hot_sql(HOT_ORDER['as_of'], HOT_ORDER['hours'], HOT_ORDER['min_impressions'])}) h "
-        "order by click_rate desc, news_id limit 10",
+        f"""select news_id, category, topic, headline, impressions as popularity,
+        cast(null as double) as predicted_interest
+        from ({_hot_sql(HOT_ORDER['as_of'], HOT_ORDER['hours'], HOT_ORDER['min_impressions'])}) h
+        order by click_rate desc, news_id limit 10""",
     ),
 )
 def q_recommend_cold_start(spark, sf_dir):
@@ -858,17 +863,17 @@ def q_read_news_tsv(spark, sf_dir):
     headers = {v: k for k, v in NEWS_TSV_COLUMNS.items()}
     path = fresh_dir(spark, "news-tsv")
     S.write_tsv(news.select(*[F.col(c).alias(headers[c]) for c in news.columns]), path)
-    return S.read_news_tsv(spark, path)
+    return S.read_news_tsv(spark, path).select(*news.columns)
 
 
 # --------------------------------------------------------------------------- streams W1 – W4, W8
 
 
-def _run_monitor(spark, sf_dir, name, *, news=None):
+def _run_monitor(spark, sf_dir, name):
     """Run monitor ``name`` as a real stream (file source, availableNow) into its keyed table."""
     stream = B.event_exposure_stream(spark, sf_dir)
     q, table = SR.start_monitor(
-        spark, stream, name, news=news, available_now=True,
+        spark, stream, name, available_now=True,
         table_path=fresh_dir(spark, f"{name}-table"), checkpoint=fresh_dir(spark, f"{name}-ckpt"),
         query_name=f"{name}_{fresh_dir(spark, 'q').rsplit('-', 1)[-1]}",
     )
@@ -991,9 +996,8 @@ _SENTIMENT_SQL = """case when {h} is null or {h} = '' then 0.0 else
 )
 def q_content_stream(spark, sf_dir):
     """W4 as a stream, enriched by a stream-static join with the articles (J4) + U1."""
-    news = B.event_news(spark, sf_dir)
-    partials = _run_monitor(spark, sf_dir, "content", news=news)
-    return _ntz(W.content_report(partials), "window_start", "window_end")
+    partials = _run_monitor(spark, sf_dir, "content")
+    return _ntz(W.content_report(partials, news=B.event_news(spark, sf_dir)), "window_start", "window_end")
 
 
 @register(
@@ -1145,10 +1149,10 @@ _QLOG_HOT_COUNT = (
         "order",
         f"""select 'category_trends' as query_type,
                '{{"end": "1997-03-31T00:00:00", "start": "1997-01-01T00:00:00"}}' as query_params,
-               cast({_QLOG_TRENDS_COUNT} as integer) as result_count, true as success, false as failed_with_message
+               cast({_QLOG_TRENDS_COUNT} as bigint) as result_count, true as success, false as failed_with_message
         union all
         select 'hot_news', '{{"as_of": "2001-08-01T00:00:00", "hours": 8760, "min_impressions": 4}}',
-               cast({_QLOG_HOT_COUNT} as integer), true, false
+               cast({_QLOG_HOT_COUNT} as bigint), true, false
         union all
         select 'missing_table', '{{}}', 0, false, true""",
     ),
@@ -1159,8 +1163,8 @@ def q_query_log_roundtrip(spark, sf_dir):
     e, n = _order(spark, sf_dir)
     log = QL.QueryLogger(spark, fresh_dir(spark, "query_logs"))
     log.timed("category_trends", lambda start, end: R.category_trends(e, n, start=start, end=end),
-              start=TRENDS_START, end=TRENDS_END).unpersist()
-    log.timed("hot_news", lambda **kw: R.hot_news(e, n, **kw), **HOT_ORDER).unpersist()
+              start=TRENDS_START, end=TRENDS_END)
+    log.timed("hot_news", lambda **kw: R.hot_news(e, n, **kw), **HOT_ORDER)
     try:
         log.timed("missing_table", lambda: spark.sql("select * from no_such_table_here"))
     except Exception:  # noqa: BLE001 - the failure is what gets logged
@@ -1193,15 +1197,82 @@ def q_category_trends_stored(spark, sf_dir):
     return R.category_trends(e, n, start=TRENDS_START, end=TRENDS_END)
 
 
+WIDE_CATEGORIES = [f"Brand#{i}" for i in range(1, 26)]
+
+
 @register(
     "interest_timeline_wide",
-    f"""select ts as "timestamp", cast(coalesce(columns(* exclude (ts)), 0) as bigint) from (
-      pivot (select date_trunc('day', e."timestamp") as ts, category, clicked
-             from ({ORDER_EXPOSURES}) e join ({ORDER_NEWS}) n on e.news_id = n.news_id
-             where e.user_id = '{TIMELINE_USER}' and category is not null)
-      on category using sum(clicked) group by ts) p""",
+    with_tables(
+        "order",
+        "select date_trunc('day', e.\"timestamp\") as \"timestamp\", "
+        + ", ".join(
+            f"cast(sum(case when category = '{c}' then clicked else 0 end) as bigint) as \"{c}\""
+            for c in WIDE_CATEGORIES
+        )
+        + f" from e join n on e.news_id = n.news_id where e.user_id = '{TIMELINE_USER}'"
+        " and category is not null group by 1",
+    ),
 )
 def q_interest_timeline_wide(spark, sf_dir):
     """R6 as the dashboard map: one row per day, one zero-filled column per category (pivot)."""
     e, n = _order(spark, sf_dir)
-    return R.interest_timeline(e, n, user=TIMELINE_USER, wide=True)
+    return R.interest_timeline(e, n, user=TIMELINE_USER, wide=True, categories=WIDE_CATEGORIES)
+
+
+@register(
+    "decorate_cold_start",
+    with_tables(
+        "order",
+        f"""with hot as (select news_id, category, topic, headline, impressions as popularity
+               from ({_hot_sql(HOT_ORDER['as_of'], HOT_ORDER['hours'], HOT_ORDER['min_impressions'])}) h
+               order by click_rate desc, news_id limit 10)
+        select *, cast(null as double) as predicted_interest, cast(0.5 as double) as relevance_score,
+               round(popularity / 100.0, 2) as category_affinity,
+               (select count(distinct category) from hot) as distinct_categories,
+               row_number() over (order by popularity desc, news_id) as rank
+        from hot""",
+    ),
+)
+def q_decorate_cold_start(spark, sf_dir):
+    """R12 over an R11 cold-start list (order binding)."""
+    e, n = _order(spark, sf_dir)
+    recs = R.recommend(
+        e, n, user=COLD_USER, as_of=HOT_ORDER["as_of"], cold_hours=HOT_ORDER["hours"],
+        cold_min_impressions=HOT_ORDER["min_impressions"],
+    )
+    return R.decorate_recommendations(recs)
+
+
+@register(
+    "load_tables",
+    with_tables("event", "select category, count(*) as exposures from e join n on e.news_id = n.news_id group by 1"),
+)
+def q_load_tables(spark, sf_dir):
+    """Both keyed tables written below one root (the exposures twice: a replay by key), opened
+    as views, and counted by category."""
+    root = fresh_dir(spark, "tables")
+    e = B.event_exposures(spark, sf_dir)
+    K.upsert_exposures(spark, e, f"{root}/exposure_logs")
+    K.upsert_exposures(spark, e, f"{root}/exposure_logs")
+    K.upsert_news(spark, B.event_news(spark, sf_dir), f"{root}/news")
+    t = S.load_tables(spark, root)
+    return t["exposure_logs"].join(t["news"], "news_id").groupBy("category").agg(F.count("*").alias("exposures"))
+
+
+@register(
+    "upsert_moved_keys",
+    with_tables(
+        "event",
+        f"""select impression_id, user_id, news_id,
+               case when clicked = 1 then "timestamp" + interval '1 day' else "timestamp" end as "timestamp",
+               clicked, dwell_time from e""",
+        names=("e",),
+    ),
+)
+def q_upsert_moved_keys(spark, sf_dir):
+    """K2 with keys that change partition: clicked exposures are sent again one day later."""
+    e = B.event_exposures(spark, sf_dir)
+    path = fresh_dir(spark, "exposure_logs")
+    K.upsert_exposures(spark, e, path)
+    moved = e.where("clicked = 1").withColumn("timestamp", F.col("timestamp") + F.expr("interval 1 day"))
+    return K.upsert_exposures(spark, moved, path).select(*_EXPOSURE_COLS)

@@ -77,9 +77,9 @@ PARTITION_COLUMN = "_part"
 
 
 def _partition_bound(value: dt.datetime | dt.date | str) -> Column:
-    """The bound as a time-partition value: ``yyyy-MM-dd`` cut to the partition's own length,
-    so it works for day, month or year partitions (``yyyy-MM-dd`` / ``yyyy-MM`` / ``yyyy``)."""
-    day = F.lit(as_datetime(value).strftime("%Y-%m-%d"))
+    """The bound as a time-partition value: ``yyyy-MM-dd-HH`` cut to the partition's own length,
+    so it works for hour, day, month or year partitions."""
+    day = F.lit(as_datetime(value).strftime("%Y-%m-%d-%H"))
     return day.substr(F.lit(1), F.length(_partition_text()))
 
 

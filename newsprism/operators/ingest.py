@@ -155,10 +155,10 @@ def latest_by_key(
 ) -> DataFrame:
     """Last-write-wins collapse: per key, the row that is greatest by ``order``.
 
-    Written as ``max(struct(order..., other columns...))`` per key: a hash aggregation with
-    map-side partial aggregation, so a key holding a large share of all rows is reduced in
-    every task before the shuffle (a ``row_number`` window would sort the whole key in one
-    task). Remaining columns act as the final tie-breaker, which makes the pick deterministic.
+    Written as ``max(struct(order..., other columns...))`` per key: an aggregation (by sorting,
+    as the structs hold text) with map-side partial aggregation, so a key holding a large share
+    of all rows is reduced in every task before the shuffle (a ``row_number`` window would sort
+    the whole key in one task). Remaining columns act as the final tie-breaker, which makes the pick deterministic.
     """
     keys = list(keys)
     order = list(order)

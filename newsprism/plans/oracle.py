@@ -18,7 +18,7 @@ from events
 
 EVENT_NEWS = """
 select concat('N', cast(doc_id as varchar)) as news_id, source as category, lang as topic,
-       substring(split_part(text, chr(10), 1), 1, 80) as headline, text as news_body
+       split_part(text, chr(10), 1) as headline, text as news_body
 from documents
 """
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import fresh_dir
 from ..functions import metrics as m
 
 
@@ -159,7 +160,10 @@ def encode_params(params: dict[str, Any]) -> str:
 
 
 def append_query_log(spark: SparkSession, rows: list[dict[str, Any]], path: str) -> None:
-    """K3: append query-log rows (one small driver-made batch) to the parquet log at ``path``."""
+    """K3: append query-log rows (one small driver-made batch) to the parquet log at ``path``.
+
+    Every append is a small file; :func:`compact_query_log` joins them now and then.
+    """
     df = spark.createDataFrame(
         [tuple(r.get(f.name) for f in schemas.QUERY_LOG.fields) for r in rows],
         schema=schemas.QUERY_LOG,
@@ -167,11 +171,27 @@ def append_query_log(spark: SparkSession, rows: list[dict[str, Any]], path: str)
     df.coalesce(1).write.mode("append").parquet(path)
 
 
+def compact_query_log(spark: SparkSession, path: str) -> int:
+    """Join the log's files: its rows are appended as a few large files, then the files they came
+    from are removed. Returns how many files were removed. Rows have a unique id, so a reader
+    that meets both copies (``QueryLogger.table``) keeps one of each."""
+    df = spark.read.schema(schemas.QUERY_LOG).parquet(path)
+    old = df.inputFiles()
+    if len(old) < 2:
+        return 0
+    df.dropDuplicates(["id"]).repartitionByRange("timestamp").write.mode("append").parquet(path)
+    for name in old:
+        p = spark._jvm.org.apache.hadoop.fs.Path(name)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False)
+    return len(old)
+
+
 class QueryLogger:
     """Time a report, count its rows, log the run (also failed ones) and return the result.
 
-    The result is cached before counting, so the caller reuses the computed rows instead of
-    running the plan a second time. Nested timed calls each write their own log row.
+    The rows are written once below the shared checkpoint dir, counted there and returned from
+    there: the plan runs once, a result of any size fits, and a lost executor loses nothing.
+    Nested timed calls each write their own log row.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -188,12 +208,15 @@ class QueryLogger:
             "timestamp": started,
         }
         try:
-            result = fn(**params).cache()
+            result = fn(**params)
+            path = fresh_dir(self.spark, "timed")
+            result.write.parquet(path)
+            result = self.spark.read.schema(result.schema).parquet(path)
             count = result.count()
         except Exception as exc:
             row.update(
                 execution_time=time.perf_counter() - t0, result_count=0, success=False,
-                error_message=str(exc)[:2000],
+                error_message=str(exc),
             )
             append_query_log(self.spark, [row], self.path)
             raise
@@ -205,4 +228,4 @@ class QueryLogger:
         return result
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(schemas.QUERY_LOG).parquet(self.path)
+        return self.spark.read.schema(schemas.QUERY_LOG).parquet(self.path).dropDuplicates(["id"])

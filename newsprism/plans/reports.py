@@ -159,16 +159,27 @@ def interest_timeline(
 
     Built as a pivot (one row per day, one column per category, missing cells 0), which is the
     map the dashboard draws; ``wide=False`` unpivots it back to ``(timestamp, category,
-    interest)``, so the zero-filled grid appears without a cross join. Without ``categories``
-    Spark looks up the user's distinct categories first (one small job, bounded by the
-    category domain).
+    interest)``, so the zero-filled grid appears without a cross join. The long form without
+    ``categories`` needs no lookup: the user's days and categories are gathered as one array a
+    user (bounded by the calendar and the category domain); the wide form needs ``categories``,
+    which name its columns.
     """
     e = exposures.where(F.col("user_id") == user)
     e = m.between_inclusive(e, "timestamp", start, end)
     j = e.join(news.select("news_id", "category"), "news_id").where(F.col("category").isNotNull())
     j = j.withColumn("timestamp", m.trunc_like("day", "timestamp", j))
     if categories is None:
-        categories = sorted(r[0] for r in j.select("category").distinct().collect())
+        if wide:
+            raise ValueError("the wide timeline needs the categories: they are its columns")
+        cells = j.groupBy("timestamp", "category").agg(F.sum("clicked").alias("v"))
+        days = cells.groupBy("timestamp").agg(F.map_from_entries(F.collect_list(
+            F.struct("category", F.coalesce("v", F.lit(0)).alias("v")))).alias("by"))
+        days = days.withColumn("all", F.collect_set(F.map_keys("by")).over(Window.partitionBy()))
+        domain = F.array_distinct(F.flatten("all"))
+        return days.withColumn("category", F.explode(domain)).select(
+            "timestamp", "category",
+            F.coalesce(F.col("by")[F.col("category")], F.lit(0)).cast("long").alias("interest"),
+        ).orderBy("timestamp", "category")
     grid = j.groupBy("timestamp").pivot("category", categories).agg(
         F.coalesce(F.sum("clicked"), F.lit(0)).cast("long")
     )
@@ -198,7 +209,10 @@ def interest_stats(timeline: DataFrame, *, top_n: int = 5, rising_n: int = 3) ->
     )
     stats = stats.withColumn("average", m.ratio("total", "occurrences"))
     top = F.row_number().over(Window.orderBy(F.col("average").desc(), "category")).cast("long")
-    rising_order = Window.orderBy((F.col("trend") > 0).desc(), F.col("trend").desc(), "category")
+    # the rising list is a stable re-sort of the list by average: ties go by average, then name
+    rising_order = Window.orderBy(
+        (F.col("trend") > 0).desc(), F.col("trend").desc(), F.col("average").desc(), "category"
+    )
     rising = F.row_number().over(rising_order).cast("long")
     return (
         stats.withColumn("top_rank", F.when(top <= top_n, top))
@@ -227,9 +241,7 @@ def hot_news(
     """
     as_of = m.as_datetime(as_of)
     cutoff = as_of - dt.timedelta(hours=hours)
-    e = exposures.where(F.col("timestamp") >= m.ts_literal(exposures, "timestamp", cutoff))
-    if bounded:
-        e = e.where(F.col("timestamp") <= m.ts_literal(exposures, "timestamp", as_of))
+    e = m.between_inclusive(exposures, "timestamp", cutoff, as_of if bounded else None)
     per_news = (
         e.groupBy("news_id")
         .agg(
@@ -298,9 +310,7 @@ def recommend_for_preferences(
     candidate articles by a semi join before the per-article aggregation. ``until``
     optionally ignores exposures after that time (off by default).
     """
-    e = exposures
-    if until is not None:
-        e = e.where(F.col("timestamp") <= m.ts_literal(e, "timestamp", until))
+    e = m.between_inclusive(exposures, "timestamp", None, until)
     articles = news.select("news_id", "category", "topic", "headline")
     if preferences is None:
         prefs = user_preferences(e, news, user=user)
@@ -337,9 +347,7 @@ def preference_pairs(
     exposures: DataFrame, news: DataFrame, *, user: str, until: dt.datetime | str | None = None
 ) -> list[tuple[str, str]]:
     """The user's R9 (category, topic) pairs on the driver: one job, at most 5 rows."""
-    e = exposures
-    if until is not None:
-        e = e.where(F.col("timestamp") <= m.ts_literal(e, "timestamp", until))
+    e = m.between_inclusive(exposures, "timestamp", None, until)
     return [(r["category"], r["topic"]) for r in user_preferences(e, news, user=user).collect()]
 
 
@@ -357,19 +365,24 @@ def recommend(
     """R10 with the R11 cold start: a user without preferences (no clicked article) gets the
     current hot news.
 
-    The user's top-5 preferences are fetched first (a bounded job); when there are none the
-    cold-start branch returns R8's columns (as the reference does), cut to ``limit``;
-    otherwise they are handed to R10 as literals, so the user's clicks are not scanned twice.
+    The user's top-5 preferences are fetched first (a bounded job); they are handed to R10 as
+    literals, so the user's clicks are not scanned twice. Both branches have R10's columns; a
+    cold-start row has its impressions as ``popularity`` and no ``predicted_interest`` (use
+    :func:`recommend_cold_start` for all of R8's columns).
     """
     prefs = preference_pairs(exposures, news, user=user, until=until)
     if prefs:
         return recommend_for_preferences(
             exposures, news, user=user, limit=limit, until=until, preferences=prefs
         )
-    return recommend_cold_start(
+    cold = recommend_cold_start(
         exposures, news, as_of=as_of, limit=limit, hours=cold_hours,
         min_impressions=cold_min_impressions,
     )
+    return cold.select(
+        "news_id", "category", "topic", "headline", F.col("impressions").alias("popularity"),
+        F.lit(None).cast("double").alias("predicted_interest"),
+    )
 
 
 def recommend_cold_start(
@@ -394,8 +407,8 @@ def decorate_recommendations(recs: DataFrame) -> DataFrame:
     number of categories in the list, and ``rank`` the 1-based position.
     """
     everything = Window.partitionBy()
-    order = Window.orderBy(F.col("predicted_interest").desc(), F.col("popularity").desc(), "news_id")
     p = F.col("predicted_interest")
+    order = Window.orderBy(p.desc_nulls_last(), F.col("popularity").desc(), "news_id")
     return (
         recs.withColumn("relevance_score", F.when(p.isNull() | (p == 0), F.lit(0.5)).otherwise(p))
         .withColumn("category_affinity", F.round(F.col("popularity") / 100.0, 2))

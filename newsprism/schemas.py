@@ -52,7 +52,7 @@ QUERY_LOG = T.StructType(
         T.StructField("query_type", T.StringType()),
         T.StructField("query_params", T.StringType()),
         T.StructField("execution_time", T.DoubleType()),
-        T.StructField("result_count", T.IntegerType()),
+        T.StructField("result_count", T.LongType()),
         T.StructField("timestamp", T.TimestampType()),
         T.StructField("success", T.BooleanType()),
         T.StructField("error_message", T.StringType()),

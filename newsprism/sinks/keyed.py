@@ -1,54 +1,110 @@
 """Keyed parquet tables: insert-or-replace by primary key (K1, K2, K7).
 
-Parquet has no MERGE, so an upsert rewrites only the partitions it touches:
-
-1. collapse the incoming rows to one per key (last write wins, T6) and stage them once
-   (a written folder under the shared checkpoint dir), since several branches read them;
-2. find the touched partitions: those of the incoming rows and, if rows may move between
-   partitions, those where the incoming keys live today (a key-only, column-pruned scan);
-3. ``existing ⟕̸ incoming`` (anti join on the key) ∪ incoming, for the touched partitions
-   only, is written to a second staging folder (this cuts the lineage, so the table is never
-   read and overwritten by the same job);
-4. the staged rows, range-clustered by (partition, key), replace the table's touched
-   partitions (dynamic partition overwrite).
-
-Every step is a plain Spark job; a replay of the same batch gives the same table (idempotent),
-which is what makes micro-batch retries after an executor loss safe.
+Parquet has no MERGE. An upsert only appends: the rows of a batch (collapsed to one per key, last
+write wins, T6) go to a folder of their own, ``_batch=<number>.<name>/_part=<partition>``, and no
+existing file is read for the data or rewritten. Readers resolve: of the rows with one key in one
+partition the one of the last batch counts.
+
+* **Replay.** A micro-batch names its folder after the stream and the epoch; a replay finds that
+  folder and overwrites it as a whole, so a write that failed midway loses nothing. A folder
+  counts once its ``_SUCCESS`` file is there.
+* **Keys that change partition** (``movable=True``: a record's time was corrected). A key index
+  (``_keys``, sorted by hash buckets of the key, appended to like the table) says where a key has
+  been; of it only the buckets of the batch's keys are read. The batch writes a tombstone row into every
+  other partition the key has been in, so a reader that prunes partitions by time never sees the
+  stale row.
+* **Compaction.** :meth:`KeyedTable.compact` writes the resolved rows as one new batch and then
+  removes the older ones, oldest first (a stale row goes before its tombstone), a plain Spark job
+  to be run now and then; ``compact_every`` runs it from a stream.
+* **New columns** of later batches are kept (older rows read as NULL there).
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.ingest import latest_by_key
 from ..session import fresh_dir
 
 PART = "_part"
+BATCH = "_batch"
+DELETED = "_deleted"
+KEY_BUCKETS = 1024
 
 
-def _open(spark: SparkSession, path: str) -> DataFrame | None:
-    """The parquet table at ``path``, or None when nothing was written there yet (resolving it
-    lists the folders once; the caller reuses the relation instead of listing again)."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def _remove_dir(spark: SparkSession, path: str) -> None:
-    """Delete one of our own staging folders through Hadoop's FileSystem API (any storage)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def live_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows of a keyed table without the NULL-key markers of emptied partitions."""
-    return df.where(F.col(key[0]).isNotNull())
+    """Delete one of our own folders through Hadoop's FileSystem API (any storage)."""
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+def _batch_dirs(spark: SparkSession, path: str, *, all_dirs: bool = False) -> list[str]:
+    """Names of the finished batch folders of a table, in order (one per batch since the last
+    compaction); ``all_dirs`` also lists those whose write has not finished."""
+    p, fs = _path(spark, path)
+    if not fs.exists(p):
+        return []
+    found = []
+    for status in fs.listStatus(p):
+        name = status.getPath().getName()
+        if name.startswith(f"{BATCH}=") and (
+            all_dirs or fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
+        ):
+            found.append(name)
+    return sorted(found)
+
+
+def _holds_rows(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return any(not s.getPath().getName().startswith(("_SUCCESS", ".")) for s in fs.listStatus(p))
+
+
+class _BatchLog:
+    """Batches of rows below ``path``: append, replay by name, read with the batch as a column."""
+
+    def __init__(self, spark: SparkSession, path: str, partition: str | None = None):
+        self.spark, self.path, self.partition = spark, path.rstrip("/"), partition
+
+    def folder(self, name: str) -> str:
+        """The folder of batch ``name``: the one it has (a replay), else the next number."""
+        dirs = _batch_dirs(self.spark, self.path, all_dirs=True)
+        for d in dirs:
+            if d.split(".", 1)[1] == name:
+                return d
+        last = int(dirs[-1].removeprefix(f"{BATCH}=").split(".", 1)[0]) if dirs else 0
+        return f"{BATCH}={last + 1:012d}.{name}"
+
+    def write(self, df: DataFrame, folder: str, **options: str) -> None:
+        to = f"{self.path}/{folder}"
+        writer = df.write.mode("overwrite").options(**options)
+        if self.partition:
+            writer = writer.partitionBy(self.partition)
+        writer.parquet(to)
+        if not _holds_rows(self.spark, to):
+            _remove_dir(self.spark, to)
+
+    def read(self, *, without: str | None = None) -> DataFrame | None:
+        dirs = [d for d in _batch_dirs(self.spark, self.path) if d != without]
+        if not dirs:
+            return None
+        reader = self.spark.read.option("basePath", self.path)
+        if len(dirs) > 1:
+            reader = reader.option("mergeSchema", "true")
+        df = reader.parquet(*[f"{self.path}/{d}" for d in dirs])
+        if not self.partition:
+            return df
+        # partition values as text: Spark may infer a DATE or INT type for the folders
+        return df.withColumn(self.partition, F.col(self.partition).cast("string"))
 
 
 class KeyedTable:
@@ -56,8 +112,9 @@ class KeyedTable:
 
     ``partition`` is a column expression over the row (e.g. the event date, or a hash bucket
     of the key); it is stored as column ``_part``. ``movable=False`` promises that a key never
-    changes partition (true when the partition derives from the key or from an immutable
-    event time), which skips the key lookup of step 2.
+    changes partition (true when the partition derives from the key), which saves the key index.
+    Files are sorted by ``sort`` (the key by default) within a partition, so parquet min/max
+    statistics prune lookups by it; columns in ``bloom`` get a parquet bloom filter.
     """
 
     def __init__(
@@ -68,21 +125,41 @@ class KeyedTable:
         partition: Column,
         *,
         movable: bool = True,
+        sort: Sequence[str] = (),
+        bloom: Sequence[str] = (),
     ):
         self.spark = spark
         self.path = path
         self.key = list(key)
         self.partition = partition
         self.movable = movable
+        self.sort = [*sort, *[k for k in key if k not in sort]]
+        self.options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}
+        self.rows = _BatchLog(spark, path, PART)
+        self.keys = _BatchLog(spark, f"{path.rstrip('/')}/_keys")
 
     def exists(self) -> bool:
-        return _open(self.spark, self.path) is not None
+        return bool(_batch_dirs(self.spark, self.path))
 
     def read(self, *, keep_partition: bool = False) -> DataFrame:
         """The table; ``keep_partition`` keeps ``_part`` so time filters can prune folders."""
-        df = live_rows(self.spark.read.parquet(self.path), self.key)
+        df = self._resolved()
+        if df is None:
+            raise ValueError(f"no table at {self.path}")
         return df if keep_partition else df.drop(PART)
 
+    def _resolved(self) -> DataFrame | None:
+        df = self.rows.read()
+        if df is None:
+            return None
+        if len(_batch_dirs(self.spark, self.path)) > 1:
+            # by key and partition, so a filter on the partition reaches the scan
+            last = Window.partitionBy(*self.key, PART).orderBy(F.col(BATCH).desc())
+            df = df.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth")
+        if DELETED in df.columns:
+            df = df.where(~F.coalesce(F.col(DELETED), F.lit(False))).drop(DELETED)
+        return df.drop(BATCH)
+
     def upsert(
         self,
         incoming: DataFrame,
@@ -90,98 +167,76 @@ class KeyedTable:
         order: Sequence[str] = (),
         drop: Sequence[str] = (),
         unique: bool = False,
+        name: str | None = None,
     ) -> None:
         """Insert-or-replace ``incoming`` rows by key; within the batch the last by ``order``
         wins (all columns break ties). Columns in ``drop`` (arrival helpers) are not stored.
         ``unique=True`` declares the batch keys already unique (e.g. an aggregation's output)
-        and skips the collapse and its shuffle."""
-        spark = self.spark
-        if unique:
-            rows = incoming
-        elif order:
-            rows = latest_by_key(incoming, self.key, order)
-        else:
-            rows = incoming.dropDuplicates(self.key)
-        stored = [c for c in incoming.columns if c not in set(drop)]
-        rows = rows.select(*stored).withColumn(PART, self.partition)
+        and skips the collapse and its shuffle. A batch with the ``name`` of an earlier one
+        replaces it."""
+        rows = incoming if unique else latest_by_key(incoming, self.key, order)
+        kept = [c for c in incoming.columns if c not in set(drop)]
+        rows = rows.select(*kept).withColumn(PART, self.partition.cast("string"))
+        folder = self.rows.folder(name or f"u{uuid.uuid4().hex[:12]}")
         staged: list[str] = []
         try:
-            self._merge(rows, staged)
-        finally:
-            # the staging folders are only read by this upsert's jobs: once the table write has
-            # committed (or failed) nothing refers to them, so they do not pile up on storage
+            if self.movable:
+                rows = self._with_tombstones(rows, folder, staged)
+            self.rows.write(self._clustered(rows), folder, **self.options)
+        except Exception:
+            raise  # the batch has no _SUCCESS: it does not count, and a replay writes it anew
+        else:
             for path in staged:
-                _remove_dir(spark, path)
+                _remove_dir(self.spark, path)
 
-    def _merge(self, rows: DataFrame, staged: list[str]) -> None:
+    def _with_tombstones(self, rows: DataFrame, folder: str, staged: list[str]) -> DataFrame:
+        """The rows, and a deleted row in every other partition that a key has been in. The index
+        is written before the rows and every partition it names gets a tombstone, so a failure
+        between the two writes can only cause a tombstone too many."""
         spark = self.spark
-        current = _open(spark, self.path)
-        if current is None:
-            self._write(self._clustered(self._stage(rows, staged)), mode="overwrite")
-            return
-        # the collapsed batch feeds several branches of the merge below: compute it once
-        rows = self._stage(rows, staged)
-        # partition values as text: Spark may have inferred a DATE or INT type for the folders
-        part = F.col(PART).cast("string")
-        touched = rows.select(part.alias(PART))
-        if self.movable:
-            keys = rows.select(*self.key)
-            touched = touched.unionByName(
-                current.select(*self.key, PART).join(keys, self.key, "left_semi").select(part.alias(PART))
-            )
-        # one value per touched partition (bounded by the partition domain, not by the data);
-        # as literals they prune the scan of the table to those folders when it is planned
-        found = [r[0] for r in touched.distinct().collect()]
-        values = sorted(v for v in found if v is not None)
-        in_touched = part.isin(values)
-        if None in found:  # rows without a partition value live in the NULL partition
-            in_touched = in_touched | part.isNull()
-        kept = (
-            live_rows(current, self.key)
-            .where(in_touched)
-            .withColumn(PART, part)
-            .join(rows.select(*self.key), self.key, "left_anti")
-        )
-        merged = kept.unionByName(rows.select(*current.columns).withColumn(PART, part))
-        if self.movable:
-            # a partition whose last row moved away must still be rewritten: give it one
-            # marker row with NULL key columns (readers skip such rows)
-            emptied = spark.createDataFrame([(v,) for v in values], f"{PART} string").join(
-                merged.select(PART).distinct(), PART, "left_anti"
-            )
-            markers = emptied.select(
-                *[F.lit(None).cast(f.dataType).alias(f.name) for f in current.schema if f.name != PART],
-                PART,
-            )
-            merged = merged.unionByName(markers.select(*current.columns))
-        self._write(self._clustered(self._stage(merged, staged)), mode="overwrite", dynamic=True)
-
-    def _stage(self, df: DataFrame, staged: list[str]) -> DataFrame:
-        """Write ``df`` once to a fresh staging folder under the shared checkpoint dir and read
-        it back: the lineage is cut (the table is never read and overwritten by one job), and
-        the clustering below samples and shuffles the staged files instead of re-running the
-        upstream plan. The folder is recorded in ``staged`` for removal after the upsert."""
-        staging = fresh_dir(self.spark, "staging")
-        staged.append(staging)
-        df.write.mode("overwrite").parquet(staging)
-        return self.spark.read.parquet(staging)
+        path = fresh_dir(spark, "staging")
+        staged.append(path)
+        rows.write.parquet(path)
+        rows = spark.read.schema(rows.schema).parquet(path)
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(KEY_BUCKETS)).cast("int")
+        own = rows.select(*self.key, PART, bucket.alias("_bucket"))
+        index = self.keys.read(without=folder)
+        rows = rows.withColumn(DELETED, F.lit(False))
+        if index is not None:
+            # one value per bucket (KEY_BUCKETS at most): as literals they prune the index files,
+            # which are sorted by bucket, by their min/max statistics
+            touched = [r[0] for r in own.select("_bucket").distinct().collect()]
+            known = index.where(F.col("_bucket").isin(touched)).select(*self.key, F.col(PART).alias("_was")).distinct()
+            moved = known.join(own.drop("_bucket"), self.key).where(~F.col("_was").eqNullSafe(F.col(PART)))
+            stones = moved.select(*self.key, F.col("_was").alias(PART), F.lit(True).alias(DELETED))
+            rows = rows.unionByName(stones, allowMissingColumns=True)
+        self.keys.write(own.repartitionByRange("_bucket").sortWithinPartitions("_bucket"), folder)
+        return rows
 
     def _clustered(self, df: DataFrame) -> DataFrame:
-        """Range-partition by (partition, key): a large partition value is split over several
-        tasks by the sampled key ranges (no single task holds a whole day or a hot bucket),
-        and keys are sorted within files, so parquet min/max statistics prune key lookups."""
-        return df.repartitionByRange(F.col(PART), *[F.col(k) for k in self.key]).sortWithinPartitions(
-            PART, *self.key
-        )
-
-    def _write(self, df: DataFrame, *, mode: str, dynamic: bool = False) -> None:
-        # per-write option, not a session setting: concurrent upserts do not interfere
-        (
-            df.write.mode(mode)
-            .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
-            .partitionBy(PART)
-            .parquet(self.path)
-        )
+        """Range-partition by (partition, sort columns): a large partition value is split over
+        several tasks by the sampled ranges (no single task holds a whole day or a hot bucket),
+        and rows are sorted within files."""
+        by = [F.col(PART), *[F.col(c) for c in self.sort]]
+        return df.repartitionByRange(*by).sortWithinPartitions(*by)
+
+    def compact(self) -> None:
+        """Write the resolved table as one new batch, then remove the older batches."""
+        old = _batch_dirs(self.spark, self.path)
+        if len(old) < 2:
+            return
+        name = f"c{uuid.uuid4().hex[:12]}"
+        self.rows.write(self._clustered(self._resolved()), self.rows.folder(name), **self.options)
+        for d in old:
+            _remove_dir(self.spark, f"{self.path}/{d}")
+        index = self.keys.read()
+        if index is not None:
+            old = _batch_dirs(self.spark, self.keys.path)
+            merged = index.select(*self.key, PART, "_bucket").distinct()
+            merged = merged.repartitionByRange("_bucket").sortWithinPartitions("_bucket")
+            self.keys.write(merged, self.keys.folder(name))
+            for d in old:
+                _remove_dir(self.spark, f"{self.keys.path}/{d}")
 
 
 GRAIN_FORMATS = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
@@ -195,12 +250,13 @@ def exposure_table(
     return KeyedTable(
         spark, path, ("impression_id", "user_id", "news_id"),
         F.date_format(F.col("timestamp"), GRAIN_FORMATS[grain]), movable=movable,
+        sort=("news_id",), bloom=("user_id",),
     )
 
 
 def news_table(spark: SparkSession, path: str, *, buckets: int = 64) -> KeyedTable:
-    """K1 table: articles keyed by ``news_id``, hash-bucketed so an upsert rewrites only the
-    buckets its keys fall in (the bucket derives from the key, so keys never move)."""
+    """K1 table: articles keyed by ``news_id``, hash-bucketed (the bucket derives from the key, so
+    keys never move)."""
     return KeyedTable(
         spark, path, ("news_id",), F.pmod(F.xxhash64("news_id"), F.lit(buckets)), movable=False
     )
@@ -228,26 +284,24 @@ def upsert_exposures(
 def exposure_log(spark: SparkSession, path: str) -> DataFrame:
     """The stored exposure table for reports: keeps the time-partition column, so the range
     filters of the reports prune partitions (see ``metrics.between_inclusive``)."""
-    return live_rows(spark.read.parquet(path), ("impression_id",))
+    return exposure_table(spark, path).read(keep_partition=True)
 
 
 def upsert_batch_fn(
-    table: KeyedTable, *, order: Sequence[str] = (), drop: Sequence[str] = (), unique: bool = False
+    table: KeyedTable, *, stream: str, order: Sequence[str] = (), drop: Sequence[str] = (),
+    unique: bool = False, compact_every: int = 50,
 ):
     """A ``foreachBatch`` function that upserts every micro-batch into ``table``.
 
-    The upsert runs several jobs over the micro-batch; the batch is persisted for their
-    duration so the source read and the stateful aggregation run once per micro-batch, and
-    an empty batch (a no-data batch that only advances the watermark) returns at once.
+    The batch folder is named by ``stream`` (its checkpoint folder names it for good) and the
+    epoch, so a replay overwrites what the failed attempt left. Every ``compact_every`` epochs
+    the table is compacted.
     """
+    tag = hashlib.blake2b(stream.encode(), digest_size=6).hexdigest()
 
-    def run(batch: DataFrame, batch_id: int) -> None:  # noqa: ARG001 - replay-safe by key
-        batch = batch.persist()
-        try:
-            if not batch.isEmpty():
-                table.upsert(batch, order=order, drop=drop, unique=unique)
-        finally:
-            batch.unpersist()
+    def run(batch: DataFrame, batch_id: int) -> None:
+        table.upsert(batch, order=order, drop=drop, unique=unique, name=f"s{tag}e{batch_id}")
+        if batch_id and batch_id % compact_every == 0:
+            table.compact()
 
     return run
-

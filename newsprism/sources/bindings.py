@@ -79,7 +79,7 @@ def event_news(spark: SparkSession, sf_dir: str) -> DataFrame:
         _prefixed("N", "doc_id").alias("news_id"),
         F.col("source").alias("category"),
         F.col("lang").alias("topic"),
-        F.substring(first_line, 1, 80).alias("headline"),
+        first_line.alias("headline"),
         F.col("text").alias("news_body"),
     )
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 
+CORRUPT = "_corrupt_record"
+
 TSV_OPTIONS = {
     "sep": "\t",
     "header": "true",
@@ -18,22 +21,37 @@ TSV_OPTIONS = {
 JSON_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
-def read_news_tsv(spark: SparkSession, path: str) -> DataFrame:
+def _require(df: DataFrame, columns, path: str) -> None:
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"{path}: header columns not found: {', '.join(missing)}")
+
+
+def read_news_tsv(
+    spark: SparkSession, path: str, *, optional: tuple[str, ...] = ("Title entity", "Entity content")
+) -> DataFrame:
     """The article TSV, columns selected by header name and renamed to snake_case.
 
+    A header column that is not found is an error, unless it is in ``optional`` (then NULL).
+
     No schema is given (every column is read as a string): an explicit schema would bind by
     position and silently shift columns of a file with a different column order. Bodies may
     hold quoted newlines, hence ``multiLine`` (one task per file; a one-off dimension load).
     """
     df = spark.read.options(**TSV_OPTIONS).option("multiLine", "true").csv(path)
-    present = [c for c in schemas.NEWS_TSV_COLUMNS if c in df.columns]
-    return df.select([F.col(f"`{c}`").alias(schemas.NEWS_TSV_COLUMNS[c]) for c in present])
+    wanted = [c for c in schemas.NEWS_TSV_COLUMNS if c not in optional]
+    _require(df, wanted, path)
+    return df.select([
+        (F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string")).alias(name)
+        for c, name in schemas.NEWS_TSV_COLUMNS.items()
+    ])
 
 
 def read_impressions_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Raw impression TSV (``UserID, pos, neg, dwelltime_pos, start, end``), splittable."""
     df = spark.read.options(**TSV_OPTIONS).csv(path)
-    return df.select(*[F.col(c) for c in schemas.IMPRESSION_TSV_COLUMNS if c in df.columns])
+    _require(df, schemas.IMPRESSION_TSV_COLUMNS, path)
+    return df.select(*schemas.IMPRESSION_TSV_COLUMNS)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
@@ -52,10 +70,13 @@ def stream_exposures_dir(
     """S3: watch a spool folder of JSON-lines exposure files.
 
     ``clean_source='delete'`` removes consumed files (Spark does it lazily, in a later batch);
-    ``'archive'`` moves them to ``archive_dir``. Records that are not JSON objects get a
-    ``_corrupt_record`` and are dropped downstream.
+    ``'archive'`` moves them to ``archive_dir``. Records that are not JSON objects, or hold a field
+    of the wrong type, carry their text in ``_corrupt_record`` (as in ``parse_json_records``).
     """
-    reader = spark.readStream.schema(schemas.EXPOSURE_JSON).option("mode", "PERMISSIVE")
+    full = T.StructType([*schemas.EXPOSURE_JSON.fields, T.StructField(CORRUPT, T.StringType())])
+    reader = spark.readStream.schema(full).option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", CORRUPT
+    )
     if clean_source:
         reader = reader.option("cleanSource", clean_source)
         if archive_dir:
@@ -73,18 +94,23 @@ def write_jsonl(df: DataFrame, path: str, *, mode: str = "append") -> None:
 
 
 def load_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The three keyed tables under ``root`` registered as temp views.
+    """The keyed tables (resolved rows) and the query log under ``root`` as temp views.
 
-    Partition helper columns of the keyed layout (``_part``) are dropped.
+    A table that was never written is left out; one that cannot be read raises.
     """
+    from ..sinks import keyed
+
     out: dict[str, DataFrame] = {}
-    for name in ("news", "exposure_logs", "query_logs"):
-        try:
-            df = spark.read.parquet(f"{root.rstrip('/')}/{name}")
-        except Exception:  # a table that was never written
-            continue
-        if "_part" in df.columns:
-            df = df.drop("_part")
+    root = root.rstrip("/")
+    for name, table in (
+        ("news", keyed.news_table(spark, f"{root}/news")),
+        ("exposure_logs", keyed.exposure_table(spark, f"{root}/exposure_logs")),
+    ):
+        if table.exists():
+            out[name] = table.read()
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/query_logs")
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        out["query_logs"] = spark.read.schema(schemas.QUERY_LOG).parquet(f"{root}/query_logs")
+    for name, df in out.items():
         df.createOrReplaceTempView(name)
-        out[name] = df
     return out

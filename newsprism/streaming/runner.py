@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import cast_event_times, stamp_processed
+from ..operators.ingest import CORRUPT, cast_event_times, stamp_processed
 from ..session import STATE_PARTITIONS_KEY, shared_dir
 from ..sinks.keyed import KeyedTable, exposure_table, upsert_batch_fn
 from ..sources.files import stream_exposures_dir
@@ -50,14 +50,14 @@ def _start_stateful(writer, spark: SparkSession, state_partitions: int | None) -
 
 def start_console(
     df: DataFrame, *, name: str, trigger: str | None = None, checkpoint: str | None = None,
-    available_now: bool = False,
+    available_now: bool = False, state_partitions: int | None = None,
 ) -> StreamingQuery:
-    """K6: update-mode console sink, rows not truncated."""
+    """K6: update-mode console sink, rows not truncated; state sized as for the monitors."""
     writer = df.writeStream.outputMode("update").format("console").option("truncate", "false")
     writer = writer.queryName(name)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
-    return _trigger(writer, trigger, available_now).start()
+    return _start_stateful(_trigger(writer, trigger, available_now), df.sparkSession, state_partitions)
 
 
 def start_keyed_table(
@@ -75,13 +75,12 @@ def start_keyed_table(
     """K7: every micro-batch of an update-mode stream is upserted into a keyed parquet table.
 
     The checkpoint (offsets + aggregation state) and the table both live on shared storage;
-    a restarted query replays the last uncommitted batch, and the keyed upsert makes that
-    replay harmless. ``state_partitions`` sizes the aggregation state (see
+    a restarted query replays the last uncommitted batch into the same batch folder. ``state_partitions`` sizes the aggregation state (see
     :func:`_start_stateful`).
     """
     writer = (
         df.writeStream.outputMode("update")
-        .foreachBatch(upsert_batch_fn(table, order=order, unique=unique))
+        .foreachBatch(upsert_batch_fn(table, stream=checkpoint, order=order, unique=unique))
         .option("checkpointLocation", checkpoint)
         .queryName(name)
     )
@@ -89,9 +88,9 @@ def start_keyed_table(
 
 
 def monitor_table(spark: SparkSession, spec: W.WindowSpec, path: str) -> KeyedTable:
-    """Keyed table of a monitor's stage-1 rows, partitioned by the window's day."""
+    """Keyed table of a monitor's stage-1 rows, partitioned by the window's hour."""
     return KeyedTable(
-        spark, path, W.partial_key(spec), F.date_format("window_start", "yyyy-MM-dd"), movable=False
+        spark, path, W.partial_key(spec), F.date_format("window_start", "yyyy-MM-dd-HH"), movable=False
     )
 
 
@@ -102,7 +101,6 @@ def start_monitor(
     *,
     table_path: str | None = None,
     checkpoint: str | None = None,
-    news: DataFrame | None = None,
     available_now: bool = False,
     query_name: str | None = None,
     state_partitions: int | None = None,
@@ -117,7 +115,7 @@ def start_monitor(
     table_path = table_path or shared_dir(spark, "monitors", qname, "table")
     checkpoint = checkpoint or shared_dir(spark, "monitors", qname, "checkpoint")
     table = monitor_table(spark, spec, table_path)
-    partials = W.window_partials(exposures, spec, news=news)
+    partials = W.window_partials(exposures, spec)
     # an aggregation's update output holds each (window, key, value) once per micro-batch
     q = start_keyed_table(
         partials, table, name=qname, checkpoint=checkpoint, trigger=spec.trigger,
@@ -186,8 +184,7 @@ class Monitors:
         qid = f"{kind}_{int(time.time())}"
         while qid in self._tables:
             qid += "_"
-        news = self.news if kind == "content" else None
-        q, table = start_monitor(self.spark, self.exposures, kind, news=news, query_name=qid, **kwargs)
+        q, table = start_monitor(self.spark, self.exposures, kind, query_name=qid, **kwargs)
         self._tables[qid] = (kind, table)
         return self.registry.add(qid, q)
 
@@ -203,9 +200,14 @@ class Monitors:
     def start_content_analysis(self, **kw) -> str:
         return self.start("content", **kw)
 
-    def report(self, qid: str, **kwargs) -> DataFrame:
+    def report(self, qid: str, *, since=None, until=None, **kwargs) -> DataFrame:
+        """The monitor's report over the windows starting in ``[since, until]`` (only their
+        partitions are read); ``content`` reports carry the articles' current headlines."""
         kind, table = self._tables[qid]
-        return W.REPORTS[kind](table.read(), **kwargs)
+        partials = W.windows_between(table.read(keep_partition=True), since, until)
+        if kind == "content" and self.news is not None:
+            kwargs.setdefault("news", self.news)
+        return W.REPORTS[kind](partials, **kwargs)
 
     def list(self) -> list[dict]:
         return self.registry.list()
@@ -229,32 +231,40 @@ def ingest_stream(
     available_now: bool = False,
     clean_source: str | None = None,
     max_files_per_trigger: int | None = None,
+    rejects_path: str | None = None,
 ) -> tuple[StreamingQuery, KeyedTable]:
     """Spool folder of JSON lines → parsed, time-cast, stamped → exposure table upserts.
 
-    Records without a complete primary key (malformed lines included) are dropped. Within a
-    micro-batch the record read last (file modification time, file path, position) wins.
+    Records without a complete primary key and malformed ones (not a JSON object, or a field of
+    the wrong type, as in :func:`parse_json_records`) are not stored; they go, with their text, to
+    the JSON-lines folder ``rejects_path`` (``<checkpoint>-rejects`` by default), one sub-folder an
+    epoch. Within a micro-batch the record read last (file modification time, file path,
+    position) wins.
     """
     raw = stream_exposures_dir(
         spark, spool_dir, clean_source=clean_source, max_files_per_trigger=max_files_per_trigger
     )
-    rows = raw.where(
-        F.col("impression_id").isNotNull() & F.col("user_id").isNotNull() & F.col("news_id").isNotNull()
+    rejects_path = rejects_path or f"{checkpoint.rstrip('/')}-rejects"
+    good = (
+        F.col("impression_id").isNotNull() & F.col("user_id").isNotNull()
+        & F.col("news_id").isNotNull() & F.col(CORRUPT).isNull()
     )
-    rows = stamp_processed(cast_event_times(rows.drop("processed_timestamp")))
+    rows = stamp_processed(cast_event_times(raw.drop("processed_timestamp")))
     rows = rows.withColumn("_file_t", F.col("_metadata.file_modification_time")).withColumn(
         "_file_p", F.col("_metadata.file_path")
     )
-    # one impression has one start time, so a key never changes its date partition: the
-    # upsert rewrites only the dates of the micro-batch (no key lookup over the whole table)
-    table = exposure_table(spark, table_path, movable=False)
+    # a record may be sent again with a corrected (or first parsable) time: keys can move
+    table = exposure_table(spark, table_path)
     arrival = ["_file_t", "_file_p", "_line"]
 
-    upsert_numbered = upsert_batch_fn(table, order=arrival, drop=arrival)
+    upsert_numbered = upsert_batch_fn(table, stream=checkpoint, order=arrival, drop=arrival)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         # inside foreachBatch the micro-batch is a plain DataFrame: number its rows in read order
-        upsert_numbered(batch.withColumn("_line", F.monotonically_increasing_id()), batch_id)
+        numbered = batch.withColumn("_line", F.monotonically_increasing_id())
+        upsert_numbered(numbered.where(good).drop(CORRUPT), batch_id)
+        bad = batch.where(~good).drop(*arrival)
+        bad.write.mode("overwrite").json(f"{rejects_path}/epoch={batch_id}")
 
     writer = rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).queryName(name)
     return _trigger(writer, trigger, available_now).start(), table

@@ -55,19 +55,16 @@ SPECS = {s.name: s for s in (TREND, USER_BEHAVIOR, ANOMALY, CONTENT)}
 PARTIAL_COLUMNS = ("n", "clicks", "dwell_sum", "dwell_n")
 
 
-def window_partials(exposures: DataFrame, spec: WindowSpec, *, news: DataFrame | None = None) -> DataFrame:
+def window_partials(exposures: DataFrame, spec: WindowSpec) -> DataFrame:
     """Stage 1: per (window, key[, distinct value]) exposure count, clicks and dwell sums.
 
-    ``timestamp`` must be a TIMESTAMP (the watermark rejects TIMESTAMP_NTZ). With ``news``
-    the exposures are first enriched by a stream-static join (J4) and the headline is kept.
+    ``timestamp`` must be a TIMESTAMP (the watermark rejects TIMESTAMP_NTZ). Articles are not
+    joined here: a hot article's exposures are pre-aggregated, and the report attaches the
+    headline (J4) to one row per window and article.
     """
     e = exposures.withWatermark("timestamp", spec.watermark)
-    extra: list[str] = []
-    if news is not None:
-        e = e.join(news.select("news_id", "headline"), "news_id", "left")
-        extra = ["headline"]
     w = F.window("timestamp", spec.size, spec.slide) if spec.slide else F.window("timestamp", spec.size)
-    agg = e.groupBy(w.alias("window"), *spec.group_columns, *extra).agg(
+    agg = e.groupBy(w.alias("window"), *spec.group_columns).agg(
         F.count("impression_id").alias("n"),
         F.coalesce(F.sum("clicked"), F.lit(0)).cast("long").alias("clicks"),
         F.sum("dwell_time").alias("dwell_sum"),
@@ -77,7 +74,6 @@ def window_partials(exposures: DataFrame, spec: WindowSpec, *, news: DataFrame |
         F.col("window.start").alias("window_start"),
         F.col("window.end").alias("window_end"),
         *spec.group_columns,
-        *extra,
         *PARTIAL_COLUMNS,
     )
 
@@ -167,20 +163,20 @@ def anomaly_report(partials: DataFrame, *, threshold: float = 10.0) -> DataFrame
     return t.where(F.col("virality_score") > threshold)
 
 
-def content_report(partials: DataFrame) -> DataFrame:
+def content_report(partials: DataFrame, *, news: DataFrame | None = None) -> DataFrame:
     """Per tumbling 5-minute window and article: exposures, clicks, dwell,
-    ``engagement_rate``; with headlines present also ``headline_sentiment`` (U1)."""
-    keys = ["window_start", "window_end", "news_id"]
-    if "headline" in partials.columns:
-        keys.append("headline")
-    t = partials.groupBy(*keys).agg(
+    ``engagement_rate``; with ``news`` also the article's ``headline`` (J4) and
+    ``headline_sentiment`` (U1). A headline that changes does not split or lose exposures."""
+    t = partials.groupBy("window_start", "window_end", "news_id").agg(
         F.sum("n").cast("long").alias("impressions"),
         F.sum("clicks").cast("long").alias("clicks"),
         (F.sum("dwell_sum") / F.sum("dwell_n")).alias("avg_dwell_time"),
     )
     t = t.withColumn("engagement_rate", m.ratio("clicks", "impressions"))
-    if "headline" in partials.columns:
-        t = t.withColumn("headline_sentiment", headline_sentiment(F.col("headline")))
+    if news is not None:
+        t = t.join(news.select("news_id", "headline"), "news_id", "left").withColumn(
+            "headline_sentiment", headline_sentiment(F.col("headline"))
+        )
     return t
 
 
@@ -194,6 +190,4 @@ REPORTS = {
 
 def batch_report(exposures: DataFrame, name: str, **kwargs) -> DataFrame:
     """The full report on a batch DataFrame (``timestamp`` as TIMESTAMP)."""
-    spec = SPECS[name]
-    news = kwargs.pop("news", None)
-    return REPORTS[name](window_partials(exposures, spec, news=news), **kwargs)
+    return REPORTS[name](window_partials(exposures, SPECS[name]), **kwargs)

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from newsprism.operators import ingest as I
@@ -129,7 +131,7 @@ def test_upsert_leaves_no_staging_folders(spark):
     from newsprism.session import shared_dir
 
     def staging():
-        return {d for d in os.listdir(shared_dir(spark)) if d.startswith("staging-")}
+        return {d for d in os.listdir(shared_dir(spark).removeprefix("file:")) if d.startswith("staging-")}
 
     before = staging()
     ddl = "news_id string, category string, topic string, headline string, news_body string"
@@ -149,3 +151,65 @@ def test_upsert_keeps_rows_without_a_time(spark):
     out = K.upsert_exposures(spark, _exposures(spark, [("i3", "u", "n1", None, 1, 4.0, 1)]), path, order=["seq"], drop=["seq"])
     got = sorted((r.impression_id, r.timestamp, r.clicked) for r in out.collect())
     assert got == [("i1", None, 0), ("i2", d1, 1), ("i3", None, 1)]
+
+
+def test_failed_write_and_replay_lose_nothing(spark, monkeypatch):
+    path = fresh_dir(spark, "test-replay")
+    d = dt.datetime(2019, 6, 20, 10)
+    t = K.exposure_table(spark, path)
+    old = [(f"i{k}", "u", "n1", d, 0, 0.0, 1) for k in range(5)]
+    t.upsert(_exposures(spark, old), order=["seq"], drop=["seq"], name="first")
+    new = _exposures(spark, [("i0", "u", "n1", d, 1, 9.0, 2), ("i9", "u", "n1", d, 0, 0.0, 2)])
+    write = t.rows.write
+
+    def broken(df, folder, **options):
+        df.limit(1).write.mode("overwrite").partitionBy("_part").parquet(f"{path}/{folder}")
+        K._remove_dir(spark, f"{path}/{folder}/_SUCCESS")
+        raise OSError("the write failed midway")
+
+    monkeypatch.setattr(t.rows, "write", broken)
+    with pytest.raises(OSError):
+        t.upsert(new, order=["seq"], drop=["seq"], name="second")
+    assert t.read().count() == 5 and t.read().where("clicked = 1").count() == 0
+    monkeypatch.setattr(t.rows, "write", write)
+    for _ in range(2):  # the replay, and a replay of the replay
+        t.upsert(new, order=["seq"], drop=["seq"], name="second")
+        assert sorted((r.impression_id, r.clicked) for r in t.read().collect()) == [
+            ("i0", 1), ("i1", 0), ("i2", 0), ("i3", 0), ("i4", 0), ("i9", 0)]
+    t.compact()
+    assert len(K._batch_dirs(spark, path)) == 1 and t.read().count() == 6
+
+
+def test_new_columns_and_last_row_of_a_batch(spark):
+    path = fresh_dir(spark, "test-columns")
+    K.upsert_news(spark, spark.createDataFrame([("n1", "a")], "news_id string, category string"), path)
+    rows = [("n2", "b", "x", 1), ("n2", "b", "y", 2)]
+    out = K.upsert_news(
+        spark, spark.createDataFrame(rows, "news_id string, category string, title_entity string, seq int"), path,
+        order=["seq"], drop=["seq"])
+    assert sorted((r.news_id, r.title_entity) for r in out.collect()) == [("n1", None), ("n2", "y")]
+
+
+def test_missing_header_column_raises(spark):
+    from newsprism.sources import files as S
+
+    path = fresh_dir(spark, "tsv")
+    S.write_tsv(spark.createDataFrame([("a", "b")], "`News ID` string, Category string"), path)
+    with pytest.raises(ValueError, match="Topic"):
+        S.read_news_tsv(spark, path)
+
+
+def test_stored_reports_prune_partitions(spark, capsys):
+    from newsprism.plans import reports as R
+
+    path = fresh_dir(spark, "prune")
+    rows = [(f"i{k}", "u", "n1", dt.datetime(2019, 6, 1 + k, 10), 1, 1.0, 1) for k in range(10)]
+    for part in (rows[:5], rows[5:]):  # two batches: the filter goes below the resolution
+        K.upsert_exposures(spark, _exposures(spark, part), path, order=["seq"], drop=["seq"])
+    e = K.exposure_log(spark, path)
+    n = spark.createDataFrame([("n1", "c", "t", "h", "b")], "news_id string, category string, topic string, headline string, news_body string")
+    for df in (R.hot_news(e, n, as_of="2019-06-10T12:00:00", hours=24, min_impressions=1),
+               R.recommend_cold_start(e, n, as_of="2019-06-10T12:00:00", min_impressions=1)):
+        df.explain("formatted")
+        assert "PartitionFilters: [isnotnull(_part" in capsys.readouterr().out
+        assert df.first().impressions == 1

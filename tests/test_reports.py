@@ -176,7 +176,7 @@ def test_interest_timeline_zero_fill_and_stats(tables):
     stats = {r.category: r for r in R.interest_stats(tl).collect()}
     assert stats["news"].trend == 1 and stats["news"].rising_rank == 1
     assert stats["sports"].rising_rank is None
-    wide = R.interest_timeline(e, n, user="u3", wide=True).collect()
+    wide = R.interest_timeline(e, n, user="u3", wide=True, categories=["news", "sports"]).collect()
     assert wide[1]["news"] == 1
 
 

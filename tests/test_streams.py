@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from newsprism.plans import bi as BI
 from newsprism.plans import querylog as QL
 from newsprism.session import fresh_dir
+from newsprism.sinks import keyed as K
 from newsprism.sources import bindings as B
 from newsprism.sources import kafka as KF
 from newsprism.streaming import runner as SR
@@ -24,16 +25,16 @@ def _sorted(df, cols):
 
 @pytest.mark.parametrize("name", ["trend", "user_behavior", "anomaly", "content"])
 def test_stream_equals_batch(spark, name):
-    news = B.event_news(spark, SF) if name == "content" else None
+    news = {"news": B.event_news(spark, SF)} if name == "content" else {}
     q, table = SR.start_monitor(
-        spark, B.event_exposure_stream(spark, SF), name, news=news, available_now=True,
+        spark, B.event_exposure_stream(spark, SF), name, available_now=True,
         table_path=fresh_dir(spark, "t"), checkpoint=fresh_dir(spark, "c"), query_name=f"eq_{name}",
     )
     q.awaitTermination()
     kwargs = {"threshold": 0.001} if name == "anomaly" else {}
-    streamed = W.REPORTS[name](table.read(), **kwargs)
+    streamed = W.REPORTS[name](table.read(), **news, **kwargs)
     batch_in = B.event_exposures(spark, SF).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    batch = W.batch_report(batch_in, name, news=news, **kwargs)
+    batch = W.batch_report(batch_in, name, **news, **kwargs)
     cols = sorted(batch.columns)
     assert streamed.count() > 0
     assert _sorted(streamed.select(cols), cols) == _sorted(batch.select(cols), cols)
@@ -52,9 +53,9 @@ def test_monitor_state_partitions(spark):
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     q.awaitTermination()
     offsets = os.path.join(ckpt, "offsets", "0")
-    with open(offsets) as fh:
+    with open(offsets.removeprefix("file:")) as fh:
         assert '"spark.sql.shuffle.partitions":"3"' in fh.read()
-    stores = [d for d in os.listdir(os.path.join(ckpt, "state", "0")) if d.isdigit()]
+    stores = [d for d in os.listdir(os.path.join(ckpt.removeprefix("file:"), "state", "0")) if d.isdigit()]
     assert sorted(stores) == ["0", "1", "2"]
     batch_in = B.event_exposures(spark, SF).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     batch = W.batch_report(batch_in, "trend")
@@ -148,15 +149,15 @@ def test_sources_and_console_sink(spark):
 
     root = fresh_dir(spark, "tables")
     e = B.event_exposures(spark, SF)
-    e.write.parquet(os.path.join(root, "exposure_logs"))
-    B.event_news(spark, SF).write.parquet(os.path.join(root, "news"))
+    K.upsert_exposures(spark, e, os.path.join(root, "exposure_logs"))
+    K.upsert_news(spark, B.event_news(spark, SF), os.path.join(root, "news"))
     got = S.load_tables(spark, root)
     assert set(got) == {"exposure_logs", "news"}
     assert spark.sql("select count(*) c from exposure_logs").first().c == 1000
 
     spool = fresh_dir(spark, "spool")
     S.write_jsonl(e.limit(30), spool)
-    with open(os.path.join(spool, "bad.json"), "w") as fh:
+    with open(os.path.join(spool.removeprefix("file:"), "bad.json"), "w") as fh:
         fh.write("{not json\n")
     stream = S.stream_exposures_dir(spark, spool)
     q = SR.start_console(stream.groupBy("clicked").count(), name="console_test", available_now=True,
@@ -220,3 +221,76 @@ def test_perf_histogram_edges(spark):
     assert got == [(None, 2.0, 1), (2.0, 10.0, 1), (10.0, 100.0, 1), (100.0, None, 2)]
     fixed = [(r.range_start_ms, r.query_count) for r in QL.perf_histogram(q, width_ms=100).collect()]
     assert fixed == [(0, 3), (200, 1), (900, 1)]
+
+
+def _exposure(i, t, clicked=0, news="n1", user="u"):
+    return (i, user, news, t, clicked, 1.0)
+
+
+def test_micro_batches_append_and_late_rows(spark):
+    """One file a micro-batch: earlier batch folders stay as they were, a row behind the watermark
+    is dropped, and a headline that changes neither splits nor loses exposures."""
+    src, path = fresh_dir(spark, "mb-src"), fresh_dir(spark, "mb-table")
+    t0 = dt.datetime(2024, 1, 1, 10, 0)
+    batches = [
+        [_exposure("a", t0), _exposure("b", t0, 1)],
+        [_exposure("c", t0 + dt.timedelta(minutes=1)), _exposure("x", t0 + dt.timedelta(days=1), news="n2")],
+        [_exposure("late", t0), _exposure("y", t0 + dt.timedelta(days=1, minutes=1), news="n2")],
+    ]
+    ckpt, seen = fresh_dir(spark, "mb-ckpt"), []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, DDL).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(DDL).option("maxFilesPerTrigger", "1").parquet(src)
+        q, table = SR.start_monitor(spark, stream, "content", available_now=True, table_path=path,
+                                    checkpoint=ckpt, query_name=f"mb_{k}")
+        q.awaitTermination()
+        files = sorted(spark.read.option("basePath", path).parquet(path).inputFiles())
+        assert set(seen) <= set(files)  # nothing that was written is rewritten
+        seen = files
+    for title in ("old title", "new title"):
+        news = spark.createDataFrame([("n1", title), ("n2", "x")], "news_id string, headline string")
+        got = {(r.news_id, r.window_start): (r.impressions, r.headline)
+               for r in W.content_report(table.read(), news=news).collect()}
+        assert got[("n1", t0)] == (3, title) and len(got) == 2
+
+
+def test_corrected_times_keep_keys_unique_and_rejects_are_kept(spark):
+    import json
+
+    spool, path = fresh_dir(spark, "fix-spool"), fresh_dir(spark, "fix-table")
+    ckpt = fresh_dir(spark, "fix-ckpt")
+    rec = lambda i, t, c=0: json.dumps(dict(impression_id=i, user_id="u", news_id="n", timestamp=t, clicked=c, dwell_time=1.0))
+    lines = [
+        [rec("a", "2024-01-01T10:00:00"), rec("b", "not a time"), "{broken", rec("c", "2024-01-01T10:00:00", "yes")],
+        [rec("a", "2024-01-02T10:00:00", 1), rec("b", "2024-01-03T10:00:00")],
+    ]
+    os.makedirs(spool.removeprefix("file:"))
+    for k, own in enumerate(lines):
+        with open(os.path.join(spool.removeprefix("file:"), f"f{k}.json"), "w") as fh:
+            fh.write("\n".join(own) + "\n")
+        q, table = SR.ingest_stream(spark, spool, path, checkpoint=ckpt, name=f"fix_{k}", available_now=True)
+        q.awaitTermination()
+    got = {r.impression_id: (r.timestamp, r.clicked) for r in table.read().collect()}
+    assert table.read().count() == 2
+    assert got == {"a": (dt.datetime(2024, 1, 2, 10), 1), "b": (dt.datetime(2024, 1, 3, 10), 0)}
+    # a reader of one day does not see the stale row
+    day = K.exposure_log(spark, path).where("_part = '2024-01-01'")
+    assert day.count() == 0
+    assert spark.read.json(ckpt + "-rejects").count() == 2
+
+
+def test_sql_guard_on_the_plan(spark):
+    t = {"news": spark.createDataFrame([("n1", '{"a": [1]}')], "news_id string, extra string")}
+    spark.createDataFrame([(1,)], "x int").createOrReplaceTempView("news")
+    assert BI.run_sql(spark, "select 1 as load", t).first()[0] == 1
+    assert BI.run_sql(spark, "with a as (select news_id from news) select * from a order by 1;", t).count() == 1
+    assert spark.table("news").columns == ["x"]  # the caller's view is still there
+    for bad in ("drop table x", "select 1; select 2", "select reflect('java.lang.System', 'exit', 0)",
+                "select * from parquet.`/tmp`", "insert into news values (1)", "select * from other_view",
+                "select java_method('java.util.UUID', 'randomUUID')", "set a=b", ""):
+        with pytest.raises(ValueError):
+            BI.run_sql(spark, bad, t)
+    assert BI.sql_records(spark, "select * from news", t) == [{"news_id": "n1", "extra": {"a": [1]}}]
+    slow = "select count(*) from range(100000000) a join range(1000000) b on a.id % 7 = b.id % 7"
+    with pytest.raises(TimeoutError):
+        BI.sql_records(spark, slow, t, timeout=2.0)
