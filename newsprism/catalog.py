@@ -441,6 +441,57 @@ def q_overview(spark, sf_dir):
     return R.overview(e, n, **OVERVIEW)
 
 
+DEFAULT_RANGE = dict(
+    as_of=dt.datetime(1997, 2, 15), data_start=dt.datetime(1997, 1, 1), data_end=dt.datetime(1997, 3, 31),
+    trending_hours=HOT_ORDER["hours"], trending_min_impressions=HOT_ORDER["min_impressions"],
+)
+_DEFAULT_WHERE = (
+    "where e.\"timestamp\" >= timestamp '1997-01-01' and e.\"timestamp\" <= timestamp '1997-02-15'"
+)
+_DEFAULT_HOT = _hot_sql(DEFAULT_RANGE["as_of"], HOT_ORDER["hours"], HOT_ORDER["min_impressions"])
+
+
+@register(
+    "overview_default_range",
+    with_tables(
+        "order",
+        f"""with t as ({_TRENDS_SQL.format(where=_DEFAULT_WHERE)}), h as ({_DEFAULT_HOT})
+        select timestamp '1997-01-01' as period_start, timestamp '1997-02-15' as period_end,
+               (select count(distinct category) from t) as total_categories,
+               (select cast(coalesce(sum(impressions), 0) as bigint) from t) as total_impressions,
+               (select cast(coalesce(sum(clicks), 0) as bigint) from t) as total_clicks,
+               {r6('(select coalesce(sum(clicks), 0) from t) / greatest((select coalesce(sum(impressions), 0) from t), 1)')} as overall_ctr,
+               (select count(*) from h) as trending_news_count""",
+    ),
+)
+def q_overview_default_range(spark, sf_dir):
+    """R13 without bounds (P6): from the data's start to ``as_of``, which comes before its end."""
+    e, n = _order(spark, sf_dir)
+    return R.overview(e, n, **DEFAULT_RANGE)
+
+
+@register(
+    "overview_sections",
+    with_tables(
+        "order",
+        f"""select 'trends' as section, category as name, impressions as value from (
+          select * from ({_TRENDS_SQL.format(where=_DEFAULT_WHERE)}) t
+          order by clicks / greatest(impressions, 1) desc, category, date limit 50) a
+        union all select 'hot', news_id, impressions from (
+          select * from ({_DEFAULT_HOT}) h order by click_rate desc, news_id limit 5) b""",
+    ),
+)
+def q_overview_sections(spark, sf_dir):
+    """R13's sections: the first category-days and hot articles of the page."""
+    e, n = _order(spark, sf_dir)
+    page = R.overview_sections(e, n, **DEFAULT_RANGE)
+    trends = page["category_trends"].select(
+        F.lit("trends").alias("section"), F.col("category").alias("name"), F.col("impressions").alias("value"))
+    hot = page["hot_news"].select(
+        F.lit("hot").alias("section"), F.col("news_id").alias("name"), F.col("impressions").alias("value"))
+    return trends.unionByName(hot)
+
+
 INSIGHTS_AS_OF = dt.datetime(2024, 1, 15, 12, 0, 0)
 INSIGHTS_HOURS = 24
 _RECENT = (
@@ -753,18 +804,18 @@ from (select distinct l_orderkey from lineitem join orders on l_orderkey = o_ord
 """
 
 
-def _raw_with_ids(spark, sf_dir):
+def _raw_unnumbered(spark, sf_dir):
     raw = B.order_raw_impressions(spark, sf_dir)
-    raw = raw.withColumn("seq", F.substring("impression_id", 5, 1 << 20).cast("long")).drop(
+    return raw.withColumn("seq", F.substring("impression_id", 5, 1 << 20).cast("long")).drop(
         "impression_id"
     )
-    return I.assign_impression_ids(raw, order_by=["seq"])
 
 
 @register("assign_impression_ids", _RAW_SEQ_SQL)
 def q_assign_impression_ids(spark, sf_dir):
     """T5: sequence ids imp_0000001… over the raw impressions in order-key order."""
-    return _raw_with_ids(spark, sf_dir).select("impression_id", "seq")
+    raw = _raw_unnumbered(spark, sf_dir)
+    return I.assign_impression_ids(raw, order_by=["seq"]).select("impression_id", "seq")
 
 
 FIRST_N = 500
@@ -778,7 +829,8 @@ FIRST_N = 500
 )
 def q_first_n_impressions(spark, sf_dir):
     """The first 500 impressions (by sequence id) exploded into exposures."""
-    return _ntz(I.first_n_impressions(_raw_with_ids(spark, sf_dir), FIRST_N), "timestamp")
+    raw = _raw_unnumbered(spark, sf_dir)
+    return _ntz(I.first_n_impressions(raw, FIRST_N, order_by=["seq"]), "timestamp")
 
 
 _LAST_WINS_SQL = f"""

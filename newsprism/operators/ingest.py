@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from .. import schemas
 from ..functions.metrics import parse_time
@@ -110,6 +111,22 @@ def explode_impressions(raw: DataFrame, *, id_col: str = "impression_id") -> Dat
 _ROW_BITS = 33  # monotonically_increasing_id keeps the in-partition row number in 33 bits
 
 
+def in_file_order(raw: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``raw`` with columns that sort it in input order when it is read from files (file path,
+    block in the file, row in the block; Spark packs splits by size, so partitions are not in that
+    order), and their names; a frame that is not a file scan is returned as it is."""
+    try:
+        raw.select("_metadata.file_path")
+    except AnalysisException:
+        return raw, []
+    cols = ["_file", "_block", "_row"]
+    return raw.select(
+        "*", F.col("_metadata.file_path").alias(cols[0]),
+        F.col("_metadata.file_block_start").alias(cols[1]),
+        F.monotonically_increasing_id().alias(cols[2]),
+    ), cols
+
+
 def assign_impression_ids(
     raw: DataFrame,
     *,
@@ -118,7 +135,8 @@ def assign_impression_ids(
     width: int = 7,
     id_col: str = "impression_id",
 ) -> DataFrame:
-    """T5: dense 1-based sequence ids ``imp_0000001, …`` in input (or ``order_by``) order.
+    """T5: dense 1-based sequence ids ``imp_0000001, …`` in ``order_by`` order, or else in the
+    order of the input files (see :func:`in_file_order`).
 
     No single-partition window: the rows are (range-)sorted when an order is given and cut
     from their lineage with ``checkpoint()`` (reliable storage), so partition numbers are
@@ -126,7 +144,11 @@ def assign_impression_ids(
     partition its starting offset, and every row adds its position inside the partition.
     """
     shared_dir(raw.sparkSession)  # make sure the session has a (shared) checkpoint dir
-    df = raw.orderBy(*order_by) if order_by else raw
+    extra: list[str] = []
+    if not order_by:
+        raw, extra = in_file_order(raw)
+        order_by = extra
+    df = raw.orderBy(*order_by).drop(*extra) if order_by else raw
     df = df.checkpoint(eager=True)
     df = df.withColumn("_pid", F.spark_partition_id()).withColumn(
         "_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
@@ -136,16 +158,32 @@ def assign_impression_ids(
         "_pid",
         (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_offset"),
     )
-    numbered = df.join(F.broadcast(offsets), "_pid")
+    numbered = df.join(offsets, "_pid")
     seq = F.col("_offset") + F.col("_pos") + 1
     return numbered.withColumn(
         id_col, F.format_string(f"{prefix}%0{width}d", seq)
     ).withColumn("_seq", seq).drop("_pid", "_pos", "_offset")
 
 
-def first_n_impressions(raw_with_ids: DataFrame, n: int, *, seq_col: str = "_seq") -> DataFrame:
-    """The first ``n`` impressions (not rows) by sequence id, exploded into exposures."""
-    first = raw_with_ids.where(F.col(seq_col) <= n)
+def first_n_impressions(
+    raw: DataFrame,
+    n: int,
+    *,
+    seq_col: str = "_seq",
+    order_by: Sequence[str | Column] | None = None,
+    prefix: str = "imp_",
+    width: int = 7,
+) -> DataFrame:
+    """The first ``n`` impressions (not rows), exploded into exposures.
+
+    Numbered input is cut by its sequence id. With ``order_by`` the input need not be numbered:
+    a top-``n`` (each task keeps ``n`` rows) comes first and only those rows get their ids.
+    """
+    if order_by is None:
+        return explode_impressions(raw.where(F.col(seq_col) <= n))
+    first = raw.orderBy(*order_by).limit(n)
+    seq = F.row_number().over(Window.orderBy(*order_by))  # n rows at most
+    first = first.withColumn("impression_id", F.format_string(f"{prefix}%0{width}d", seq.cast("long")))
     return explode_impressions(first)
 
 
