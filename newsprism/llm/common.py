@@ -80,8 +80,11 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def map_batches(fn: Callable, schema: str, df: DataFrame) -> DataFrame:
-    """``mapInArrow`` over record batches: ``fn(batch) -> dict of columns, or None``."""
+def map_batches(
+    fn: Callable, schema: str, df: DataFrame, *, at_end: Callable | None = None
+) -> DataFrame:
+    """``mapInArrow`` over record batches: ``fn(batch)`` yields dicts of columns; ``at_end`` is
+    called when a task has read its last batch."""
     from pyspark.sql.types import _parse_datatype_string  # DDL text to a Spark type
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -93,6 +96,8 @@ def map_batches(fn: Callable, schema: str, df: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow
                 )
+        if at_end:
+            at_end()
 
     return df.mapInArrow(run, schema)
 

@@ -42,7 +42,7 @@ from .graph import components
 from .words import mix, shingle_sets
 
 BLOCK_BYTES = 8 << 20  # text of one packed block
-PART_TOKENS = 1_000_000  # tokens of one token partition
+PART_TOKENS = 2_000_000  # tokens of one token partition
 PART_DOCS = 5_000  # documents of one document partition
 HOT_SHARE = 1_000  # a token in more than 1/HOT_SHARE of all documents is hot
 PIVOTS = 2  # documents of a token's list that the others are compared with first
@@ -153,31 +153,46 @@ def _pack(kind: int, part: np.ndarray, doc: np.ndarray, size: np.ndarray, token:
     parts, token_at = np.unique(part, return_index=True)
     run_at = np.searchsorted(run, token_at)
     token_at, run_at = np.append(token_at, len(part)), np.append(run_at, len(run))
-    rd, rs = doc[run], size[run].astype(np.uint32)
+    rd, rs = doc[run].astype(np.int64), size[run].astype(np.uint32)
     lo, mid = token.astype(np.uint32), ((token & _LOW48) >> np.uint64(32)).astype(np.uint16)
     cols: list[list] = [[] for _ in range(6)]
     full = token if kind else None
     for k in range(len(parts)):
         a, b, c, d = token_at[k], token_at[k + 1], run_at[k], run_at[k + 1]
-        cols[0].append(rd[c:d].tobytes())
-        cols[1].append(rs[c:d].tobytes())
-        cols[2].append(length[c:d].tobytes())
+        cols[0].append(planes(rd[c:d]))
+        cols[1].append(planes(rs[c:d]))
+        cols[2].append(planes(length[c:d]))
         cols[3].append((full if kind else lo)[a:b].tobytes())
         cols[4].append(b"" if kind else mid[a:b].tobytes())
-        cols[5].append(df[order[a:b]].astype(np.uint32).tobytes() if kind else b"")
+        cols[5].append(planes(df[order[a:b]].astype(np.uint32)) if kind else b"")
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(parts), kind, np.int32)), pa.array(parts.astype(np.int32))]
         + [pa.array(c, pa.binary()) for c in cols], schema=_ARROW_PACKED)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """An integer array byte by byte: all first bytes, all second bytes and so on. The upper bytes
+    are mostly zero, and in this order the shuffle's compression removes them."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
 def _joined(table: pa.Table, column: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype=dtype)
 
 
+def _joined_planes(table: pa.Table, column: str, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    parts = [
+        np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T)
+        for b in table.column(column).to_pylist()
+    ]
+    return np.concatenate(parts).view(dtype).ravel() if parts else np.zeros(0, dtype)
+
+
 def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    runs = _joined(table, "runs", np.uint32)
-    return (np.repeat(_joined(table, "docs", np.int64), runs),
-            np.repeat(_joined(table, "sizes", np.uint32), runs), runs)
+    runs = _joined_planes(table, "runs", np.uint32)
+    return (np.repeat(_joined_planes(table, "docs", np.int64), runs),
+            np.repeat(_joined_planes(table, "sizes", np.uint32), runs), runs)
 
 
 def _doc_part(doc: np.ndarray, parts: int) -> np.ndarray:
@@ -278,7 +293,7 @@ def shared_tokens(
 
     def collected(key, table):
         doc, size, _ = _unpack(table)
-        token, df = _joined(table, "lo", np.uint64), _joined(table, "df", np.uint32)
+        token, df = _joined(table, "lo", np.uint64), _joined_planes(table, "df", np.uint32)
         order = np.lexsort((token, df, doc))
         doc, size, token, df = doc[order], size[order], token[order], df[order]
         ids, first, count = np.unique(doc, return_index=True, return_counts=True)

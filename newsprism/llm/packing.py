@@ -26,7 +26,7 @@ CAPACITY = 2048
 END_ID = 1
 GROUP_PIECES = 4096
 TOGETHER = 64  # words encoded as one text
-CACHE_WORDS = 1 << 20  # distinct words remembered by a worker
+CACHE_WORDS = 1 << 19  # distinct words remembered by a worker
 MARKS = ".,;:!?%&$#*|)]}\"-"
 CACHE_LENGTH = 64  # longer words are encoded each time
 
@@ -58,6 +58,12 @@ class Encoder:
         self.known: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {"": b""}
 
+    def forget(self) -> None:
+        """Empty the caches: at their bound, and when a task ends (its worker lives on)."""
+        for kept in (self.known, self.stems):
+            kept.clear()
+            kept[""] = b""
+
     def _learn(self, words: list[str]) -> None:
         split = []
         for w in words:
@@ -95,10 +101,8 @@ class Encoder:
         split = [
             (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts
         ]
-        for kept in (self.known, self.stems):
-            if len(kept) > CACHE_WORDS:
-                kept.clear()
-                kept[""] = b""
+        if max(len(self.known), len(self.stems)) > CACHE_WORDS:
+            self.forget()
         known = self.known
         new = [w for w in set().union(*split) if w not in known]
         self._learn(new)
@@ -139,7 +143,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
             yield out
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(run, PIECE, docs)
+    return map_batches(run, PIECE, docs, at_end=lambda: _encoder(tokenizer).forget())
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

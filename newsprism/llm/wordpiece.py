@@ -129,4 +129,5 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
             yield {"doc_id": part.column("doc_id"), "n_words": n_words, "n_tokens": n_tokens}
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(run, "doc_id long, n_words long, n_tokens long", docs)
+    return map_batches(run, "doc_id long, n_words long, n_tokens long", docs,
+                       at_end=lambda: _automaton(vocabulary).known.clear())
