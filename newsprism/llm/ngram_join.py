@@ -221,8 +221,10 @@ def shared_only(key, table: pa.Table, doc_parts: int) -> pa.Table:
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
     doc, size, token = doc[new], size[new], token[new]
-    _, group, df = np.unique(token, return_inverse=True, return_counts=True)
-    df = df[group]
+    edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+    count = np.diff(edge)
+    df = np.repeat(count, count)
+    del order, new, edge, count
     keep = df > 1
     if not keep.any():
         return table.slice(0, 0)

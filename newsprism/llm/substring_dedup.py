@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, stored, text_bytes, text_chunks
 from .ngram_join import (
-    HOT_SHARE, PACKED, PART_DOCS, PART_TOKENS, _doc_part, _joined, _pack, _unpack,
+    HOT_SHARE, PACKED, PART_DOCS, _doc_part, _joined, _pack, _unpack,
     hot_tokens, is_in, shared_only, token_name, token_part,
 )
 from .suffix_array import suffix_array
@@ -45,6 +45,7 @@ from .words import mix, powers
 LENGTH = 50
 KEY = 20
 BLOCK_BYTES = 4 << 20
+PART_KEYS = 500_000  # keys of one key partition
 SORT_BYTES = 1 << 14  # fragments sorted in one suffix array, at least
 FRAGMENT_BYTES = 1 << 20  # fragment bytes of one partition, about
 
@@ -436,7 +437,7 @@ def removed_spans(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH)
         F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
     classes = stored(spark, classes.where("first_id < last_id").select("sha", "first_id"), "classes")
     total, count = own.agg(F.sum("keys"), F.count("*")).first()
-    parts = max(16, -(-(total or 0) // PART_TOKENS))
+    parts = max(16, -(-(total or 0) // PART_KEYS))
     doc_parts = max(16, -(-(count or 0) // PART_DOCS))
     hot = hot_tokens(spark, rows.where("token is not null"), count or 0)
     anchors = shared_keys(spark, docs, rows, length, parts, doc_parts, hot)
