@@ -2,8 +2,8 @@
 
 The test items are indexed: an inverted list for each word, holding the items with that word and
 its BM25 impact divided by the item's own total, so a passage with every word of an item scores 1
-against it. Items longer than ``PART_WORDS`` words are indexed in parts. Every document is cut into
-overlapping passages, each twice as long as the longest item part and starting halfway through
+against it. Items longer than ``PART_WORDS`` words are indexed in equal parts, for retrieval only.
+Every document is cut into overlapping passages, each twice as long as the longest item part and starting halfway through
 the one before, so that any copy of a part lies whole in one passage.
 
 Every passage is a query and all items scoring at least ``threshold`` are retrieved. First the
@@ -11,7 +11,8 @@ essential words (those an item cannot reach the threshold without, rarest first)
 (passage, item) an upper bound, as array operations over a chunk of documents; the passages with a
 bound above the threshold then go through block-max WAND over the inverted lists. A retrieved item
 counts as a leak if the passage also holds enough of the item's question (all but its last
-sentence) and of its answer (the last sentence), by distinct runs of three words.
+sentence) and of its answer (the last sentence), by distinct runs of three words. The item of a
+retrieved part is held against the words around the passage where the rest of the item would lie.
 
 The index is broadcast in slices of ``SLICE_WORDS`` item words at most; each slice makes one pass
 over the documents, so its size is bounded whatever the benchmark's. Document frequencies and
@@ -49,6 +50,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return split_words(data, offsets, NOT_ALNUM)
 
 
+def part_numbers(place, size):
+    """Number of the part that the word at ``place`` of an item of ``size`` words is in: as few
+    parts as ``PART_WORDS`` allows, equal but for one word."""
+    return place * -(-size // PART_WORDS) // size
+
+
 def question_and_answer(text: str) -> tuple[str, str]:
     """All but the last sentence, and the last; a single sentence is both."""
     cut = [m.end() for m in _SENTENCE.finditer(text.strip())]
@@ -65,21 +72,22 @@ class Index:
 
     def __init__(self, items, stats: dict, part_words: int, threshold: float):
         self.threshold, self.stride = threshold, part_words
-        self.ids, self.runs = [], []
+        self.ids, self.runs, self.whole = [], [], []
         term, part, tf = [], [], []
         for item_id, text in items:
             h, _ = words(*text_bytes(pa.array([text])))
-            question, answer = question_and_answer(text)
-            for lo in range(0, len(h), part_words):
-                own = h[lo : lo + part_words]
-                value, count = np.unique(own, return_counts=True)
+            if not len(h):
+                continue
+            number = part_numbers(np.arange(len(h)), len(h))
+            starts = np.searchsorted(number, np.arange(number[-1] + 2)).tolist()
+            for lo, hi in zip(starts, starts[1:]):
+                value, count = np.unique(h[lo:hi], return_counts=True)
                 term.append(value)
                 part.append(np.full(len(value), len(self.ids)))
                 tf.append(count)
-                whole = len(h) <= part_words
-                both = (_runs(question), _runs(answer)) if whole else (np.unique(ngrams(own, min(3, len(own)))),) * 2
                 self.ids.append(item_id)
-                self.runs.append(both)
+                self.whole.append((len(self.runs), lo, len(h)))  # item, place of the part, words
+            self.runs.append(tuple(map(_runs, question_and_answer(text))))
         n = len(self.ids)
         empty = np.zeros(0, np.uint64)
         term = np.concatenate(term) if term else empty
@@ -178,7 +186,7 @@ class Index:
         return found
 
     def leaks(self, data: np.ndarray, offsets: np.ndarray):
-        """(row, part, score, question share, answer share) of every leak in a chunk of documents."""
+        """(row, part, score, question share, answer share) of every part found in a chunk of documents."""
         h, at = words(data, offsets)
         if not len(h) or not len(self.terms):
             return []
@@ -204,23 +212,37 @@ class Index:
         pair = np.repeat(window[has], size) * len(self.ids) + self.e_item[place]
         pairs, which = np.unique(pair, return_inverse=True)
         bound = np.bincount(which, weights=self.e_impact[place]) + self.rest[pairs % len(self.ids)]
-        out = []
+        out, held = [], {}
+
+        def shares(d: int, lo: int, hi: int, item: int) -> list[float]:
+            """Shares of the item's question and answer runs in the document's words [lo, hi)."""
+            own = h[at[d] + max(0, lo) : min(at[d + 1], at[d] + hi)]
+            runs = {n: ngrams(own, n) for n in (1, 2, 3)}
+            out = []
+            for side in self.runs[item]:
+                here = runs[3] if len(side) > 1 else np.concatenate(list(runs.values()))
+                out.append(float(np.isin(side, here).mean()) if len(side) else 0.0)
+            return out
+
         first = np.searchsorted(window, np.arange(base[-1] + 1))
         for w in np.unique(pairs[bound >= self.threshold - 1e-9] // len(self.ids)).tolist():
             found = self.search(term[first[w] : first[w + 1]].tolist())
             if not found:
                 continue
             d = int(np.searchsorted(base, w, "right") - 1)
-            lo = at[d] + (w - base[d]) * self.stride
-            own = h[lo : min(at[d + 1], lo + 2 * self.stride)]
-            runs = {n: ngrams(own, n) for n in (1, 2, 3)}
-            for item, score in found:
-                shares = []
-                for part in self.runs[item]:
-                    n = 3 if len(part) > 1 else None
-                    here = runs[3] if n else np.concatenate(list(runs.values()))
-                    shares.append(float(np.isin(part, here).mean()) if len(part) else 0.0)
-                out.append((d, item, score, *shares))
+            lo = int(w - base[d]) * self.stride
+            for part, score in found:
+                item, place, size = self.whole[part]
+                if size <= self.stride:
+                    a, b = lo, lo + 2 * self.stride
+                else:
+                    # a copy starts in the three strides from here on; one more on either side. In
+                    # whole strides, so that the parts of a copy share a few ranges
+                    a = (lo - place) // self.stride * self.stride
+                    a, b = a - self.stride, a + 4 * self.stride + size
+                if (d, a, item) not in held:
+                    held[d, a, item] = shares(d, a, b, item)
+                out.append((d, part, score, *held[d, a, item]))
         return out
 
 
@@ -233,7 +255,7 @@ def _slices(spark: SparkSession, benchmark: DataFrame, threshold: float):
             row = np.repeat(np.arange(hi - lo), np.diff(at))
             # a part's words, once each; parts are told apart by row and place
             place = np.arange(len(h)) - at[row]
-            part = row * (1 << 32) + place // PART_WORDS
+            part = row * (1 << 32) + part_numbers(place, np.diff(at)[row])
             order = np.lexsort((h, part))
             new = np.ones(len(h), bool)
             new[1:] = (h[order][1:] != h[order][:-1]) | (part[order][1:] != part[order][:-1])

@@ -522,6 +522,24 @@ def test_leaks_odd_rows_and_edited_copies(spark):
     assert find_leaks(spark, df, b.limit(0)).count() == 0 and clean(spark, df, b.limit(0)).count() == len(rows)
 
 
+def test_leaks_of_long_items_need_question_and_answer(spark):
+    from newsprism.llm.decontamination import clean, find_leaks
+
+    rng = random.Random(8)
+    text = lambda n, v: " ".join(f"{v}{rng.randint(0, 9000)}" for _ in range(n))
+    items = {n: text(n - 12, "q").capitalize() + ". " + text(12, "a").capitalize() + "." for n in (129, 258, 1000)}
+    w = {n: t.split() for n, t in items.items()}
+    rows = [(10 * n + 0, text(200, "x") + " " + t + " " + text(300, "x")) for n, t in items.items()]
+    rows += [(10 * n + 1, text(90, "x") + " " + w[n][-1] + " " + text(90, "x")) for n in items]  # the last word
+    rows += [(10 * n + 2, text(150, "x") + " " + " ".join(w[n][:-12]) + " " + text(50, "x")) for n in items]  # no answer
+    rows += [(10 * n + 3, " ".join(w[n][-110:])) for n in (258, 1000)]  # the answer, little of the question
+    rows += [(10 * n + 4, text(777, "x") + " " + " ".join(x for k, x in enumerate(w[n]) if k % 11)) for n in items]
+    b = frame(spark, list(items.items()), "item_id long, text string")
+    want = {(10 * n + k, n) for n in items for k in (0, 4)}
+    assert {(r.doc_id, r.item_id) for r in find_leaks(spark, frame(spark, rows), b).collect()} == want
+    assert {r.doc_id for r in clean(spark, frame(spark, rows), b).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
 # ------------------------------------------------------------------- op10
 def near_brute(rows, t=0.98):
     out = {}
