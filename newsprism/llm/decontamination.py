@@ -10,8 +10,8 @@ Every passage is a query and all items scoring at least ``threshold`` are retrie
 essential words (those an item cannot reach the threshold without, rarest first) give every
 (passage, item) an upper bound, as array operations over a chunk of documents; the passages with a
 bound above the threshold then go through block-max WAND over the inverted lists. A retrieved item
-counts as a leak if the passage also holds enough of the item's question (all but its last
-sentence) and of its answer (the last sentence), by distinct runs of three words. The item of a
+counts as a leak if the passage also holds enough of the item's question (all before the
+last sentence that holds a letter or digit) and of its answer (the rest), by distinct runs of three words. The item of a
 retrieved part is held against the words around the passage where the rest of the item would lie.
 
 The index is broadcast in slices of ``SLICE_WORDS`` item words at most; each slice makes one pass
@@ -57,9 +57,13 @@ def part_numbers(place, size):
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
-    """All but the last sentence, and the last; a single sentence is both."""
-    cut = [m.end() for m in _SENTENCE.finditer(text.strip())]
-    return (text.strip()[: cut[-1]], text.strip()[cut[-1] :]) if cut else (text, text)
+    """What stands before the last sentence that holds a letter or digit, and the rest from there
+    (blanks and marks after it included); if one of them has none, the whole text is both."""
+    text = text.strip()
+    for cut in reversed([m.end() for m in _SENTENCE.finditer(text)]):
+        if any(map(str.isalnum, text[cut:])):
+            return (text[:cut], text[cut:]) if any(map(str.isalnum, text[:cut])) else (text, text)
+    return text, text
 
 
 def _runs(text: str) -> np.ndarray:
@@ -221,7 +225,7 @@ class Index:
             out = []
             for side in self.runs[item]:
                 here = runs[3] if len(side) > 1 else np.concatenate(list(runs.values()))
-                out.append(float(np.isin(side, here).mean()) if len(side) else 0.0)
+                out.append(float(np.isin(side, here).mean()))
             return out
 
         first = np.searchsorted(window, np.arange(base[-1] + 1))

@@ -540,6 +540,29 @@ def test_leaks_of_long_items_need_question_and_answer(spark):
     assert {r.doc_id for r in clean(spark, frame(spark, rows), b).collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
+@pytest.mark.parametrize("item", [
+    "The capital of that far old northern land is which city? ____", "Name the longest river that crosses seven lands! It is the ( ). ( )",
+    'He asked who wrote the first book of the nine? "', "?! Which of the seven seas has the most salt in it",
+    "Wer schrieb das erste der neun Bücher dort oben? ”", "... ! A single sentence after marks that holds all words. \n\n -- ."])
+def test_leaks_of_items_with_a_side_without_words(spark, item):
+    from newsprism.llm.decontamination import clean, find_leaks
+
+    b = frame(spark, [(1, item), (2, "other words make up this second item. Fully so.")], "item_id long, text string")
+    rows = [(1, "Before it some text. " + item + " And after it some more."), (2, "Nothing of the kind in here."),
+            (3, " ".join(re.findall(r"\w+", item)[:3]))]
+    got = [(r.doc_id, r.item_id) for r in find_leaks(spark, frame(spark, rows), b).collect()]
+    assert got == [(1, 1)] and {r.doc_id for r in clean(spark, frame(spark, rows), b).collect()} == {2, 3}
+
+
+def test_question_and_answer_of_an_item():
+    from newsprism.llm.decontamination import question_and_answer
+
+    assert question_and_answer(" Who? Me. ") == ("Who? ", "Me.")
+    assert question_and_answer("Who is it? He is. ( )") == ("Who is it? ", "He is. ( )")
+    assert question_and_answer("It is? ____") == ("It is? ____",) * 2
+    assert question_and_answer("! It is") == ("! It is",) * 2
+
+
 # ------------------------------------------------------------------- op10
 def near_brute(rows, t=0.98):
     out = {}
