@@ -8,7 +8,9 @@ the wrapper. Every slot counts in how many different pages each text stands in i
 pages share is template, everything else in the slot is content.
 
 Elements that are not the article by their own account (navigation, forms, scripts, adverts,
-comments and the like, by tag, role, class or id) are dropped; if a page marks its article or main
+comments and the like, by tag, role, or a whole class or id token) are dropped; names never drop
+html, body, main, article or headings, and a name that only holds such a word ("no-sidebar") or may
+be a topic ("legal") drops an element only where the wrapper finds it constant. If a page marks its article or main
 part, only that part is read. Blocks are joined by an empty line, white space inside a block
 becomes one space.
 
@@ -52,7 +54,8 @@ CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
                "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("table ul ol dl td th article section div body html main aside nav".split())
-# words of class, id and role that name a part other than the article
+# words of class, id and role that name a part other than the article. A token of nothing but these
+# and PLAIN words names one (unless a topic); any other token only gives a hint
 PART_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promoted promotion "
     "nav navbar navigation menu menubar topbar breadcrumb breadcrumbs pagination pager toc "
@@ -61,44 +64,61 @@ PART_WORDS = frozenset(
     "gdpr alert popup modal overlay newsletter subscribe subscription signup login social share sharing "
     "toolbar search searchbox skip hidden copyright legal disclaimer complementary contentinfo dialog".split()
 )
+TOPICS = frozenset(  # also what a passage of the article may be about
+    "discussion search legal notice notices disclaimer copyright social share sharing alert promotion recommended "
+    "related replies reply respond rail skip toc banner signup login subscription consent cookie cookies".split()
+)
+PLAIN = frozenset("area bar block box container inner item items list section site wrap wrapper".split())
+ROLES = frozenset(
+    "alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split()
+)
+NEVER = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())  # not dropped by a name
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>"
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[A-Za-z][^>]*+(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"(?i)\b(class|id|role|hidden|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|\b(hidden)\b")
+_ATTR = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?+")
+_UNSEEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 class Node:
     """An element: children are elements and strings, in page order."""
 
-    __slots__ = ("tag", "label", "children", "part")
+    __slots__ = ("tag", "label", "children", "part", "hint")
 
-    def __init__(self, tag: str, label: str, part: bool):
-        self.tag, self.label, self.part = tag, label, part
+    def __init__(self, tag: str, label: str, part: bool, hint: bool = False):
+        self.tag, self.label, self.part, self.hint = tag, label, part, hint
         self.children: list = []
 
 
+def _names_part(token: str) -> tuple[bool, bool]:
+    """Whether a class or id token names a part other than the article, and whether it may."""
+    words = {w.lower() for w in _WORD.findall(token)}
+    named = words & PART_WORDS
+    certain = bool(named) and words <= PART_WORDS | PLAIN and not (len(named) == 1 and named <= TOPICS)
+    return certain, bool(named) or "header" in words
+
+
 def _element(tag: str, attrs: str) -> Node:
-    label, part = tag, tag in DROPPED
+    label, part, hint = tag, tag in DROPPED, False
     if attrs and not attrs.isspace():
         named = []
-        for name, value, bare in _ATTR.findall(attrs):
-            value = value.strip("\"'")
-            name = (name or bare).lower()
+        for name, value in _ATTR.findall(attrs):
+            name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id", "role"):
                 named.append(value)
-                words = {w.lower() for w in _WORD.findall(value)}
-                if words & PART_WORDS or (name == "role" and "banner" in words):
-                    part = True
-                if "header" in words and tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                    part = True
-            elif name == "hidden" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                part = True
+                if tag in NEVER:
+                    continue
+                for token in value.split():
+                    certain, may = (token.lower() in ROLES, False) if name == "role" else _names_part(token)
+                    part, hint = part or certain, hint or may
+            elif name == "hidden" or name == "style" and _UNSEEN.search(value):
+                part = part or tag not in ("html", "body")
         label = f"{tag} {' '.join(named)}" if named else tag
-    return Node(tag, label, part)
+    return Node(tag, label, part, hint)
 
 
 def parse(page: str) -> Node:
@@ -294,8 +314,9 @@ def blocks(root: Node, where: dict[int, Slot]) -> list[str]:
                 line.append(" ")
             elif x.part or (x.tag == "header" and not marked):
                 flush()
-            elif x is not part and x.tag in BLOCKS and _template(where.get(id(x)), x):
-                flush()
+            elif x is not part and (x.tag in BLOCKS or x.hint) and _template(where.get(id(x)), x):
+                if x.tag in BLOCKS:
+                    flush()
             else:
                 block = x.tag in BLOCKS
                 if block:

@@ -60,6 +60,22 @@ def test_html_drops_what_is_not_the_article():
         assert t == f"Head & {i}\n\nFirst para {i}.\n\nSecond para {i} é\n\nitem {i}"  # motto is template
 
 
+def test_html_names_do_not_drop_the_article():
+    from newsprism.llm.html_extraction import extract
+
+    page = '''<html class="has-nav"><body class="single-post no-sidebar" style="visibility:hidden"><div class="site-nav">Home {0}</div>
+      <article class="hentry comments-open"><div class="post-header"><h1 class="header">Head {0}</h1></div>
+      <section id="discussion"><h2 id="search">Search {0}</h2><p id="legal">Legal {0}</p></section>
+      <p title="the hidden side" aria-hidden="false" data-class="ad">Titled {0}</p><p hidden>Unseen {0}</p>
+      <div class="Ad-Box">Buy {0}</div><div class="x widget">W {0}</div><div role="search">Find {0}</div>
+      <p class="share-line">Tell <span class="share-button">Share</span> {0}</p><div class="legal">Same</div></article></body></html>'''
+    for n in (1, 6):
+        for i, t in enumerate(extract([page.format(i) for i in range(n)])):
+            same = ["Same"] if n == 1 else []
+            tell = f"Tell Share {i}" if n == 1 else f"Tell\n\n{i}"
+            assert t.split("\n\n") == [f"Head {i}", f"Search {i}", f"Legal {i}", f"Titled {i}", *tell.split("\n\n"), *same]
+
+
 def test_html_odd_rows(spark):
     from newsprism.llm.html_extraction import main_text
 
