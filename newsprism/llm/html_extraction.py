@@ -216,20 +216,44 @@ def _groups(nodes: list[Node]) -> list[tuple[str, list[Node]]]:
     return out
 
 
-def match(slots: list[Slot], groups: list) -> list[tuple[int, int]]:
-    """Simple tree matching of two child lists: pairs (slot, group) of the heaviest alignment that
-    keeps labels and order. A pair weighs one plus the labels its own children share."""
+class Plan:
+    """Weights of a page's simple tree matching with the wrapper. ``below``: the repeated children of
+    repeated siblings; ``pairs``: the child pairs of a slot and repeated siblings of its label."""
+
+    def __init__(self):
+        self.below: dict[int, list] = {}
+        self.pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def groups(self, nodes: list[Node]) -> list:
+        if id(nodes) not in self.below:
+            self.below[id(nodes)] = _groups(nodes)
+        return self.below[id(nodes)]
+
+    def weight(self, slot: Slot, nodes: list[Node]) -> int:
+        """Nodes of the largest matching of the two subtrees: their roots and all below."""
+        groups = self.groups(nodes) if slot.children else []
+        if not groups:
+            return 1
+        total, self.pairs[id(slot), id(nodes)] = _heaviest(slot.children, groups, self.weight)
+        return 1 + total
+
+
+def _heaviest(slots: list[Slot], groups: list, weigh) -> tuple[int, list[tuple[int, int]]]:
     n, m = len(slots), len(groups)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
+    labels = [s.label for s in slots]
+    if n == m and labels == [g[0] for g in groups] and len(set(labels)) == n:
+        return sum(weigh(s, g[1]) for s, g in zip(slots, groups)), [(i, i) for i in range(n)]
+    best = [[0] * (m + 1)]
     weight = {}
     for i in range(n):
-        below = {c.label for c in slots[i].children}
+        above, row = best[-1], [0]
         for j in range(m):
-            w = 0
-            if slots[i].label == groups[j][0]:
-                w = 1 + (len(below & {c.label for x in groups[j][1][:4] for c in x.children if isinstance(c, Node)}) if below else 0)
-                weight[i, j] = w
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w if w else 0)
+            most = above[j + 1] if above[j + 1] > row[j] else row[j]
+            if labels[i] == groups[j][0]:
+                weight[i, j] = w = weigh(slots[i], groups[j][1])
+                most = max(most, above[j] + w)
+            row.append(most)
+        best.append(row)
     pairs, i, j = [], n, m
     while i and j:
         if (i - 1, j - 1) in weight and best[i][j] == best[i - 1][j - 1] + weight[i - 1, j - 1]:
@@ -239,33 +263,41 @@ def match(slots: list[Slot], groups: list) -> list[tuple[int, int]]:
             i -= 1
         else:
             j -= 1
-    return pairs[::-1]
+    return best[n][m], pairs[::-1]
+
+
+def match(slots: list[Slot], groups: list) -> list[tuple[int, int]]:
+    """Simple tree matching of two child lists: pairs (slot, group) of the heaviest alignment that
+    keeps labels and order. A pair weighs the nodes of the largest matching of its subtrees."""
+    return _heaviest(slots, groups, Plan().weight)[1]
 
 
-def align(slot: Slot, nodes: list[Node], where: dict[int, Slot], fresh: bool) -> None:
+def align(slot: Slot, nodes: list[Node], where: dict[int, Slot], fresh: bool, plan: Plan | None = None) -> None:
     """Align repeated siblings with a slot; ``where`` gets the slot of every node. ``fresh`` pages
     add to the counts (a page that is a copy of another in the group does not)."""
+    if plan is None:
+        plan = Plan()
+        plan.weight(slot, nodes)
     for node in nodes:
         where[id(node)] = slot
     if fresh:
         slot.pages += 1
         for t in {_text(x) for x in nodes}:
             slot.texts[t] = slot.texts.get(t, 0) + 1
-    groups = _groups(nodes)
+    groups = plan.groups(nodes)
     if not groups:
         return
-    pairs = match(slot.children, groups)
-    partner = {j: slot.children[i] for i, j in pairs}
+    partner = {j: slot.children[i] for i, j in plan.pairs.get((id(slot), id(nodes)), ())}
     place = 0
     for j, (label, own) in enumerate(groups):
         if j in partner:
             place = slot.children.index(partner[j]) + 1
-            align(partner[j], own, where, fresh)
+            align(partner[j], own, where, fresh, plan)
         else:
             new = Slot(label)
             slot.children.insert(place, new)
             place += 1
-            align(new, own, where, fresh)
+            align(new, own, where, fresh, plan)
 
 
 def _template(slot: Slot | None, node: Node) -> bool:
@@ -275,56 +307,62 @@ def _template(slot: Slot | None, node: Node) -> bool:
     return n >= max(LEAST_PAGES, SHARE * slot.pages)
 
 
-def _main_parts(root: Node) -> list[Node]:
-    """Outermost article elements, else main elements, else the whole page."""
-    for wanted in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            x = todo.pop()
-            if x.part:
-                continue
-            if x.tag == wanted:
-                found.append(x)
-                continue
-            todo += [c for c in reversed(x.children) if isinstance(c, Node)]
-        if found:
-            return found
-    return [root]
+def _elsewhere(slot: Slot | None, node: Node) -> bool:
+    """Whether the text stands in the slot in another page too."""
+    return slot is not None and slot.texts.get(_text(node), 0) > 1
 
 
 def blocks(root: Node, where: dict[int, Slot]) -> list[str]:
+    """The page's blocks of text that are neither template nor dropped; of these, the ones in
+    outermost articles, else in main, if they hold at least half of the varying text."""
     out, line = [], []
+    marks: dict[str, Node | None] = {"article": None, "main": None}
+    constant = {None: False}
 
     def flush():
         text = " ".join(entities.unescape("".join(line)).split())
         line.clear()
         if text:
-            out.append(text)
-
-    for part in _main_parts(root):
-        marked = part.tag in ("article", "main")
-        todo: list = [part]
-        while todo:
-            x = todo.pop()
-            if x is None:
+            out.append((text, marks["article"], marks["main"]))
+
+    todo: list = [root]
+    while todo:
+        x = todo.pop()
+        if x is None:
+            flush()
+        elif isinstance(x, str):
+            line.append(x)
+        elif isinstance(x, tuple):  # the end of a mark
+            flush()
+            marks[x[0]] = None
+        elif x.tag == "br":
+            line.append(" ")
+        elif x.part or (x.tag == "header" and not (marks["article"] or marks["main"])):
+            flush()
+        elif marks.get(x.tag, x) is None:
+            flush()
+            marks[x.tag] = x
+            constant[x] = _template(where.get(id(x)), x)
+            todo.append((x.tag,))
+            todo += reversed(x.children)
+        elif (x.tag in BLOCKS or x.hint) and _template(where.get(id(x)), x):
+            if x.tag in BLOCKS:
                 flush()
-            elif isinstance(x, str):
-                line.append(x)
-            elif x.tag == "br":
-                line.append(" ")
-            elif x.part or (x.tag == "header" and not marked):
+        else:
+            if x.tag in BLOCKS:
                 flush()
-            elif x is not part and (x.tag in BLOCKS or x.hint) and _template(where.get(id(x)), x):
-                if x.tag in BLOCKS:
-                    flush()
-            else:
-                block = x.tag in BLOCKS
-                if block:
-                    flush()
-                    todo.append(None)
-                todo += reversed(x.children)
-        flush()
-    return out
+                todo.append(None)
+            todo += reversed(x.children)
+    flush()
+    varying = [0 if constant[a] or constant[m] else len(t) for t, a, m in out]
+    for k in (1, 2):
+        own = [i for i, b in enumerate(out) if b[k]]
+        if own and 2 * sum(varying[i] for i in own) >= sum(varying):
+            some = any(varying[i] for i in own)
+            return [out[i][0] for i in own if varying[i] or not some]
+    # the main text is outside the articles: cards that other pages show too are no part of it
+    cards = {a for _, a, _ in out if a and (constant[a] or _elsewhere(where.get(id(a)), a))}
+    return [t for (t, a, m), v in zip(out, varying) if v and a not in cards]
 
 
 def _title(root: Node) -> str:

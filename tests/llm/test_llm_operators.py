@@ -72,8 +72,45 @@ def test_html_names_do_not_drop_the_article():
     for n in (1, 6):
         for i, t in enumerate(extract([page.format(i) for i in range(n)])):
             same = ["Same"] if n == 1 else []
-            tell = f"Tell Share {i}" if n == 1 else f"Tell\n\n{i}"
-            assert t.split("\n\n") == [f"Head {i}", f"Search {i}", f"Legal {i}", f"Titled {i}", *tell.split("\n\n"), *same]
+            tell = f"Tell Share {i}" if n == 1 else f"Tell {i}"
+            assert t.split("\n\n") == [f"Head {i}", f"Search {i}", f"Legal {i}", f"Titled {i}", tell, *same]
+
+
+def test_html_varying_slots_choose_the_content():
+    from newsprism.llm.html_extraction import extract
+
+    text = lambda i, k: " ".join(f"w{(i * 31 + j * 7 + k * 13) % 997}" for j in range(40))
+    card = lambda i: f'<article><h3>Card {i % 3}</h3><p>More of card {i % 3}</p></article>'
+    page = ("<html><body><div class=text><h1>Head {0}</h1><p>{1}</p><p>{2}</p></div>{3}"
+            "<article>The same for all</article></body></html>")
+    pages = [page.format(i, text(i, 0), text(i, 1), card(i) + card(i + 1)) for i in range(12)]
+    assert extract(pages) == [f"Head {i}\n\n{text(i, 0)}\n\n{text(i, 1)}" for i in range(12)]
+    main = [p.replace("<div class=text>", "<main>").replace("</div>", "</main>") for p in pages]
+    assert extract(main) == extract(pages)
+    # most of the text in the article: the tag decides
+    page = "<body><div>Teaser {0}</div><article><h1>Head {0}</h1><p>{1}</p></article></body>"
+    assert extract([page.format(i, text(i, 2)) for i in range(6)]) == [f"Head {i}\n\n{text(i, 2)}" for i in range(6)]
+    assert extract([page.format(1, text(1, 2))]) == [f"Head 1\n\n{text(1, 2)}"]
+
+
+def test_simple_tree_matching_weighs_whole_subtrees():
+    from newsprism.llm.html_extraction import Slot, align, match, parse
+
+    def same(page, label):
+        slot = Slot("#root")
+        align(slot, [parse(page)], {}, True)
+        return [c for c in slot.children if c.label == label]
+
+    def node(page):
+        return [c for c in parse(page).children]
+
+    deep = "<div><p><b><i>x</i><u>y</u></b></p></div>"
+    slots = same(f"{deep}", "div")
+    # equal labels one level down; only deeper nodes tell which div is the partner
+    assert match(slots, [("div", node("<div><p><em>x</em></p></div>")), ("a", []), ("div", node(deep))]) == [(0, 2)]
+    # what the slot holds stands in the fifth sibling only
+    more = "<div><s>q</s></div>" * 4 + deep
+    assert match(slots, [("div", node("<div><p>x</p></div>")), ("a", []), ("div", node(more))]) == [(0, 2)]
 
 
 def test_html_odd_rows(spark):
