@@ -18,8 +18,8 @@ A host's pages are dealt to groups by a hash of the page. Hosts with more than 1
 pages get several groups (there are at most HOT_HOSTS such hosts, so that table is broadcast);
 smaller hosts are read as a stream, a few dozen pages at a time, sorted by page_id, so no group is
 held whole. Results for odd rows: null and empty html gives an empty text; null url and page_id are
-passed through; repeated rows give repeated results, and pages of one title count once in the
-wrapper; other columns are ignored.
+passed through; repeated rows give repeated results, and copies and versions of a text, told by
+their content, count once in the wrapper; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ GROUP_PAGES = 24
 HOT_HOSTS = 10_000
 LEAST_PAGES = 4  # pages that must share a text before it can be template
 SHARE = 0.6  # and their share of the pages that have the slot
+VERSION_RUNS = 32  # least runs of words by which two pages are told to be versions of one text
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
@@ -312,12 +313,18 @@ def _elsewhere(slot: Slot | None, node: Node) -> bool:
     return slot is not None and slot.texts.get(_text(node), 0) > 1
 
 
+def _letters(text: str) -> str:
+    return "".join(re.findall(r"\w+", entities.unescape(text)))
+
+
 def blocks(root: Node, where: dict[int, Slot]) -> list[str]:
     """The page's blocks of text that are neither template nor dropped; of these, the ones in
-    outermost articles, else in main, if they hold at least half of the varying text."""
+    outermost articles, else in main, if they hold at least half of the varying text. The page's
+    title at the start of a block in these makes it their headline or opening, and no template."""
     out, line = [], []
     marks: dict[str, Node | None] = {"article": None, "main": None}
     constant = {None: False}
+    name = _letters(_title(root)) if where else ""
 
     def flush():
         text = " ".join(entities.unescape("".join(line)).split())
@@ -345,7 +352,8 @@ def blocks(root: Node, where: dict[int, Slot]) -> list[str]:
             constant[x] = _template(where.get(id(x)), x)
             todo.append((x.tag,))
             todo += reversed(x.children)
-        elif (x.tag in BLOCKS or x.hint) and _template(where.get(id(x)), x):
+        elif (x.tag in BLOCKS or x.hint) and _template(where.get(id(x)), x) and not (
+                (marks["article"] or marks["main"]) and name and _letters(_text(x)).startswith(name)):
             if x.tag in BLOCKS:
                 flush()
         else:
@@ -365,6 +373,26 @@ def blocks(root: Node, where: dict[int, Slot]) -> list[str]:
     return [t for (t, a, m), v in zip(out, varying) if v and a not in cards]
 
 
+def _runs(text: str) -> set:
+    words = text.split()
+    return set(zip(words, words[1:], words[2:])) or {text}
+
+
+def _copy(own: dict[str, set], runs: set, others: list[tuple[dict[str, set], set]]) -> bool:
+    """Whether a page's blocks (with their runs of three words) are another page's, or a version of
+    them: the blocks that only one of the two has are long and hold mostly the same runs."""
+    for other, y in others:
+        x, a, b = runs, own.keys() - other.keys(), other.keys() - own.keys()
+        if not a and not b:
+            return True
+        if len(a) < len(own):
+            x, y = set().union(*(own[t] for t in a)), set().union(*(other[t] for t in b))
+        less = min(len(x), len(y))
+        if less >= VERSION_RUNS and len(x & y) >= SHARE * less:
+            return True
+    return False
+
+
 def _title(root: Node) -> str:
     todo = [root]
     while todo:
@@ -378,15 +406,18 @@ def _title(root: Node) -> str:
 
 def extract(pages: list[str | None]) -> list[str]:
     """Main texts of pages of one host."""
-    wrapper, seen, out = Slot("#root"), set(), []
+    wrapper, seen, out = Slot("#root"), [], []
     trees, wheres = [], []
     for page in pages:
         where: dict[int, Slot] = {}
         tree = parse(page or "")
         if page:
-            name = _title(tree) or page  # versions of one article count as one page
-            align(wrapper, [tree], where, name not in seen)
-            seen.add(name)
+            own = {t: _runs(t) for t in blocks(tree, where) or [page]}  # as read without a wrapper
+            runs = set().union(*own.values())
+            fresh = not _copy(own, runs, seen)
+            align(wrapper, [tree], where, fresh)
+            if fresh:
+                seen.append((own, runs))
         trees.append(tree)
         wheres.append(where)
     for tree, where in zip(trees, wheres):

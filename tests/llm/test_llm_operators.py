@@ -113,6 +113,21 @@ def test_simple_tree_matching_weighs_whole_subtrees():
     assert match(slots, [("div", node("<div><p>x</p></div>")), ("a", []), ("div", node(more))]) == [(0, 2)]
 
 
+def test_html_copies_are_told_by_content():
+    from newsprism.llm.html_extraction import extract
+
+    rng = random.Random(9)
+    page = "<html><title>{2}</title><body><div>Motto of the house</div><div id=top>Plain {3}</div><div><p>{0}</p><p>{1}</p></div></body></html>"
+    text = lambda n: " ".join(f"w{rng.randint(0, 999)}" for _ in range(n))
+    bodies = [(text(30), text(60)) for _ in range(6)]
+    assert extract([page.format(*b, "Site", "head") for b in bodies]) == ["\n\n".join(b) for b in bodies]
+    assert extract([page.format(f"Story {i}", "Short.", "Site", "head") for i in range(6)]) == [f"Story {i}" for i in range(6)]
+    # copies, and versions with a word changed, are one page, whatever their title: nothing is template
+    a, b = bodies[0]
+    versions = [page.format(a, b.replace(" ", f" v{i} ", 1), f"Site {i}", "head") for i in range(6)]
+    assert all(t.split("\n\n")[2] == a for t in extract(versions + [page.format(a, b, "T", "head")] * 3))
+
+
 def test_html_odd_rows(spark):
     from newsprism.llm.html_extraction import main_text
 
