@@ -14,10 +14,12 @@ be a topic ("legal") drops an element only where the wrapper finds it constant.
 part, only that part is read. Blocks are joined by an empty line, white space inside a block
 becomes one space.
 
-A host's pages are dealt to groups by a hash of the page. Hosts with more than 1/HOT_HOSTS of all
-pages get several groups (there are at most HOT_HOSTS such hosts, so that table is broadcast);
-smaller hosts are read as a stream, a few dozen pages at a time, sorted by page_id, so no group is
-held whole. Results for odd rows: null and empty html gives an empty text; null url and page_id are
+The n pages of a host are dealt to n / GROUP_PAGES groups (rounded down, one at least) by a hash of
+the page, whatever the table holds besides. For hosts with more than 1/HOT_HOSTS of all pages the
+number is broadcast (there are at most HOT_HOSTS such hosts), and each group is shuffled by itself;
+smaller hosts are shuffled whole, and counted and dealt where they arrive. A group is read as a
+stream, sorted by page_id: of more than 2 * GROUP_PAGES pages, GROUP_PAGES at a time are read, so
+none is held whole and the last read has GROUP_PAGES at least. Results for odd rows: null and empty html gives an empty text; null url and page_id are
 passed through; repeated rows give repeated results, and copies and versions of a text, told by
 their content, count once in the wrapper; other columns are ignored.
 """
@@ -29,7 +31,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -446,16 +448,20 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     counts = stored(spark, keyed.groupBy("host").agg(F.count("*").alias("n")), "hosts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.where(F.col("n") > max(GROUP_PAGES, total // HOT_HOSTS)).select(
-        "host", F.ceil(F.col("n") / GROUP_PAGES).cast("int").alias("groups"))
+        "host", F.floor(F.col("n") / GROUP_PAGES).alias("groups"))
     sent = keyed.mapInArrow(shrink, schema).join(F.broadcast(hot), "host", "left")
-    sent = sent.withColumn("grp", F.coalesce(F.pmod("h", F.col("groups")), F.lit(0)).cast("int")).drop("groups", "h")
+    sent = sent.withColumn("grp", F.coalesce(F.pmod("h", F.col("groups")), F.lit(0)))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = sent.repartition(parts, "host", "grp").sortWithinPartitions("host", "grp", "page_id", "url")
+    sent = sent.repartition(parts, "host", "grp").withColumn(
+        "n", F.when(F.col("groups").isNull(), F.count("*").over(Window.partitionBy("host", "grp"))))
+    own = F.pmod("h", F.greatest(F.lit(1), F.floor(F.col("n") / GROUP_PAGES)))
+    sent = sent.withColumn("grp", F.when(F.col("groups").isNull(), own).otherwise(F.col("grp"))).drop("groups", "h", "n")
+    sent = sent.sortWithinPartitions("host", "grp", "page_id", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
-        def done():
+        def done(rows):
             texts = extract([r["html"] for r in rows])
             return pa.RecordBatch.from_arrays(
                 [pa.array([r["page_id"] for r in rows], pa.int64()), pa.array([r["url"] for r in rows], pa.string()),
@@ -466,14 +472,17 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 256):
                 for r in batch.slice(lo, 256).to_pylist():
                     own = (r["host"], r["grp"])
-                    if rows and (own != key or len(rows) >= 2 * GROUP_PAGES):
-                        yield done()
+                    if rows and own != key:
+                        yield done(rows)
                         rows = []
+                    elif len(rows) >= 2 * GROUP_PAGES:
+                        yield done(rows[:GROUP_PAGES])
+                        rows = rows[GROUP_PAGES:]
                     key = own
                     r["html"] = None if r["z"] is None else pa.decompress(r["z"], r["size"], codec, asbytes=True).decode() if r["size"] else ""
                     del r["z"]
                     rows.append(r)
         if rows:
-            yield done()
+            yield done(rows)
 
     return sent.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -141,6 +141,24 @@ def test_html_odd_rows(spark):
     assert main_text(spark, df.limit(0)).count() == 0
 
 
+def test_html_groups_do_not_depend_on_the_table(spark):
+    from newsprism.llm import html_extraction as H
+
+    page = "<body><div>Motto of the house</div><p>Story number {0} on host {1}</p></body>"
+    rows = [(1000 * n + i, f"http://h{n}.org/{i}", page.format(i, n)) for n in (49, 50, 51, 97) for i in range(n)]
+    ddl = "page_id long, url string, html string"
+    want = {r[0]: f"Story number {r[0] % 1000} on host {r[0] // 1000}" for r in rows}
+    for hot in (H.HOT_HOSTS, 1):  # with 1, no host is hot, as in a table of many pages
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(H, "HOT_HOSTS", hot)
+            got = {r.page_id: r.text for r in H.main_text(spark, frame(spark, rows, ddl)).collect()}
+        assert got == want
+    # one hash for all pages: read GROUP_PAGES at a time, none short
+    rows = [(7, "http://one.org/", page.format(i, 1)) for i in range(49)]
+    got = [r.text for r in H.main_text(spark, frame(spark, rows, ddl)).collect()]
+    assert len(got) == 49 and not any("Motto" in t for t in got)
+
+
 def test_simple_tree_matching_keeps_labels_and_order():
     from newsprism.llm.html_extraction import Slot, match
 
