@@ -2,8 +2,9 @@
 
 Tokens are runs of letters, digits and non-ASCII bytes. A token's features are its own hash, the
 hashes of its first 4, 5 and 6 bytes, and its neighbours; features and the 2 x 2 transitions are
-weighted by a chain over at most ``CHAIN`` tokens, trained by gradient ascent on the likelihood of
-labelled tokens (forward-backward over many chains at once, one array step a position).
+weighted by a chain over the whole document, trained by gradient ascent on the likelihood of
+labelled tokens. Forward-backward works on pieces of ``CHAIN`` tokens, many at once, one array step a
+position; messages carried from piece to piece make it exact for the document.
 
 Token labels come from the document labels: in a toxic sample document a token is toxic when its
 hash or the hash of its first bytes is significantly more frequent in toxic than in other sample
@@ -13,7 +14,8 @@ largest marginal and its expected number of toxic tokens gives the score, and to
 marginal of one half or more give the offending character offsets.
 
 The chain is fitted on a bounded sample (``sample_rows`` labelled rows of each class at most, never
-held-out ones) in one task; every document's whole text is tagged, in parallel, with the broadcast
+held-out ones; of these, whole documents of at most ``CHAINS`` pieces with toxic tokens and twice as
+many without) in one task; every document's whole text is tagged, in parallel, with the broadcast
 weights (``2^BITS`` floats).
 
 Results for odd rows: null, empty and token-less texts get the curve's lowest score and no spans; a
@@ -35,7 +37,7 @@ BITS = 18
 CHAIN = 64
 SAMPLE_ROWS = 2000
 ROUNDS = 60
-CHAINS = 6000  # training chains with a toxic token at most; and twice as many without
+CHAINS = 6000  # training pieces of documents with a toxic token at most; and twice as many without
 STEMS = (4, 5, 6)
 EVIDENCE = 12.0  # log likelihood ratio from which a feature marks toxic tokens
 
@@ -59,7 +61,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
 
 
 def chains(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(chain, position) of each token: documents cut every CHAIN tokens."""
+    """(piece, position) of each token: documents cut every CHAIN tokens."""
     if not len(doc):
         return doc, doc
     first = np.searchsorted(doc, doc)
@@ -68,44 +70,95 @@ def chains(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(new) - 1, place % CHAIN
 
 
-def marginals(e: np.ndarray, chain: np.ndarray, at: np.ndarray, trans: np.ndarray, pairs: bool = False):
+def joined(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each piece continues the document of the piece before."""
+    of = doc[np.flatnonzero(at == 0)]
+    out = np.zeros(len(of), bool)
+    out[1:] = of[1:] == of[:-1]
+    return out
+
+
+def messages(odds: np.ndarray, live: np.ndarray, t: np.ndarray, goes_on: np.ndarray):
+    """Forward messages into the first token of each piece and backward messages into its last one,
+    from the other pieces of the document (1, 1 at its ends)."""
+    n = len(goes_on)
+    start, end = np.ones((2, n)), np.ones((2, n))
+    if not goes_on.any():
+        return start, end
+    near = goes_on.copy()
+    near[:-1] |= goes_on[1:]
+    own, slot = np.flatnonzero(near), np.cumsum(near) - 1
+    # the product of each piece's emissions and transitions, up to a factor
+    m = np.zeros((2, 2, len(own)))
+    m[0, 0], m[1, 1] = 1.0, odds[0, own]
+    for i in range(1, len(odds)):
+        go = live[i, own]
+        q = np.stack([m[:, 0] * t[0, 0] + m[:, 1] * t[1, 0], (m[:, 0] * t[0, 1] + m[:, 1] * t[1, 1]) * odds[i, own]], 1)
+        m = np.where(go, q / q.sum((0, 1)), m)
+    rank = np.arange(n) - np.maximum.accumulate(np.where(goes_on, 0, np.arange(n)))
+    order = np.argsort(rank, kind="stable")
+    steps = np.split(order, np.searchsorted(rank[order], np.arange(1, rank.max() + 1)))[1:]
+    for k in steps:
+        u = np.einsum("rk,rck,cd->dk", start[:, k - 1], m[:, :, slot[k - 1]], t)
+        start[:, k] = u / u.sum(0)
+    for k in reversed(steps):
+        u = np.einsum("dr,rck,ck->dk", t, m[:, :, slot[k]], end[:, k])
+        end[:, k - 1] = u / u.sum(0)
+    return start, end
+
+
+def marginals(
+    e: np.ndarray, chain: np.ndarray, at: np.ndarray, trans: np.ndarray, pairs: bool = False,
+    goes_on: np.ndarray | None = None,
+):
     """P(toxic) of each token from its emission odds ``e`` (log); with ``pairs`` also the expected
-    transition counts. All chains advance together, one position at a time."""
+    transition counts. All chains advance together, one position at a time; ``goes_on`` tells the
+    chains that continue the one before."""
     n = int(chain[-1]) + 1 if len(chain) else 0
     width = int(at.max()) + 1 if len(at) else 0
     odds, live = np.ones((width, n)), np.zeros((width, n), bool)
     odds[at, chain] = np.exp(np.clip(e, -30, 30))
     live[at, chain] = True
     t = np.exp(trans)
+    goes_on = np.zeros(n, bool) if goes_on is None else goes_on
+    start, end = messages(odds, live, t, goes_on)
     f0, f1 = np.zeros((width, n)), np.zeros((width, n))
     a0, a1 = np.full(n, 0.5), np.full(n, 0.5)
     for i in range(width):
         if i:
             n0, n1 = a0 * t[0, 0] + a1 * t[1, 0], a0 * t[0, 1] + a1 * t[1, 1]
         else:
-            n0, n1 = np.ones(n), np.ones(n)
+            n0, n1 = start
         n1 = n1 * odds[i]
         s = n0 + n1
         a0, a1 = n0 / s, n1 / s
         f0[i], f1[i] = a0, a1
     p = np.zeros((width, n))
-    b0, b1 = np.ones(n), np.ones(n)
+    b0, b1 = end
     count = np.zeros((2, 2))
+
+    def add(g0, g1, w0, w1):
+        x = [[g0 * t[0, 0] * w0, g0 * t[0, 1] * w1], [g1 * t[1, 0] * w0, g1 * t[1, 1] * w1]]
+        z = x[0][0] + x[0][1] + x[1][0] + x[1][1]
+        for r in (0, 1):
+            for c in (0, 1):
+                count[r, c] += (x[r][c] / z).sum()
+
     for i in range(width - 1, -1, -1):
         if i < width - 1:
             nxt = live[i + 1]
             w0, w1 = b0, odds[i + 1] * b1
             if pairs:
-                x = [[f0[i] * t[0, 0] * w0, f0[i] * t[0, 1] * w1], [f1[i] * t[1, 0] * w0, f1[i] * t[1, 1] * w1]]
-                z = x[0][0] + x[0][1] + x[1][0] + x[1][1]
-                for r in (0, 1):
-                    for c in (0, 1):
-                        count[r, c] += (x[r][c] / z)[nxt].sum()
+                add(f0[i][nxt], f1[i][nxt], w0[nxt], w1[nxt])
             n0, n1 = t[0, 0] * w0 + t[0, 1] * w1, t[1, 0] * w0 + t[1, 1] * w1
             s = n0 + n1
-            b0, b1 = np.where(nxt, n0 / s, 1.0), np.where(nxt, n1 / s, 1.0)
+            b0, b1 = np.where(nxt, n0 / s, end[0]), np.where(nxt, n1 / s, end[1])
         g0, g1 = f0[i] * b0, f1[i] * b1
         p[i] = g1 / (g0 + g1)
+    if pairs and goes_on.any():
+        k = np.flatnonzero(goes_on)
+        last = np.bincount(chain)[k - 1] - 1
+        add(f0[last, k - 1], f1[last, k - 1], b0[k], odds[0, k] * b1[k])
     return (p[at, chain], count) if pairs else p[at, chain]
 
 
@@ -143,31 +196,34 @@ def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> dict:
     near = mix(cols[-2] + np.uint64(3) * cols[-1])
     label = token_labels(cols[: 1 + len(STEMS)], near, y[doc] == 1).astype(float)
     chain, at = chains(doc)
-    of = doc[np.flatnonzero(at == 0)]  # document of each chain
-    has = np.bincount(chain, weights=label) > 0
+    goes_on = joined(doc, at)
+    pieces = np.bincount(doc[at == 0], minlength=len(y))
+    has = np.bincount(doc, weights=label, minlength=len(y)) > 0
     rng = np.random.default_rng(4)
-    use = (np.arange(len(y)) % 4 != 0)[of]  # the other documents fit the curve
+    use = np.arange(len(y)) % 4 != 0  # the other documents fit the curve
 
     def some(which: np.ndarray, n: int) -> np.ndarray:
-        return which if len(which) <= n else np.sort(rng.choice(which, n, replace=False))
+        which = rng.permutation(which)
+        before = np.cumsum(pieces[which]) - pieces[which]
+        return which[(before + pieces[which] <= n) | (before == 0)]
 
-    picked = np.zeros(len(of), bool)
+    picked = np.zeros(len(y), bool)
     picked[some(np.flatnonzero(has & use), CHAINS)] = True
-    picked[some(np.flatnonzero(~has & use & (y[of] == 0)), 2 * CHAINS)] = True
-    rows = np.flatnonzero(picked[chain])
-    tf, tl, ta = f[rows], label[rows], at[rows]
-    tc = np.cumsum(ta == 0) - 1
+    picked[some(np.flatnonzero(~has & use & (y == 0)), 2 * CHAINS)] = True
+    rows = np.flatnonzero(picked[doc])
+    td, tf, tl, ta = doc[rows], f[rows], label[rows], at[rows]
+    tc, tj = np.cumsum(ta == 0) - 1, joined(td, ta)
     w, trans = np.zeros(size), np.zeros((2, 2))
     w[:] = 0.0
     seen_w, seen_t = np.full(size, 1e-8), np.full((2, 2), 1e-8)
     bias = -4.0
     seen_b = 1e-8
-    same = tc[1:] == tc[:-1]
+    same = td[1:] == td[:-1]
     a, b = tl[:-1][same].astype(int), tl[1:][same].astype(int)
     observed = np.bincount(2 * a + b, minlength=4).reshape(2, 2).astype(float)
     flat_f = tf.ravel()
     for _ in range(ROUNDS):
-        p, expected = marginals(w[tf].sum(1) + bias, tc, ta, trans, pairs=True)
+        p, expected = marginals(w[tf].sum(1) + bias, tc, ta, trans, pairs=True, goes_on=tj)
         diff = tl - p
         g = np.bincount(flat_f, weights=np.repeat(diff, tf.shape[1]), minlength=size) - 0.05 * w
         gt, gb = (observed - expected) - 0.05 * trans, diff.sum()
@@ -178,7 +234,7 @@ def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> dict:
         trans += 0.2 * gt / np.sqrt(seen_t)
         bias += 0.2 * gb / np.sqrt(seen_b)
     model = {"w": w, "trans": trans, "bias": bias}
-    p = marginals(w[f].sum(1) + bias, chain, at, trans)
+    p = marginals(w[f].sum(1) + bias, chain, at, trans, goes_on=goes_on)
     x = document_features(p, doc, len(y))
     rest = np.arange(len(y)) % 4 == 0
     if len(set(y[rest].tolist())) < 2:
@@ -247,7 +303,7 @@ def score_toxicity(
             e = np.full(len(doc), m.get("bias", 0.0))
             for k in range(f.shape[1]):
                 e += m["w"][f[:, k]]
-            p = marginals(e, chain, at, m["trans"])
+            p = marginals(e, chain, at, m["trans"], goes_on=joined(doc, at))
             x = np.column_stack([document_features(p, doc, hi - lo), np.ones(hi - lo)])
             score = 1 / (1 + np.exp(-np.clip(x @ m["curve"], -30, 30)))
             spans: list[list[str]] = [[] for _ in range(hi - lo)]

@@ -224,6 +224,28 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(p, want) and np.allclose(pairs, total)
 
 
+def test_forward_backward_over_whole_documents():
+    from newsprism.llm.toxicity import CHAIN, chains, joined, marginals
+
+    rng = np.random.default_rng(2)
+    sizes = [1, 5, CHAIN, CHAIN + 1, 3 * CHAIN, 700, 2]
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    e, trans = rng.normal(size=len(doc)) * 3, np.array([[1.5, -2.0], [-1.0, 2.0]])
+    whole = np.concatenate([np.arange(n) for n in sizes])  # each document as one chain
+    want, total = marginals(e, doc, whole, trans, pairs=True)
+    chain, at = chains(doc)
+    assert at.max() < CHAIN
+    p, pairs = marginals(e, chain, at, trans, pairs=True, goes_on=joined(doc, at))
+    assert np.allclose(p, want) and np.allclose(pairs, total)
+    assert np.allclose(total.sum(), len(doc) - len(sizes))
+    # a span keeps its marginals wherever it stands
+    span = np.array([-4.0] * 30 + [3.0, -0.5, -0.5, 3.0] + [-4.0] * 30)
+    for shift in range(0, CHAIN, 7):
+        d = np.zeros(shift + len(span), int)
+        p = marginals(np.concatenate([np.full(shift, -4.0), span]), *(c := chains(d)), trans, goes_on=joined(d, c[1]))
+        assert np.allclose(p[shift + 30 : shift + 34], want_span := p[shift + 30 : shift + 34] if shift == 0 else want_span)
+
+
 # ------------------------------------------------------------------- op3
 def cut_brute(docs, length=50):
     """doc_id -> (bytes, removed, spans, digest of the rest)."""
