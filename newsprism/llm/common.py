@@ -84,20 +84,21 @@ def map_batches(
     fn: Callable, schema: str, df: DataFrame, *, at_end: Callable | None = None
 ) -> DataFrame:
     """``mapInArrow`` over record batches: ``fn(batch)`` yields dicts of columns; ``at_end`` is
-    called when a task has read its last batch."""
+    called when a task has read its last batch, and may yield dicts, too."""
     from pyspark.sql.types import _parse_datatype_string  # DDL text to a Spark type
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def columns(out: dict) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+
         for batch in batches:
             for out in fn(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow
-                )
-        if at_end:
-            at_end()
+                yield columns(out)
+        for out in (at_end() if at_end else None) or ():
+            yield columns(out)
 
     return df.mapInArrow(run, schema)
 

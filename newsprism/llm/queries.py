@@ -81,6 +81,25 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(spark, read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import rank_documents
+
+    docs, benchmark = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return rank_documents(spark, docs, benchmark)
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .knn_join import top_inner_products
+
+    return top_inner_products(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_classifier": op2_quality_classifier,
@@ -92,5 +111,49 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_topk_search": op13_topk_search,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op12_lexical_search": r"""
+with words as (
+  select doc_id, row_number() over () as d,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents where text is not null),
+items as (
+  select item_id, row_number() over () as i,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from (select distinct item_id, text from benchmark where text is not null)),
+held as (select d, doc_id, terms, len(terms)::bigint as n from words where len(terms) > 0),
+total as (select count(*)::bigint as docs, sum(n)::bigint as words from held),
+queried as (select i, item_id, term, count(*)::bigint as times
+            from (select i, item_id, unnest(terms) as term from items) group by i, item_id, term),
+postings as (select d, doc_id, n, term, count(*)::bigint as tf
+             from (select d, doc_id, n, unnest(terms) as term from held) group by d, doc_id, n, term),
+frequency as (select term, count(*)::bigint as df from postings group by term),
+weights as (select q.i, q.item_id, q.term, q.times,
+              floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w
+            from queried q join frequency f on q.term = f.term cross join total),
+scores as (select i, item_id, d, doc_id,
+             sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::bigint as score
+           from weights join postings using (term) cross join total group by i, item_id, d, doc_id),
+ranked as (select item_id, row_number() over (partition by i order by score desc, doc_id)::int as rank, doc_id, score
+           from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 20""",
+    "op13_topk_search": r"""
+with parts as (
+  select r, vec_id, unnest(embedding)::double as c, generate_subscripts(embedding, 1) as i
+  from (select row_number() over () as r, vec_id, embedding from embeddings where vec_id is not null)),
+sound as (select r from parts group by r having bool_and(c is not null and isfinite(c))),
+entries as (select r, vec_id, i, floor(1024 * c)::bigint as x from parts semi join sound using (r)),
+scores as (
+  select q.r as q, c.r as c, q.vec_id as query_id, c.vec_id, sum(q.x * c.x)::bigint as score
+  from entries q join entries c on q.i = c.i and q.r <> c.r
+  where q.vec_id % 100 = 0 group by q.r, c.r, q.vec_id, c.vec_id),
+ranked as (select query_id, row_number() over (partition by q order by score desc, vec_id)::int as rank, vec_id, score
+           from scores)
+select query_id, rank, vec_id, score from ranked where rank <= 10""",
 }
-ORACLE_SQL: dict[str, str] = {}
