@@ -26,6 +26,7 @@ from .plans.oracle import ORDER_EXPOSURES, ORDER_LINES, ORDER_NEWS, with_tables
 from .schemas import NEWS_TSV_COLUMNS
 from .session import fresh_dir
 from .sinks import keyed as K
+from .sinks.store import ExposureStore
 from .sources import bindings as B
 from .sources import files as S
 from .streaming import runner as SR
@@ -554,6 +555,73 @@ def q_popular_news(spark, sf_dir):
     return R.popular_news(e, n)
 
 
+# --------------------------------------------------------------------------- maintained layouts
+
+
+def _corrected_store(spark, sf_dir) -> tuple[ExposureStore, DataFrame]:
+    """The exposure store after two batches: all events, every seventh with a wrong click, dwell time
+    and day; then these again as they should be."""
+    e, n = _event(spark, sf_dir)
+    wrong = F.expr("cast(substr(impression_id, 2) as bigint)") % 7 == 0
+    first = e.withColumn("clicked", F.when(wrong, 1 - F.col("clicked")).otherwise(F.col("clicked")))
+    first = first.withColumn("dwell_time", F.when(wrong, F.lit(99.0)).otherwise(F.col("dwell_time")))
+    first = first.withColumn("timestamp", F.when(wrong, F.col("timestamp") + F.expr("interval 1 day")).otherwise(F.col("timestamp")))
+    store = ExposureStore(spark, fresh_dir(spark, "store"), user_buckets=16)
+    store.upsert(first)
+    store.upsert(e.where(wrong))
+    return store, n
+
+
+@register("recommend_maintained", ORACLE_SQL["recommend"])
+def q_recommend_maintained(spark, sf_dir):
+    """R10 from the article totals and the user layout of a store that has been corrected."""
+    store, n = _corrected_store(spark, sf_dir)
+    return store.recommend(n, user=PREF_USER, as_of=HOT_EVENT["as_of"])
+
+
+@register("popular_news_maintained", ORACLE_SQL["popular_news"])
+def q_popular_news_maintained(spark, sf_dir):
+    """R16 from the article totals of a store that has been corrected."""
+    store, n = _corrected_store(spark, sf_dir)
+    return store.popular_news(n)
+
+
+@register(
+    "article_days",
+    with_tables(
+        "event",
+        f"""select news_id, cast("timestamp" as date) as day, count(*) as n, cast(sum(clicked) as bigint) as clicks,
+               count(clicked) as rated, {r6('sum(dwell_time)')} as dwell_sum, count(dwell_time) as dwell_n
+        from e group by 1, 2""",
+        names=("e",),
+    ),
+)
+def q_article_days(spark, sf_dir):
+    """The maintained (article, day) totals: rows added, replaced ones subtracted."""
+    store, _ = _corrected_store(spark, sf_dir)
+    return store.articles.read().where("n > 0")
+
+
+@register(
+    "user_interests_by_user",
+    with_tables(
+        "event",
+        f"""select user_id, category, topic, impressions, clicks,
+        {r6('avg_dwell_time')} as avg_dwell_time,
+        {r6('(clicks * 2 + avg_dwell_time / 30.0) / greatest(impressions, 1)')} as engagement_score
+        from (select e.user_id, category, topic, count(distinct impression_id) as impressions,
+                     cast(coalesce(sum(clicked), 0) as bigint) as clicks,
+                     coalesce(avg(dwell_time), 0.0) as avg_dwell_time
+              from e join n on e.news_id = n.news_id where e.user_id = '{PREF_USER}'
+              group by 1, 2, 3 having count(distinct impression_id) > 0) t""",
+    ),
+)
+def q_user_interests_by_user(spark, sf_dir):
+    """R5 of one user from the layout by user."""
+    store, n = _corrected_store(spark, sf_dir)
+    return store.user_interests(n, user=PREF_USER)
+
+
 # --------------------------------------------------------------------------- P10 / P11
 
 LIST_CATEGORY = "Brand#11"
@@ -818,6 +886,17 @@ def q_assign_impression_ids(spark, sf_dir):
     return I.assign_impression_ids(raw, order_by=["seq"]).select("impression_id", "seq")
 
 
+@register("assign_impression_ids_files", _RAW_SEQ_SQL)
+def q_assign_impression_ids_files(spark, sf_dir):
+    """T5 over several TSV files (S2), in file order: no sort and no copy of the rows."""
+    raw = _raw_unnumbered(spark, sf_dir)
+    path = fresh_dir(spark, "raw-tsv")
+    # a range of order keys a file, so the file order is the key order
+    S.write_tsv(raw.repartitionByRange(5, "seq").sortWithinPartitions("seq").withColumn("note", F.col("seq").cast("string")), path)
+    read = spark.read.options(**S.TSV_OPTIONS).csv(path)
+    return I.assign_impression_ids(read).select("impression_id", F.col("note").cast("long").alias("seq"))
+
+
 FIRST_N = 500
 
 
@@ -876,6 +955,18 @@ def q_parse_json_records(spark, sf_dir):
     return _ntz(parsed.select(*_EXPOSURE_COLS), "timestamp")
 
 
+@register(
+    "stamp_processed",
+    with_tables("event", 'select impression_id, "timestamp", true as stamped_now from e', names=("e",)),
+)
+def q_stamp_processed(spark, sf_dir):
+    """Every exposure carries the time it was processed (within the hour of the call)."""
+    now = dt.datetime.now(dt.timezone.utc).timestamp()
+    stamped = I.stamp_processed(B.event_exposures(spark, sf_dir))
+    age = F.abs(F.unix_timestamp("processed_timestamp") - F.lit(now))
+    return stamped.select("impression_id", "timestamp", (age < 3600).alias("stamped_now"))
+
+
 # --------------------------------------------------------------------------- sinks K1 / K2
 SHIP_CUTOFF = dt.datetime(1998, 5, 24)
 
@@ -922,8 +1013,12 @@ def q_read_news_tsv(spark, sf_dir):
 
 
 def _run_monitor(spark, sf_dir, name):
-    """Run monitor ``name`` as a real stream (file source, availableNow) into its keyed table."""
-    stream = B.event_exposure_stream(spark, sf_dir)
+    """Run monitor ``name`` as a real stream (file source, availableNow) into its keyed table; its
+    window partials."""
+    return _run_stream(spark, B.event_exposure_stream(spark, sf_dir), name)
+
+
+def _run_stream(spark, stream, name):
     q, table = SR.start_monitor(
         spark, stream, name, available_now=True,
         table_path=fresh_dir(spark, f"{name}-table"), checkpoint=fresh_dir(spark, f"{name}-ckpt"),
@@ -933,7 +1028,7 @@ def _run_monitor(spark, sf_dir, name):
         q.awaitTermination()
     finally:
         q.stop()
-    return table.read()
+    return W.window_partials(table.read(), W.SPECS[name])
 
 
 def _windows_sql(size: int, slide: int | None) -> str:
@@ -944,7 +1039,8 @@ def _windows_sql(size: int, slide: int | None) -> str:
                from e, range(0, {size // slide}) t(i)"""
 
 
-def _stream_sql(size, slide, key, distinct, names, select, where=""):
+def _stream_sql(size, slide, key, distinct, names, select, where="", rows="true"):
+    """``rows``: the exposures that count."""
     imp, clk, dst = names
     dcol = f", count(distinct {distinct}) as {dst}" if distinct else ""
     return with_tables(
@@ -952,7 +1048,7 @@ def _stream_sql(size, slide, key, distinct, names, select, where=""):
         f"""select * from (select window_start, window_start + interval '{size} minutes' as window_end, {key},
                count(impression_id) as {imp}, cast(coalesce(sum(clicked), 0) as bigint) as {clk},
                sum(dwell_time) / count(dwell_time) as avg_dwell_time {dcol}
-        from ({_windows_sql(size, slide)}) w group by window_start, {key}) a {where}""".replace("select * from", f"select {select} from", 1),
+        from ({_windows_sql(size, slide)}) w where {rows} group by window_start, {key}) a {where}""".replace("select * from", f"select {select} from", 1),
         names=("e",),
     )
 
@@ -972,6 +1068,67 @@ def q_trend_stream(spark, sf_dir):
     return _ntz(W.trend_report(_run_monitor(spark, sf_dir, "trend")), "window_start", "window_end")
 
 
+# every 20th event of the first two weeks comes again to a monitor that has seen the whole month
+LATE_SQL = "cast(substr(impression_id, 2) as bigint) % 20 = 0 and \"timestamp\" < timestamp '2024-01-15'"
+SPOOL_DAYS = 6
+
+
+def _spooled(spark, sf_dir):
+    """The exposures as files of ``SPOOL_DAYS`` days each, delivered one after the other, without the
+    late ones, which are the last file; the folder is read with one file a trigger."""
+    e = B.event_exposures(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    late = (F.expr("cast(substr(impression_id, 2) as bigint)") % 20 == 0) & (F.col("timestamp") < F.lit(dt.datetime(2024, 1, 15)))
+    path = fresh_dir(spark, "spool")
+    slot = F.floor(F.datediff("timestamp", F.lit(dt.date(2024, 1, 1))) / SPOOL_DAYS)
+    for own in [*[~late & (slot == k) for k in range(-(-31 // SPOOL_DAYS))], late]:
+        e.where(own).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", "1").parquet(path)
+
+
+@register(
+    "late_rows_stream",
+    _stream_sql(
+        5, 1, "news_id", "user_id", ("impression_count", "click_count", "unique_users"),
+        f"""window_start, window_end, news_id, impression_count, click_count, unique_users,
+        {r6('avg_dwell_time')} as avg_dwell_time,
+        {r6('click_count / greatest(impression_count, 1)')} as click_rate,
+        {r6('click_count / greatest(impression_count, 1) * 0.4 + unique_users / greatest(impression_count, 1) * 0.3 + (avg_dwell_time / 100.0) * 0.3')} as trend_score,
+        '2024-01-31 00:00:00' as virtual_time""",
+        rows=f"not ({LATE_SQL})",
+    ),
+)
+def q_late_rows_stream(spark, sf_dir):
+    """W1 and W5 over several triggers: the watermark drops the rows that come weeks too late; the
+    report carries its virtual time."""
+    partials = _run_stream(spark, _spooled(spark, sf_dir), "trend")
+    return _ntz(W.trend_report(partials, as_of=dt.datetime(2024, 1, 31)), "window_start", "window_end")
+
+
+@register(
+    "stream_status",
+    with_tables(
+        "event",
+        f"""select 'trend' as kind, count(*) as input_rows,
+        (select count(*) from (select distinct time_bucket(interval '1 minutes', "timestamp"), news_id, user_id
+                               from e where {LATE_SQL})) as late_groups,
+        (select count(distinct floor(date_diff('day', date '2024-01-01', cast("timestamp" as date)) / {SPOOL_DAYS}))
+                + max(case when {LATE_SQL} then 1 else 0 end) from e) as batches_with_input,
+        date_trunc('second', max("timestamp")) as max_event_time, cast(0 as bigint) as failures from e""",
+        names=("e",),
+    ),
+)
+def q_stream_status(spark, sf_dir):
+    """What the status log recorded of a monitor's run: rows read, groups dropped by the
+    watermark, triggers with input, event-time progress, failures."""
+    with SR.StreamLog(spark) as log:
+        before = {r["run_id"] for r in log.records()}
+        _run_stream(spark, _spooled(spark, sf_dir), "trend")
+        status = log.status().where(~F.col("run_id").isin(sorted(before)) & F.col("name").startswith("trend_"))
+    return _ntz(status.select(
+        F.lit("trend").alias("kind"), "input_rows", F.col("late_rows").alias("late_groups"),
+        "batches_with_input", F.date_trunc("second", "max_event_time").alias("max_event_time"), "failures"), "max_event_time")
+
+
 @register(
     "user_behavior_stream",
     _stream_sql(

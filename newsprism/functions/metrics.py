@@ -100,7 +100,7 @@ def between_inclusive(
     is also stated on the partition column, which Spark evaluates against the partition
     values at planning time: folders outside the range are never listed or read.
     """
-    pruned = column in ("timestamp", "window_start") and PARTITION_COLUMN in df.columns
+    pruned = column in ("timestamp", "window_start", "pane") and PARTITION_COLUMN in df.columns
     if start is not None:
         df = df.where(F.col(column) >= ts_literal(df, column, start))
         if pruned:

@@ -108,9 +108,6 @@ def explode_impressions(raw: DataFrame, *, id_col: str = "impression_id") -> Dat
 
 
 # --------------------------------------------------------------------------- T5 / T7
-_ROW_BITS = 33  # monotonically_increasing_id keeps the in-partition row number in 33 bits
-
-
 def in_file_order(raw: DataFrame) -> tuple[DataFrame, list[str]]:
     """``raw`` with columns that sort it in input order when it is read from files (file path,
     block in the file, row in the block; Spark packs splits by size, so partitions are not in that
@@ -135,34 +132,32 @@ def assign_impression_ids(
     width: int = 7,
     id_col: str = "impression_id",
 ) -> DataFrame:
-    """T5: dense 1-based sequence ids ``imp_0000001, …`` in ``order_by`` order, or else in the
-    order of the input files (see :func:`in_file_order`).
-
-    No single-partition window: the rows are (range-)sorted when an order is given and cut
-    from their lineage with ``checkpoint()`` (reliable storage), so partition numbers are
-    stable; then a table of row counts per partition (one row per partition) gives each
-    partition its starting offset, and every row adds its position inside the partition.
+    """T5: dense 1-based sequence ids ``imp_0000001, …`` in the order of the input files (path, block
+    in the file, row in the block), or else in ``order_by`` order.
+
+    Input that is read from files is neither sorted nor copied: one narrow pass counts the rows of
+    each block, a running sum over the blocks (one row each) gives their offsets, and the numbering
+    pass adds a row's place in its block. Both passes scan the files in the same splits. With
+    ``order_by``, or for rows that do not come from files, the rows are (range-)sorted and cut from
+    their lineage with ``checkpoint()`` (reliable storage), so that partition numbers are stable,
+    and partitions take the part of the blocks.
     """
-    shared_dir(raw.sparkSession)  # make sure the session has a (shared) checkpoint dir
-    extra: list[str] = []
-    if not order_by:
-        raw, extra = in_file_order(raw)
-        order_by = extra
-    df = raw.orderBy(*order_by).drop(*extra) if order_by else raw
-    df = df.checkpoint(eager=True)
-    df = df.withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    )
-    counts = df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_offset"),
-    )
-    numbered = df.join(offsets, "_pid")
-    seq = F.col("_offset") + F.col("_pos") + 1
+    block = ["_file", "_block"]
+    df = raw if order_by else in_file_order(raw)[0]
+    if df is raw:
+        shared_dir(raw.sparkSession)  # make sure the session has a (shared) checkpoint dir
+        df = (raw.orderBy(*order_by) if order_by else raw).checkpoint(eager=True)
+        block = ["_block"]
+        df = df.withColumn("_block", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    # the row ids rise within a task; a block's rows are consecutive in the task that reads it
+    counts = df.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy(*block)) - F.col("_n")
+    offsets = counts.select(*block, (before - F.col("_first")).alias("_offset"))
+    numbered = df.join(offsets, block)
+    seq = F.col("_offset") + F.col("_row") + 1
     return numbered.withColumn(
         id_col, F.format_string(f"{prefix}%0{width}d", seq)
-    ).withColumn("_seq", seq).drop("_pid", "_pos", "_offset")
+    ).withColumn("_seq", seq).drop(*block, "_row", "_offset")
 
 
 def first_n_impressions(

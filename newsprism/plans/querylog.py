@@ -11,17 +11,18 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
-from ..session import fresh_dir
+from ..session import scratch_dir
 from ..functions import metrics as m
 
 
 def _since(q: DataFrame, as_of, hours) -> DataFrame:
     if as_of is None or hours is None:
         return q
-    cutoff = m.as_datetime(as_of) - dt.timedelta(hours=hours)
-    return q.where(F.col("timestamp") >= m.ts_literal(q, "timestamp", cutoff))
+    # on the stored log the bound is stated on the date folders, too
+    return m.between_inclusive(q, "timestamp", m.as_datetime(as_of) - dt.timedelta(hours=hours))
 
 
 def query_performance(q: DataFrame, *, as_of: dt.datetime | str, hours: float = 24) -> DataFrame:
@@ -160,37 +161,90 @@ def encode_params(params: dict[str, Any]) -> str:
 
 
 def append_query_log(spark: SparkSession, rows: list[dict[str, Any]], path: str) -> None:
-    """K3: append query-log rows (one small driver-made batch) to the parquet log at ``path``.
+    """K3: append query-log rows (one small driver-made batch) to the parquet log at ``path``, in a
+    folder for each date.
 
-    Every append is a small file; :func:`compact_query_log` joins them now and then.
+    Every append is a small file; :func:`compact_query_log` joins those of a date.
     """
     df = spark.createDataFrame(
         [tuple(r.get(f.name) for f in schemas.QUERY_LOG.fields) for r in rows],
         schema=schemas.QUERY_LOG,
     )
-    df.coalesce(1).write.mode("append").parquet(path)
-
-
-def compact_query_log(spark: SparkSession, path: str) -> int:
-    """Join the log's files: its rows are appended as a few large files, then the files they came
-    from are removed. Returns how many files were removed. Rows have a unique id, so a reader
-    that meets both copies (``QueryLogger.table``) keeps one of each."""
-    df = spark.read.schema(schemas.QUERY_LOG).parquet(path)
-    old = df.inputFiles()
-    if len(old) < 2:
-        return 0
-    df.dropDuplicates(["id"]).repartitionByRange("timestamp").write.mode("append").parquet(path)
-    for name in old:
-        p = spark._jvm.org.apache.hadoop.fs.Path(name)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False)
-    return len(old)
+    _dated(df).coalesce(1).write.mode("append").partitionBy(m.PARTITION_COLUMN).parquet(path)
+
+
+def _dated(df: DataFrame) -> DataFrame:
+    return df.withColumn(m.PARTITION_COLUMN, F.date_format("timestamp", "yyyy-MM-dd"))
+
+
+def read_query_log(spark: SparkSession, path: str, *, keep_partition: bool = True) -> DataFrame:
+    """The log; its date column lets the reports' time bounds prune folders. A row that was copied by
+    a compaction and still stands in its old file counts once, which is looked at within a
+    date, so the bounds reach the scan."""
+    schema = T.StructType([*schemas.QUERY_LOG.fields, T.StructField(m.PARTITION_COLUMN, T.StringType())])
+    q = spark.read.schema(schema).parquet(path).dropDuplicates(["id", m.PARTITION_COLUMN])
+    return q if keep_partition else q.drop(m.PARTITION_COLUMN)
+
+
+def compact_query_log(spark: SparkSession, path: str, *, before: str | None = None, most_files: int = 1,
+                      retention: float = 6 * 3600.0) -> int:
+    """Join the files of each date (before ``before``) that has more than ``most_files``: its rows are
+    appended as one file. The files they came from are marked and removed by a call ``retention``
+    seconds later, so a report planned before finishes; until then a reader meets both copies and
+    counts each row once (:func:`read_query_log`). Other dates are left alone. Returns how many
+    files were joined."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    joined = 0
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        day = name.removeprefix(f"{m.PARTITION_COLUMN}=")
+        if day == name:
+            continue
+        _forget(spark, fs, status.getPath(), retention)
+        if before is not None and day >= before:
+            continue
+        marks = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), RETIRED)
+        done = {f.getPath().getName() for f in fs.listStatus(marks)} if fs.exists(marks) else set()
+        files = [f.getPath() for f in fs.listStatus(status.getPath())
+                 if f.getPath().getName().endswith(".parquet") and f.getPath().getName() not in done]
+        if len(files) <= most_files:
+            continue
+        rows = spark.read.schema(schemas.QUERY_LOG).parquet(*[f.toString() for f in files]).dropDuplicates(["id"])
+        _dated(rows).repartition(1).write.mode("append").partitionBy(m.PARTITION_COLUMN).parquet(path)
+        for f in files:
+            _retire(spark, fs, f)
+        joined += len(files)
+    return joined
+
+
+RETIRED = "_retired"
+
+
+def _retire(spark: SparkSession, fs, file) -> None:
+    """Mark a joined file; it stays where planned readers look for it."""
+    marks = spark._jvm.org.apache.hadoop.fs.Path(file.getParent(), RETIRED)
+    fs.mkdirs(marks)
+    fs.create(spark._jvm.org.apache.hadoop.fs.Path(marks, file.getName()), True).close()
+
+
+def _forget(spark: SparkSession, fs, folder, retention: float) -> None:
+    """Remove the files of a date that were joined longer than ``retention`` seconds ago."""
+    marks = spark._jvm.org.apache.hadoop.fs.Path(folder, RETIRED)
+    if not fs.exists(marks):
+        return
+    for mark in fs.listStatus(marks):
+        if mark.getModificationTime() / 1000 <= time.time() - retention:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, mark.getPath().getName()), False)
+            fs.delete(mark.getPath(), False)
 
 
 class QueryLogger:
     """Time a report, count its rows, log the run (also failed ones) and return the result.
 
     The rows are written once below the shared checkpoint dir, counted there and returned from
-    there: the plan runs once, a result of any size fits, and a lost executor loses nothing.
+    there: the plan runs once, a result of any size fits, and a lost executor loses nothing. The
+    copies of the last hours are kept (``session.scratch_dir``), older ones are removed.
     Nested timed calls each write their own log row.
     """
 
@@ -209,7 +263,7 @@ class QueryLogger:
         }
         try:
             result = fn(**params)
-            path = fresh_dir(self.spark, "timed")
+            path = scratch_dir(self.spark, "timed")
             result.write.parquet(path)
             result = self.spark.read.schema(result.schema).parquet(path)
             count = result.count()
@@ -228,4 +282,4 @@ class QueryLogger:
         return result
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(schemas.QUERY_LOG).parquet(self.path).dropDuplicates(["id"])
+        return read_query_log(self.spark, self.path)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m
-from ..session import fresh_dir
+from ..session import scratch_dir
 
 # Data-set bounds used by the dashboard range defaults (fixed values of the reference
 # data set; callers pass their own for other data).
@@ -72,24 +72,33 @@ def category_trends(
 ) -> DataFrame:
     """Per category and day: impressions, clicks, users, articles, click rate.
 
-    The three exact distinct counts are expanded by Catalyst into one aggregation over
-    (category, day, distinct value), whose partial aggregation runs map-side, so a hot
-    category-day is pre-combined before its shuffle. Only ``news_id`` / ``category`` of the
-    article table reach the join.
+    Clicks and articles need no distinct count over exposures: they are summed per (article, day)
+    first, so one row per article and day meets the article table. Impressions and users are kept
+    once per (category, day, value), with map-side partial aggregation before the shuffle, so a
+    hot category-day is pre-combined; only ``news_id`` / ``category`` of the article table reach the
+    joins. With ``exact=False`` one pass over the joined rows keeps sketches instead.
     """
     e = m.between_inclusive(exposures, "timestamp", start, end)
-    j = e.join(news.select("news_id", "category"), "news_id")
-    return (
-        j.groupBy("category", m.trunc_like("day", "timestamp", j).alias("date"))
-        .agg(
-            m.impressions(exact).alias("impressions"),
-            m.clicks().alias("clicks"),
-            m.unique_users(exact).alias("unique_users"),
-            m.unique_news(exact).alias("unique_news"),
-        )
-        .withColumn("click_rate", m.ratio("clicks", "impressions"))
-        .orderBy(F.col("click_rate").desc(), "category", "date")
-    )
+    e = e.withColumn("date", m.trunc_like("day", "timestamp", e))
+    categories = news.select("news_id", "category")
+    if not exact:
+        t = e.join(categories, "news_id").groupBy("category", "date").agg(
+            m.impressions(exact).alias("impressions"), m.clicks().alias("clicks"),
+            m.unique_users(exact).alias("unique_users"), m.unique_news(exact).alias("unique_news"))
+    else:
+        per_article = e.groupBy("news_id", "date").agg(F.sum("clicked").alias("clicks"))
+        sums = per_article.join(categories, "news_id").groupBy("category", "date").agg(
+            F.sum("clicks").alias("clicks"), F.count("news_id").alias("unique_news"))
+        seen = e.select("news_id", "date", "impression_id", "user_id").join(categories, "news_id")
+        distinct = seen.groupBy("category", "date").agg(
+            m.impressions().alias("impressions"), m.unique_users().alias("unique_users"))
+        # one row of each side per category and day; NULL categories are a group as any other
+        t = sums.unionByName(distinct, allowMissingColumns=True).groupBy("category", "date").agg(
+            F.max("impressions").alias("impressions"),
+            F.coalesce(F.max("clicks"), F.lit(0)).cast("long").alias("clicks"),
+            F.max("unique_users").alias("unique_users"), F.max("unique_news").alias("unique_news"))
+    return t.withColumn("click_rate", m.ratio("clicks", "impressions")).orderBy(
+        F.col("click_rate").desc(), "category", "date")
 
 
 ROLLUP_METRICS = ("impressions", "clicks", "ctr")
@@ -298,6 +307,7 @@ def recommend_for_preferences(
     limit: int = 10,
     until: dt.datetime | str | None = None,
     preferences: list[tuple[str, str]] | None = None,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Unseen articles in the user's preferred categories and topics, by click rate.
 
@@ -308,8 +318,12 @@ def recommend_for_preferences(
     R9 plan is joined in (semi joins against its ≤ 5 rows). Articles the user was ever shown
     are removed with an anti join (never SQL ``NOT IN``). Exposures are reduced to the
     candidate articles by a semi join before the per-article aggregation. ``until``
-    optionally ignores exposures after that time (off by default).
+    optionally ignores exposures after that time (off by default). With ``totals`` (per article
+    ``n``, ``clicks``, ``rated``: a maintained aggregate) the exposures are only read for the user,
+    so they may be the user's own.
     """
+    if totals is not None and until is not None:
+        raise ValueError("totals are over all time: they cannot be cut at until")
     e = m.between_inclusive(exposures, "timestamp", None, until)
     articles = news.select("news_id", "category", "topic", "headline")
     if preferences is None:
@@ -325,16 +339,20 @@ def recommend_for_preferences(
     # distinct first: a very active user's rows collapse map-side to one per article
     seen = e.where(F.col("user_id") == user).select("news_id").distinct()
     candidates = preferred.join(seen, "news_id", "left_anti")
-    stats = (
-        e.join(candidates.select("news_id"), "news_id", "left_semi")
-        .groupBy("news_id")
-        .agg(
-            m.impressions().alias("popularity"),
-            F.coalesce(F.avg(F.col("clicked").cast("double")), F.lit(0.0)).alias(
-                "predicted_interest"
-            ),
+    if totals is not None:
+        stats = totals.select(
+            "news_id", F.col("n").alias("popularity"), m.ratio("clicks", "rated").alias("predicted_interest"))
+    else:
+        stats = (
+            e.join(candidates.select("news_id"), "news_id", "left_semi")
+            .groupBy("news_id")
+            .agg(
+                m.impressions().alias("popularity"),
+                F.coalesce(F.avg(F.col("clicked").cast("double")), F.lit(0.0)).alias(
+                    "predicted_interest"
+                ),
+            )
         )
-    )
     return (
         candidates.join(stats, "news_id")
         .select("news_id", "category", "topic", "headline", "popularity", "predicted_interest")
@@ -379,12 +397,21 @@ def recommend(
         exposures, news, as_of=as_of, limit=limit, hours=cold_hours,
         min_impressions=cold_min_impressions,
     )
+    return as_recommendations(cold)
+
+
+def as_recommendations(cold: DataFrame) -> DataFrame:
+    """Cold-start rows with the columns of R10."""
     return cold.select(
         "news_id", "category", "topic", "headline", F.col("impressions").alias("popularity"),
         F.lit(None).cast("double").alias("predicted_interest"),
     )
 
 
+def hours_before(as_of: dt.datetime | str, hours: float) -> dt.datetime:
+    return m.as_datetime(as_of) - dt.timedelta(hours=hours)
+
+
 def recommend_cold_start(
     exposures: DataFrame,
     news: DataFrame,
@@ -534,9 +561,9 @@ def overview_sections(
 
 def _written(df: DataFrame, prefix: str) -> DataFrame:
     """``df`` written once to a fresh folder under the shared checkpoint dir, read back."""
-    path = fresh_dir(df.sparkSession, prefix)
+    path = scratch_dir(df.sparkSession, prefix)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # --------------------------------------------------------------------------- R14 / R15
@@ -591,7 +618,11 @@ def insights_trending(
 # --------------------------------------------------------------------------- R16
 def popular_news(exposures: DataFrame, news: DataFrame, *, limit: int = 10) -> DataFrame:
     """Most exposed articles (``count(e.news_id)``), aggregated before the article join."""
-    counts = exposures.groupBy("news_id").agg(F.count("news_id").alias("view_count"))
+    return popular_of(exposures.groupBy("news_id").agg(F.count("news_id").alias("view_count")), news, limit=limit)
+
+
+def popular_of(counts: DataFrame, news: DataFrame, *, limit: int = 10) -> DataFrame:
+    """The R16 rows of ``counts(news_id, view_count)``."""
     return (
         counts.join(news.select("news_id", "headline", "category"), "news_id")
         .select("news_id", "headline", "category", "view_count")

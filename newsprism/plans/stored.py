@@ -38,9 +38,9 @@ def load_bindings(spark: SparkSession, sf_dir: str, root: str) -> dict[str, floa
 def open_stored(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {
         "ee": K.exposure_log(spark, os.path.join(root, "event_exposures")),
-        "en": spark.read.parquet(os.path.join(root, "event_news")).drop(K.PART),
+        "en": K.news_table(spark, os.path.join(root, "event_news")).read(),
         "oe": K.exposure_log(spark, os.path.join(root, "order_exposures")),
-        "on": spark.read.parquet(os.path.join(root, "order_news")).drop(K.PART),
+        "on": K.news_table(spark, os.path.join(root, "order_news")).read(),
     }
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -109,3 +110,23 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
 def fresh_dir(spark: SparkSession, prefix: str) -> str:
     """A new, unused sub-folder of :func:`shared_dir` (one per run, never reused)."""
     return shared_dir(spark, f"{prefix}-{uuid.uuid4().hex[:12]}")
+
+
+SCRATCH_HOURS = 6.0
+
+
+def scratch_dir(spark: SparkSession, prefix: str, *, keep_hours: float = SCRATCH_HOURS) -> str:
+    """A new folder for a result that is read again soon (a dashboard section, a timed report).
+
+    The folders of earlier calls with this ``prefix`` that are older than ``keep_hours`` are removed
+    first, so a service that writes one for every request holds the last hours' only.
+    """
+    top = shared_dir(spark, "scratch", prefix)
+    path = spark._jvm.org.apache.hadoop.fs.Path(top)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    now = time.time()
+    if fs.exists(path):
+        for status in fs.listStatus(path):
+            if status.getModificationTime() / 1000 < now - keep_hours * 3600:
+                fs.delete(status.getPath(), True)
+    return f"{top}/{uuid.uuid4().hex[:12]}"

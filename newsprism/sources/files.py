@@ -110,7 +110,9 @@ def load_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
             out[name] = table.read()
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/query_logs")
     if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        out["query_logs"] = spark.read.schema(schemas.QUERY_LOG).parquet(f"{root}/query_logs")
+        from ..plans.querylog import read_query_log
+
+        out["query_logs"] = read_query_log(spark, f"{root}/query_logs", keep_partition=False)
     for name, df in out.items():
         df.createOrReplaceTempView(name)
     return out

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import collections
 import threading
 import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.ingest import CORRUPT, cast_event_times, stamp_processed
 from ..session import STATE_PARTITIONS_KEY, shared_dir
 from ..sinks.keyed import KeyedTable, exposure_table, upsert_batch_fn
+from ..sinks.store import ExposureStore
 from ..sources.files import stream_exposures_dir
 from . import windows as W
 
@@ -88,9 +90,10 @@ def start_keyed_table(
 
 
 def monitor_table(spark: SparkSession, spec: W.WindowSpec, path: str) -> KeyedTable:
-    """Keyed table of a monitor's stage-1 rows, partitioned by the window's hour."""
+    """Keyed table of a monitor's stage-1 rows, partitioned by the pane's day; files are sorted by
+    pane, so their min/max statistics tell hours apart within a day."""
     return KeyedTable(
-        spark, path, W.partial_key(spec), F.date_format("window_start", "yyyy-MM-dd-HH"), movable=False
+        spark, path, W.pane_key(spec), F.date_format(W.PANE, "yyyy-MM-dd"), movable=False, ranged=False
     )
 
 
@@ -107,7 +110,7 @@ def start_monitor(
 ) -> tuple[StreamingQuery, KeyedTable]:
     """Start monitor ``name`` (trend / user_behavior / anomaly / content) on an exposure stream.
 
-    Returns the query and its stage-1 table; the report is ``windows.REPORTS[name]`` over
+    Returns the query and its stage-1 table; the report is ``windows.monitor_report`` over
     ``table.read()`` at any time.
     """
     spec = W.SPECS[name]
@@ -115,8 +118,8 @@ def start_monitor(
     table_path = table_path or shared_dir(spark, "monitors", qname, "table")
     checkpoint = checkpoint or shared_dir(spark, "monitors", qname, "checkpoint")
     table = monitor_table(spark, spec, table_path)
-    partials = W.window_partials(exposures, spec)
-    # an aggregation's update output holds each (window, key, value) once per micro-batch
+    partials = W.pane_partials(exposures, spec)
+    # an aggregation's update output holds each (pane, key, value) once per micro-batch
     q = start_keyed_table(
         partials, table, name=qname, checkpoint=checkpoint, trigger=spec.trigger,
         available_now=available_now, unique=True, state_partitions=state_partitions,
@@ -166,6 +169,85 @@ class StreamRegistry:
         return len(items)
 
 
+class StreamLog:
+    """What happened to the session's streaming queries: progress of each trigger and ends.
+
+    A listener on the driver (one small record a trigger, the last ``keep`` are held) that works as
+    a context manager. :meth:`events` has a row an event, :meth:`status` a row a run: rows read,
+    rows that the watermark dropped (of an aggregation: groups, as the state operator counts
+    them), the largest event time, state rows, failures and the last error.
+    """
+
+    EVENTS = (
+        "event string, name string, query_id string, run_id string, batch_id long, at string, input_rows long, "
+        "late_rows long, state_rows long, state_updates long, watermark string, max_event_time string, "
+        "duration_ms long, error string"
+    )
+
+    def __init__(self, spark: SparkSession, *, keep: int = 10_000):
+        self.spark = spark
+        self._records: collections.deque[dict] = collections.deque(maxlen=keep)
+        self._names: dict[str, str] = {}
+        log = self
+
+        class Listener(StreamingQueryListener):
+            def onQueryStarted(self, event):
+                log._names[str(event.runId)] = event.name
+                log._add("started", event.name, event.id, event.runId, at=event.timestamp)
+
+            def onQueryProgress(self, event):
+                p = event.progress
+                ops = p.stateOperators
+                log._add(
+                    "progress", p.name, p.id, p.runId, batch_id=p.batchId, at=p.timestamp, input_rows=p.numInputRows,
+                    late_rows=sum(o.numRowsDroppedByWatermark for o in ops), state_rows=sum(o.numRowsTotal for o in ops),
+                    state_updates=sum(o.numRowsUpdated for o in ops), watermark=p.eventTime.get("watermark"),
+                    max_event_time=p.eventTime.get("max"), duration_ms=p.batchDuration)
+
+            def onQueryIdle(self, event):
+                pass
+
+            def onQueryTerminated(self, event):
+                error = event.exception
+                log._add("failed" if error else "ended", log._names.get(str(event.runId)), event.id, event.runId, error=error)
+
+        self._listener = Listener()
+
+    def _add(self, event: str, name, query_id, run_id, **values) -> None:
+        self._records.append({"event": event, "name": name, "query_id": str(query_id), "run_id": str(run_id), **values})
+
+    def __enter__(self) -> "StreamLog":
+        self.spark.streams.addListener(self._listener)
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.spark.streams.removeListener(self._listener)
+
+    def records(self) -> list[dict]:
+        """The records so far, those of triggers that have finished included: events arrive on a bus
+        of their own, which is drained first."""
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return list(self._records)
+
+    def events(self) -> DataFrame:
+        fields = [f.strip().split(" ")[0] for f in self.EVENTS.split(",")]
+        return self.spark.createDataFrame([tuple(r.get(f) for f in fields) for r in self.records()], self.EVENTS)
+
+    def status(self) -> DataFrame:
+        e = self.events()
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+        return e.groupBy("name", "query_id", "run_id").agg(
+            F.count_if(F.col("event") == "progress").alias("triggers"),
+            F.count_if(F.col("input_rows") > 0).alias("batches_with_input"),
+            total("input_rows"), total("late_rows"),
+            F.max_by("state_rows", "batch_id").alias("state_rows"),
+            F.max("max_event_time").cast("timestamp").alias("max_event_time"),
+            F.max("watermark").cast("timestamp").alias("watermark"),
+            F.count_if(F.col("event") == "failed").alias("failures"),
+            F.max("error").alias("last_error"),
+        )
+
+
 class Monitors:
     """The start / list / stop surface of the monitoring service on one exposure stream.
 
@@ -204,10 +286,11 @@ class Monitors:
         """The monitor's report over the windows starting in ``[since, until]`` (only their
         partitions are read); ``content`` reports carry the articles' current headlines."""
         kind, table = self._tables[qid]
-        partials = W.windows_between(table.read(keep_partition=True), since, until)
         if kind == "content" and self.news is not None:
             kwargs.setdefault("news", self.news)
-        return W.REPORTS[kind](partials, **kwargs)
+        spec = W.SPECS[kind]
+        panes = table.read(keep_partition=True, start=since, end=W.last_pane(spec, until))
+        return W.monitor_report(panes, kind, since=since, until=until, **kwargs)
 
     def list(self) -> list[dict]:
         return self.registry.list()
@@ -232,6 +315,7 @@ def ingest_stream(
     clean_source: str | None = None,
     max_files_per_trigger: int | None = None,
     rejects_path: str | None = None,
+    store: ExposureStore | None = None,
 ) -> tuple[StreamingQuery, KeyedTable]:
     """Spool folder of JSON lines → parsed, time-cast, stamped → exposure table upserts.
 
@@ -239,7 +323,8 @@ def ingest_stream(
     the wrong type, as in :func:`parse_json_records`) are not stored; they go, with their text, to
     the JSON-lines folder ``rejects_path`` (``<checkpoint>-rejects`` by default), one sub-folder an
     epoch. Within a micro-batch the record read last (file modification time, file path,
-    position) wins.
+    position) wins. With a ``store`` the batch goes into all its layouts (``table_path`` is then the
+    store's own log and ignored).
     """
     raw = stream_exposures_dir(
         spark, spool_dir, clean_source=clean_source, max_files_per_trigger=max_files_per_trigger
@@ -254,10 +339,10 @@ def ingest_stream(
         "_file_p", F.col("_metadata.file_path")
     )
     # a record may be sent again with a corrected (or first parsable) time: keys can move
-    table = exposure_table(spark, table_path)
+    table = store.log if store else exposure_table(spark, table_path)
     arrival = ["_file_t", "_file_p", "_line"]
 
-    upsert_numbered = upsert_batch_fn(table, stream=checkpoint, order=arrival, drop=arrival)
+    upsert_numbered = upsert_batch_fn(store or table, stream=checkpoint, order=arrival, drop=arrival)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         # inside foreachBatch the micro-batch is a plain DataFrame: number its rows in read order

@@ -4,16 +4,23 @@ Exact distinct counts per window cannot be kept by Spark's streaming aggregation
 each window's set of users in state (``collect_set``) would put a whole hot group into one
 state row. Each report is therefore split in two Spark-native stages:
 
-* **stage 1** (``window_partials``): the streaming aggregation, grouped by window, report key
-  *and* the distinct column (user or article), with the watermark dropping late rows and
-  evicting old windows. State is one small row per (window, key, distinct value), spread over
-  all partitions by hash, so no hot key lands whole in one task. Its update-mode output is
-  upserted by key into a keyed parquet table (:mod:`newsprism.streaming.runner`).
-* **stage 2** (``*_report``): a batch aggregation over the stage-1 rows by (window, key);
-  sums and counts are combinable, so Spark pre-aggregates map-side before the shuffle and a
-  distinct count is simply the number of stage-1 rows.
-
-On a batch DataFrame ``report(window_partials(E, spec))`` is the whole report in one plan.
+* **stage 1** (``pane_partials``): the streaming aggregation, grouped by pane (a tumbling window as
+  long as the slide), report key *and* the distinct column (user or article), with the watermark
+  dropping late rows and evicting old panes. An exposure is in one pane, not in the 5 or 3 windows
+  that overlap there: state is one small row per (pane, key, distinct value), spread over all
+  partitions by hash, so no hot key lands whole in one task. Its update-mode output is upserted
+  by key into a keyed parquet table (:mod:`newsprism.streaming.runner`).
+* **stage 2** (``window_partials``, ``*_report``): batch aggregations over the stage-1 rows: the
+  panes of each window are summed by (window, key, distinct value), then by (window, key); sums
+  and counts are combinable, so Spark pre-aggregates map-side before the shuffles and a distinct
+  count is simply the number of summed rows.
+
+Watermark: a row is late for a window once the window's end is behind the watermark, so a pane is
+needed until its *last* window closes, ``size - slide`` after the pane itself. The watermark of the
+panes is that much longer, which keeps a pane exactly as long as the last window it is in: a row that
+any of its windows would take is counted (in all of them), a row that none would take is dropped.
+
+On a batch DataFrame ``batch_report(E, name)`` is the whole report in one plan.
 """
 
 from __future__ import annotations
@@ -53,44 +60,74 @@ CONTENT = WindowSpec("content", "news_id", None, "5 minutes", None, "10 minutes"
 SPECS = {s.name: s for s in (TREND, USER_BEHAVIOR, ANOMALY, CONTENT)}
 
 PARTIAL_COLUMNS = ("n", "clicks", "dwell_sum", "dwell_n")
+PANE = "pane"
+_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
 
-def window_partials(exposures: DataFrame, spec: WindowSpec) -> DataFrame:
-    """Stage 1: per (window, key[, distinct value]) exposure count, clicks and dwell sums.
+def seconds(duration: str) -> int:
+    """``"5 minutes"`` in seconds."""
+    n, unit = duration.split()
+    return int(n) * _UNITS[unit.removesuffix("s")]
+
+
+def pane_watermark(spec: WindowSpec) -> str:
+    """The watermark of the panes: longer by what the last window of a pane ends after it."""
+    extra = seconds(spec.size) - seconds(spec.slide or spec.size)
+    return f"{seconds(spec.watermark) + extra} seconds"
+
+
+def pane_partials(exposures: DataFrame, spec: WindowSpec) -> DataFrame:
+    """Stage 1: per (pane, key[, distinct value]) exposure count, clicks and dwell sums.
 
     ``timestamp`` must be a TIMESTAMP (the watermark rejects TIMESTAMP_NTZ). Articles are not
     joined here: a hot article's exposures are pre-aggregated, and the report attaches the
     headline (J4) to one row per window and article.
     """
-    e = exposures.withWatermark("timestamp", spec.watermark)
-    w = F.window("timestamp", spec.size, spec.slide) if spec.slide else F.window("timestamp", spec.size)
-    agg = e.groupBy(w.alias("window"), *spec.group_columns).agg(
+    if seconds(spec.size) % seconds(spec.slide or spec.size):
+        raise ValueError(f"{spec.name}: the window must hold a whole number of slides")
+    e = exposures.withWatermark("timestamp", pane_watermark(spec))
+    agg = e.groupBy(F.window("timestamp", spec.slide or spec.size).alias("w"), *spec.group_columns).agg(
         F.count("impression_id").alias("n"),
         F.coalesce(F.sum("clicked"), F.lit(0)).cast("long").alias("clicks"),
         F.sum("dwell_time").alias("dwell_sum"),
         F.count("dwell_time").alias("dwell_n"),
     )
-    return agg.select(
-        F.col("window.start").alias("window_start"),
-        F.col("window.end").alias("window_end"),
-        *spec.group_columns,
-        *PARTIAL_COLUMNS,
-    )
+    return agg.select(F.col("w.start").alias(PANE), *spec.group_columns, *PARTIAL_COLUMNS)
+
 
+def pane_key(spec: WindowSpec) -> list[str]:
+    return [PANE, *spec.group_columns]
 
-def partial_key(spec: WindowSpec) -> list[str]:
-    return ["window_start", "window_end", *spec.group_columns]
 
+def last_pane(spec: WindowSpec, until: dt.datetime | str | None) -> dt.datetime | None:
+    """Start of the last pane of the window that starts at ``until``."""
+    if until is None:
+        return None
+    return m.as_datetime(until) + dt.timedelta(seconds=seconds(spec.size) - seconds(spec.slide or spec.size))
 
-def windows_between(
-    partials: DataFrame,
+
+def window_partials(
+    panes: DataFrame,
+    spec: WindowSpec,
     since: dt.datetime | str | None = None,
     until: dt.datetime | str | None = None,
 ) -> DataFrame:
-    """Stage-1 rows of the windows starting in ``[since, until]``; on a monitor table read with
-    its partition column the bound prunes window-day folders, so a long-running monitor's
-    report reads only the recent days."""
-    return m.between_inclusive(partials, "window_start", since, until).drop(m.PARTITION_COLUMN)
+    """Stage-1 rows combined into windows: one row per (window, key[, distinct value]), of the windows
+    starting in ``[since, until]``. On a monitor table read with its partition column the bounds
+    prune pane-day folders, so a long-running monitor's report reads only the recent days."""
+    size, slide = seconds(spec.size), seconds(spec.slide or spec.size)
+    panes = m.between_inclusive(panes, PANE, since, last_pane(spec, until)).drop(m.PARTITION_COLUMN)
+    starts = [F.col(PANE) - F.expr(f"interval {k} seconds") for k in range(0, size, slide)]
+    start = F.explode(F.array(*starts)) if size > slide else F.col(PANE)
+    rows = panes.select(start.alias("window_start"), *spec.group_columns, *PARTIAL_COLUMNS)
+    rows = m.between_inclusive(rows, "window_start", since, until)
+    if size > slide:
+        rows = rows.groupBy("window_start", *spec.group_columns).agg(
+            F.sum("n").alias("n"), F.sum("clicks").alias("clicks"), F.sum("dwell_sum").alias("dwell_sum"),
+            F.sum("dwell_n").alias("dwell_n"),
+        )
+    end = F.col("window_start") + F.expr(f"interval {size} seconds")
+    return rows.select("window_start", end.alias("window_end"), *spec.group_columns, *PARTIAL_COLUMNS)
 
 
 def _totals(partials: DataFrame, spec: WindowSpec, imp: str, clk: str) -> DataFrame:
@@ -130,7 +167,7 @@ def trend_report(partials: DataFrame, *, as_of: dt.datetime | str | None = None)
 def user_behavior_report(partials: DataFrame, *, as_of: dt.datetime | str | None = None) -> DataFrame:
     """Per 10-minute window (sliding by 2) and user: exposures, clicks, dwell, distinct
     articles, ``engagement_score`` and ``diversity_score``. The viewed articles themselves are
-    the stage-1 rows (see :func:`viewed_news`), not a list column."""
+    the window partials (see :func:`viewed_news`), not a list column."""
     t = _totals(partials, USER_BEHAVIOR, "total_impressions", "total_clicks").withColumnRenamed(
         "_distinct", "unique_news_count"
     )
@@ -190,4 +227,13 @@ REPORTS = {
 
 def batch_report(exposures: DataFrame, name: str, **kwargs) -> DataFrame:
     """The full report on a batch DataFrame (``timestamp`` as TIMESTAMP)."""
-    return REPORTS[name](window_partials(exposures, SPECS[name]), **kwargs)
+    spec = SPECS[name]
+    return REPORTS[name](window_partials(pane_partials(exposures, spec), spec), **kwargs)
+
+
+def monitor_report(
+    panes: DataFrame, name: str, *, since: dt.datetime | str | None = None,
+    until: dt.datetime | str | None = None, **kwargs,
+) -> DataFrame:
+    """The report of monitor ``name`` over its stage-1 rows (``table.read()``)."""
+    return REPORTS[name](window_partials(panes, SPECS[name], since, until), **kwargs)

@@ -160,24 +160,24 @@ def test_failed_write_and_replay_lose_nothing(spark, monkeypatch):
     old = [(f"i{k}", "u", "n1", d, 0, 0.0, 1) for k in range(5)]
     t.upsert(_exposures(spark, old), order=["seq"], drop=["seq"], name="first")
     new = _exposures(spark, [("i0", "u", "n1", d, 1, 9.0, 2), ("i9", "u", "n1", d, 0, 0.0, 2)])
-    write = t.rows.write
+    write = t._write
 
-    def broken(df, folder, **options):
+    def broken(df, folder):
         df.limit(1).write.mode("overwrite").partitionBy("_part").parquet(f"{path}/{folder}")
-        K._remove_dir(spark, f"{path}/{folder}/_SUCCESS")
         raise OSError("the write failed midway")
 
-    monkeypatch.setattr(t.rows, "write", broken)
+    monkeypatch.setattr(t, "_write", broken)
     with pytest.raises(OSError):
         t.upsert(new, order=["seq"], drop=["seq"], name="second")
     assert t.read().count() == 5 and t.read().where("clicked = 1").count() == 0
-    monkeypatch.setattr(t.rows, "write", write)
+    monkeypatch.setattr(t, "_write", write)
     for _ in range(2):  # the replay, and a replay of the replay
         t.upsert(new, order=["seq"], drop=["seq"], name="second")
         assert sorted((r.impression_id, r.clicked) for r in t.read().collect()) == [
             ("i0", 1), ("i1", 0), ("i2", 0), ("i3", 0), ("i4", 0), ("i9", 0)]
+    assert [len(b) for b in t.batches().values()] == [2]
     t.compact()
-    assert len(K._batch_dirs(spark, path)) == 1 and t.read().count() == 6
+    assert [len(b) for b in t.batches().values()] == [1] and t.read().count() == 6
 
 
 def test_new_columns_and_last_row_of_a_batch(spark):

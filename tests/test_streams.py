@@ -32,7 +32,7 @@ def test_stream_equals_batch(spark, name):
     )
     q.awaitTermination()
     kwargs = {"threshold": 0.001} if name == "anomaly" else {}
-    streamed = W.REPORTS[name](table.read(), **news, **kwargs)
+    streamed = W.monitor_report(table.read(), name, **news, **kwargs)
     batch_in = B.event_exposures(spark, SF).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     batch = W.batch_report(batch_in, name, **news, **kwargs)
     cols = sorted(batch.columns)
@@ -60,7 +60,7 @@ def test_monitor_state_partitions(spark):
     batch_in = B.event_exposures(spark, SF).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     batch = W.batch_report(batch_in, "trend")
     cols = sorted(batch.columns)
-    streamed = W.trend_report(table.read())
+    streamed = W.monitor_report(table.read(), "trend")
     assert _sorted(streamed.select(cols), cols) == _sorted(batch.select(cols), cols)
 
 
@@ -80,7 +80,7 @@ def test_late_rows_are_dropped_and_restart_is_idempotent(spark):
     # restart from the same checkpoint: only the new file is read; the old row is behind the watermark
     q, table = SR.start_monitor(spark, stream, "trend", available_now=True, table_path=path, checkpoint=ckpt, query_name="late2")
     q.awaitTermination()
-    rep = W.trend_report(table.read())
+    rep = W.monitor_report(table.read(), "trend")
     starts = {r.window_start for r in rep.collect()}
     assert min(starts) >= t - dt.timedelta(minutes=4)  # nothing from 09:00
     assert t + dt.timedelta(minutes=25) in starts  # the fresh row counted
@@ -173,11 +173,11 @@ def test_monitor_report_window_bound_prunes(spark, capsys):
     )
     q.awaitTermination()
     since = dt.datetime(2024, 1, 20)
-    recent = W.windows_between(table.read(keep_partition=True), since=since)
+    recent = W.window_partials(table.read(keep_partition=True), W.TREND, since=since)
     recent.explain("formatted")
     assert "PartitionFilters: [isnotnull(_part" in capsys.readouterr().out
     rep = W.trend_report(recent)
-    full = W.trend_report(table.read()).where(F.col("window_start") >= since)
+    full = W.monitor_report(table.read(), "trend").where(F.col("window_start") >= since)
     cols = sorted(rep.columns)
     assert _sorted(rep.select(cols), cols) == _sorted(full.select(cols), cols)
 
@@ -209,7 +209,7 @@ def test_monitor_on_rocksdb_state_store(spark):
     finally:
         spark.conf.set(key, old)
     batch_in = B.event_exposures(spark, SF).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    assert W.trend_report(table.read()).count() == W.batch_report(batch_in, "trend").count()
+    assert W.monitor_report(table.read(), "trend").count() == W.batch_report(batch_in, "trend").count()
 
 
 def test_perf_histogram_edges(spark):
@@ -250,7 +250,7 @@ def test_micro_batches_append_and_late_rows(spark):
     for title in ("old title", "new title"):
         news = spark.createDataFrame([("n1", title), ("n2", "x")], "news_id string, headline string")
         got = {(r.news_id, r.window_start): (r.impressions, r.headline)
-               for r in W.content_report(table.read(), news=news).collect()}
+               for r in W.monitor_report(table.read(), "content", news=news).collect()}
         assert got[("n1", t0)] == (3, title) and len(got) == 2
 
 
