@@ -46,6 +46,9 @@ class Encoder:
     merging (as the registered one does): then no token reaches across a space, tab or line break,
     or from a letter to the marks behind it, case of ASCII letters does not matter, and the ids
     of a text are those of its words and their trailing marks, each encoded once and remembered.
+    Marks are set apart only where the tokenizer does so itself: behind a character that it
+    rewrites to end in something else than a letter or digit (such as the dot above of a
+    lower-cased capital dotted I) the word stays whole.
     """
 
     def __init__(self, path: str):
@@ -57,6 +60,21 @@ class Encoder:
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {"": b""}
+        self.apart: dict[str, bool] = {}
+
+    def _cut_after(self, c: str) -> bool:
+        """Whether the tokenizer cuts between ``c`` and a mark: it says so itself, for each character once."""
+        if c.isascii():
+            return c.isalnum()
+        cut = self.apart.get(c)
+        if cut is None:
+            text = f"a{c}."
+            if self.tokenizer.normalizer is not None:
+                text = self.tokenizer.normalizer.normalize_str(text)
+            words = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+            alone = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(".")]
+            cut = self.apart[c] = c.isalnum() and text.endswith(".") and words[-1:] == alone
+        return cut
 
     def forget(self) -> None:
         """Empty the caches: at their bound, and when a task ends (its worker lives on)."""
@@ -68,7 +86,7 @@ class Encoder:
         split = []
         for w in words:
             stem = w.rstrip(MARKS)
-            if len(stem) == len(w) or not stem or not stem[-1].isalnum():
+            if len(stem) == len(w) or not stem or not self._cut_after(stem[-1]):
                 stem = w
             marks = w[len(stem) :]
             if stem.isascii() and stem.isalnum():
