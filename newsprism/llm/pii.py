@@ -1,10 +1,15 @@
 """Personal data with offset-preserving deobfuscation (operator 8).
 
 Base identifiers are found in the text as it is. Then transducers rewrite the text and carry, for
-every character they put out, the source range it came from: homoglyphs (compatibility forms,
-other scripts' digits, look-alike letters, zero-width characters), runs of spelled digits, and
-"at"/"dot" disguises. Identifiers found in the rewritten text are mapped back to source characters
-and added where no base span of their kind overlaps them.
+every character they put out, the source range it came from. They are chained: homoglyphs
+(compatibility forms, other scripts' digits, look-alike letters, zero-width characters), then
+"at"/"dot" disguises, then runs of spoken numbers (digit names, "dot" and "plus" among them).
+Identifiers found in a rewritten text are mapped back to source characters and added if a
+transducer changed something in them and no span of their kind covers them already: a base span
+that is only part of a disguised one stays, and the wider span is added to it.
+
+A bare "at" between words counts with a spelled dot after it only ("meet me at example.com" is not
+an address); "@" with blanks around it, and "at" in brackets, count before any domain.
 
 Results for odd rows: null and empty texts have no spans; doc_id may be null or repeated and is
 passed through; matches never depend on other rows; other columns are ignored (``mask`` keeps
@@ -61,27 +66,29 @@ DIGIT_WORDS = {
     "siete": "7", "ocho": "8", "nueve": "9",
 }
 _NAME = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-# four names or more in a row, or names among digits of a number
-_SPELLED = re.compile(rf"(?i)\b(?:{_NAME})(?:[ ,.-]{{1,3}}(?:{_NAME}|[0-9]+)){{3,}}\b")
-_ONE_NAME = re.compile(rf"(?i){_NAME}")
 _AT = r"(?:at|arobase|arroba|ät)"
 _DOT = r"(?:dot|punkt|point|punto)"
+_PLUS = r"(?:plus|más|mas)"
+# spoken numbers: digit names, "plus" and "dot" among names or digits, up to three separators between
+_GAP = r"[ \t\r\n,.()-]{1,3}"
+_ITEM = rf"(?:(?:{_NAME}|{_DOT}|{_PLUS})(?![^\W_])|[0-9]++(?![^\W_]))"
+_SPOKEN = re.compile(rf"(?i)(?<![^\W_]){_ITEM}(?:{_GAP}{_ITEM})++")
+_SPOKEN_ITEM = re.compile(rf"(?i)(?P<name>{_NAME})(?![^\W_])|(?P<dot>{_DOT})(?![^\W_])|(?P<plus>{_PLUS})(?![^\W_])|[0-9]+")
+LEAST_ITEMS = 4  # names and numbers in a row
+_BLANK = r"[ \t\r\n]"
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_MARKED_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])[ ]{{0,3}}{_OPEN}[ ]{{0,3}}(?:{_AT}|@)[ ]{{0,3}}{_CLOSE}[ ]{{0,3}}(?=[A-Za-z0-9])")
-_MARKED_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9])[ ]{{0,3}}{_OPEN}[ ]{{0,3}}(?:{_DOT}|\.)[ ]{{0,3}}{_CLOSE}[ ]{{0,3}}(?=[A-Za-z0-9])")
-# without brackets only as a whole: name (dot name) at host dot domain
-_PART = r"[A-Za-z0-9_%+-]{1,64}"
-_BARE = re.compile(
-    rf"(?i)(?<![A-Za-z0-9_%+-]){_PART}(?:[ ]{{1,3}}{_DOT}[ ]{{1,3}}{_PART}|\.{_PART}){{0,4}}"
-    rf"(?:[ ]{{1,3}}(?:{_AT}|@)[ ]{{1,3}}|@)"
-    rf"[A-Za-z0-9-]{{1,63}}(?:[ ]{{1,3}}{_DOT}[ ]{{1,3}}[A-Za-z0-9-]{{1,63}}){{1,4}}"
-)
-_BARE_AT = re.compile(rf"(?i)[ ]{{1,3}}(?:{_AT}|@)[ ]{{1,3}}")
-_BARE_DOT = re.compile(rf"(?i)[ ]{{1,3}}{_DOT}[ ]{{1,3}}")
+_MARKED_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9]){_BLANK}*+{_OPEN}{_BLANK}*+(?:{_AT}|@){_BLANK}*+{_CLOSE}{_BLANK}*+(?=[A-Za-z0-9])")
+_MARKED_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9]){_BLANK}*+{_OPEN}{_BLANK}*+(?:{_DOT}|\.){_BLANK}*+{_CLOSE}{_BLANK}*+(?=[A-Za-z0-9])")
+# without brackets only as a whole: name (dot name) at host dot domain, found from the "at" outwards
+_BARE_AT = re.compile(rf"(?i)(?<!{_BLANK}){_BLANK}++(?:{_AT}|@){_BLANK}++|(?<!{_BLANK})@(?!{_BLANK})")
+_BARE_DOT = re.compile(rf"(?i){_BLANK}++{_DOT}{_BLANK}++")
+_HOST = re.compile(rf"(?i)[A-Za-z0-9-]++(?:(?:{_BLANK}++{_DOT}{_BLANK}++|\.)[A-Za-z0-9-]++)++")
+_BACK_DOT = rf"(?:{'|'.join(w[::-1] for w in _DOT[3:-1].split('|'))})"
+_BACK_LOCAL = re.compile(  # the name, read from the "at" to the left
+    rf"(?i)[A-Za-z0-9_%+-]++(?:(?:{_BLANK}++{_BACK_DOT}{_BLANK}++|\.)[A-Za-z0-9_%+-]++)*+")
 _BRACKET = re.compile(r"[\[({<]")
 
 
-
 def _hashes(names) -> np.ndarray:
     spell = [v.encode() for n in names for v in {n, n.upper()}]
     data = np.frombuffer(b"".join(spell), np.uint8)
@@ -91,6 +98,7 @@ def _hashes(names) -> np.ndarray:
 
 _NAME_HASHES = _hashes(DIGIT_WORDS)
 _DOT_HASHES = _hashes(_DOT[3:-1].split("|"))
+_PLUS_HASHES = _hashes(_PLUS[3:-1].split("|"))
 
 
 def luhn(digits: str) -> bool:
@@ -189,28 +197,47 @@ def homoglyphs(m: Mapped) -> Mapped:
     return m.rewritten([(i, i + 1, known[c]) for i, c in enumerate(m.text) if c in odd])
 
 
-def spelled_digits(m: Mapped) -> Mapped:
+def spoken_numbers(m: Mapped, gaps: str) -> Mapped:
+    """Runs of spoken numbers as digits, "." and "+". ``gaps``: "keep" what stands between numbers,
+    "dots" to drop it but for a single dot, "none" to drop it whole."""
     edits = []
-    for run in _SPELLED.finditer(m.text):
-        for w in _ONE_NAME.finditer(m.text, run.start(), run.end()):
-            edits.append((w.start(), w.end(), DIGIT_WORDS[w.group().lower()]))
-    return m.rewritten(edits)
-
-
-def joined_digits(m: Mapped) -> Mapped:
-    """After spelled digits: one separator between single digits goes, so that they form numbers."""
-    edits = [(g.start(), g.end(), "") for g in re.finditer(r"(?<=[0-9])[ ,.-]{1,3}(?=[0-9])", m.text)]
+    for run in _SPOKEN.finditer(m.text):
+        items = list(_SPOKEN_ITEM.finditer(m.text, run.start(), run.end()))
+        if sum(not i["dot"] and not i["plus"] for i in items) < LEAST_ITEMS or not any(i["name"] for i in items):
+            continue
+        before = None
+        for i in items:
+            if before is not None:
+                lo, hi = before.end(), i.start()
+                touching = before["dot"] or i["dot"] or before["plus"]
+                if touching or gaps == "none" or gaps == "dots" and m.text[lo:hi] != ".":
+                    edits.append((lo, hi, ""))
+            before = i
+            if i["name"]:
+                edits.append((i.start(), i.end(), DIGIT_WORDS[i.group().lower()]))
+            elif i["dot"] or i["plus"]:
+                edits.append((i.start(), i.end(), "." if i["dot"] else "+"))
     return m.rewritten(edits)
 
 
 def at_and_dot(m: Mapped) -> Mapped:
     m = m.rewritten([(g.start(), g.end(), "@") for g in _MARKED_AT.finditer(m.text)])
     m = m.rewritten([(g.start(), g.end(), ".") for g in _MARKED_DOT.finditer(m.text)])
-    edits = []
-    for g in _BARE.finditer(m.text):
-        edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(m.text, g.start(), g.end())]
-        edits += [(d.start(), d.end(), "@") for d in _BARE_AT.finditer(m.text, g.start(), g.end())]
-    return m.rewritten(sorted(edits))
+    edits, last = [], 0
+    for at in _BARE_AT.finditer(m.text):
+        host = _HOST.match(m.text, at.end())
+        name = _BACK_LOCAL.match(m.text[last : at.start()][::-1]) if host else None
+        if name:
+            dots = list(_BARE_DOT.finditer(m.text, at.start() - name.end(), at.start()))
+            beyond = list(_BARE_DOT.finditer(m.text, host.start(), host.end()))
+            if beyond or "@" in at.group():
+                edits += [(d.start(), d.end(), ".") for d in dots]
+                edits.append((at.start(), at.end(), "@"))
+                edits += [(d.start(), d.end(), ".") for d in beyond]
+                last = host.end()
+                continue
+        last = at.end()
+    return m.rewritten([e for e in edits if m.text[e[0] : e[1]] != e[2]])
 
 
 def may_hide(texts: pa.Array) -> np.ndarray:
@@ -222,12 +249,13 @@ def may_hide(texts: pa.Array) -> np.ndarray:
     if not len(start):
         return out
     h = range_hashes(data, start, end)
-    name = np.isin(h, _NAME_HASHES)
-    item = name | ((data[start] >= 48) & (data[start] <= 57))
+    name, dot = np.isin(h, _NAME_HASHES), np.isin(h, _DOT_HASHES)
+    item = name | dot | np.isin(h, _PLUS_HASHES) | ((data[start] >= 48) & (data[start] <= 57))
     if len(h) >= 4:
-        four = item[:-3] & item[1:-2] & item[2:-1] & item[3:] & name[:-3] & (doc[:-3] == doc[3:])
+        four = item[:-3] & item[1:-2] & item[2:-1] & item[3:] & (doc[:-3] == doc[3:])
+        four &= name[:-3] | name[1:-2] | name[2:-1] | name[3:]
         out[doc[:-3][four]] |= 1
-    out[doc[np.isin(h, _DOT_HASHES)]] |= 2
+    out[doc[dot]] |= 2
     return out
 
 
@@ -241,28 +269,37 @@ def find_disguised(
     if plain is not source:
         hints = 3
         views.append(plain)
-    if hints & 2 or _BRACKET.search(plain.text):
+    dotted = plain
+    if hints & 2 or "@" in plain.text or _BRACKET.search(plain.text):
         dotted = at_and_dot(plain)
         if dotted is not plain:
             views.append(dotted)
     if hints & 1:
-        spelled = spelled_digits(plain)
-        if spelled is not plain:
-            views += [spelled, joined_digits(spelled)]
-    if not views:
-        return []
+        spoken = [spoken_numbers(dotted, gaps) for gaps in ("keep", "dots", "none")]
+        views += [v for v in spoken if v is not dotted]
     taken = {k: sorted((a, b) for kind, a, b in base if kind == k) for k in KINDS}
-    out = []
+    added: set[tuple[str, int, int]] = set()
     for view in views:
         for kind, a, b in find(view.text):
             lo, hi = view.start[a], view.end[b - 1]
+            if text[lo:hi] == view.text[a:b]:
+                continue  # as the text stands: what the base rules make of it holds
             spans = taken[kind]
-            i = bisect_left(spans, (hi,))
-            if i and spans[i - 1][1] > lo:
+            i = bisect_left(spans, (lo, hi))
+            # spans of a kind lie side by side, but for a base span inside an added one
+            if any(x <= lo and y >= hi for x, y in spans[max(0, i - 2) : i + 1]):
                 continue
-            spans.insert(i, (lo, hi))
-            out.append((kind, lo, hi))
-    return out
+            while i and spans[i - 1][0] >= lo:
+                i -= 1
+            j = i
+            while j < len(spans) and spans[j][0] < hi:
+                j += 1
+            # added spans inside the new one give way to it
+            kept = [v for v in spans[i:j] if v[1] > hi or (kind, *v) not in added]
+            added -= {(kind, *v) for v in spans[i:j] if v not in kept}
+            spans[i:j] = sorted([*kept, (lo, hi)])
+            added.add((kind, lo, hi))
+    return sorted(added)
 
 
 def spans_of(text: str | None, hints: int = 3) -> tuple[list, list]:
@@ -273,7 +310,7 @@ def spans_of(text: str | None, hints: int = 3) -> tuple[list, list]:
     added = find_disguised(text, base, hints)
     if not added:
         return base, base
-    return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
+    return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
 def _joined(spans: list) -> str:
