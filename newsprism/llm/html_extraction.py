@@ -10,9 +10,14 @@ pages share is template, everything else in the slot is content.
 Elements that are not the article by their own account (navigation, forms, scripts, adverts,
 comments and the like, by tag, role, or a whole class or id token) are dropped; names never drop
 html, body, main, article or headings, and a name that only holds such a word ("no-sidebar") or may
-be a topic ("legal") drops an element only where the wrapper finds it constant. If a page marks its article or main
-part, only that part is read. Blocks are joined by an empty line, white space inside a block
-becomes one space.
+be a topic ("legal"), or one of a menu around paragraphs, drops an element only where the wrapper
+finds it constant. A form or a named part (but comments) that holds the main element, or most of the
+page's text and every article, is a frame around the page and is kept. If a page marks its article
+or main part, only that part is read. Blocks are joined by an empty line, white space inside a
+block becomes one space; a dropped element inside a line does not end the block.
+
+Trees may be of any depth; elements nested deeper than ``DEPTH`` become
+siblings, each ending and dropped as it would be, and only the wrapper sees them as one level.
 
 The n pages of a host are dealt to n / GROUP_PAGES groups (rounded down, one at least) by a hash of
 the page, whatever the table holds besides. For hosts with more than 1/HOT_HOSTS of all pages the
@@ -28,6 +33,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -75,6 +81,12 @@ PLAIN = frozenset("area bar block box container inner item items list section si
 ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split()
 )
+MENUS = frozenset(
+    "nav navbar navigation menu menubar topbar topnav sidenav breadcrumb breadcrumbs pagination pager toc toolbar".split()
+)
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())  # stand in the head
+DEPTH = 256
 NEVER = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())  # not dropped by a name
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>"
@@ -87,12 +99,15 @@ _UNSEEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
+NAMED, SURE = 1, 2  # why an element is no part of the article: its name (or it is a form), or its tag
+
+
 class Node:
-    """An element: children are elements and strings, in page order."""
+    """An element: children are elements and strings, in page order; ``part``: 0, NAMED or SURE."""
 
     __slots__ = ("tag", "label", "children", "part", "hint")
 
-    def __init__(self, tag: str, label: str, part: bool, hint: bool = False):
+    def __init__(self, tag: str, label: str, part: int = 0, hint: bool = False):
         self.tag, self.label, self.part, self.hint = tag, label, part, hint
         self.children: list = []
 
@@ -106,7 +121,7 @@ def _names_part(token: str) -> tuple[bool, bool]:
 
 
 def _element(tag: str, attrs: str) -> Node:
-    label, part, hint = tag, tag in DROPPED, False
+    label, part, hint = tag, NAMED if tag == "form" else SURE if tag in DROPPED else 0, False
     if attrs and not attrs.isspace():
         named = []
         for name, value in _ATTR.findall(attrs):
@@ -117,29 +132,42 @@ def _element(tag: str, attrs: str) -> Node:
                     continue
                 for token in value.split():
                     certain, may = (token.lower() in ROLES, False) if name == "role" else _names_part(token)
-                    part, hint = part or certain, hint or may
+                    part, hint = max(part, NAMED if certain else 0), hint or may
             elif name == "hidden" or name == "style" and _UNSEEN.search(value):
-                part = part or tag not in ("html", "body")
+                part = SURE if tag not in ("html", "body") else part
         label = f"{tag} {' '.join(named)}" if named else tag
     return Node(tag, label, part, hint)
 
 
 def parse(page: str) -> Node:
     """A tree with implied end tags; never fails, and reads each character a bounded number of times."""
-    root = Node("#root", "#root", False)
-    stack, at = [root], 0
+    root = Node("#root", "#root")
+    # open elements, the node that takes their children, and how many of a tag are open
+    stack, into = [root], [root]
+    open_: dict[str, int] = {}
+
+    def close(k: int) -> None:
+        for node, taker in zip(stack[k:], into[k:]):
+            open_[node.tag] -= 1
+            if taker is not node and node.tag in BLOCKS:
+                taker.children.append(Node("div", "div"))  # a flattened block ends here
+        del stack[k:], into[k:]
+
+    at = 0
     lower = None
     n = len(page)
     while at < n:
         lt = page.find("<", at)
+        text = page[at:] if lt < 0 else page[at:lt]
+        if text:
+            if stack[-1].tag == "head" and not text.isspace():
+                close(len(stack) - 1)
+            into[-1].children.append(text)
         if lt < 0:
-            stack[-1].children.append(page[at:])
             break
-        if lt > at:
-            stack[-1].children.append(page[at:lt])
         m = _TOKEN.match(page, lt)
         if not m:
-            stack[-1].children.append("<")
+            into[-1].children.append("<")
             at = lt + 1
             continue
         at = m.end()
@@ -149,40 +177,78 @@ def parse(page: str) -> Node:
         tag = tag.lower()
         if m.group("end"):
             if tag == "br":
-                stack[-1].children.append(Node("br", "br", False))
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag == "p" and stack[k].tag in SCOPE:
-                    break
+                into[-1].children.append(Node("br", "br"))
+            elif open_.get(tag):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        close(k)
+                        break
+                    if tag == "p" and stack[k].tag in SCOPE:
+                        break
             continue
-        if tag in CLOSES_P or tag in SAME_CLOSES:
-            closing = SAME_CLOSES.get(tag, ())
+        if stack[-1].tag == "head" and tag not in HEAD:
+            close(len(stack) - 1)  # its end tag may be left out
+        closing = SAME_CLOSES.get(tag, ())
+        if tag in CLOSES_P and open_.get("p") or any(open_.get(t) for t in closing):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p" and tag in CLOSES_P or stack[k].tag in closing:
-                    del stack[k:]
+                    close(k)
                     if stack[-1].tag not in closing:
                         break
                 elif stack[k].tag in SCOPE:
                     break
         node = _element(tag, m.group("attrs"))
-        stack[-1].children.append(node)
+        into[-1].children.append(node)
         if tag in RAW:
             lower = lower if lower is not None else page.lower()
             end = lower.find(f"</{tag}", at) if len(lower) == n else page.find(f"</{tag}", at)
             if end < 0:
                 break
             node.children.append(page[at:end])
-            close = page.find(">", end)
-            at = n if close < 0 else close + 1
+            gt = page.find(">", end)
+            at = n if gt < 0 else gt + 1
         elif tag not in VOID and not m.group("attrs").endswith("/"):
-            if len(stack) < 200:  # deeper elements stay flat, their text is kept in order
-                stack.append(node)
+            # what is no part of the article holds its own children at any depth
+            into.append(node if len(stack) < DEPTH or node.part else into[-1])
+            stack.append(node)
+            open_[tag] = open_.get(tag, 0) + 1
+    _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Keep frames: forms and named parts around the page are no parts of it, and a menu's name
+    around paragraphs is a hint only."""
+    order, todo = [], [(root, False)]
+    while todo:
+        x, linked = todo.pop()
+        linked = linked or x.tag in ("a", "label", "legend")
+        order.append((x, linked))
+        if x.part < SURE:
+            todo += [(c, linked) for c in x.children if isinstance(c, Node)]
+    letters: dict[int, int] = {}  # of text outside links and labels
+    marked: dict[int, int] = {}  # articles and main elements
+    prose: dict[int, bool] = {}  # paragraphs with such text
+    mains: dict[int, bool] = {}
+    for x, linked in reversed(order):
+        sure = x.part == SURE
+        own = 0 if linked or sure else sum(len(c) - c.count(" ") for c in x.children if isinstance(c, str) and not c.isspace())
+        below = [] if sure else [id(c) for c in x.children if isinstance(c, Node)]
+        letters[id(x)] = own + sum(letters[c] for c in below)
+        marked[id(x)] = (x.tag in ("article", "main")) + sum(marked[c] for c in below)
+        mains[id(x)] = x.tag == "main" or any(mains[c] for c in below)
+        prose[id(x)] = x.tag == "p" and letters[id(x)] > 0 or any(prose[c] for c in below)
+    for x, _ in order:
+        if x.part != NAMED:
+            continue
+        words = {w.lower() for w in _WORD.findall(x.label)} & PART_WORDS
+        frame = not words & COMMENTS and 2 * letters[id(x)] > letters[id(root)] and marked[id(x)] == marked[id(root)]
+        if mains[id(x)] or frame:
+            x.part, x.hint = 0, False
+        elif words and words <= MENUS and prose[id(x)] and x.tag not in DROPPED:
+            x.part, x.hint = 0, True
+
+
 class Slot:
     """A wrapper node: texts seen here by how many different pages, and child slots in order."""
 
@@ -347,7 +413,8 @@ def blocks(root: Node, where: dict[int, Slot]) -> list[str]:
         elif x.tag == "br":
             line.append(" ")
         elif x.part or (x.tag == "header" and not (marks["article"] or marks["main"])):
-            flush()
+            if x.tag in BLOCKS:
+                flush()
         elif marks.get(x.tag, x) is None:
             flush()
             marks[x.tag] = x
@@ -408,6 +475,7 @@ def _title(root: Node) -> str:
 
 def extract(pages: list[str | None]) -> list[str]:
     """Main texts of pages of one host."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 16 * DEPTH))  # trees are compared level by level
     wrapper, seen, out = Slot("#root"), [], []
     trees, wheres = [], []
     for page in pages:

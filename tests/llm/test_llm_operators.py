@@ -76,6 +76,37 @@ def test_html_names_do_not_drop_the_article():
             assert t.split("\n\n") == [f"Head {i}", f"Search {i}", f"Legal {i}", f"Titled {i}", tell, *same]
 
 
+def test_html_frames_left_out_end_tags_and_depth():
+    from newsprism.llm.html_extraction import DEPTH, extract
+
+    text = lambda i: " ".join(f"w{(i * 31 + j * 7) % 997}" for j in range(30))
+    for n in (1, 5):
+        want = [f"H {i}\n\n{text(i)}" for i in range(n)]
+        body = [f"<h1>H {i}</h1><p>{text(i)}</p>" for i in range(n)]
+        # the end tag of the head may be left out, and its start tag too
+        assert extract([f"<html><head><title>T{i}</title><meta a=b><body>{b}</body></html>" for i, b in enumerate(body)]) == want
+        assert extract([f"<head><link x><title>T{i}</title>{b}" for i, b in enumerate(body)]) == want
+        # forms and named parts around the page
+        for frame, end in (('<form id="aspnetForm"><input name=a><select><option>x</select>', "<button>Go</button></form>"),
+                           ("<div class=widget>", "</div>"), ("<div class=modal><div class='overlay box'>", "</div></div>")):
+            assert extract([f"<body>{frame}{b}{end}</body>" for b in body]) == want
+            assert extract([f"<body>{frame}<div>Top {i}</div><article>{b}</article>{end}</body>" for i, b in enumerate(body)]) == want
+        # but comments and cards stay out, however long
+        assert extract([f"<body><article>{b}</article><section id=comments><article class=comment><p>{text(i + 9) * 3}</p>"
+                        f"</article></section><form><label>Name</label><p>Say it</p></form></body>" for i, b in enumerate(body)]) == want
+        assert extract([f"<body><div>{b}</div><div class=comments><p>{text(i + 9) * 3}</p></div></body>" for i, b in enumerate(body)]) == want
+        menu = [f'<article>{b}<div class="menu-list"><p>The menu {i}: soup</p></div><div class=menu><a>Home {i}</a></div></article>'
+                for i, b in enumerate(body)]
+        assert extract(menu) == [f"{w}\n\nThe menu {i}: soup" for i, w in enumerate(want)]
+    # dropped elements inside a line
+    line = "<p>One <script>x()</script>sentence <svg><path/></svg>and <button>b</button>more<p>Two"
+    assert extract([line]) == ["One sentence and more\n\nTwo"]
+    # at any depth elements end and are dropped
+    for depth in (210, DEPTH - 1, DEPTH, 4 * DEPTH):
+        deep = "<div>" * depth + "<nav>Home</nav>a<p>deep <b>text</b></p>b<ul><li>more<li>and</ul>" + "</div>" * depth
+        assert extract([f"<body><p>top</p>{deep}<div>end</div>"] * 2) == ["top\n\na\n\ndeep text\n\nb\n\nmore\n\nand\n\nend"] * 2
+
+
 def test_html_varying_slots_choose_the_content():
     from newsprism.llm.html_extraction import extract
 
@@ -423,6 +454,26 @@ def test_first_fit_decreasing_equals_plain_search():
         assert [(b, a) for b, a in zip(bins, at)] == [want[i] for i in range(n)]
 
 
+def test_packing_ids_equal_encoding_whole_texts():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    from newsprism.llm.packing import Encoder
+
+    path = Q.vocabulary_file(Q.WORD_TOKENIZER)
+    tokenizer, encoder = Tokenizer.from_file(path), Encoder(path)
+    rng = random.Random(6)
+    pool = [chr(c) for c in range(0x20, 0x3000) if unicodedata.category(chr(c))[0] in "LMNPSZ"]
+    pool += list("abcABC019.,!?\"'-)]}") * 40 + [" "] * 400 + ["İ", "İ.", ".", "I", "i̇"] * 60
+    pool += ["ß", "ŉ", "ǰ", "ΐ", "ﬁ", "é", "가", "ᄀ", "ᅡ", "ᆨ", "can't"] * 20
+    texts = ["BELEDİYESİ.", "ANKARA SERGİSİ, 2024", "İ) İ"] + [
+        "".join(rng.choice(pool) for _ in range(rng.randrange(1, 40))) for _ in range(20_000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    wrong = [t for t, a, b in zip(texts, encoder.encode(texts), want) if a != b]
+    assert wrong == []
+
+
 # ------------------------------------------------------------------- op7
 def shingles(text):
     w = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode()))
@@ -564,6 +615,41 @@ def test_pii_disguises_map_back_to_the_source(text, kind, span):
     assert masked(text) == text.replace(span, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize("text, base, spans, mask", [
+    ("pаul.smith@example.com", ["email:2:22"], ["email:0:22", "email:2:22"], "[EMAIL]"),
+    ("x pa\u200bul@example.com y", ["email:5:19"], ["email:2:19", "email:5:19"], "x [EMAIL] y"),
+    ("one nine two dot one six eight dot zero dot one", [], ["ip:0:47"], "[IP]"),
+    ("at 192 [dot]\t168 (punto) 0 [dot] 1", [], ["ip:3:34"], "at [IP]"),
+    ("plus four nine one seven two three four five six seven", [], ["phone:0:54"], "[PHONE]"),
+    ("to john @ example.com.", [], ["email:3:21"], "to [EMAIL]."),
+    ("a dot b dot c dot d dot e dot f at host dot example dot org", [], ["email:0:59"], "[EMAIL]"),
+    ("john\n[at]     example (dot)\ncom", [], ["email:0:31"], "[EMAIL]"),
+    ("meet me at example.com, point un deux, one two three", [], [], "meet me at example.com, point un deux, one two three"),
+    ("mail bob@example.com, or al@b.de [at] home", ["email:5:20", "email:25:32"], ["email:5:20", "email:25:32"],
+     "mail [EMAIL], or [EMAIL] [at] home"),
+])
+def test_pii_transducers_are_chained_and_wider_spans_added(text, base, spans, mask):
+    from newsprism.llm.pii import masked, spans_of
+
+    joined = lambda s: [f"{k}:{a}:{b}" for k, a, b in s]
+    got = spans_of(text)
+    assert (joined(got[0]), joined(got[1]), masked(text)) == (base, spans, mask)
+
+
+def test_pii_is_linear():
+    import time
+
+    from newsprism.llm.pii import spans_of
+
+    for unit in ("а@b.c ", "a @ b.c ", "one dot ", "one two three four x ", " (", "a dot b at ", "[at] ", "a.", "@ "):
+        took = []
+        for n in (4000, 16000):
+            t0 = time.perf_counter()
+            spans_of(unit * n)
+            took.append(time.perf_counter() - t0)
+        assert took[1] < 12 * took[0] + 0.5, unit
+
+
 def test_pii_leaves_clean_text_and_odd_rows(spark):
     from newsprism.llm.pii import find_pii, mask, spans_of
 
