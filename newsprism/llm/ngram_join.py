@@ -17,10 +17,15 @@ Plan:
 3. documents whose shared tokens reach t of their set remain (an ordinary document has few);
    the prefixes of these meet by token.
 4. links: every document is first compared with a few pivots of some of its prefix tokens, and
-   links merge into components; then components that share a prefix token meet. The documents of
-   a component meet those of its smaller partners in tasks of bounded size, which put out one link
-   for each two components and nothing for a pair. Every pair that the filters admit is compared
-   unless its ends are already connected, so components are exact.
+   links merge into components. Then the prefix lists are looked at whole: tokens with the very same
+   list (those of one passage) count once, by the first of them in the order, and lists within one component
+   not at all. A list, cut into parts that meet pairwise if it is long, puts out the pairs of different
+   components that pass the length filter and the position filter (what follows the shared token must
+   suffice for the overlap).
+5. candidate pairs are dealt to tasks by blocks of documents; a document's tokens go once to each task
+   that holds a pair of it, whatever the number of its partners. There the second order's prefixes
+   must meet, too, before the sets are compared. Every pair that the filters admit is compared unless
+   its ends are already connected, so components are exact.
 
 Results for odd rows: null, empty and word-less texts have the empty set and link with nothing;
 a null doc_id links with nothing and has a null component; repeated rows give repeated result
@@ -34,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +52,10 @@ PART_TOKENS = 2_000_000  # tokens of one token partition
 PART_DOCS = 5_000  # documents of one document partition
 HOT_SHARE = 1_000  # a token in more than 1/HOT_SHARE of all documents is hot
 PIVOTS = 2  # documents of a token's list that the others are compared with first
-COMPARE_DOCS = 2_000  # documents of one side in a comparing task
+LIST_DOCS = 4_096  # documents of a part of a list
+TASK_ROWS = 100_000  # list entries in a task, about
+BLOCK_DOCS = 2_000  # documents of a block; a comparing task meets pairs of blocks
+TASK_PAIRS = 50_000  # pairs in a comparing task, about
 
 DOC_ROWS = "doc_id long, n_shingles long, d1 long, d2 long, token long, held long"
 PACKED = "kind int, part int, docs binary, sizes binary, runs binary, lo binary, mid binary, df binary"
@@ -321,8 +330,8 @@ def shared_tokens(
 class _Set:
     """A document in a comparing task; the sets are made when first needed."""
 
-    def __init__(self, doc: int, comp: int, n: int, q: int, toks: np.ndarray):
-        self.id, self.comp, self.n, self.q, self.toks = doc, comp, n, q, toks
+    def __init__(self, n: int, q: int, toks: np.ndarray):
+        self.n, self.q, self.toks = n, q, toks
 
     def __getattr__(self, name: str):
         if name == "first":
@@ -346,56 +355,120 @@ def similar(x: _Set, y: _Set, num: int, den: int) -> bool:
     return den * common >= num * (x.n + y.n - common)
 
 
-def compared(spark: SparkSession, s: DataFrame, sides: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between the two sides of every key of ``sides(key, side, id, c)``: each document of
-    side 0 meets each of side 1, unless they are, or have just become, of one component; one link
-    for each two components. Sides of more than COMPARE_DOCS documents are cut into parts that
-    meet pairwise, so a task holds two parts at most; nothing is put out for a pair but its link."""
-    sides = stored(spark, sides, "sides")
-    size = sides.groupBy("key").agg(
-        F.sum((F.col("side") == 0).cast("int")).alias("a"), F.sum("side").alias("b"))
-    large = stored(spark, size.where(f"a > {COMPARE_DOCS} or b > {COMPARE_DOCS}").select(
-        "key", F.ceil(F.col("a") / COMPARE_DOCS).cast("int").alias("na"),
-        F.ceil(F.col("b") / COMPARE_DOCS).cast("int").alias("nb")), "large")
-    rows = sides.join(large, "key", "left")
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    rows = rows.withColumn("at", F.when(F.col("na").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
-        .when(F.col("side") == 0, F.transform(every("nb"), lambda j: F.struct(own("na").alias("i"), j.alias("j"))))
-        .otherwise(F.transform(every("na"), lambda i: F.struct(i.alias("i"), own("nb").alias("j")))))
-    rows = rows.select("key", F.explode("at").alias("at"), "side", "id", "c").select("key", "at.i", "at.j", "side", "id", "c")
-    buckets = max(1, -(-sides.count() // COMPARE_DOCS))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets))).join(s, "id")
+def compared(spark: SparkSession, s: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) among distinct ``pairs(a, b, ca, cb)`` of documents with components: of two
+    components one link is enough in a task."""
+    pairs = stored(spark, pairs, "pairs")
+    docs, count = s.count(), pairs.count()
+    blocks, tasks = max(1, -(-docs // BLOCK_DOCS)), max(1, -(-count // TASK_PAIRS))
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(blocks))
+    task = F.pmod(F.xxhash64(F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))), F.lit(tasks))
+    dealt = pairs.withColumn("task", task.cast("int"))
+    ends = dealt.select("task", F.col("a").alias("id")).unionByName(dealt.select("task", F.col("b").alias("id")))
+    sets = ends.distinct().join(s, "id").select("task", "id", "n", "q", "toks")
+    rows = sets.unionByName(dealt, allowMissingColumns=True)
 
     def check(key, table):
-        names = ("key", "i", "j", "side", "id", "c", "n", "q")
-        key, i, j, side, doc, comp, n, q = (table.column(c).to_numpy() for c in names)
-        toks = table.column("toks").combine_chunks()
-        edge, flat = np.asarray(toks.offsets), toks.values.to_numpy()
-        order = np.lexsort((doc, side, j, i, key))
-        cut = np.flatnonzero(np.any([np.diff(x[order]) != 0 for x in (key, i, j)], axis=0)) + 1
+        held = table.filter(pc.is_valid(table.column("id")))
+        doc, n, q = (held.column(c).to_numpy() for c in ("id", "n", "q"))
+        toks = held.column("toks").combine_chunks()
+        edge, flat = np.asarray(toks.offsets), toks.flatten().to_numpy()
+        own = {int(d): _Set(int(n[k]), int(q[k]), flat[edge[k] - edge[0] : edge[k + 1] - edge[0]]) for k, d in enumerate(doc)}
+        pairs = table.filter(pc.is_null(table.column("id")))
+        linked: set[tuple[int, int]] = set()
         a, b = [], []
-        for group in np.split(order, cut):
-            sets = [_Set(int(doc[k]), int(comp[k]), int(n[k]), int(q[k]), flat[edge[k] : edge[k + 1]]) for k in group.tolist()]
-            left = [x for x, k in zip(sets, group) if side[k] == 0]
-            right = [x for x, k in zip(sets, group) if side[k] == 1]
-            linked: set[tuple[int, int]] = set()
-            for x in left:
-                for y in right:
-                    if x.comp != y.comp and (x.comp, y.comp) not in linked and similar(x, y, num, den):
-                        linked.add((x.comp, y.comp))
-                        a.append(x.id)
-                        b.append(y.id)
+        for x, y, cx, cy in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "ca", "cb"))):
+            if (cx, cy) not in linked and similar(own[x], own[y], num, den):
+                linked |= {(cx, cy), (cy, cx)}
+                a.append(x)
+                b.append(y)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return stored(spark, rows.groupBy("bucket").applyInArrow(check, "a long, b long"), "links")
+    return stored(spark, rows.groupBy("task").applyInArrow(check, "a long, b long"), "links")
+
+
+def listed_pairs(ids, comp, n, rest, part, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one list, or of two parts of it (``part`` 0 and 1; else all 2), of different components
+    that pass the length and position filters. ``rest``: tokens from the shared one to the end."""
+    order = np.lexsort((ids, n))
+    ids, comp, n, rest, part = ids[order], comp[order], n[order], rest[order], part[order]
+    # every pair has an end outside the largest component
+    name, first = np.unique(comp, return_inverse=True)
+    left = np.flatnonzero(first != np.bincount(first).argmax())
+    inner = np.zeros(len(ids), bool)
+    inner[left] = True
+    us, vs = [], []
+    for lo in range(0, len(left), 256):
+        x = left[lo : lo + 256]
+        # sorted by size: partners stand in a range
+        a = int(np.searchsorted(n, -(-num * n[x[0]] // den)))
+        b = int(np.searchsorted(n, den * n[x[-1]] // num, "right"))
+        for c in range(a, b, 8192):
+            y = np.arange(c, min(c + 8192, b))
+            nx, ny = n[x][:, None], n[y][None, :]
+            ok = (comp[x][:, None] != comp[y][None, :]) & (den * np.minimum(nx, ny) >= num * np.maximum(nx, ny))
+            ok &= (num + den) * np.minimum(rest[x][:, None], rest[y][None, :]) >= num * (nx + ny)
+            ok &= ~inner[y][None, :] | (x[:, None] < y[None, :])  # a pair of two such ends once
+            ok &= (part[x][:, None] != part[y][None, :]) | (part[x][:, None] == 2)
+            i, j = np.nonzero(ok)
+            us.append(x[i])
+            vs.append(y[j])
+    u, v = (np.concatenate(w) if w else np.zeros(0, np.int64) for w in (us, vs))
+    return ids[u], ids[v]
+
+
+def candidates(spark: SparkSession, named: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b, ca, cb), a < b, of documents in different components that meet in a
+    prefix list and pass its filters. ``named``: id, t, n, rest, c."""
+    about = named.groupBy("t").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("id", F.lit(3))).alias("x1"),
+        F.bit_xor(F.xxhash64("id", F.lit(4))).alias("x2"), F.min("c").alias("lo"), F.max("c").alias("hi"),
+        F.sum("rest").alias("after"))
+    # the first in the order has the most tokens after it, in each of its documents
+    lists = about.where("lo <> hi").groupBy("size", "x1", "x2").agg(F.max_by("t", "after").alias("t"))
+    lists = stored(spark, lists.select(
+        "t", F.ceil(F.col("size") / LIST_DOCS).cast("int").alias("parts"), "size"), "lists")
+    total = lists.agg(F.sum(F.col("size") * F.col("parts"))).first()[0] or 0
+    own = F.pmod(F.xxhash64("id", F.lit(6)), F.col("parts")).cast("int")
+    # a part of a long list meets itself and every other part
+    rows = named.join(lists.drop("size"), "t").withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("t", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "rest", "c")
+    tasks = max(1, -(-total // TASK_ROWS))
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("t", "i", "j"), F.lit(tasks)).cast("int"))
+
+    def meet(key, table):
+        t, i, j, own, ids, n, rest, c = (table.column(x).to_numpy() for x in ("t", "i", "j", "own", "id", "n", "rest", "c"))
+        order = np.lexsort((j, i, t))
+        cut = np.flatnonzero(np.any([np.diff(x[order]) != 0 for x in (t, i, j)], axis=0)) + 1
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for g in np.split(order, cut):
+            if (c[g] == c[g[0]]).all():
+                continue
+            part = np.where(i[g] == j[g], 2, (own[g] == i[g]).astype(np.int64))
+            u, v = listed_pairs(ids[g], c[g], n[g], rest[g], part, num, den)
+            us.append(np.minimum(u, v))
+            vs.append(np.maximum(u, v))
+        u, v = np.concatenate(us), np.concatenate(vs)
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        new = np.ones(len(u), bool)
+        new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+        u, v = u[new], v[new]
+        at = np.argsort(ids, kind="stable")
+        comp = lambda x: c[at[np.searchsorted(ids[at], x)]]
+        return pa.table({"a": u, "b": v, "ca": comp(u), "cb": comp(v)})
+
+    schema = "a long, b long, ca long, cb long"
+    return rows.groupBy("task").applyInArrow(meet, schema).distinct()
 
 
 def jaccard_links(spark: SparkSession, s: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect exactly the documents connected by pairs of similarity >= num/den."""
     post = stored(spark, s.select(
-        "id", "n", "q", F.posexplode(F.slice("toks", F.lit(1), F.col("q"))).alias("k", "t"),
-    ).select("id", "n", "t", ((F.col("k") < 8) | (F.col("q") - F.col("k") <= 2)).alias("few")), "postings")
+        "id", "n", "q", F.size("toks").alias("m"), F.posexplode(F.slice("toks", F.lit(1), F.col("q"))).alias("k", "t"),
+    ).select("id", "n", "t", (F.col("m") - F.col("k")).cast("long").alias("rest"),
+             ((F.col("k") < 8) | (F.col("q") - F.col("k") <= 2)).alias("few")), "postings")
     # every document against a few pivots of some of its tokens
     few = post.where("few")
     slot = F.pmod(F.xxhash64("id", F.lit(0)), F.lit(PIVOTS)).alias("slot")
@@ -404,31 +477,13 @@ def jaccard_links(spark: SparkSession, s: DataFrame, num: int, den: int) -> Data
     pivots = stored(spark, pivots.select("t", "p.key", "p.m"), "pivots")
     pairs = few.join(pivots, "t").where(
         (F.col("id") != F.col("key")) & (den * F.least("n", "m") >= num * F.greatest("n", "m"))
-    ).select("key", "id").distinct()
-    pairs = stored(spark, pairs, "pairs")
-    one = pairs.select("key", F.lit(1).alias("side"), "id", F.col("id").alias("c"))
-    zero = pairs.select("key").distinct().select("key", F.lit(0).alias("side"), F.col("key").alias("id"), F.col("key").alias("c"))
-    links = compared(spark, s, one.unionByName(zero), num, den)
+    ).select(F.least("key", "id").alias("a"), F.greatest("key", "id").alias("b")).distinct()
+    links = compared(spark, s, pairs.withColumn("ca", F.col("a")).withColumn("cb", F.col("b")), num, den)
     comp = stored(spark, components(spark, links), "components")
-    # then all components that share a prefix token: a large one meets its smaller partners
-    named = stored(spark, post.select("id", "t").join(comp, post.id == comp.node, "left").select(
-        "id", "t", F.coalesce("component_id", "id").alias("c")), "named")
-    held = named.select("t", "c").distinct()
-    split = stored(spark, held.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t"), "split")
-    held = stored(spark, held.join(split, "t", "left_semi"), "held")
-    met = held.join(held.withColumnRenamed("c", "d"), "t").where("c < d").select("c", "d").distinct()
-    member = stored(spark, named.select("id", "c").distinct(), "members")
-    sizes = stored(spark, member.groupBy("c").count(), "sizes")
-    met = met.join(sizes.select("c", F.col("count").alias("nc")), "c").join(
-        sizes.select(F.col("c").alias("d"), F.col("count").alias("nd")), "d")
-    big = F.col("nc") >= F.col("nd")
-    met = stored(spark, met.select(
-        F.when(big, F.col("c")).otherwise(F.col("d")).alias("key"),
-        F.when(big, F.col("d")).otherwise(F.col("c")).alias("small")), "met")
-    keys = stored(spark, met.select("key").distinct(), "keys")
-    zero = keys.join(member, keys.key == member.c).select("key", F.lit(0).alias("side"), "id", "c")
-    one = met.join(member, met.small == member.c).select("key", F.lit(1).alias("side"), "id", "c")
-    return links.unionByName(compared(spark, s, one.unionByName(zero), num, den))
+    # then the prefix lists, without the pairs that are connected already
+    named = stored(spark, post.select("id", "t", "n", "rest").join(comp, post.id == comp.node, "left").select(
+        "id", "t", "n", "rest", F.coalesce("component_id", "id").alias("c")), "named")
+    return links.unionByName(compared(spark, s, candidates(spark, named, num, den), num, den))
 
 
 def jaccard_components(
