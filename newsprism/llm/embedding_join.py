@@ -3,10 +3,11 @@
 Unit vectors with cosine >= t differ by a squared distance of at most ``2 - 2 t``. After a fixed
 rotation the coordinates are cut into ``BLOCKS`` subspaces; in at least one of them the pair's
 squared distance is within its proportional share, ``(2 - 2 t) / BLOCKS``. Each subspace is joined
-by range on its own: its first coordinates form a grid of cells twice as wide as the range, a
-vector is sent to its own cell and to the neighbours within reach, and inside a cell the pairs
-whose block distance is within the share are candidates. Every candidate is verified exactly, by
-its cosine in double precision on the unrotated vectors.
+by range on its own: its first coordinates form a grid of cells twice as wide as the range, and a
+vector's coordinates in the block (not the vector) are sent to its own cell and to the neighbours
+within reach. Inside a cell the vectors that have a partner within the share there are candidates;
+they alone meet again, in the same cells, as whole vectors. Every candidate pair is verified
+exactly, by its cosine in double precision on the unrotated vectors.
 
 A pair is looked at in the home cell of its smaller id only, and counted in the first subspace
 that admits it, so links are counted once and no pairs leave a cell: a cell puts out link counts
@@ -31,10 +32,11 @@ from .common import stored
 from .graph import components, local_roots
 
 BLOCKS = 8
-CELL_ROWS = 2000
+CELL_ROWS = 8000
+VECTOR_ROWS = 2000  # whole vectors of a side in one task
 TILE = 512  # rows compared at once
 
-ROW = "grp long, block int, cell long, part int, home boolean, id long, copies long, vec binary"
+ROW = "grp long, block int, cell long, home boolean, id long, share double, at binary"
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -99,34 +101,52 @@ def cells(x: np.ndarray, block: tuple[int, int], radius: float, dims: int):
     return np.concatenate(row), np.concatenate(cell), np.concatenate(home)
 
 
+def shares(dim: int, t: float) -> float:
+    """The squared block distance that a pair of cosine ``t`` or more stays within in some block."""
+    return (2 - 2 * t) / len(cuts(dim)) + 1e-9
+
+
+def _near(at: np.ndarray, ids: np.ndarray, homes: np.ndarray, others: np.ndarray, share: float) -> np.ndarray:
+    """Which rows have a partner within the share (and rounding) of a block's coordinates ``at``."""
+    out = np.zeros(len(at), bool)
+    for a in range(0, len(homes), 2 * TILE):
+        h = homes[a : a + 2 * TILE]
+        for b in range(0, len(others), 2 * TILE):
+            o = others[b : b + 2 * TILE]
+            i, j = np.nonzero(_squared(at[h], at[o]) <= share + 1e-9)
+            ok = ids[h[i]] < ids[o[j]]
+            out[h[i[ok]]] = out[o[j[ok]]] = True
+    return out
+
+
 def _tile_links(vec: np.ndarray, ids: np.ndarray, copies: np.ndarray, homes: np.ndarray, others: np.ndarray,
                 block: int, t: float):
     """Links between home rows and others (places into vec): link counts by place, links (u, v)."""
     dim = vec.shape[1]
     parts = cuts(dim)
-    share = (2 - 2 * t) / len(parts) + 1e-9
+    share = shares(dim, t)
     turned = vec @ rotation(dim)
     count = np.zeros(len(vec), np.int64)
     us, vs = [], []
+    lo, hi = parts[block]
     for a in range(0, len(homes), TILE):
         h = homes[a : a + TILE]
         for b in range(0, len(others), TILE):
             o = others[b : b + TILE]
-            lo, hi = parts[block]
-            near = _squared(turned[h, lo:hi], turned[o, lo:hi]) <= share
+            near = _squared(turned[h, lo:hi], turned[o, lo:hi]) <= share + 1e-9
             near &= ids[h][:, None] < ids[o][None, :]
             i, j = np.nonzero(near)
             if not len(i):
                 continue
             u, v = h[i], o[j]
-            cos = np.einsum("ij,ij->i", vec[u], vec[v])
-            ok = cos >= t
+            ok = np.einsum("ij,ij->i", vec[u], vec[v]) >= t
             u, v = u[ok], v[ok]
-            for k in range(block):  # counted in the first subspace that admits the pair
-                lo, hi = parts[k]
-                d = turned[u, lo:hi] - turned[v, lo:hi]
-                later = np.einsum("ij,ij->i", d, d) > share
-                u, v = u[later], v[later]
+            # counted in the first subspace that admits the pair, by one expression for all subspaces
+            d = np.square(turned[u] - turned[v])
+            admits = np.stack([d[:, x:y].sum(1) <= share for x, y in parts], 1)
+            own = admits.argmax(1) == block
+            own &= admits[:, block]
+            u, v = u[own], v[own]
             np.add.at(count, u, copies[v])
             np.add.at(count, v, copies[u])
             us.append(u)
@@ -146,47 +166,77 @@ def near_duplicates(spark: SparkSession, table: DataFrame, *, t: float = 0.98) -
     classes = sound.groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     classes = stored(spark, classes.withColumn("grp", F.xxhash64("label", F.length("vec"))), "classes")
     most = classes.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-    # one more grid coordinate each time the largest group doubles, beyond CELL_ROWS
-    dims = max(1, min(6, int(np.ceil(np.log2(max(1, most / CELL_ROWS)))) + 1))
+    # a grid coordinate cuts a group to less than half: one more each time the largest doubles
+    dims = 1 + max(0, int(np.ceil(np.log2(max(1, most / CELL_ROWS)))))
 
     def send(batches):
         for batch in batches:
-            grp = batch.column("grp").to_numpy()
-            ids, copies = batch.column("id").to_numpy(), batch.column("copies").to_numpy()
+            grp, ids = batch.column("grp").to_numpy(), batch.column("id").to_numpy()
             raw = batch.column("vec").to_pylist()
             for size in {len(v) for v in raw}:
                 own = np.array([i for i, v in enumerate(raw) if len(v) == size])
                 dim = size // 8
                 turned = _unit([raw[i] for i in own]) @ rotation(dim)
-                parts = cuts(dim)
-                radius = float(np.sqrt((2 - 2 * t) / len(parts) + 1e-9))
-                for b, part in enumerate(parts):
+                radius = float(np.sqrt(shares(dim, t)))
+                for b, part in enumerate(cuts(dim)):
                     row, cell, home = cells(turned, part, radius, dims)
-                    at = own[row]
-                    for lo in range(0, len(at), 20_000):
-                        s = at[lo : lo + 20_000]
+                    at = np.ascontiguousarray(turned[:, part[0] : part[1]])
+                    width = at.shape[1] * 8
+                    flat = at.tobytes()
+                    coords = [flat[k * width : (k + 1) * width] for k in range(len(own))]
+                    for lo in range(0, len(row), 20_000):
+                        s = row[lo : lo + 20_000]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(grp[s]), pa.array(np.full(len(s), b, np.int32)), pa.array(cell[lo : lo + 20_000]),
-                             pa.array(np.zeros(len(s), np.int32)), pa.array(home[lo : lo + 20_000]), pa.array(ids[s]),
-                             pa.array(copies[s]), pa.array([raw[i] for i in s], pa.binary())],
-                            names=["grp", "block", "cell", "part", "home", "id", "copies", "vec"])
+                            [pa.array(grp[own[s]]), pa.array(np.full(len(s), b, np.int32)), pa.array(cell[lo : lo + 20_000]),
+                             pa.array(home[lo : lo + 20_000]), pa.array(ids[own[s]]), pa.array(np.full(len(s), radius**2)),
+                             pa.array([coords[k] for k in s.tolist()], pa.binary())],
+                            names=["grp", "block", "cell", "home", "id", "share", "at"])
 
-    sent = classes.select("grp", "id", "copies", "vec").mapInArrow(send, ROW)
     key = ["grp", "block", "cell"]
-    # how many parts each cell needs, for its home rows and for all rows it is sent
-    sizes = sent.groupBy(*key).agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("n"))
-    sizes = stored(spark, sizes.where("homes > 0 and n > 1").select(
-        *key, F.ceil(F.col("homes") / CELL_ROWS).cast("int").alias("hp"),
-        F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("np")), "cells")
-    # a home row goes to every meeting of its home part, any row to every meeting of its part
-    placed = sent.join(sizes, key)
-    salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    meet = placed.withColumn("as", F.explode(F.concat(
-        F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("np") - 1), lambda q: F.struct(
-            salt("hp").alias("h"), q.alias("o"), F.lit(True).alias("first")))).otherwise(F.array()),
-        F.transform(F.sequence(F.lit(0), F.col("hp") - 1), lambda h: F.struct(
-            h.alias("h"), salt("np").alias("o"), F.lit(False).alias("first"))),
-    ))).select(*key, "as.h", "as.o", "as.first", "id", "copies", "vec")
+    sent = stored(spark, classes.select("grp", "id", "vec").mapInArrow(send, ROW), "sent")
+
+    def meeting(rows, most, what):
+        """Rows dealt to the meetings of their cells' parts: a home row to every meeting of its home
+        part, any row to every meeting of its part."""
+        sizes = rows.groupBy(*key).agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("n"))
+        sizes = stored(spark, sizes.where("homes > 0 and n > 1").select(
+            *key, F.ceil(F.col("homes") / most).cast("int").alias("hp"), F.ceil(F.col("n") / most).cast("int").alias("np")), "cells")
+        salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        return rows.join(sizes, key).withColumn("as", F.explode(F.concat(
+            F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("np") - 1), lambda q: F.struct(
+                salt("hp").alias("h"), q.alias("o"), F.lit(True).alias("first")))).otherwise(F.array()),
+            F.transform(F.sequence(F.lit(0), F.col("hp") - 1), lambda h: F.struct(
+                h.alias("h"), salt("np").alias("o"), F.lit(False).alias("first"))),
+        ))).select(*key, "as.h", "as.o", "as.first", *what)
+
+    # many small cells share a task
+    tasks = max(1, -(-sent.count() // (4 * CELL_ROWS)))
+    spread = F.pmod(F.xxhash64(*key, "h", "o"), F.lit(tasks)).cast("int")
+    first_round = meeting(sent, CELL_ROWS, ["home", "id", "share", "at"]).withColumn("task", spread)
+
+    def near(_, table):
+        names = ("grp", "block", "cell", "h", "o", "first", "home", "id", "share")
+        grp, block, cell, h, o, first, home, ids, share = (
+            np.asarray(table.column(c).combine_chunks().to_numpy(zero_copy_only=False)) for c in names)
+        raw = table.column("at").to_pylist()
+        order = np.lexsort((ids, o, h, cell, block, grp))
+        cut = np.flatnonzero(np.any([np.diff(x[order]) != 0 for x in (grp, block, cell, h, o)], axis=0)) + 1
+        kept = []
+        for g in np.split(order, cut):
+            if not first[g].any():
+                continue
+            _, place, of = np.unique(ids[g], return_index=True, return_inverse=True)
+            at = np.frombuffer(b"".join(raw[k] for k in g[place].tolist()), np.float64).reshape(len(place), -1)
+            homes, others = np.unique(of[first[g]]), np.unique(of[~first[g]])
+            hit = _near(at, ids[g][place], homes, others, float(share[g[0]]))
+            kept.append(g[place[hit]])
+        g = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+        return pa.table({"grp": grp[g], "block": block[g], "cell": cell[g], "home": home[g], "id": ids[g]})
+
+    flagged = first_round.groupBy("task").applyInArrow(near, "grp long, block int, cell long, home boolean, id long")
+    flagged = stored(spark, flagged.distinct(), "flagged")
+    vectors_of = flagged.join(classes.select("id", "grp", "copies", "vec"), ["grp", "id"])
+    meet = meeting(vectors_of, VECTOR_ROWS, ["id", "copies", "vec"])
 
     def compare(key, table):
         vec = _unit(table.column("vec").to_pylist())

@@ -506,7 +506,8 @@ def test_jaccard_components_equal_brute_force(spark, docs):
 def test_jaccard_edited_copies(spark, monkeypatch, docs_a_task):
     from newsprism.llm import ngram_join
 
-    monkeypatch.setattr(ngram_join, "COMPARE_DOCS", docs_a_task)
+    for bound in ("LIST_DOCS", "TASK_ROWS", "BLOCK_DOCS", "TASK_PAIRS"):
+        monkeypatch.setattr(ngram_join, bound, docs_a_task)
     rng = random.Random(2)
     rows = []
     for g in range(6):
@@ -792,6 +793,7 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch, cell):
     from newsprism.llm import embedding_join
 
     monkeypatch.setattr(embedding_join, "CELL_ROWS", cell)
+    monkeypatch.setattr(embedding_join, "VECTOR_ROWS", cell)
     rng = np.random.default_rng(3)
     rows, n = [], 0
     for label in (0, 1, None):
