@@ -54,8 +54,9 @@ HOT_SHARE = 1_000  # a token in more than 1/HOT_SHARE of all documents is hot
 PIVOTS = 2  # documents of a token's list that the others are compared with first
 LIST_DOCS = 4_096  # documents of a part of a list
 TASK_ROWS = 100_000  # list entries in a task, about
-BLOCK_DOCS = 2_000  # documents of a block; a comparing task meets pairs of blocks
-TASK_PAIRS = 50_000  # pairs in a comparing task, about
+BLOCK_TOKENS = 250_000  # tokens of a block of documents; a comparing task meets pairs of blocks
+TASK_TOKENS = 2_000_000  # tokens sent to a comparing task, about
+TASK_PAIRS = 50_000  # and pairs
 
 DOC_ROWS = "doc_id long, n_shingles long, d1 long, d2 long, token long, held long"
 PACKED = "kind int, part int, docs binary, sizes binary, runs binary, lo binary, mid binary, df binary"
@@ -359,11 +360,14 @@ def compared(spark: SparkSession, s: DataFrame, pairs: DataFrame, num: int, den:
     """Links (a, b) among distinct ``pairs(a, b, ca, cb)`` of documents with components: of two
     components one link is enough in a task."""
     pairs = stored(spark, pairs, "pairs")
-    docs, count = s.count(), pairs.count()
-    blocks, tasks = max(1, -(-docs // BLOCK_DOCS)), max(1, -(-count // TASK_PAIRS))
+    docs, tokens = s.agg(F.count("*"), F.sum(F.size("toks"))).first()
+    count = pairs.count()
+    blocks = max(1, -(-(tokens or 0) // BLOCK_TOKENS))
+    sent = 2 * count * (tokens or 0) // max(1, docs)  # if no document had two pairs in a task
+    tasks = max(1, -(-sent // TASK_TOKENS), -(-count // TASK_PAIRS))
     block = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(blocks))
-    task = F.pmod(F.xxhash64(F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))), F.lit(tasks))
-    dealt = pairs.withColumn("task", task.cast("int"))
+    cell = F.xxhash64(F.least(block("a"), block("b")), F.greatest(block("a"), block("b")))
+    dealt = pairs.withColumn("cell", cell).withColumn("task", F.pmod("cell", F.lit(tasks)).cast("int"))
     ends = dealt.select("task", F.col("a").alias("id")).unionByName(dealt.select("task", F.col("b").alias("id")))
     sets = ends.distinct().join(s, "id").select("task", "id", "n", "q", "toks")
     rows = sets.unionByName(dealt, allowMissingColumns=True)
@@ -373,12 +377,21 @@ def compared(spark: SparkSession, s: DataFrame, pairs: DataFrame, num: int, den:
         doc, n, q = (held.column(c).to_numpy() for c in ("id", "n", "q"))
         toks = held.column("toks").combine_chunks()
         edge, flat = np.asarray(toks.offsets), toks.flatten().to_numpy()
-        own = {int(d): _Set(int(n[k]), int(q[k]), flat[edge[k] - edge[0] : edge[k + 1] - edge[0]]) for k, d in enumerate(doc)}
-        pairs = table.filter(pc.is_null(table.column("id")))
+        place = {int(d): k for k, d in enumerate(doc)}
+        pairs = table.filter(pc.is_null(table.column("id"))).select(["a", "b", "ca", "cb", "cell"]).sort_by("cell")
         linked: set[tuple[int, int]] = set()
-        a, b = [], []
-        for x, y, cx, cy in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "ca", "cb"))):
-            if (cx, cy) not in linked and similar(own[x], own[y], num, den):
+        a, b, own, now = [], [], {}, None
+
+        def made(d):
+            if d not in own:
+                k = place[d]
+                own[d] = _Set(int(n[k]), int(q[k]), flat[edge[k] - edge[0] : edge[k + 1] - edge[0]])
+            return own[d]
+
+        for x, y, cx, cy, cell in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "ca", "cb", "cell"))):
+            if cell != now:  # the sets of two blocks at a time
+                own, now = {}, cell
+            if (cx, cy) not in linked and similar(made(x), made(y), num, den):
                 linked |= {(cx, cy), (cy, cx)}
                 a.append(x)
                 b.append(y)
@@ -398,13 +411,13 @@ def listed_pairs(ids, comp, n, rest, part, num: int, den: int) -> tuple[np.ndarr
     inner = np.zeros(len(ids), bool)
     inner[left] = True
     us, vs = [], []
-    for lo in range(0, len(left), 256):
-        x = left[lo : lo + 256]
+    for lo in range(0, len(left), 128):
+        x = left[lo : lo + 128]
         # sorted by size: partners stand in a range
         a = int(np.searchsorted(n, -(-num * n[x[0]] // den)))
         b = int(np.searchsorted(n, den * n[x[-1]] // num, "right"))
-        for c in range(a, b, 8192):
-            y = np.arange(c, min(c + 8192, b))
+        for c in range(a, b, 4096):
+            y = np.arange(c, min(c + 4096, b))
             nx, ny = n[x][:, None], n[y][None, :]
             ok = (comp[x][:, None] != comp[y][None, :]) & (den * np.minimum(nx, ny) >= num * np.maximum(nx, ny))
             ok &= (num + den) * np.minimum(rest[x][:, None], rest[y][None, :]) >= num * (nx + ny)
