@@ -20,7 +20,9 @@ lengths are those of the whole benchmark.
 
 Results for odd rows: null and empty texts have no passages and leak nothing; null or empty items
 are never retrieved; doc_id and item_id may be null and are passed through; repeated documents or
-items give repeated rows; other columns are ignored (``clean`` keeps them).
+items give repeated rows; an item of one word leaks in every document that holds the word, and a
+one-word answer is found wherever the word stands in the passage; other columns are ignored
+(``clean`` keeps them).
 """
 
 from __future__ import annotations

@@ -14,14 +14,16 @@ keys), and a document is cut into fragments, its maximal runs of strings with on
    the block loses the fragment at once). For every key the distinct fragments that meet are joined
    into one text and its suffix array is built by linear grouping (:mod:`.suffix_array`); suffixes
    that agree in ``length`` bytes are neighbours there, and each such group of strings has its
-   smallest document. A lone fragment needs no sorting. A key in more than a fixed share of all
-   documents is split: its strings are keyed by themselves.
+   smallest document. A lone fragment needs no sorting, nor does a key all of whose fragments stand in
+   one document. A key in more than a fixed share of all documents, or in more than ``SPLIT_DOCS``
+   of them, is split: its strings are keyed by themselves.
 4. The removed intervals return to their documents, where they are merged and the remaining bytes
    are hashed. Strings are always judged on the input.
 
 Results for odd rows: null and empty texts have 0 bytes and the digest of nothing; a null doc_id
 is neither a source nor cut; repeated rows (equal doc_id) do not cut each other and give repeated
-results; other columns are ignored.
+results, and rows of one doc_id with different texts are each cut for themselves; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, stored, text_bytes, text_chunks
 from .ngram_join import (
-    HOT_SHARE, PACKED, PART_DOCS, _doc_part, _joined, _pack, _unpack,
+    HOT_SHARE, PACKED, PART_DOCS, _doc_part, _joined, _joined_planes, _pack, _unpack,
     hot_tokens, is_in, shared_only, token_name, token_part,
 )
 from .suffix_array import suffix_array
@@ -46,6 +48,7 @@ LENGTH = 50
 KEY = 20
 BLOCK_BYTES = 4 << 20
 PART_KEYS = 500_000  # keys of one key partition
+SPLIT_DOCS = 20_000  # documents whose fragments with one key may meet whole
 SORT_BYTES = 1 << 14  # fragments sorted in one suffix array, at least
 FRAGMENT_BYTES = 1 << 20  # fragment bytes of one partition, about
 
@@ -54,9 +57,9 @@ _EXACT = np.random.default_rng(30).integers(1, 1 << 63, 256, dtype=np.uint64) |
 DOC_ROWS = "doc_id long, n_bytes long, sha string, keys long, token long, held long"
 _ARROW_DOC = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()),
                         ("keys", pa.int64()), ("token", pa.int64()), ("held", pa.int64())])
-FRAGMENTS = "kind int, part int, names binary, sizes binary, bytes binary, frag binary, docs binary, starts binary"
+FRAGMENTS = "kind int, part int, names binary, sizes binary, bytes binary, frag binary, docs binary, rows binary, starts binary"
 _ARROW_FRAGMENTS = pa.schema([("kind", pa.int32()), ("part", pa.int32())] + [
-    (c, pa.binary()) for c in ("names", "sizes", "bytes", "frag", "docs", "starts")])
+    (c, pa.binary()) for c in ("names", "sizes", "bytes", "frag", "docs", "rows", "starts")])
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -160,7 +163,8 @@ def document_rows(spark: SparkSession, docs: DataFrame, length: int) -> DataFram
 
 
 def shared_keys(spark: SparkSession, docs: DataFrame, rows: DataFrame, length: int, parts: int, doc_parts: int, hot_all):
-    """(doc_id, anchors): the sorted names of a document's keys that other documents share."""
+    """(doc_id, anchors, split): the sorted names of a document's keys that other documents share, and
+    those of them that more than SPLIT_DOCS documents hold."""
 
     def send(batches):
         hot, _ = hot_all.value
@@ -204,49 +208,53 @@ def shared_keys(spark: SparkSession, docs: DataFrame, rows: DataFrame, length: i
     def counted(key, table):
         return shared_only(key, table, doc_parts)
 
+    most = SPLIT_DOCS
+
     def collected(key, table):
         doc, _, _ = _unpack(table)
-        token = _joined(table, "lo", np.uint64)
+        token, df = _joined(table, "lo", np.uint64), _joined_planes(table, "df", np.uint32)
         order = np.lexsort((token, doc))
-        doc, token = doc[order], token[order]
+        doc, token, large = doc[order], token[order], df[order] > most
         ids, first = np.unique(doc, return_index=True)
-        end = np.append(first[1:], len(doc))
-        return pa.table({"doc_id": pa.array(ids), "anchors": pa.array(
-            [token[a:b].tobytes() for a, b in zip(first, end)], pa.binary())})
+        runs = list(zip(first, np.append(first[1:], len(doc))))
+        return pa.table({"doc_id": pa.array(ids), "anchors": pa.array([token[a:b].tobytes() for a, b in runs], pa.binary()),
+                         "split": pa.array([token[a:b][large[a:b]].tobytes() for a, b in runs], pa.binary())})
 
     answers = docs.mapInArrow(send, PACKED).groupBy("kind", "part").applyInArrow(counted, PACKED)
-    return answers.groupBy("part").applyInArrow(collected, "doc_id long, anchors binary")
+    return answers.groupBy("part").applyInArrow(collected, "doc_id long, anchors binary, split binary")
 
 
-def _send_intervals(doc: np.ndarray, start: np.ndarray, end: np.ndarray, doc_parts: int) -> pa.RecordBatch:
+def _send_intervals(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, doc_parts: int) -> pa.RecordBatch:
     """Removed intervals, packed by document partition (kind 1)."""
     part = _doc_part(doc, doc_parts)
-    order = np.lexsort((start, doc, part))
-    part, doc, start, end = part[order], doc[order], start[order], end[order]
+    order = np.lexsort((start, row, doc, part))
+    part, doc, row, start, end = part[order], doc[order], row[order], start[order], end[order]
     parts, at = np.unique(part, return_index=True)
     at = np.append(at, len(part))
     cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
     none = pa.array([b""] * len(parts), pa.binary())
     return pa.RecordBatch.from_arrays(
         [pa.array(np.ones(len(parts), np.int32)), pa.array(parts.astype(np.int32)), none, none, none,
-         cut(end.astype(np.int64)), cut(doc.astype(np.int64)), cut(start.astype(np.int64))], schema=_ARROW_FRAGMENTS)
+         cut(end.astype(np.int64)), cut(doc.astype(np.int64)), cut(row.astype(np.int64)), cut(start.astype(np.int64))],
+        schema=_ARROW_FRAGMENTS)
 
 
 def fragments(texts: DataFrame, length: int, parts: int, frag_parts: int, doc_parts: int, hot_all) -> DataFrame:
     """Distinct fragments with shared keys by key partition (kind 0), and intervals that a smaller
-    document of the same block removes at once (kind 1). ``texts``: doc_id, size, z, anchors."""
+    document of the same block removes at once (kind 1). ``texts``: doc_id, row, size, z, anchors, split."""
 
     def run(batches):
         hot, _ = hot_all.value
         for block in _blocks(batches):
             number: dict[tuple[int, bytes], int] = {}
-            frag, doc_of, start_of = [], [], []
+            frag, doc_of, row_of, start_of = [], [], [], []
             for part, data, offsets in block:
                 key, doc, start, end = runs(data, offsets, length)
                 name = token_name(key, token_part(key, parts))
                 split, _ = is_in(hot, key)
                 anchors = [np.frombuffer(a, np.uint64) for a in part.column("anchors").to_pylist()]
-                ids = part.column("doc_id").to_numpy()
+                large = [np.frombuffer(a, np.uint64) for a in part.column("split").to_pylist()]
+                ids, rows = part.column("doc_id").to_numpy(), part.column("row").to_numpy()
                 raw = data.tobytes()
                 edge = np.searchsorted(doc, np.arange(len(part) + 1))
                 for d in range(len(part)):
@@ -254,7 +262,9 @@ def fragments(texts: DataFrame, length: int, parts: int, frag_parts: int, doc_pa
                     if a == b:
                         continue
                     shared, _ = is_in(anchors[d], name[a:b])
-                    base, me = int(offsets[d]), int(ids[d])
+                    if len(large[d]):
+                        split[a:b] |= is_in(large[d], name[a:b])[0]
+                    base, me, row = int(offsets[d]), int(ids[d]), int(rows[d])
                     for i in (np.flatnonzero(shared) + a).tolist():
                         s, e = int(start[i]), int(end[i])
                         if split[i]:  # a key of very many documents: each string by itself
@@ -265,18 +275,19 @@ def fragments(texts: DataFrame, length: int, parts: int, frag_parts: int, doc_pa
                             f = number.setdefault((k, raw[x:y]), len(number))
                             frag.append(f)
                             doc_of.append(me)
+                            row_of.append(row)
                             start_of.append(x - base)
             if not number:
                 continue
-            frag, doc, start = np.array(frag), np.array(doc_of, np.int64), np.array(start_of, np.int64)
+            frag, doc, row, start = np.array(frag), *(np.array(x, np.int64) for x in (doc_of, row_of, start_of))
             keys = list(number)
             size = np.array([len(k[1]) for k in keys], np.int64)
             least = np.full(len(keys), np.iinfo(np.int64).max)
             np.minimum.at(least, frag, doc)
             later = doc > least[frag]
             if later.any():
-                yield _send_intervals(doc[later], start[later], start[later] + size[frag[later]], doc_parts)
-            frag, doc, start = frag[~later], doc[~later], start[~later]
+                yield _send_intervals(doc[later], row[later], start[later], start[later] + size[frag[later]], doc_parts)
+            frag, doc, row, start = frag[~later], doc[~later], row[~later], start[~later]
             names = np.array([k or int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for k, t in keys], np.uint64)
             where = (mix(names) % np.uint64(frag_parts)).astype(np.int64)
             by_part = np.argsort(where, kind="stable")
@@ -285,9 +296,9 @@ def fragments(texts: DataFrame, length: int, parts: int, frag_parts: int, doc_pa
             new_number[by_part] = np.arange(len(keys)) - at[where[by_part]]
             of = where[frag]
             order = np.argsort(of, kind="stable")
-            frag, doc, start, of = frag[order], doc[order], start[order], of[order]
+            frag, doc, row, start, of = frag[order], doc[order], row[order], start[order], of[order]
             occ = np.searchsorted(of, np.arange(frag_parts + 1))
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for p in np.unique(where).tolist():
                 own = by_part[at[p] : at[p + 1]]
                 o = slice(occ[p], occ[p + 1])
@@ -297,7 +308,8 @@ def fragments(texts: DataFrame, length: int, parts: int, frag_parts: int, doc_pa
                 cols[3].append(b"".join([keys[i][1] for i in own.tolist()]))
                 cols[4].append(new_number[frag[o]].astype(np.uint32).tobytes())
                 cols[5].append(doc[o].tobytes())
-                cols[6].append(start[o].astype(np.uint32).tobytes())
+                cols[6].append(row[o].tobytes())
+                cols[7].append(start[o].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(cols[0]), np.int32)), pa.array(cols[0], pa.int32())]
                 + [pa.array(c, pa.binary()) for c in cols[1:]], schema=_ARROW_FRAGMENTS)
@@ -339,7 +351,7 @@ def compared(key, table: pa.Table, length: int, doc_parts: int) -> pa.Table:
         return table
     number: dict[tuple[int, bytes], int] = {}
     by_key: dict[int, list[int]] = {}
-    frag, doc, start = [], [], []
+    frag, doc, row, start = [], [], [], []
     for r in table.to_pylist():
         size = np.frombuffer(r["sizes"], np.uint32).astype(np.int64)
         end = np.cumsum(size)
@@ -353,17 +365,27 @@ def compared(key, table: pa.Table, length: int, doc_parts: int) -> pa.Table:
             local[i] = f
         frag.append(local[np.frombuffer(r["frag"], np.uint32)])
         doc.append(np.frombuffer(r["docs"], np.int64))
+        row.append(np.frombuffer(r["rows"], np.int64))
         start.append(np.frombuffer(r["starts"], np.uint32).astype(np.int64))
-    frag, doc, start = np.concatenate(frag), np.concatenate(doc), np.concatenate(start)
+    frag, doc, row, start = (np.concatenate(x) for x in (frag, doc, row, start))
     texts = [t for _, t in number]
     size = np.array([len(t) for t in texts], np.int64)
     least = np.full(len(texts), np.iinfo(np.int64).max)
     np.minimum.at(least, frag, doc)
-    alone = np.zeros(len(texts), bool)
-    alone[[fs[0] for fs in by_key.values() if len(fs) == 1]] = True
+    # a key can cut a document only if one of its other fragments stands in a smaller document
+    most = np.zeros(len(texts), np.int64)
+    np.maximum.at(most, frag, doc)
+    alone = np.ones(len(texts), bool)
     strings: dict[int, np.ndarray] = {}
     together: list[int] = []
-    total, keys = 0, [fs for fs in by_key.values() if len(fs) > 1]
+    total, keys = 0, []
+    for fs in by_key.values():
+        if len(fs) > 1:
+            own = np.array(fs)
+            order = np.sort(least[own])
+            if (most[own] > np.where(least[own] == order[0], order[1], order[0])).any():
+                keys.append(fs)
+                alone[own] = False
     for n, fs in enumerate(keys, 1):
         together += fs
         total += sum(len(texts[f]) for f in fs)
@@ -372,32 +394,34 @@ def compared(key, table: pa.Table, length: int, doc_parts: int) -> pa.Table:
             strings.update(zip(together, found))
             together, total = [], 0
     whole = doc > least[frag]  # a smaller document holds the very same fragment
-    out_doc, out_start, out_end = [doc[whole]], [start[whole]], [(start + size[frag])[whole]]
+    out_doc, out_row, out_start, out_end = [doc[whole]], [row[whole]], [start[whole]], [(start + size[frag])[whole]]
     rest = np.flatnonzero(~whole & ~alone[frag])
-    ds, ss, es = [], [], []
+    ds, rs, ss, es = [], [], [], []
     for i in rest.tolist():
         hit = strings[int(frag[i])] < doc[i]
         if hit.any():
             edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
             for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
                 ds.append(doc[i])
+                rs.append(row[i])
                 ss.append(start[i] + a)
                 es.append(start[i] + b - 1 + length)
     out_doc.append(np.array(ds, np.int64))
+    out_row.append(np.array(rs, np.int64))
     out_start.append(np.array(ss, np.int64))
     out_end.append(np.array(es, np.int64))
-    d, s, e = (np.concatenate(x) for x in (out_doc, out_start, out_end))
+    d, r, s, e = (np.concatenate(x) for x in (out_doc, out_row, out_start, out_end))
     if not len(d):
         return table.slice(0, 0)
-    return pa.Table.from_batches([_send_intervals(d, s, e, doc_parts)])
+    return pa.Table.from_batches([_send_intervals(d, r, s, e, doc_parts)])
 
 
 def _merged(key, table: pa.Table) -> pa.Table:
-    """(doc_id, starts, ends): a document's removed runs, overlapping and touching ones merged."""
-    doc, start, end = (_joined(table, c, np.int64) for c in ("docs", "starts", "frag"))
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    ids, first = np.unique(doc, return_index=True)
+    """(doc_id, row, starts, ends): a document's removed runs, overlapping and touching ones merged."""
+    doc, row, start, end = (_joined(table, c, np.int64) for c in ("docs", "rows", "starts", "frag"))
+    order = np.lexsort((start, row, doc))
+    doc, row, start, end = doc[order], row[order], start[order], end[order]
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]))
     out_s, out_e = [], []
     for a, b in zip(first, np.append(first[1:], len(doc))):
         s, e = start[a:b], np.maximum.accumulate(end[a:b])
@@ -405,22 +429,23 @@ def _merged(key, table: pa.Table) -> pa.Table:
         new[1:] = s[1:] > e[:-1]
         out_s.append(s[new].tobytes())
         out_e.append(e[np.append(new[1:], True)].tobytes())
-    return pa.table({"doc_id": pa.array(ids), "starts": pa.array(out_s, pa.binary()), "ends": pa.array(out_e, pa.binary())})
+    return pa.table({"doc_id": pa.array(doc[first]), "row": pa.array(row[first]),
+                     "starts": pa.array(out_s, pa.binary()), "ends": pa.array(out_e, pa.binary())})
 
 
 def _packed_text(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, z): texts compressed for the shuffle."""
+    """(doc_id, row, size, z): texts compressed for the shuffle."""
 
     def run(batches):
         for batch in batches:
             raw = batch.column("text").cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()),
+                [batch.column("doc_id"), batch.column("row"), pa.array([len(x) for x in raw], pa.int64()),
                  pa.array([pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())],
-                names=["doc_id", "size", "z"])
+                names=["doc_id", "row", "size", "z"])
 
     return docs.where("doc_id is not null and text is not null and text <> ''").mapInArrow(
-        run, "doc_id long, size long, z binary")
+        run, "doc_id long, row long, size long, z binary")
 
 
 def _unpacked(z: bytes, size: int) -> bytes:
@@ -433,6 +458,16 @@ def removed_spans(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = document_rows(spark, docs, length)
     own = rows.where("token is null").select("doc_id", "n_bytes", "sha", "keys")
+    # rows of one doc_id with different texts are told apart by their digest; row is 0 for all others
+    differ = own.where("doc_id is not null").groupBy("doc_id").agg(F.min("sha").alias("a"), F.max("sha").alias("b"))
+    differ = stored(spark, differ.where("a <> b").select("doc_id", F.lit(True).alias("differs")), "differ")
+    if differ.isEmpty():
+        own, named = own.withColumn("row", F.lit(0).cast("long")), docs.withColumn("row", F.lit(0).cast("long"))
+    else:
+        row = lambda sha: F.when(F.col("differs"), F.xxhash64(sha)).otherwise(F.lit(0)).alias("row")
+        own = own.join(differ, "doc_id", "left").select("doc_id", "n_bytes", "sha", "keys", row("sha"))
+        text = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+        named = docs.join(differ, "doc_id", "left").select("doc_id", "text", row(text))
     classes = own.where(f"doc_id is not null and n_bytes >= {length}").groupBy("sha").agg(
         F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
     classes = stored(spark, classes.where("first_id < last_id").select("sha", "first_id"), "classes")
@@ -441,22 +476,26 @@ def removed_spans(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH)
     doc_parts = max(16, -(-(count or 0) // PART_DOCS))
     hot = hot_tokens(spark, rows.where("token is not null"), count or 0)
     anchors = shared_keys(spark, docs, rows, length, parts, doc_parts, hot)
-    copies = own.join(classes, "sha").where("doc_id > first_id").select("doc_id").distinct()
-    anchors = stored(spark, anchors.join(copies, "doc_id", "left_anti"), "anchors")
+    copies = own.join(classes, "sha").where("doc_id > first_id").select("doc_id", "row").distinct()
+    if differ.isEmpty():
+        anchors = anchors.withColumn("row", F.lit(0).cast("long"))
+    else:
+        anchors = anchors.join(own.where("doc_id is not null").select("doc_id", "row").distinct(), "doc_id")
+    anchors = stored(spark, anchors.join(copies, ["doc_id", "row"], "left_anti"), "anchors")
     shared = anchors.agg(F.sum(F.length("anchors"))).first()[0] or 0
     # a fragment has about 70 bytes for each 8 bytes of its key's name
     frag_parts = max(16, -(-shared * 9 // FRAGMENT_BYTES))
 
-    texts = _packed_text(docs).join(anchors, "doc_id")
+    texts = _packed_text(named).join(anchors, ["doc_id", "row"])
     packed = fragments(texts, length, parts, frag_parts, doc_parts, hot)
     cuts = packed.groupBy("kind", "part").applyInArrow(
         lambda key, table: compared(key, table, length, doc_parts), FRAGMENTS)
     cuts = stored(spark, cuts.groupBy("part").applyInArrow(
-        lambda key, table: _merged(key, table), "doc_id long, starts binary, ends binary"), "cuts")
+        lambda key, table: _merged(key, table), "doc_id long, row long, starts binary, ends binary"), "cuts")
 
     def hashed(batches):
         for batch in batches:
-            out = {"doc_id": [], "n_removed": [], "n_spans": [], "kept": [], "spans": []}
+            out = {"doc_id": [], "row": [], "n_removed": [], "n_spans": [], "kept": [], "spans": []}
             for lo in range(0, batch.num_rows, 512):
                 for r in batch.slice(lo, 512).to_pylist():
                     raw = _unpacked(r["z"], r["size"])
@@ -467,18 +506,19 @@ def removed_spans(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH)
                         at = b
                     kept.update(raw[at:])
                     out["doc_id"].append(r["doc_id"])
+                    out["row"].append(r["row"])
                     out["n_removed"].append(sum(e) - sum(s))
                     out["n_spans"].append(len(s))
                     out["kept"].append(kept.hexdigest())
                     out["spans"].append(",".join(f"{a}:{b}" for a, b in zip(s, e)))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
-                ("doc_id", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
+                ("doc_id", pa.int64()), ("row", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                 ("kept", pa.string()), ("spans", pa.string())]))
 
-    done = _packed_text(docs).join(cuts, "doc_id").mapInArrow(
-        hashed, "doc_id long, n_removed long, n_spans long, kept string, spans string")
-    done = stored(spark, done.dropDuplicates(["doc_id"]), "done")
-    out = own.join(classes, "sha", "left").join(done, "doc_id", "left")
+    done = _packed_text(named).join(cuts, ["doc_id", "row"]).mapInArrow(
+        hashed, "doc_id long, row long, n_removed long, n_spans long, kept string, spans string")
+    done = stored(spark, done.dropDuplicates(["doc_id", "row"]), "done")
+    out = own.join(classes, "sha", "left").join(done, ["doc_id", "row"], "left")
     copy = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
     nothing = hashlib.sha256(b"").hexdigest()
     return out.select(

@@ -25,41 +25,69 @@ def suffix_array(text: list[int]) -> list[int]:
     number = {c: g for g, c in enumerate(sorted(first))}
     group = [number[c] for c in text]
     smaller = [-1] * n  # previous-smaller pointers, set when a suffix's group is processed
-    left = list(range(n))  # nearest position at or left of each that is not processed yet
+    left = list(range(-1, n - 1))  # of a processed suffix: a place to its left, skipping processed ones
+    done = [False] * n
+
+    def split(own: list[int]) -> None:
+        """Move suffixes (all extended equally often) out of their groups into new ones just above."""
+        new: dict[int, int] = {}
+        for p in own:
+            old = group[p]
+            fresh = new.get(old)
+            if fresh is None:
+                new[old] = fresh = len(members)
+                members.append([])
+                up = above[old]
+                above.append(up)
+                below.append(old)
+                below[up] = above[old] = fresh
+            members[fresh].append(p)
+            group[p] = fresh
+
     g = count - 1
     while g >= 0:
-        own = [i for i in members[g] if group[i] == g]
-        members[g] = own
-        for i in own:
-            left[i] = i - 1
-        times: dict[int, int] = {}
-        for i in own:
+        own = members[g]
+        if g < count or len(own) > 1:
+            own = [i for i in own if group[i] == g]
+            members[g] = own
+        elif group[own[0]] != g:
+            own = members[g] = []
+        if len(own) == 1:  # most groups hold one suffix, which needs no counting
+            i = own[0]
+            done[i] = True
             p = i - 1
-            while p >= 0 and left[p] != p:
+            while p >= 0 and done[p]:
                 p = left[p]
-            j = i  # shorten the path just walked
-            while j > p and j >= 0:
-                j, left[j] = left[j], p
-            smaller[i] = p
+            smaller[i] = left[i] = p
             if p >= 0:
-                times[p] = times.get(p, 0) + 1
-        if times:
-            by: dict[int, list[int]] = {}
-            for p, k in times.items():
-                by.setdefault(k, []).append(p)
-            for k in sorted(by, reverse=True):
-                new: dict[int, int] = {}
-                for p in by[k]:
-                    old = group[p]
-                    if old not in new:
-                        new[old] = fresh = len(members)
-                        members.append([])
-                        up = above[old]
-                        above.append(up)
-                        below.append(old)
-                        below[up] = above[old] = fresh
-                    members[new[old]].append(p)
-                    group[p] = new[old]
+                old = group[p]
+                fresh = len(members)
+                members.append([p])
+                up = above[old]
+                above.append(up)
+                below.append(old)
+                below[up] = above[old] = group[p] = fresh
+        elif own:
+            for i in own:
+                done[i] = True
+            times: dict[int, int] = {}
+            for i in own:
+                p = i - 1
+                while p >= 0 and done[p]:
+                    p = left[p]
+                smaller[i] = left[i] = p
+                if p >= 0:
+                    times[p] = times.get(p, 0) + 1
+            if times:
+                most = max(times.values())
+                if most == 1:
+                    split(list(times))
+                else:
+                    by: dict[int, list[int]] = {}
+                    for p, k in times.items():
+                        by.setdefault(k, []).append(p)
+                    for k in sorted(by, reverse=True):
+                        split(by[k])
         g = below[g]
     # places of the groups, smallest first
     bottom = group[n - 1]
@@ -72,15 +100,17 @@ def suffix_array(text: list[int]) -> list[int]:
         at += len(members[g])
         g = above[g]
     order = [-1] * n
-    placed = [False] * n
     order[0] = n - 1
-    placed[n - 1] = True
+    group[n - 1] = -1  # of a suffix that has its place
     for i in range(n):
         p = order[i] - 1
-        while p >= 0 and not placed[p]:
+        while p >= 0:
             g = group[p]
-            order[place[g]] = p
-            place[g] += 1
-            placed[p] = True
+            if g < 0:
+                break
+            at = place[g]
+            order[at] = p
+            place[g] = at + 1
+            group[p] = -1
             p = smaller[p]
     return order

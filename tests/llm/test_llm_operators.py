@@ -324,6 +324,31 @@ def test_substrings_edges(spark):
     assert removed_spans(spark, frame(spark, [])).count() == 0
 
 
+def test_substrings_of_one_id_with_several_texts(spark):
+    from newsprism.llm.substring_dedup import removed_spans
+
+    rng = random.Random(15)
+    base = "".join(rng.choice("abé ") for _ in range(500))
+    rows = [(1, base), (2, "x" + base[:120] + "1"), (2, base[300:460] + "2"), (2, base[300:460] + "2"), (2, base), (3, "new" * 30 + base[40:90]),
+            (3, "new" * 30 + "q"), (4, "new" * 30 + "q"), (2, None), (2, "short")]
+    want = []
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        want.append((i, *cut_brute([(j, t) for j, t in rows if j < i] + [(i, text)])[i]))
+    got = removed_spans(spark, frame(spark, rows).repartition(3)).toPandas()
+    cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted(map(tuple, got[cols].itertuples(index=False))) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [3, 60])
+def test_keys_of_many_documents_are_split(spark, monkeypatch, most):
+    from newsprism.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "SPLIT_DOCS", most)
+    line = "this line is common, it stands in half of the documents here, word for word"
+    rows = [(i, f"{i} head {i * 7} " + (line if i % 2 else line[:60]) + f" tail {i * 13} of {i}") for i in range(1, 100)]
+    assert cut_rows(substring_dedup.removed_spans(spark, frame(spark, rows))) == cut_brute(rows)
+
+
 def test_split_keys_equal_brute_force(spark, monkeypatch):
     """Keys of very many documents are keyed by their strings; the result is the same."""
     from newsprism.llm import ngram_join, substring_dedup
@@ -506,7 +531,7 @@ def test_jaccard_components_equal_brute_force(spark, docs):
 def test_jaccard_edited_copies(spark, monkeypatch, docs_a_task):
     from newsprism.llm import ngram_join
 
-    for bound in ("LIST_DOCS", "TASK_ROWS", "BLOCK_DOCS", "TASK_PAIRS"):
+    for bound in ("LIST_DOCS", "TASK_ROWS", "BLOCK_TOKENS", "TASK_TOKENS", "TASK_PAIRS"):
         monkeypatch.setattr(ngram_join, bound, docs_a_task)
     rng = random.Random(2)
     rows = []
