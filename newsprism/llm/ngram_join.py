@@ -22,10 +22,11 @@ Plan:
    not at all. A list, cut into parts that meet pairwise if it is long, puts out the pairs of different
    components that pass the length filter and the position filter (what follows the shared token must
    suffice for the overlap).
-5. candidate pairs are dealt to tasks by blocks of documents; a document's tokens go once to each task
-   that holds a pair of it, whatever the number of its partners. There the second order's prefixes
-   must meet, too, before the sets are compared. Every pair that the filters admit is compared unless
-   its ends are already connected, so components are exact.
+5. a candidate pair goes to the task of its one end, which is dealt by the smallest of its partners:
+   near copies have the same partners and meet in one task, so a document's tokens go to its own
+   task and, where it is a partner, once to each task that names it. Large groups are split by hash.
+   There the second order's prefixes must meet, too, before the sets are compared. Every pair that
+   the filters admit is compared unless its ends are already connected, so components are exact.
 
 Results for odd rows: null, empty and word-less texts have the empty set and link with nothing;
 a null doc_id links with nothing and has a null component; repeated rows give repeated result
@@ -54,7 +55,7 @@ HOT_SHARE = 1_000  # a token in more than 1/HOT_SHARE of all documents is hot
 PIVOTS = 2  # documents of a token's list that the others are compared with first
 LIST_DOCS = 4_096  # documents of a part of a list
 TASK_ROWS = 100_000  # list entries in a task, about
-BLOCK_TOKENS = 250_000  # tokens of a block of documents; a comparing task meets pairs of blocks
+GROUP_DOCS = 1_000  # documents with one smallest partner that are compared together
 TASK_TOKENS = 2_000_000  # tokens sent to a comparing task, about
 TASK_PAIRS = 50_000  # and pairs
 
@@ -362,12 +363,13 @@ def compared(spark: SparkSession, s: DataFrame, pairs: DataFrame, num: int, den:
     pairs = stored(spark, pairs, "pairs")
     docs, tokens = s.agg(F.count("*"), F.sum(F.size("toks"))).first()
     count = pairs.count()
-    blocks = max(1, -(-(tokens or 0) // BLOCK_TOKENS))
     sent = 2 * count * (tokens or 0) // max(1, docs)  # if no document had two pairs in a task
     tasks = max(1, -(-sent // TASK_TOKENS), -(-count // TASK_PAIRS))
-    block = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(blocks))
-    cell = F.xxhash64(F.least(block("a"), block("b")), F.greatest(block("a"), block("b")))
-    dealt = pairs.withColumn("cell", cell).withColumn("task", F.pmod("cell", F.lit(tasks)).cast("int"))
+    label = pairs.groupBy("b").agg(F.min("a").alias("label"))
+    parts = label.groupBy("label").agg(F.ceil(F.count("*") / GROUP_DOCS).alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("b", F.lit(5)), F.coalesce("parts", F.lit(1)))
+    dealt = pairs.join(label, "b").join(parts, "label", "left").withColumn("cell", F.xxhash64("label", part))
+    dealt = dealt.withColumn("task", F.pmod("cell", F.lit(tasks)).cast("int")).drop("label", "parts")
     ends = dealt.select("task", F.col("a").alias("id")).unionByName(dealt.select("task", F.col("b").alias("id")))
     sets = ends.distinct().join(s, "id").select("task", "id", "n", "q", "toks")
     rows = sets.unionByName(dealt, allowMissingColumns=True)
@@ -389,7 +391,7 @@ def compared(spark: SparkSession, s: DataFrame, pairs: DataFrame, num: int, den:
             return own[d]
 
         for x, y, cx, cy, cell in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "ca", "cb", "cell"))):
-            if cell != now:  # the sets of two blocks at a time
+            if cell != now:  # the sets of one group at a time
                 own, now = {}, cell
             if (cx, cy) not in linked and similar(made(x), made(y), num, den):
                 linked |= {(cx, cy), (cy, cx)}
@@ -490,7 +492,7 @@ def jaccard_links(spark: SparkSession, s: DataFrame, num: int, den: int) -> Data
     pivots = stored(spark, pivots.select("t", "p.key", "p.m"), "pivots")
     pairs = few.join(pivots, "t").where(
         (F.col("id") != F.col("key")) & (den * F.least("n", "m") >= num * F.greatest("n", "m"))
-    ).select(F.least("key", "id").alias("a"), F.greatest("key", "id").alias("b")).distinct()
+    ).select(F.col("key").alias("a"), F.col("id").alias("b")).distinct()
     links = compared(spark, s, pairs.withColumn("ca", F.col("a")).withColumn("cb", F.col("b")), num, den)
     comp = stored(spark, components(spark, links), "components")
     # then the prefix lists, without the pairs that are connected already

@@ -277,6 +277,43 @@ def test_forward_backward_over_whole_documents():
         assert np.allclose(p[shift + 30 : shift + 34], want_span := p[shift + 30 : shift + 34] if shift == 0 else want_span)
 
 
+def test_quality_fit_equals_plain_dual_descent():
+    """The fit against a dense support vector machine on log-count-scaled indicators, solved to the end."""
+    from newsprism.llm.quality import PENALTY, fit
+
+    rng = np.random.default_rng(4)
+    places, n = 60, 240
+    y = (rng.random(n) < 0.3).astype(int)
+    odds = np.where(np.arange(places) % 2, 0.15, 0.35)
+    x = (rng.random((n, places)) < np.where(y[:, None] == 1, odds, odds[::-1])).astype(float)
+    x[:, 0] = 1
+    model = fit([np.flatnonzero(r).astype(np.uint32) for r in x], y)
+    train = np.arange(n) % 4 != 0
+    a, t = x[train], y[train]
+    p, q = np.ones(len(model["w"])), np.ones(len(model["w"]))
+    p[:places] += a[t == 1].sum(0)
+    q[:places] += a[t == 0].sum(0)
+    ratio = (np.log(p / p.sum()) - np.log(q / q.sum()))[:places]
+    z = np.hstack([a * ratio / np.sqrt(a.sum(1, keepdims=True)), np.ones((len(a), 1))])
+    sign = np.where(t == 1, 1.0, -1.0)
+    cost = np.where(t == 1, PENALTY * n / (2 * y.sum()), PENALTY * n / (2 * (1 - y).sum()))
+
+    def loss(w):
+        return 0.5 * w @ w + (cost * np.maximum(0, 1 - sign * (z @ w))).sum()
+
+    alpha, w = np.zeros(len(a)), np.zeros(places + 1)
+    for _ in range(3000):  # plain dual coordinate descent, row after row
+        for i in range(len(a)):
+            new = min(max(0.0, alpha[i] - (sign[i] * (z[i] @ w) - 1) / (z[i] @ z[i])), cost[i])
+            w += (new - alpha[i]) * sign[i] * z[i]
+            alpha[i] = new
+    dual = alpha.sum() - 0.5 * w @ w
+    assert loss(w) - dual < 1e-3 * loss(w)  # solved
+    own = np.append(model["w"][:places] / ratio, model["bias"])
+    assert loss(own) <= 1.05 * loss(w)
+    assert np.corrcoef(z @ own, z @ w)[0, 1] > 0.99
+
+
 # ------------------------------------------------------------------- op3
 def cut_brute(docs, length=50):
     """doc_id -> (bytes, removed, spans, digest of the rest)."""
@@ -531,7 +568,7 @@ def test_jaccard_components_equal_brute_force(spark, docs):
 def test_jaccard_edited_copies(spark, monkeypatch, docs_a_task):
     from newsprism.llm import ngram_join
 
-    for bound in ("LIST_DOCS", "TASK_ROWS", "BLOCK_TOKENS", "TASK_TOKENS", "TASK_PAIRS"):
+    for bound in ("LIST_DOCS", "TASK_ROWS", "GROUP_DOCS", "TASK_TOKENS", "TASK_PAIRS"):
         monkeypatch.setattr(ngram_join, bound, docs_a_task)
     rng = random.Random(2)
     rows = []
