@@ -999,6 +999,20 @@ def q_upsert_news(spark, sf_dir):
     return K.upsert_news(spark, B.event_news(spark, sf_dir), path)
 
 
+@register("report_across_compaction", ORACLE_SQL["insights_overview"])
+def q_report_across_compaction(spark, sf_dir):
+    """K2 / K7: R14 planned over three batches of the stored log, which is compacted before the report
+    runs; the files it was planned on are still there."""
+    e = B.event_exposures(spark, sf_dir)
+    table = K.exposure_table(spark, fresh_dir(spark, "exposure_logs"))
+    third = F.pmod(F.xxhash64("impression_id"), F.lit(3))
+    for k in range(3):
+        table.upsert(e.where(third == k))
+    report = R.insights_overview(table.read(keep_partition=True), as_of=INSIGHTS_AS_OF, hours=INSIGHTS_HOURS)
+    table.compact()
+    return report
+
+
 @register("read_news_tsv", with_tables("event", "select * from n", names=("n",)))
 def q_read_news_tsv(spark, sf_dir):
     """The document catalogue written as TSV (quoted, multi-line bodies) and read back."""

@@ -88,6 +88,28 @@ def test_late_rows_are_dropped_and_restart_is_idempotent(spark):
     assert total.impression_count == 5  # minutes 10..14, counted once despite the restart
 
 
+def test_state_is_a_row_a_pane_and_the_log_counts(spark):
+    """An exposure is in one pane's state, not in five windows; the status log says so, and names failures."""
+    e = B.event_exposures(spark, SF).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    panes = e.select(F.window("timestamp", "1 minute"), "news_id", "user_id").distinct().count()
+    windows = e.select(F.window("timestamp", "5 minutes", "1 minute"), "news_id", "user_id").distinct().count()
+    with SR.StreamLog(spark) as log:
+        q, table = SR.start_monitor(
+            spark, B.event_exposure_stream(spark, SF), "trend", available_now=True,
+            table_path=fresh_dir(spark, "t"), checkpoint=fresh_dir(spark, "c"), query_name="pane_state")
+        q.awaitTermination()
+        boom = spark.readStream.format("rate").load().writeStream.foreachBatch(
+            lambda df, i: (_ for _ in ()).throw(ValueError("boom"))).queryName("fails").start()
+        with pytest.raises(Exception):
+            boom.awaitTermination(60)
+        status = {r["name"]: r for r in log.status().collect()}
+    updates = max(r.get("state_updates", 0) for r in log.records() if r["name"] == "pane_state")
+    assert updates == panes and 5 * panes >= windows > 4 * panes
+    assert status["pane_state"].input_rows == e.count() and status["pane_state"].failures == 0
+    assert status["fails"].failures == 1 and "boom" in status["fails"].last_error
+    assert log.events().where("event = 'started'").count() == 2
+
+
 def test_registry_list_and_stop(spark):
     reg = SR.StreamRegistry(spark)
     stream = spark.readStream.format("rate").option("rowsPerSecond", 5).load()
