@@ -892,7 +892,8 @@ def q_assign_impression_ids_files(spark, sf_dir):
     raw = _raw_unnumbered(spark, sf_dir)
     path = fresh_dir(spark, "raw-tsv")
     # a range of order keys a file, so the file order is the key order
-    S.write_tsv(raw.repartitionByRange(5, "seq").sortWithinPartitions("seq").withColumn("note", F.col("seq").cast("string")), path)
+    files = max(5, B.order_tasks(spark, sf_dir) or 0)
+    S.write_tsv(raw.repartitionByRange(files, "seq").sortWithinPartitions("seq").withColumn("note", F.col("seq").cast("string")), path)
     read = spark.read.options(**S.TSV_OPTIONS).csv(path)
     return I.assign_impression_ids(read).select("impression_id", F.col("note").cast("long").alias("seq"))
 

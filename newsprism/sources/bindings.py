@@ -8,7 +8,9 @@ Two bindings are offered (see FIXTURES.md):
 
 Each function returns a lazily evaluated DataFrame; nothing is materialised here, so filters
 and column pruning of the report on top still reach the parquet scan where the binding keeps
-the column unchanged (the timestamps keep their stored type for that reason).
+the column unchanged (the timestamps keep their stored type for that reason). The order binding
+asks once for the number of line items (from the parquet footers), which sets how many tasks join
+and group them.
 """
 
 from __future__ import annotations
@@ -33,6 +35,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+# AQE joins shuffled partitions up to 64 MB of compressed rows, which are millions of narrow rows and
+# some GB of sort and hash buffers in one task. Large tables are dealt to tasks of about so many rows.
+TASK_ROWS = 250_000
+MOST_TASKS = 20_000  # beyond, tasks grow and spill
+
+_TASKS: dict[tuple[int, str], tuple[SparkSession, int]] = {}
+
+
+def order_tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """Among how many tasks the order binding's rows are dealt; None (Spark decides) for a table that
+    all cores together hold in tasks of ``TASK_ROWS`` rows."""
+    path = f"{sf_dir.rstrip('/')}/lineitem.parquet"
+    hit = _TASKS.get((id(spark), path))
+    if hit is None or hit[0] is not spark:
+        hit = _TASKS[(id(spark), path)] = (spark, table(spark, sf_dir, "lineitem").count())
+    tasks = min(MOST_TASKS, -(-hit[1] // TASK_ROWS))
+    return tasks if tasks > spark.sparkContext.defaultParallelism else None
+
+
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` to a given number of tasks, if one is given."""
+    return df if tasks is None else df.repartition(tasks, *keys)
+
+
 def _prefixed(prefix: str, c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.concat(F.lit(prefix), c.cast("string"))
@@ -123,20 +149,26 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Collapsed order binding: one row per (order, customer, part).
+def _order_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (order, customer, part), keys as stored.
 
     The join shuffles both sides on the order key; the group-by keys contain the order key, so
     Spark reuses that hash partitioning and the aggregation adds no second shuffle.
     """
-    li = table(spark, sf_dir, "lineitem")
-    od = table(spark, sf_dir, "orders")
+    tasks = order_tasks(spark, sf_dir)
+    li = dealt(table(spark, sf_dir, "lineitem"), tasks, "l_orderkey")
+    od = dealt(table(spark, sf_dir, "orders"), tasks, "o_orderkey")
     is_return = F.col("l_returnflag") == "R"
     joined = li.join(od, li.l_orderkey == od.o_orderkey)
     return joined.groupBy("l_orderkey", "o_custkey", "l_partkey", "o_orderdate").agg(
         F.max(F.when(is_return, 1).otherwise(0)).alias("clicked"),
         F.max(F.when(is_return, F.col("l_quantity")).otherwise(F.lit(0.0))).alias("dwell_time"),
-    ).select(
+    )
+
+
+def order_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collapsed order binding: one row per (order, customer, part)."""
+    return _order_groups(spark, sf_dir).select(
         _prefixed("imp_", "l_orderkey").alias("impression_id"),
         _prefixed("U", "o_custkey").alias("user_id"),
         _prefixed("N", "l_partkey").alias("news_id"),
@@ -161,22 +193,24 @@ def order_raw_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Per order: ``pos`` = clicked parts (by part key) joined by a space, ``dwelltime_pos`` =
     their dwell as integers, ``neg`` = the other parts, ``start`` = ``end`` = order date.
-    Lists are built with ``array_sort`` over structs, per impression (one group per order).
+    Lists are built with ``array_sort`` over structs, per impression (one group per order): by the
+    stored order key, whose partitioning the collapsed rows have already.
     """
-    e = order_exposures(spark, sf_dir).withColumn(
-        "part", F.substring("news_id", 2, 1 << 20).cast("long")
+    e = _order_groups(spark, sf_dir).select(
+        "l_orderkey", "o_custkey", "o_orderdate", F.col("l_partkey").alias("part"),
+        _prefixed("N", "l_partkey").alias("news_id"), "clicked", "dwell_time",
     )
     clicked = F.col("clicked") == 1
-    grouped = e.groupBy("impression_id", "user_id", "timestamp").agg(
+    grouped = e.groupBy("l_orderkey", "o_custkey", "o_orderdate").agg(
         F.array_sort(
             F.collect_list(F.when(clicked, F.struct("part", "news_id", "dwell_time")))
         ).alias("p"),
         F.array_sort(F.collect_list(F.when(~clicked, F.struct("part", "news_id")))).alias("n"),
     )
-    ts = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
+    ts = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
     return grouped.select(
-        "impression_id",
-        F.col("user_id").alias("UserID"),
+        _prefixed("imp_", "l_orderkey").alias("impression_id"),
+        _prefixed("U", "o_custkey").alias("UserID"),
         F.array_join(F.transform("p", lambda s: s["news_id"]), " ").alias("pos"),
         F.array_join(F.transform("n", lambda s: s["news_id"]), " ").alias("neg"),
         F.array_join(
