@@ -213,7 +213,7 @@ def q_category_rollup(spark, sf_dir):
 def q_user_interests(spark, sf_dir):
     """R5 for all users (order binding, full range)."""
     e, n = _order(spark, sf_dir)
-    return R.user_interests(e, n)
+    return R.user_interests(e, n, tasks=B.order_tasks(spark, sf_dir))
 
 
 TIMELINE_USER = "U5"

@@ -135,11 +135,19 @@ def user_interests(
     start: dt.datetime | str | None = None,
     end: dt.datetime | str | None = None,
     exact: bool = True,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Per user, category and topic: impressions, clicks, mean dwell, engagement score."""
+    """Per user, category and topic: impressions, clicks, mean dwell, engagement score.
+
+    ``tasks``: among how many tasks the rows of the distinct count are dealt, by group and
+    impression (a large group is split); without it Spark's settings decide.
+    """
     e = exposures if user is None else exposures.where(F.col("user_id") == user)
     e = m.between_inclusive(e, "timestamp", start, end)
     j = e.join(news.select("news_id", "category", "topic"), "news_id")
+    if tasks is not None:
+        j = j.select("user_id", "category", "topic", "impression_id", "clicked", "dwell_time").repartition(
+            tasks, "user_id", "category", "topic", "impression_id")
     return (
         j.groupBy("user_id", "category", "topic")
         .agg(

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from newsprism.plans import reports as R
 from newsprism.sources import bindings as B
 
 LINES = "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string, l_linenumber int, l_shipdate date, l_extendedprice double"
@@ -43,3 +44,12 @@ def test_large_order_tables_are_dealt_by_rows(spark, tables, monkeypatch):
     # the raw impressions take the partitioning of the join on
     plan = raw._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_user_interests_dealt_by_group_and_impression(spark, tables):
+    e, n = B.order_exposures(spark, tables), B.order_news(spark, tables)
+    got = R.user_interests(e, n, tasks=25)
+    assert held(got) == held(R.user_interests(e, n))
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "impression_id" in x]
+    assert len(dealt) == 1 and ", 25)" in dealt[0]
