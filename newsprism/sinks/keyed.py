@@ -409,10 +409,12 @@ class KeyedTable:
         while buckets < MOST_BUCKETS and buckets * KEYS_PER_BUCKET < keys:
             buckets *= 2
         folder = f"{KEYS}/{uuid.uuid4().hex[:12]}"
-        bucket = F.pmod(F.col(HASH), F.lit(buckets)).cast("int")
-        pairs = pairs.distinct().withColumn("_bucket", bucket)
-        # a bucket is one file: tasks of whole buckets
-        pairs = pairs.repartition(min(buckets, 1000), "_bucket") if buckets > 1 else pairs.coalesce(1)
+        pairs = pairs.withColumn("_bucket", F.pmod(F.col(HASH), F.lit(buckets)).cast("int"))
+        # a bucket is one file: tasks of whole buckets, which hold all rows of a pair
+        if buckets > 1:
+            pairs = pairs.repartition(min(buckets, 1000), "_bucket").dropDuplicates(["_bucket", HASH, PART])
+        else:
+            pairs = pairs.distinct().coalesce(1)
         writer = pairs.sortWithinPartitions("_bucket", HASH).write.options(**_bloom([HASH]))
         writer.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         return folder, {"buckets": buckets, "keys": keys}

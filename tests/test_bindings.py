@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsprism.plans import reports as R
+from newsprism.sinks import keyed as K
 from newsprism.sources import bindings as B
+from newsprism.session import fresh_dir
 
 LINES = "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string, l_linenumber int, l_shipdate date, l_extendedprice double"
 
@@ -53,3 +55,12 @@ def test_user_interests_dealt_by_group_and_impression(spark, tables):
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "impression_id" in x]
     assert len(dealt) == 1 and ", 25)" in dealt[0]
+
+
+def test_key_index_holds_a_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(K, "KEYS_PER_BUCKET", 4)
+    t = K.exposure_table(spark, fresh_dir(spark, "index"))
+    pairs = spark.createDataFrame([(h, p) for h in range(20) for p in ("a", "a", "b", None, None)], "_h long, _part string")
+    folder, about = t._write_index(pairs.repartition(5), 20)
+    found = spark.read.schema("_h long, _part string").option("recursiveFileLookup", "true").parquet(f"{t.path}/{folder}")
+    assert about["buckets"] > 1 and held(found) == held(pairs.distinct())
