@@ -375,8 +375,14 @@ class KeyedTable:
         known = self._lookup(m, own, touched)
         if known is not None:
             was = known.withColumnRenamed(PART, "_was")
-            moved = was.join(own, HASH).where(~F.col("_was").eqNullSafe(F.col(PART)))
-            stones = moved.select(*self.key, F.col("_was").alias(PART), F.lit(True).alias(DELETED))
+            elsewhere = ~F.col("_was").eqNullSafe(F.col(PART))
+            # the hashes of moved keys first, by two narrow columns: most often few or none, and then
+            # the keys themselves are not shuffled
+            moved = was.join(own.select(HASH, PART), HASH).where(elsewhere).select(HASH, "_was").distinct()
+            staged.append(fresh_dir(spark, "staging"))
+            moved.write.parquet(staged[-1])
+            moved = spark.read.schema(moved.schema).parquet(staged[-1])
+            stones = moved.join(own, HASH).where(elsewhere).select(*self.key, F.col("_was").alias(PART), F.lit(True).alias(DELETED))
             rows = rows.unionByName(stones, allowMissingColumns=True)
         return rows, self._write_index(own.select(HASH, PART), sum(touched.values()))
 
@@ -387,11 +393,12 @@ class KeyedTable:
         return {r[0]: r[1] for r in own.groupBy(bucket).count().collect()}
 
     def known(self, own: DataFrame) -> DataFrame | None:
-        """(hash, partition) where keys with the hashes of ``own`` may have been; None if nowhere."""
+        """(hash, partition) where keys with the hashes of ``own`` may have been, pairs may repeat; None
+        if nowhere."""
         return self._lookup(self.manifest.load(), own, self._buckets(own))
 
     def _lookup(self, m: dict, own: DataFrame, touched: dict[int, int]) -> DataFrame | None:
-        """(hash, partition) of the index buckets that the batch's keys fall in."""
+        """(hash, partition) of the index buckets that the batch's keys fall in; a pair may repeat."""
         paths = []
         for folder, about in m["index"].items():
             mine = {b % about["buckets"] for b in touched}
@@ -402,7 +409,7 @@ class KeyedTable:
         known = self.spark.read.schema(f"{HASH} long, {PART} string").parquet(*paths)
         if sum(touched.values()) <= 10:  # as literals they reach the files' bloom filters
             known = known.where(F.col(HASH).isin([r[0] for r in own.select(HASH).collect()]))
-        return known.distinct()
+        return known
 
     def _write_index(self, pairs: DataFrame, keys: int) -> tuple[str, dict]:
         buckets = 1

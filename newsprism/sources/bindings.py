@@ -130,16 +130,15 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     (order, part) repeats, so the primary key is not unique here; this is the input of the
     last-write-wins and upsert operators. Arrival order is
-    ``(l_shipdate, l_linenumber, l_quantity, l_extendedprice)``.
+    ``(l_shipdate, l_linenumber, l_quantity, l_extendedprice)``. The tables meet by the impression
+    id, not by the order key it is made of, so a collapse by key finds its rows together and shuffles
+    nothing again.
     """
-    li = table(spark, sf_dir, "lineitem")
-    od = table(spark, sf_dir, "orders")
+    tasks = order_tasks(spark, sf_dir)
     is_return = F.col("l_returnflag") == "R"
-    return li.join(od, li.l_orderkey == od.o_orderkey).select(
+    lines = table(spark, sf_dir, "lineitem").select(
         _prefixed("imp_", "l_orderkey").alias("impression_id"),
-        _prefixed("U", "o_custkey").alias("user_id"),
         _prefixed("N", "l_partkey").alias("news_id"),
-        F.col("o_orderdate").alias("timestamp"),
         F.when(is_return, 1).otherwise(0).alias("clicked"),
         F.when(is_return, F.col("l_quantity")).otherwise(F.lit(0.0)).alias("dwell_time"),
         "l_shipdate",
@@ -147,6 +146,16 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_quantity",
         "l_extendedprice",
     )
+    orders = table(spark, sf_dir, "orders").select(
+        _prefixed("imp_", "o_orderkey").alias("impression_id"),
+        _prefixed("U", "o_custkey").alias("user_id"),
+        F.col("o_orderdate").alias("timestamp"),
+    )
+    both = dealt(lines, tasks, "impression_id").join(dealt(orders, tasks, "impression_id"), "impression_id")
+    return both.select(
+        "impression_id", "user_id", "news_id", "timestamp", "clicked", "dwell_time",
+        "l_shipdate", "l_linenumber", "l_quantity", "l_extendedprice",
+    )
 
 
 def _order_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

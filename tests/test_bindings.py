@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from newsprism.operators import ingest as I
 from newsprism.plans import reports as R
 from newsprism.sinks import keyed as K
 from newsprism.sources import bindings as B
@@ -64,3 +65,27 @@ def test_key_index_holds_a_pair_once(spark, monkeypatch):
     folder, about = t._write_index(pairs.repartition(5), 20)
     found = spark.read.schema("_h long, _part string").option("recursiveFileLookup", "true").parquet(f"{t.path}/{folder}")
     assert about["buckets"] > 1 and held(found) == held(pairs.distinct())
+
+
+def test_order_lines_are_collapsed_where_they_are_joined(spark, tables, monkeypatch):
+    keys, order = ["impression_id", "user_id", "news_id"], ["l_shipdate", "l_linenumber", "l_quantity", "l_extendedprice"]
+    lines = B.order_lines(spark, tables)
+    small = held(lines)
+    li, od = B.table(spark, tables, "lineitem"), B.table(spark, tables, "orders")
+    assert len(small) == li.join(od, li.l_orderkey == od.o_orderkey).count()
+    best = {}
+    for r in small:
+        k, v = tuple(r[c] for c in keys), tuple((r[c] is not None, r[c]) for c in order)
+        if k not in best or v > best[k]:
+            best[k] = v
+    monkeypatch.setattr(B, "TASK_ROWS", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = I.latest_by_key(B.order_lines(spark, tables), keys, order)
+        rows = got.collect()
+        assert {tuple(r[c] for c in keys): tuple((r[c] is not None, r[c]) for c in order) for r in rows} == best
+        assert len(rows) == len(best) and held(B.order_lines(spark, tables)) == small
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

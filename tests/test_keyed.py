@@ -203,3 +203,15 @@ def test_news_last_row_wins_without_an_order(spark):
             fh.write("\n".join(lines) + "\n")
     got = K.upsert_news(spark, spark.read.schema(ddl).csv(src), path)
     assert sorted(tuple(r) for r in got.collect()) == [("n1", "b", "three"), ("n2", "b", "x"), ("n3", "y", "one")]
+
+
+def test_moved_keys_are_found_before_their_rows_are_read(spark, monkeypatch):
+    t = K.exposure_table(spark, fresh_dir(spark, "moved"))
+    t.upsert(rows(spark, range(5)))
+    t.upsert(rows(spark, [1], day=1))
+    t.upsert(rows(spark, [1, 2], day=2, clicked=1))
+    got = sorted((r.impression_id, r.timestamp.day, r.clicked) for r in t.read().collect())
+    assert got == [("i0", 1, 0), ("i1", 3, 1), ("i2", 3, 1), ("i3", 1, 0), ("i4", 1, 0)]
+    m = t.manifest.load()
+    pairs = t._lookup(m, rows(spark, [1]).select(F.xxhash64(*t.key).alias("_h"), F.lit("x").alias("_part")), {b: 20 for b in range(1 << 16)})
+    assert pairs.count() >= 3 and "Aggregate" not in plan(pairs)
