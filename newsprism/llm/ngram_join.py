@@ -14,14 +14,16 @@ Plan:
    tokens that two or more documents share. Tokens held by a fixed fraction of all documents
    (at most ``HOT_SHARE`` times the mean set size of them exist) are recognised in pass 1 and go
    straight to the documents, so no token's entries gather in one task.
-3. documents whose shared tokens reach t of their set remain (an ordinary document has few);
-   the prefixes of these meet by token.
+3. shared tokens are renamed to their places in their partition, which pack well. Documents whose
+   shared tokens reach t of their set remain (an ordinary document has few), later copies of a
+   class are left out there; the prefixes of the others meet by token.
 4. links: every document is first compared with a few pivots of some of its prefix tokens, and
    links merge into components. Then the prefix lists are looked at whole: tokens with the very same
    list (those of one passage) count once, by the first of them in the order, and lists within one component
    not at all. A list, cut into parts that meet pairwise if it is long, puts out the pairs of different
-   components that pass the length filter and the position filter (what follows the shared token must
-   suffice for the overlap).
+   components that pass the length filter, the position filter (what follows the shared token must
+   suffice for the overlap) and the sketch filter: a sketch has the parity of a set's tokens in each of
+   a few bits a token, and two sets differ in at least as many tokens as their sketches in bits.
 5. a candidate pair goes to the task of its one end, which is dealt by the smallest of its partners:
    near copies have the same partners and meet in one task, so a document's tokens go to its own
    task and, where it is a partner, once to each task that names it. Large groups are split by hash.
@@ -58,6 +60,8 @@ TASK_ROWS = 100_000  # list entries in a task, about
 GROUP_DOCS = 1_000  # documents with one smallest partner that are compared together
 TASK_TOKENS = 2_000_000  # tokens sent to a comparing task, about
 TASK_PAIRS = 50_000  # and pairs
+SKETCH_BITS = (512, 32_768)  # of a document's sketch, at least and at most; between, 4 to 8 a token
+TASK_SKETCHES = 64 << 20  # bytes of sketches sent to a task, about
 
 DOC_ROWS = "doc_id long, n_shingles long, d1 long, d2 long, token long, held long"
 PACKED = "kind int, part int, docs binary, sizes binary, runs binary, lo binary, mid binary, df binary"
@@ -66,6 +70,10 @@ _ARROW_PACKED = pa.schema(
     [("kind", pa.int32()), ("part", pa.int32())]
     + [(c, pa.binary()) for c in ("docs", "sizes", "runs", "lo", "mid", "df")]
 )
+SETS = "id long, n long, m int, q int, toks binary, head array<long>, sketch binary"
+_ARROW_SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("m", pa.int32()), ("q", pa.int32()),
+                         ("toks", pa.binary()), ("head", pa.list_(pa.int64())), ("sketch", pa.binary())])
+_ODD = 0x6A09E667F3BCC909  # the sketch's bits are independent of the second order
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -173,7 +181,7 @@ def _pack(kind: int, part: np.ndarray, doc: np.ndarray, size: np.ndarray, token:
         cols[0].append(planes(rd[c:d]))
         cols[1].append(planes(rs[c:d]))
         cols[2].append(planes(length[c:d]))
-        cols[3].append((full if kind else lo)[a:b].tobytes())
+        cols[3].append(planes(full[a:b]) if kind else lo[a:b].tobytes())
         cols[4].append(b"" if kind else mid[a:b].tobytes())
         cols[5].append(planes(df[order[a:b]].astype(np.uint32)) if kind else b"")
     return pa.RecordBatch.from_arrays(
@@ -187,17 +195,17 @@ def planes(x: np.ndarray) -> bytes:
     return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
+def _from_planes(b: bytes, dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
 def _joined(table: pa.Table, column: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype=dtype)
 
 
 def _joined_planes(table: pa.Table, column: str, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    parts = [
-        np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T)
-        for b in table.column(column).to_pylist()
-    ]
-    return np.concatenate(parts).view(dtype).ravel() if parts else np.zeros(0, dtype)
+    parts = [_from_planes(b, dtype) for b in table.column(column).to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
 def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,9 +227,15 @@ def token_name(t: np.ndarray, part) -> np.ndarray:
     return (t & _LOW48) | ((np.asarray(part).astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(48))
 
 
-def shared_only(key, table: pa.Table, doc_parts: int) -> pa.Table:
+def token_place(place: np.ndarray, part) -> np.ndarray:
+    """A shared token's name by its place among the shared tokens of its partition."""
+    return place.astype(np.uint64) | (np.asarray(part).astype(np.uint64) << np.uint64(32))
+
+
+def shared_only(key, table: pa.Table, doc_parts: int, places: bool = False) -> pa.Table:
     """Of a token partition's entries those of tokens in two or more documents, dealt to document
-    partitions, with the document frequency; entries that are on their way there pass through."""
+    partitions, with the document frequency; entries that are on their way there pass through.
+    ``places``: tokens are named by their places."""
     if key[0].as_py() == 1:
         return table
     doc, size, _ = _unpack(table)
@@ -239,7 +253,11 @@ def shared_only(key, table: pa.Table, doc_parts: int) -> pa.Table:
     keep = df > 1
     if not keep.any():
         return table.slice(0, 0)
-    token, doc, size, df = token_name(token[keep], key[1].as_py()), doc[keep], size[keep], df[keep]
+    token, doc, size, df = token[keep], doc[keep], size[keep], df[keep]
+    if places:
+        token = token_place(np.cumsum(np.append(False, token[1:] != token[:-1])), key[1].as_py())
+    else:
+        token = token_name(token, key[1].as_py())
     order = np.argsort(doc, kind="stable")
     doc = doc[order]
     return pa.Table.from_batches(
@@ -266,17 +284,27 @@ def is_in(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndar
     return sorted_values[at] == x, at
 
 
+def sketch(toks: np.ndarray) -> np.ndarray:
+    """Parity of the tokens in each of a power of two of bits; folding halves onto each other gives
+    the sketch of fewer bits."""
+    least, most = SKETCH_BITS
+    bits = min(most, max(least, 1 << (4 * len(toks) - 1).bit_length()))
+    count = np.bincount((mix(toks ^ np.uint64(_ODD)) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def shared_tokens(
-    spark: SparkSession, docs: DataFrame, sets: DataFrame, n: int, num: int, den: int
+    spark: SparkSession, docs: DataFrame, sets: DataFrame, copies: DataFrame, n: int, num: int, den: int
 ) -> DataFrame:
-    """(id, n, toks, q) of documents whose shared tokens reach num/den of their set.
+    """(id, n, m, q, toks, head, sketch) of documents whose shared tokens reach num/den of their set,
+    but not of ``copies(id)``.
 
-    toks: tokens in two or more documents, rarest first; q: how many of them are in the prefix
-    (tokens of one document alone come before them in either order).
+    toks: the m tokens in two or more documents, rarest first, byte by byte; q: how many of them are
+    in the prefix (tokens of one document alone come before them in either order); head: these.
     """
     total, count = sets.agg(F.sum("n_shingles"), F.count("n_shingles")).first()
     if not total:
-        return spark.createDataFrame([], "id long, n long, toks array<long>, q int")
+        return spark.createDataFrame([], SETS)
     parts = max(16, -(-total // PART_TOKENS))
     doc_parts = max(16, -(-count // PART_DOCS))
     hot_all = hot_tokens(spark, sets.where("token is not null"), count)
@@ -296,37 +324,53 @@ def shared_tokens(
             is_hot, where = is_in(hot_t, sent)
             if is_hot.any():
                 yield _pack(1, _doc_part(doc[is_hot], doc_parts), doc[is_hot], size[is_hot],
-                            token_name(sent[is_hot], part[is_hot]), hot_df[where[is_hot]])
+                            token_place(where[is_hot], parts), hot_df[where[is_hot]])
             cold = ~is_hot
             if cold.any():
                 yield _pack(0, part[cold], doc[cold], size[cold], sent[cold], None)
 
     def counted(key, table):
-        return shared_only(key, table, doc_parts)
+        return shared_only(key, table, doc_parts, places=True)
+
+    def send_copies(batches):
+        for batch in batches:
+            doc = batch.column("id").to_numpy()
+            part = _doc_part(doc, doc_parts)
+            order = np.argsort(part, kind="stable")
+            found, at = np.unique(part[order], return_index=True)
+            cut = np.split(doc[order], at[1:]) if len(found) else []
+            none = pa.array([b""] * len(found), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(found), 2, np.int32)), pa.array(found.astype(np.int32)),
+                 pa.array([planes(d) for d in cut], pa.binary())] + [none] * 5, schema=_ARROW_PACKED)
 
     def collected(key, table):
+        is_copy = pc.equal(table.column("kind"), 2)
+        later = _joined_planes(table.filter(is_copy), "docs", np.int64)
+        table = table.filter(pc.invert(is_copy))
         doc, size, _ = _unpack(table)
-        token, df = _joined(table, "lo", np.uint64), _joined_planes(table, "df", np.uint32)
+        token, df = _joined_planes(table, "lo", np.uint64), _joined_planes(table, "df", np.uint32)
         order = np.lexsort((token, df, doc))
         doc, size, token, df = doc[order], size[order], token[order], df[order]
         ids, first, count = np.unique(doc, return_index=True, return_counts=True)
         need = -(-size[first].astype(np.int64) * num // den)
-        out = {c: [] for c in ("id", "n", "toks", "q")}
-        for k in np.flatnonzero(count >= need).tolist():
-            a = slice(first[k], first[k] + count[k])
+        out = {c: [] for c in _ARROW_SETS.names}
+        for k in np.flatnonzero((count >= need) & ~np.isin(ids, later)).tolist():
+            toks = token[first[k] : first[k] + count[k]]
             q = int(count[k] - need[k] + 1)
             out["id"].append(int(ids[k]))
             out["n"].append(int(size[first[k]]))
-            out["toks"].append(token[a].view(np.int64))
+            out["m"].append(len(toks))
             out["q"].append(q)
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("toks", pa.list_(pa.int64())),
-                            ("q", pa.int32())])
-        return pa.table([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+            out["toks"].append(planes(toks))
+            out["head"].append(toks[:q].view(np.int64))
+            out["sketch"].append(sketch(toks).tobytes())
+        return pa.table([pa.array(out[f.name], f.type) for f in _ARROW_SETS], schema=_ARROW_SETS)
 
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, PACKED)
     answers = packed.groupBy("kind", "part").applyInArrow(counted, PACKED)
-    return answers.groupBy("part").applyInArrow(
-        collected, "id long, n long, toks array<long>, q int")
+    answers = answers.unionByName(copies.select("id").mapInArrow(send_copies, PACKED))
+    return answers.groupBy("part").applyInArrow(collected, SETS)
 
 
 class _Set:
@@ -339,7 +383,7 @@ class _Set:
         if name == "first":
             value = set(self.toks[: self.q].tolist())
         elif name == "second":  # the first tokens under the other order, a random permutation
-            order = np.argsort(mix(self.toks.view(np.uint64)), kind="stable")
+            order = np.argsort(mix(self.toks), kind="stable")
             value = set(self.toks[order[: self.q]].tolist())
         elif name == "all":
             value = set(self.toks.tolist())
@@ -361,7 +405,7 @@ def compared(spark: SparkSession, s: DataFrame, pairs: DataFrame, num: int, den:
     """Links (a, b) among distinct ``pairs(a, b, ca, cb)`` of documents with components: of two
     components one link is enough in a task."""
     pairs = stored(spark, pairs, "pairs")
-    docs, tokens = s.agg(F.count("*"), F.sum(F.size("toks"))).first()
+    docs, tokens = s.agg(F.count("*"), F.sum("m")).first()
     count = pairs.count()
     sent = 2 * count * (tokens or 0) // max(1, docs)  # if no document had two pairs in a task
     tasks = max(1, -(-sent // TASK_TOKENS), -(-count // TASK_PAIRS))
@@ -370,6 +414,7 @@ def compared(spark: SparkSession, s: DataFrame, pairs: DataFrame, num: int, den:
     part = F.pmod(F.xxhash64("b", F.lit(5)), F.coalesce("parts", F.lit(1)))
     dealt = pairs.join(label, "b").join(parts, "label", "left").withColumn("cell", F.xxhash64("label", part))
     dealt = dealt.withColumn("task", F.pmod("cell", F.lit(tasks)).cast("int")).drop("label", "parts")
+    dealt = stored(spark, dealt, "dealt")
     ends = dealt.select("task", F.col("a").alias("id")).unionByName(dealt.select("task", F.col("b").alias("id")))
     sets = ends.distinct().join(s, "id").select("task", "id", "n", "q", "toks")
     rows = sets.unionByName(dealt, allowMissingColumns=True)
@@ -377,8 +422,7 @@ def compared(spark: SparkSession, s: DataFrame, pairs: DataFrame, num: int, den:
     def check(key, table):
         held = table.filter(pc.is_valid(table.column("id")))
         doc, n, q = (held.column(c).to_numpy() for c in ("id", "n", "q"))
-        toks = held.column("toks").combine_chunks()
-        edge, flat = np.asarray(toks.offsets), toks.flatten().to_numpy()
+        toks = held.column("toks")
         place = {int(d): k for k, d in enumerate(doc)}
         pairs = table.filter(pc.is_null(table.column("id"))).select(["a", "b", "ca", "cb", "cell"]).sort_by("cell")
         linked: set[tuple[int, int]] = set()
@@ -387,7 +431,7 @@ def compared(spark: SparkSession, s: DataFrame, pairs: DataFrame, num: int, den:
         def made(d):
             if d not in own:
                 k = place[d]
-                own[d] = _Set(int(n[k]), int(q[k]), flat[edge[k] - edge[0] : edge[k + 1] - edge[0]])
+                own[d] = _Set(int(n[k]), int(q[k]), _from_planes(toks[k].as_py(), np.uint64))
             return own[d]
 
         for x, y, cx, cy, cell in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "ca", "cb", "cell"))):
@@ -402,11 +446,44 @@ def compared(spark: SparkSession, s: DataFrame, pairs: DataFrame, num: int, den:
     return stored(spark, rows.groupBy("task").applyInArrow(check, "a long, b long"), "links")
 
 
-def listed_pairs(ids, comp, n, rest, part, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+class Sketches:
+    """Sketches of the documents of a list, as wide as each pair has them."""
+
+    def __init__(self, own: list[np.ndarray]):
+        self.words = np.array([len(x) for x in own], np.int64)
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by width: place of a document, sketches
+        above, upper = np.zeros(0, np.int64), None
+        width = int(self.words.max())
+        while width >= self.words.min():
+            here = np.flatnonzero(self.words == width)
+            rows = np.array([own[k] for k in here.tolist()], np.uint64).reshape(len(here), width)
+            if upper is not None:
+                rows = np.concatenate([rows, upper[:, :width] ^ upper[:, width:]])
+            above, upper = np.concatenate([here, above]), rows
+            place = np.full(len(own), -1)
+            place[above] = np.arange(len(above))
+            self.folded[width] = place, rows
+            width //= 2
+
+    def differing(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """For pairs (u, v) of places in the list, a lower bound of the tokens in which they differ."""
+        out = np.zeros(len(u), np.int64)
+        width = np.minimum(self.words[u], self.words[v])
+        for w in np.unique(width).tolist():
+            place, rows = self.folded[w]
+            at = np.flatnonzero(width == w)
+            for k in range(0, len(at), max(1, (1 << 20) // w)):
+                some = at[k : k + max(1, (1 << 20) // w)]
+                x = rows[place[u[some]]] ^ rows[place[v[some]]]
+                out[some] = np.bitwise_count(x).sum(1, dtype=np.int64)
+        return out
+
+
+def listed_pairs(ids, comp, n, rest, part, m, sketches: Sketches, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one list, or of two parts of it (``part`` 0 and 1; else all 2), of different components
-    that pass the length and position filters. ``rest``: tokens from the shared one to the end."""
+    that pass the length, position and sketch filters. ``rest``: tokens from the shared one to the end."""
     order = np.lexsort((ids, n))
-    ids, comp, n, rest, part = ids[order], comp[order], n[order], rest[order], part[order]
+    ids, comp, n, rest, part, m = ids[order], comp[order], n[order], rest[order], part[order], m[order]
     # every pair has an end outside the largest component
     name, first = np.unique(comp, return_inverse=True)
     left = np.flatnonzero(first != np.bincount(first).argmax())
@@ -426,15 +503,18 @@ def listed_pairs(ids, comp, n, rest, part, num: int, den: int) -> tuple[np.ndarr
             ok &= ~inner[y][None, :] | (x[:, None] < y[None, :])  # a pair of two such ends once
             ok &= (part[x][:, None] != part[y][None, :]) | (part[x][:, None] == 2)
             i, j = np.nonzero(ok)
-            us.append(x[i])
-            vs.append(y[j])
+            u, v = x[i], y[j]
+            common = m[u] + m[v] - sketches.differing(order[u], order[v])  # twice, at most
+            ok = (num + den) * common >= 2 * num * (n[u] + n[v])
+            us.append(u[ok])
+            vs.append(v[ok])
     u, v = (np.concatenate(w) if w else np.zeros(0, np.int64) for w in (us, vs))
     return ids[u], ids[v]
 
 
-def candidates(spark: SparkSession, named: DataFrame, num: int, den: int) -> DataFrame:
+def candidates(spark: SparkSession, s: DataFrame, named: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct pairs (a, b, ca, cb), a < b, of documents in different components that meet in a
-    prefix list and pass its filters. ``named``: id, t, n, rest, c."""
+    prefix list and pass its filters. ``s``: id, m, sketch; ``named``: id, t, n, rest, c."""
     about = named.groupBy("t").agg(
         F.count("*").alias("size"), F.bit_xor(F.xxhash64("id", F.lit(3))).alias("x1"),
         F.bit_xor(F.xxhash64("id", F.lit(4))).alias("x2"), F.min("c").alias("lo"), F.max("c").alias("hi"),
@@ -449,10 +529,19 @@ def candidates(spark: SparkSession, named: DataFrame, num: int, den: int) -> Dat
     rows = named.join(lists.drop("size"), "t").withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("t", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "rest", "c")
-    tasks = max(1, -(-total // TASK_ROWS))
+    wide = s.agg(F.avg(F.length("sketch"))).first()[0] or 0
+    tasks = max(1, -(-total // TASK_ROWS), -(-total * int(wide) // TASK_SKETCHES))
     rows = rows.withColumn("task", F.pmod(F.xxhash64("t", "i", "j"), F.lit(tasks)).cast("int"))
+    rows = stored(spark, rows, "entries")
+    drawn = rows.select("task", "id").distinct().join(s.select("id", "m", "sketch"), "id")
+    rows = rows.unionByName(drawn, allowMissingColumns=True)
 
     def meet(key, table):
+        is_own = pc.is_valid(table.column("sketch"))
+        sent, table = table.filter(is_own), table.filter(pc.invert(is_own))
+        holder, size, drawn = sent.column("id").to_numpy(), sent.column("m").to_numpy().astype(np.int64), sent.column("sketch")
+        by_id = np.argsort(holder, kind="stable")
+        holder = holder[by_id]
         t, i, j, own, ids, n, rest, c = (table.column(x).to_numpy() for x in ("t", "i", "j", "own", "id", "n", "rest", "c"))
         order = np.lexsort((j, i, t))
         cut = np.flatnonzero(np.any([np.diff(x[order]) != 0 for x in (t, i, j)], axis=0)) + 1
@@ -461,7 +550,9 @@ def candidates(spark: SparkSession, named: DataFrame, num: int, den: int) -> Dat
             if (c[g] == c[g[0]]).all():
                 continue
             part = np.where(i[g] == j[g], 2, (own[g] == i[g]).astype(np.int64))
-            u, v = listed_pairs(ids[g], c[g], n[g], rest[g], part, num, den)
+            of = by_id[np.searchsorted(holder, ids[g])]
+            sketches = Sketches([np.frombuffer(drawn[k].as_py(), np.uint64) for k in of.tolist()])
+            u, v = listed_pairs(ids[g], c[g], n[g], rest[g], part, size[of], sketches, num, den)
             us.append(np.minimum(u, v))
             vs.append(np.maximum(u, v))
         u, v = np.concatenate(us), np.concatenate(vs)
@@ -481,7 +572,7 @@ def candidates(spark: SparkSession, named: DataFrame, num: int, den: int) -> Dat
 def jaccard_links(spark: SparkSession, s: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect exactly the documents connected by pairs of similarity >= num/den."""
     post = stored(spark, s.select(
-        "id", "n", "q", F.size("toks").alias("m"), F.posexplode(F.slice("toks", F.lit(1), F.col("q"))).alias("k", "t"),
+        "id", "n", "q", "m", F.posexplode("head").alias("k", "t"),
     ).select("id", "n", "t", (F.col("m") - F.col("k")).cast("long").alias("rest"),
              ((F.col("k") < 8) | (F.col("q") - F.col("k") <= 2)).alias("few")), "postings")
     # every document against a few pivots of some of its tokens
@@ -498,7 +589,7 @@ def jaccard_links(spark: SparkSession, s: DataFrame, num: int, den: int) -> Data
     # then the prefix lists, without the pairs that are connected already
     named = stored(spark, post.select("id", "t", "n", "rest").join(comp, post.id == comp.node, "left").select(
         "id", "t", "n", "rest", F.coalesce("component_id", "id").alias("c")), "named")
-    return links.unionByName(compared(spark, s, candidates(spark, named, num, den), num, den))
+    return links.unionByName(compared(spark, s, candidates(spark, s, named, num, den), num, den))
 
 
 def jaccard_components(
@@ -512,9 +603,8 @@ def jaccard_components(
         .agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     )
     classes = stored(spark, classes.where("copies > 1").select("d1", "d2", "class_id"), "classes")
-    s = shared_tokens(spark, docs, sets, n, num, den)
     copies = rows.join(classes, ["d1", "d2"]).where("doc_id <> class_id").select(F.col("doc_id").alias("id"))
-    s = stored(spark, s.join(copies.distinct(), "id", "left_anti"), "candidates")
+    s = stored(spark, shared_tokens(spark, docs, sets, copies, n, num, den), "candidates")
     comp = components(spark, jaccard_links(spark, s, num, den))
     comp = stored(spark, comp, "components")
     member = rows.join(classes, ["d1", "d2"], "left").withColumn(

@@ -212,7 +212,7 @@ def shared_keys(spark: SparkSession, docs: DataFrame, rows: DataFrame, length: i
 
     def collected(key, table):
         doc, _, _ = _unpack(table)
-        token, df = _joined(table, "lo", np.uint64), _joined_planes(table, "df", np.uint32)
+        token, df = _joined_planes(table, "lo", np.uint64), _joined_planes(table, "df", np.uint32)
         order = np.lexsort((token, doc))
         doc, token, large = doc[order], token[order], df[order] > most
         ids, first = np.unique(doc, return_index=True)

@@ -585,6 +585,43 @@ def test_jaccard_edited_copies(spark, monkeypatch, docs_a_task):
     assert got == components_brute(rows)
 
 
+def test_jaccard_pairs_below_the_threshold_are_not_sent():
+    """Documents that share half of their tokens pass the length and position filters only."""
+    from newsprism.llm.ngram_join import Sketches, listed_pairs, sketch
+
+    rng = np.random.default_rng(9)
+    common = np.arange(100, dtype=np.uint64)
+    sets = [np.concatenate([common, rng.integers(1000, 1 << 40, 100, dtype=np.uint64)]) for _ in range(60)]
+    sets[31] = np.append(sets[30][:190], sets[31][190:])  # one pair is similar
+    ids, n = np.arange(60), np.full(60, 200)
+    u, v = listed_pairs(ids, ids, n, n - 1, np.full(60, 2), n, Sketches([sketch(x) for x in sets]), 75, 100)
+    assert (30, 31) in set(zip(u.tolist(), v.tolist())) | set(zip(v.tolist(), u.tolist()))
+    assert len(u) < 60  # of 1770
+
+
+def test_sketches_bound_the_difference():
+    from newsprism.llm.ngram_join import Sketches, sketch
+
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 40, 3000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in (1, 2, 60, 100, 130, 300, 900, 2500, 2500)]
+    sets.append(sets[5][3:])
+    u, v = np.triu_indices(len(sets), 1)
+    least = Sketches([sketch(x) for x in sets]).differing(u, v)
+    true = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(u, v)])
+    assert (least <= true).all() and (least[(u == 5) & (v == 9)] == 3).all()
+    assert (least[true > 100] > 50).all()
+
+
+def test_tokens_of_a_document_pack_small():
+    from newsprism.llm.ngram_join import _from_planes, planes, token_place
+
+    place = np.arange(1000)
+    name = token_place(place, 70_000)
+    assert len(set(name.tolist())) == 1000 and (_from_planes(planes(name), np.uint64) == name).all()
+    assert not set(name.tolist()) & set(token_place(place, 70_001).tolist())
+
+
 def test_jaccard_odd_rows(spark):
     from newsprism.llm.ngram_join import jaccard_components, keep_one
 
