@@ -15,7 +15,8 @@ keys), and a document is cut into fragments, its maximal runs of strings with on
    into one text and its suffix array is built by linear grouping (:mod:`.suffix_array`); suffixes
    that agree in ``length`` bytes are neighbours there, and each such group of strings has its
    smallest document. A lone fragment needs no sorting, nor does a key all of whose fragments stand in
-   one document. A key in more than a fixed share of all documents, or in more than ``SPLIT_DOCS``
+   one document; of the others only the part from a fragment's first to its last string that, by its
+   hash, another fragment has, and equal parts once. A key in more than a fixed share of all documents, or in more than ``SPLIT_DOCS``
    of them, is split: its strings are keyed by themselves.
 4. The removed intervals return to their documents, where they are merged and the remaining bytes
    are hashed. Strings are always judged on the input.
@@ -50,6 +51,7 @@ BLOCK_BYTES = 4 << 20
 PART_KEYS = 500_000  # keys of one key partition
 SPLIT_DOCS = 20_000  # documents whose fragments with one key may meet whole
 SORT_BYTES = 1 << 14  # fragments sorted in one suffix array, at least
+RANGE_BYTES = 1 << 18  # fragments whose strings are hashed together, at least
 FRAGMENT_BYTES = 1 << 20  # fragment bytes of one partition, about
 
 _EXACT = np.random.default_rng(30).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -345,6 +347,30 @@ def smallest_documents(texts: list[bytes], least: list[int], length: int) -> lis
     return [found[a : a + n - length] for a, n in zip(starts.tolist(), sizes.tolist())]
 
 
+def shared_ranges(texts: list[bytes], length: int) -> list[tuple[int, int]]:
+    """For each text the range of its bytes from the first to the last string of ``length`` bytes whose
+    hash another of the texts has, too; (0, 0) if there is none."""
+    sizes = np.array([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    p, q = powers(len(data))
+    acc = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_EXACT[data] * p[: len(data)], out=acc[1:])
+    of = np.repeat(np.arange(len(texts)), sizes)
+    at = np.flatnonzero(of[: len(of) - length + 1] == of[length - 1 :])
+    h = mix((acc[at + length] - acc[at]) * q[at])
+    order = np.argsort(h, kind="stable")
+    at, h = at[order], h[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    count = np.diff(np.append(first, len(h)))
+    several = of[at[first]] != of[at[first + count - 1]]  # places rise in a group
+    at = at[np.repeat(several, count)]
+    begin = np.cumsum(sizes) - sizes
+    lo, hi = np.full(len(texts), len(data)), np.zeros(len(texts), np.int64)
+    np.minimum.at(lo, of[at], at)
+    np.maximum.at(hi, of[at], at + length)
+    return [(a, b) if b > 0 else (0, 0) for a, b in zip((lo - begin).tolist(), np.maximum(hi - begin, 0).tolist())]
+
+
 def compared(key, table: pa.Table, length: int, doc_parts: int) -> pa.Table:
     """Removed intervals of the fragments that meet in a partition."""
     if key[0].as_py() == 1:
@@ -376,9 +402,8 @@ def compared(key, table: pa.Table, length: int, doc_parts: int) -> pa.Table:
     most = np.zeros(len(texts), np.int64)
     np.maximum.at(most, frag, doc)
     alone = np.ones(len(texts), bool)
-    strings: dict[int, np.ndarray] = {}
-    together: list[int] = []
-    total, keys = 0, []
+    strings: dict[int, tuple[int, np.ndarray]] = {}  # of a fragment: where its shared part begins, smallest documents
+    keys: list[list[int]] = []
     for fs in by_key.values():
         if len(fs) > 1:
             own = np.array(fs)
@@ -386,26 +411,51 @@ def compared(key, table: pa.Table, length: int, doc_parts: int) -> pa.Table:
             if (most[own] > np.where(least[own] == order[0], order[1], order[0])).any():
                 keys.append(fs)
                 alone[own] = False
+
+    def sort(parts: list[dict[bytes, list[tuple[int, int]]]]) -> None:
+        own = [(t, who) for of_key in parts for t, who in of_key.items()]
+        found = smallest_documents([t for t, _ in own], [min(int(least[f]) for f, _ in who) for _, who in own], length)
+        strings.update((f, (at, low)) for (_, who), low in zip(own, found) for f, at in who)
+
+    parts: list[dict[bytes, list[tuple[int, int]]]] = []  # by key: the fragments that have a part, and where
+    near: list[list[int]] = []
+    total = sorting = 0
     for n, fs in enumerate(keys, 1):
-        together += fs
-        total += sum(len(texts[f]) for f in fs)
-        if total >= SORT_BYTES or n == len(keys):
-            found = smallest_documents([texts[f] for f in together], [int(least[f]) for f in together], length)
-            strings.update(zip(together, found))
-            together, total = [], 0
+        near.append(fs)
+        total += int(size[fs].sum())
+        if total < RANGE_BYTES and n < len(keys):
+            continue
+        ranges = iter(shared_ranges([texts[f] for own in near for f in own], length))
+        for own in near:
+            part: dict[bytes, list[tuple[int, int]]] = {}
+            for f, (a, b) in zip(own, ranges):
+                if b:
+                    part.setdefault(texts[f][a:b], []).append((f, a))
+                else:
+                    alone[f] = True
+            if part:
+                parts.append(part)
+                sorting += sum(map(len, part))
+                if sorting >= SORT_BYTES:
+                    sort(parts)
+                    parts, sorting = [], 0
+        near, total = [], 0
+    if parts:
+        sort(parts)
     whole = doc > least[frag]  # a smaller document holds the very same fragment
     out_doc, out_row, out_start, out_end = [doc[whole]], [row[whole]], [start[whole]], [(start + size[frag])[whole]]
     rest = np.flatnonzero(~whole & ~alone[frag])
     ds, rs, ss, es = [], [], [], []
     for i in rest.tolist():
-        hit = strings[int(frag[i])] < doc[i]
+        at, low = strings[int(frag[i])]
+        hit = low < doc[i]
         if hit.any():
             edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
             for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
                 ds.append(doc[i])
                 rs.append(row[i])
-                ss.append(start[i] + a)
-                es.append(start[i] + b - 1 + length)
+                ss.append(start[i] + at + a)
+                es.append(start[i] + at + b - 1 + length)
     out_doc.append(np.array(ds, np.int64))
     out_row.append(np.array(rs, np.int64))
     out_start.append(np.array(ss, np.int64))

@@ -397,6 +397,22 @@ def test_split_keys_equal_brute_force(spark, monkeypatch):
     assert cut_rows(got) == cut_brute(rows)
 
 
+def test_only_shared_parts_are_sorted(spark, monkeypatch):
+    from newsprism.llm import substring_dedup
+
+    rng = random.Random(12)
+    letters = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    passage = letters(300)
+    texts = [(letters(400) + passage + letters(400)).encode() for _ in range(4)] + [letters(200).encode()]
+    got = substring_dedup.shared_ranges(texts, 50)
+    assert [t[a:b] for t, (a, b) in zip(texts, got)][4] == b"" and all(a <= 400 and b >= 700 for a, b in got[:4])
+    assert all(b - a < 310 for a, b in got[:4])
+    monkeypatch.setattr(substring_dedup, "RANGE_BYTES", 100)
+    rows = [(i, t.decode()) for i, t in enumerate(texts)] + [(9, letters(60) + passage[:120] + letters(60) + passage[100:])]
+    df = frame(spark, rows)
+    assert cut_rows(substring_dedup.removed_spans(spark, df)) == cut_brute(rows)
+
+
 def test_suffix_array_by_linear_grouping():
     from newsprism.llm.suffix_array import suffix_array
 
